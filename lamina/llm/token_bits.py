@@ -40,7 +40,7 @@ BLOCK_IDS = 4096
 #: Bytes of text for each file.
 FILE_BYTES = 24 << 20
 #: Words whose ids a Python worker remembers, and the longest such word in bytes.
-CACHED_WORDS, CACHED_BYTES = 1_500_000, 48
+CACHED_WORDS, CACHED_BYTES = 1_000_000, 48
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -152,17 +152,21 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
-        new = {w for ws in words for w in ws if w not in self.known}
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = {w for ws in words for w in ws}
-        order = list(new)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in order], add_special_tokens=False)
+        # ASCII case is dropped by the vocabulary; it shows only in added tokens, which begin with "<|".
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         known = self.known
+        new = {w for ws in words for w in ws if w not in known}
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = {w for ws in words for w in ws}
+        # A word that ends in signs after a letter is the word without them, then the signs.
+        cut = {w: (c, w[len(c) :]) for w in new if len(c := w.rstrip(b".,;:!?")) < len(w) and c.decode()[-1:].isalpha()}
+        order = list((new - cut.keys()).union(*cut.values()) - known.keys())
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False)
         known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(order, found))
+        known.update((w, known[c] + known[t]) for w, (c, t) in cut.items())
         out = [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in words]
-        for w in order:
+        for w in [*order, *cut]:
             if len(w) > CACHED_BYTES:
                 del known[w]
         return out

@@ -6,14 +6,17 @@
    ``n - ceil(t n) + 1`` in a global order), so a token's holders form a block.
    The order puts tokens found often in a bounded sample last; any order is
    exact, this one keeps blocks small.
-3. First pass: of the first few tokens, each block's members are checked against
-   its least member.  Links found join most groups of copies at linear cost.
-4. Second pass, over all prefix tokens: blocks that still hold more than one
-   component get signature trees.  A node holds the OR of its members' token
-   bitmaps, their size range and the slack of the bitmaps; a dual traversal drops
-   node pairs that cannot reach the overlap they would need, and those that are
-   in one component already.  Larger blocks are cut into chunks, and every pair
-   of chunks is a task of its own, so no block is capped.
+3. First pass: blocks of the few least tokens by hash and of similar size, each
+   member checked against the least one.  The links join most groups of copies
+   at linear cost.
+4. Blocks that hold more than one component get signature trees.  A node holds
+   the OR of its members' token bitmaps, their size range and the slack of the
+   bitmaps; a dual traversal drops node pairs that cannot reach the overlap they
+   would need, and those that are in one component already.  Larger blocks are
+   cut into chunks, and every pair of chunks is a task of its own, so no block is
+   capped.  A second pass, over ``TREE_TOKENS`` tokens by hash, verifies the
+   likeliest pairs of each document, which joins most that is left; a third, over
+   all prefix tokens, verifies every candidate whose components still differ.
 5. Candidates are verified on the exact sets of the whole texts.
 
 Edge cases: null and empty texts have an empty set and link with nothing;
@@ -30,7 +33,7 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import ship
 from .common import byte_texts, materialize, text_blocks
@@ -41,6 +44,8 @@ SAMPLE_DOCS, SAMPLE_HITS = 8000, 4
 #: Most frequent tokens that are kept (8 bytes each).
 MOST_FREQUENT = 1_000_000
 FIRST_TOKENS = 4
+#: Tokens of the second pass, and the pairs of each document that it verifies.
+TREE_TOKENS, LIKELIEST = 16, 3
 CHUNK = 1024
 LEAF = 16
 CACHED_WORDS = 1_000_000
@@ -150,10 +155,10 @@ def node_pair_may_link(p: tuple, q: tuple, percent: int) -> bool:
     return min(p[3], q[3]) + common >= need
 
 
-def traverse(left: SignatureTree, right: SignatureTree | None, percent: int) -> list[tuple[int, int]]:
-    """Candidate (i, j) of two trees, or of one with itself (right is None, i < j)."""
+def traverse(left: SignatureTree, right: SignatureTree | None, percent: int) -> list[tuple[int, int, int]]:
+    """Candidate (i, j, largest possible overlap) of two trees, or of one with itself (right is None, i < j)."""
     other = right or left
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     stack = [((0, len(left.sizes)), (0, len(other.sizes)))]
     while stack:
         (a, b), (c, d) = stack.pop()
@@ -165,32 +170,46 @@ def traverse(left: SignatureTree, right: SignatureTree | None, percent: int) ->
             most = np.minimum(left.slack[a:b, None], other.slack[None, c:d]) + both
             hit = ((100 + percent) * most >= percent * (x + y)) & (left.labels[a:b, None] != other.labels[None, c:d])
             hit &= (100 * x >= percent * y) & (100 * y >= percent * x)
-            out += [(a + i, c + j) for i, j in np.argwhere(hit).tolist() if right is not None or a + i < c + j]
+            out += [(a + i, c + j, int(most[i, j])) for i, j in np.argwhere(hit).tolist() if right is not None or a + i < c + j]
             continue
         halves = lambda s, e: [(s, e)] if e - s <= LEAF else [(s, (s + e) // 2), ((s + e) // 2, e)]
         stack += [(p, q) for p in halves(a, b) for q in halves(c, d) if right is not None or p[0] <= q[0]]
     return out
 
 
-def block_candidates(members: list[tuple], percent: int, i: int, j: int) -> list[tuple[int, int]]:
-    """Candidate id pairs of a block's rows (id, label, size, bitmap, chunk)."""
-    words = min(len(m[3]) for m in members) // 8
-    members = sorted(members, key=lambda m: (m[2], m[0]))
+def block_candidates(members: list[tuple], percent: int, i: int, j: int) -> list[tuple[int, int, float]]:
+    """Candidate (id, id, estimate) of a block's rows (id, label, size, bitmap, chunk).
 
-    def tree(rows):
+    Bitmaps of one width make a tree; sets that may link differ in width by one
+    step at most, as a width is a power of two and sizes differ by less than two.
+    """
+    by_width: dict[int, list[tuple]] = {}
+    for m in sorted(members, key=lambda m: (m[2], m[0])):
+        by_width.setdefault(len(m[3]) // 8, []).append(m)
+
+    def tree(rows: list[tuple], words: int) -> SignatureTree:
         maps = np.array([fold(np.frombuffer(m[3], "<u8"), words) for m in rows])
         return SignatureTree(np.array([m[2] for m in rows]), np.array([m[1] for m in rows]), maps)
 
-    if i == j:
-        return [(members[a][0], members[b][0]) for a, b in traverse(tree(members), None, percent)]
-    left, right = [m for m in members if m[4] == i], [m for m in members if m[4] == j]
-    if not left or not right:
-        return []
-    return [(left[a][0], right[b][0]) for a, b in traverse(tree(left), tree(right), percent)]
+    out = []
+    for words, rows in by_width.items():
+        for width in (words, 2 * words):
+            other = by_width.get(width, [])
+            for p, q in {(i, j), (j, i)} if width != words else {(i, j)}:
+                x, y = [m for m in rows if m[4] == p], [m for m in other if m[4] == q]
+                alone = width == words and i == j
+                if (len(x) > 1) if alone else (x and y):
+                    hits = traverse(tree(x, words), None if alone else tree(y, words), percent)
+                    y = x if alone else y
+                    out += [(x[a][0], y[b][0], most / max(x[a][2], y[b][2])) for a, b, most in hits]
+    return out
 
 
 def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
-    """docs (id, text) -> (id, n, set_key binary, prefix array<long>, bitmap binary)."""
+    """docs (id, text) -> (id, n, set_key binary, heads array<long>, prefix array<long>, bitmap binary).
+
+    ``heads`` are the least tokens by hash alone, a random sample of the set.
+    """
 
     def run(batches):
         shing = shingler(width)
@@ -201,7 +220,7 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray |
                     tokens = shing.set(text)
                     n = len(tokens)
                     if not n:
-                        rows.append((0, None, [], None))
+                        rows.append((0, None, [], [], None))
                         continue
                     ordered = tokens
                     if frequent is not None and len(frequent):
@@ -209,11 +228,11 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray |
                         often = frequent[at] == tokens
                         ordered = np.concatenate([tokens[~often], tokens[often]])
                     first = ordered[: prefix_length(n, percent)].view(np.int64)
-                    rows.append((n, xxhash.xxh3_128_digest(tokens.tobytes()), first, bitmap(tokens)))
-                kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([block.column(0), *[pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)]], names=["id", "n", "set_key", "prefix", "bitmap"])
+                    rows.append((n, xxhash.xxh3_128_digest(tokens.tobytes()), tokens[:TREE_TOKENS].view(np.int64), first, bitmap(tokens)))
+                kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([block.column(0), *[pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)]], names=["id", "n", "set_key", "heads", "prefix", "bitmap"])
 
-    return docs.mapInArrow(run, "id long, n long, set_key binary, prefix array<long>, bitmap binary")
+    return docs.mapInArrow(run, "id long, n long, set_key binary, heads array<long>, prefix array<long>, bitmap binary")
 
 
 def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
@@ -262,15 +281,20 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
 
 
 def first_pass(reps: DataFrame) -> DataFrame:
-    """(a, b): members of the blocks of the first tokens, each with its block's least member."""
-    rows = reps.select("id", F.explode(F.slice("prefix", 1, FIRST_TOKENS)).alias("token"))
-    least = materialize(rows.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("most")).where(F.col("a") != F.col("most")).select("token", "a"), "least")
-    return rows.join(least, "token").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    """(a, b): of the blocks of a token and a size band, each member with the least one."""
+    band = F.floor(F.log("n") / F.log(F.lit(1.3))).alias("band")
+    rows = reps.select("id", band, F.explode(F.slice("heads", 1, FIRST_TOKENS)).alias("token"))
+    least = rows.groupBy("token", "band").agg(F.min("id").alias("a"), F.max("id").alias("most"))
+    least = materialize(least.where(F.col("a") != F.col("most")).select("token", "band", "a"), "least")
+    return rows.join(least, ["token", "band"]).where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+
 
+def block_pairs(reps: DataFrame, percent: int, of: str = "prefix", chunk: int = CHUNK) -> DataFrame:
+    """(a, b, estimate): candidates of the blocks that hold several components.
 
-def second_pass(reps: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): candidates of the blocks, over all prefix tokens, that hold several components."""
-    rows = reps.select("id", "label", F.explode("prefix").alias("token"))
+    ``of``: the tokens that make blocks; over "prefix" no link is missed.
+    """
+    rows = reps.select("id", "label", F.explode(of).alias("token"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held"))
     mixed = materialize(mixed.where(F.col("low") != F.col("high")).select("token", F.ceil(F.col("held") / chunk).alias("chunks")), "mixed")
     members = rows.select("id", "token").join(mixed, "token")
@@ -293,12 +317,27 @@ def second_pass(reps: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
         if len(held) > 1:
             yield _pairs(block_candidates(held, percent, key[1], key[2]))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+
+
+def _pairs(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    best = {(min(a, b), max(a, b)): e for a, b, e in found}
+    columns = [pa.array([p[k] for p in best], type=pa.int64()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(list(best.values()), type=pa.float64())], names=["a", "b", "estimate"])
+
+
+def likeliest(pairs: DataFrame, most: int) -> DataFrame:
+    """(a, b): for each document its pairs of the highest estimates; the rest waits for the pass over all."""
+    both = pairs.select(F.col("a").alias("own"), "a", "b", "estimate").union(pairs.select(F.col("b").alias("own"), "a", "b", "estimate"))
+    w = Window.partitionBy("own").orderBy(F.desc("estimate"), "a", "b")
+    return both.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("a", "b").distinct()
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    distinct = sorted({(min(p), max(p)) for p in found})
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in distinct], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+def relabel(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, n, heads, prefix, bitmap, label): classes with the components that the links make so far."""
+    so_far = components(links)
+    joined = reps.join(so_far, reps.id == so_far.node, "left")
+    return materialize(joined.select("id", "n", "heads", "prefix", "bitmap", F.coalesce("component", "id").alias("label")), "labelled")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
@@ -310,16 +349,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sigs = materialize(signatures(texts, width, percent, frequent), "signatures")
     usable = sigs.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = materialize(usable.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
-    reps = usable.join(classes, (usable.set_key == classes.set_key) & (usable.id == classes.rep), "left_semi").select("id", "n", "prefix", "bitmap").dropDuplicates(["id", "n"])
+    reps = usable.join(classes, (usable.set_key == classes.set_key) & (usable.id == classes.rep), "left_semi").select("id", "n", "heads", "prefix", "bitmap").dropDuplicates(["id", "n"])
     # Rows that share an id tie the classes they belong to.
     shared = usable.groupBy("id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select("id")
     ties = usable.join(shared, "id", "left_semi").join(classes, "set_key").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
-    one = materialize(verify(materialize(first_pass(reps), "pairs"), keyed, width, percent).unionByName(ties), "links")
-    so_far = components(one)
-    labelled = materialize(reps.join(so_far, reps.id == so_far.node, "left").select("id", "n", "prefix", "bitmap", F.coalesce("component", "id").alias("label")), "labelled")
-    two = verify(materialize(second_pass(labelled, percent, chunk), "pairs"), keyed, width, percent)
-    final = components(one.select("u", "v").union(two))
+    links = materialize(verify(materialize(first_pass(reps), "pairs"), keyed, width, percent).unionByName(ties), "links")
+    labelled = relabel(reps, links)
+    near = likeliest(materialize(block_pairs(labelled, percent, "heads", chunk), "near"), LIKELIEST)
+    more = verify(materialize(near, "pairs"), keyed, width, percent)
+    links = materialize(links.union(more), "links")
+    labelled = relabel(reps, links)
+    rest = verify(materialize(block_pairs(labelled, percent, "prefix", chunk).select("a", "b"), "pairs"), keyed, width, percent)
+    final = components(links.union(rest))
 
     ends = classes.join(final, classes.rep == final.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     ends = materialize(ends, "ends")

@@ -80,7 +80,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = found.join(materialize(often, "often"), "chunk_key", "left_semi")
     spans = again.groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "last", "chunk_key")).alias("spans"))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(spans, texts.id.eqNullSafe(spans.id) & (texts.text_key == spans.text_key)).select(texts.id, texts.text_key, F.split("text", "\n", -1).alias("lines"), "spans")
+    # The marked documents have no bound, so texts meet them by a shuffle at every size.
+    joined = texts.join(spans.hint("merge"), texts.id.eqNullSafe(spans.id) & (texts.text_key == spans.text_key)).select(texts.id, texts.text_key, F.split("text", "\n", -1).alias("lines"), "spans")
     body = joined.select("id", "text_key", "lines", F.explode("spans").alias("s")).select(
         "id", "text_key", "s.first", "s.last", "s.chunk_key",
         F.array_join(F.slice("lines", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1), "\n").alias("body"),
@@ -101,7 +102,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flat = materialize(flat, "gone")
     # The input's columns travel in one struct, so none of their names can clash.
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"))
-    joined = keyed.join(flat, keyed.id.eqNullSafe(flat.gone_id) & (keyed.text_key == flat.gone_key), "left").select("row", "gone_spans")
+    joined = keyed.join(flat.hint("merge"), keyed.id.eqNullSafe(flat.gone_id) & (keyed.text_key == flat.gone_key), "left").select("row", "gone_spans")
     text = F.col("row").getField(text_col)
     inside = lambda i: F.exists("gone_spans", lambda s: (i >= s["first"]) & (i <= s["last"]))
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~inside(i)), "\n")

@@ -49,6 +49,8 @@ TREE_TOKENS, LIKELIEST = 16, 3
 CHUNK = 1024
 LEAF = 16
 CACHED_WORDS = 1_000_000
+#: Ids (8 bytes each) that may be broadcast.
+BROADCAST_IDS = 1_000_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,15 +71,16 @@ class Shingler:
         known = self.known
         words = text.lower().split()
         try:
-            return np.array([known[w] for w in words], dtype=np.uint64)
+            joined = b"".join([known[w] for w in words])
         except KeyError:
             if len(known) > CACHED_WORDS:
                 known.clear()
-            digest = xxhash.xxh3_64_intdigest
+            digest = xxhash.xxh3_64_digest
             for w in words:
                 if w not in known:
                     known[w] = digest(w)
-            return np.array([known[w] for w in words], dtype=np.uint64)
+            joined = b"".join([known[w] for w in words])
+        return np.frombuffer(joined, "<u8")
 
     def set(self, text: bytes) -> np.ndarray:
         h = self.words(text)
@@ -255,8 +258,10 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose exact sets link; texts are joined on, a block at a time."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = materialize(docs.join(needed, "id", "left_semi"), "texts")
+    needed = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
+    # Few ids are sent to the texts; beyond the bound, texts and ids are shuffled.
+    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    texts = materialize(docs.join(wanted, "id", "left_semi"), "texts")
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -280,6 +285,30 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long")
 
 
+def may_link(n_a: int, n_b: int, map_a: bytes, map_b: bytes, percent: int) -> bool:
+    """Whether two sets can link by their sizes and bitmaps alone."""
+    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
+        return False
+    words = min(len(map_a), len(map_b)) // 8
+    a, b = fold(np.frombuffer(map_a, "<u8"), words), fold(np.frombuffer(map_b, "<u8"), words)
+    common = int(np.bitwise_count(a & b).sum())
+    most = common + min(n_a - int(np.bitwise_count(a).sum()), n_b - int(np.bitwise_count(b).sum()))
+    return (100 + percent) * most >= percent * (n_a + n_b)
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps don't rule out."""
+    side = lambda k: reps.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bitmap").alias(f"map_{k}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "map_a", "map_b")
+
+    def run(batches):
+        for batch in batches:
+            keep = [may_link(*row, percent) for row in zip(*[batch.column(k).to_pylist() for k in range(2, 6)])]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def first_pass(reps: DataFrame) -> DataFrame:
     """(a, b): of the blocks of a token and a size band, each member with the least one."""
     band = F.floor(F.log("n") / F.log(F.lit(1.3))).alias("band")
@@ -354,7 +383,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = usable.groupBy("id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select("id")
     ties = usable.join(shared, "id", "left_semi").join(classes, "set_key").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
-    links = materialize(verify(materialize(first_pass(reps), "pairs"), keyed, width, percent).unionByName(ties), "links")
+    links = materialize(verify(materialize(plausible(first_pass(reps), reps, percent), "pairs"), keyed, width, percent).unionByName(ties), "links")
     labelled = relabel(reps, links)
     near = likeliest(materialize(block_pairs(labelled, percent, "heads", chunk), "near"), LIKELIEST)
     more = verify(materialize(near, "pairs"), keyed, width, percent)

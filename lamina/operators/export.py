@@ -22,7 +22,7 @@ def positioned(documents: DataFrame, elements: DataFrame) -> DataFrame:
     ordered = layout.reading_order(elements)
     items = F.struct("pos", F.col("element_id").alias("id"), F.col("element_type").alias("type"), "content", _box(), "style", "confidence", "metadata")
     held = ordered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ro_pos", "element_id"))).alias("ro"), F.collect_list(items).alias("elements"))
-    held = held.select("doc_id", F.array_sort("elements", lambda a, b: a["pos"] - b["pos"]).alias("elements"), F.transform("ro", lambda x: x["element_id"]).alias("reading_order"))
+    held = held.select("doc_id", F.array_sort("elements", lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)).alias("elements"), F.transform("ro", lambda x: x["element_id"]).alias("reading_order"))
     parts = layout.sections(ordered).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "title", "content"))).alias("sections"))
     out = documents.join(layout.titles(elements), "doc_id", "left").join(layout.layout_analysis(elements), "doc_id", "left").join(parts, "doc_id", "left")
     return out.join(held, "doc_id", "left")

@@ -15,10 +15,9 @@ def reading_order(elements: DataFrame, tolerance: float = LINE_TOLERANCE) -> Dat
     A line takes boxes, by (y0, x0), whose centre is within the tolerance of the
     centre of the line's first box, which a fold over the page's sorted boxes finds.
     """
-    in_page = elements.groupBy("doc_id", "page").agg(
-        F.array_sort(F.collect_list(F.struct("y0", "x0", "pos", boxes.center_y().alias("cy")))).alias("boxes"),
-    )
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).cast("double").alias("anchor"), F.array().cast("array<struct<line:int,x0:double,y0:double,pos:int>>").alias("out"))
+    kind = elements.schema["pos"].dataType.simpleString()
+    in_page = elements.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "pos", boxes.center_y().alias("cy")))).alias("boxes"))
+    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).cast("double").alias("anchor"), F.array().cast(f"array<struct<line:int,x0:double,y0:double,pos:{kind}>>").alias("out"))
 
     def step(s, b):
         same = (s["line"] >= 0) & (F.abs(b["cy"] - s["anchor"]) <= tolerance)

@@ -45,7 +45,7 @@ SAMPLE_DOCS, SAMPLE_HITS = 8000, 4
 MOST_FREQUENT = 1_000_000
 FIRST_TOKENS = 4
 #: Tokens of the second pass, and the pairs of each document that it verifies.
-TREE_TOKENS, LIKELIEST = 16, 3
+TREE_TOKENS, LIKELIEST = 8, 3
 CHUNK = 1024
 LEAF = 16
 CACHED_WORDS = 1_000_000
@@ -104,8 +104,11 @@ def shingler(width: int) -> Shingler:
 
 
 def bitmap_bits(n: int) -> int:
-    """Width of a set's bitmap: a power of two above 1.5 n, between 64 and 2^17."""
-    return 1 << min(17, max(6, math.ceil(math.log2(1.5 * n + 1))))
+    """Width of a set's bitmap: a power of two above 4 n, between 64 and 2^19.
+
+    With few tokens on a bit, nearly every token that a set lacks shows.
+    """
+    return 1 << min(19, max(6, math.ceil(math.log2(4 * n + 1))))
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -363,10 +366,9 @@ def likeliest(pairs: DataFrame, most: int) -> DataFrame:
 
 
 def relabel(reps: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, n, heads, prefix, bitmap, label): classes with the components that the links make so far."""
+    """``reps`` with label: the component that the links make of each class so far."""
     so_far = components(links)
-    joined = reps.join(so_far, reps.id == so_far.node, "left")
-    return materialize(joined.select("id", "n", "heads", "prefix", "bitmap", F.coalesce("component", "id").alias("label")), "labelled")
+    return reps.join(so_far, reps.id == so_far.node, "left").select(*reps.columns, F.coalesce("component", "id").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
@@ -377,8 +379,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = frequent_tokens(keyed, width)
     sigs = materialize(signatures(texts, width, percent, frequent), "signatures")
     usable = sigs.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = materialize(usable.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
-    reps = usable.join(classes, (usable.set_key == classes.set_key) & (usable.id == classes.rep), "left_semi").select("id", "n", "heads", "prefix", "bitmap").dropDuplicates(["id", "n"])
+    # One row for each class, that of its least id.
+    least = F.min(F.struct("id", "n", "heads", "prefix", "bitmap")).alias("r")
+    reps = materialize(usable.groupBy("set_key").agg(least).select("set_key", "r.*"), "classes")
+    classes = reps.select("set_key", F.col("id").alias("rep"))
     # Rows that share an id tie the classes they belong to.
     shared = usable.groupBy("id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select("id")
     ties = usable.join(shared, "id", "left_semi").join(classes, "set_key").select(F.col("id").alias("u"), F.col("rep").alias("v"))

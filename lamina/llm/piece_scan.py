@@ -13,8 +13,8 @@ matrix from entry states to exit states; a document's matrices are combined
 associatively, forward from its start and backward from its end, which leaves
 one state at each boundary; then each chunk is traced back on its own.
 
-No piece spans a safe cut (into a space mark, or at a character that only stands
-alone), so there a matrix has one row; segments between safe cuts are solved by
+No piece spans a safe cut, between two characters that no piece holds side by
+side, so there a matrix has one row; segments between safe cuts are solved by
 the same lattice and remembered.
 
 Edge cases: null and empty texts have no pieces; rows with null or equal ids are
@@ -23,8 +23,6 @@ encoded each; U+2581 in a text is the space mark, so it decodes to a space.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,7 +33,7 @@ from .common import materialize
 
 CHUNK_CHARS = 32768
 SPACE = "▁"
-CACHED_SEGMENTS, CACHED_CHARS = 1_500_000, 40
+CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 700_000, 1_000_000, 40
 CACHED_PAIRS = 4_000_000
 
 
@@ -59,14 +57,13 @@ class Pieces:
             if model.is_byte(i):
                 value = int(model.id_to_piece(i)[1:-1], 16)
                 self.byte_id[value], self.bytes_of[i] = i, bytes([value])
-        if any(p.find(SPACE, len(p) - len(p.lstrip(SPACE))) >= 0 for p in self.id_of):
-            raise ValueError("a piece spans a space")
-        joined = {c for p in self.id_of if len(p) > 1 for c in p} - {SPACE}
-        letters = "".join(re.escape(c) for c in sorted(joined))
-        self.segments = re.compile(f"{SPACE}*[{letters}]+|{SPACE}+|[^{letters}{SPACE}]").findall
+        # Two characters that no piece holds side by side are a safe cut.
+        self.joints = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
+        self.spaced = not any(j[1] == SPACE != j[0] for j in self.joints)  # a space after a word is a safe cut
         self.tail: dict = {}  # pieces by their last characters, from the end
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.whole = {p for p in self.id_of if len(p) == 1 or self.merge(p) == [p]}
         for p in self.whole:
             node = self.tail
@@ -116,15 +113,23 @@ class Pieces:
         ``first``: the piece before ``start`` (None: nothing, or a safe cut).
         """
         last: dict[int, str | None] = {start: first}
-        edge, ending, pairs = self.edge, self.ending, self.pairs
+        tail, pairs, edge = self.tail, self.pairs, self.edge
         for j in range(start + 1, stop + 1):
-            for p in reversed(ending(text, j, start)):
-                i = j - len(p)
-                if i in last:
+            # At most one piece that ends here continues a path, so the first found will do.
+            node, i = tail, j
+            while i > start:
+                node = node.get(text[i - 1])
+                if node is None:
+                    break
+                i -= 1
+                p = node.get("")
+                if p is not None and i in last:
                     before = last[i]
                     if before is None or (pairs[before, p] if (before, p) in pairs else edge(before, p)):
                         last[j] = p
                         break
+            if text[j - 1] not in tail and j - 1 in last:  # an unknown character stands alone
+                last[j] = text[j - 1]
         return last
 
     def trace(self, last: dict, start: int, end: int) -> list[str]:
@@ -145,18 +150,37 @@ class Pieces:
         """Ids (int32 bytes) of a segment between safe cuts."""
         got = self.known.get(text)
         if got is None:
-            pieces = self.trace(self.walk(text, 0, None, len(text)), 0, len(text)) if len(text) <= CHUNK_CHARS else self.scan(text)
-            got = np.array(self.ids(pieces), "<i4").tobytes()
+            if len(text) > CHUNK_CHARS:
+                got = self.scan(text)
+            else:
+                got = np.array(self.ids(self.trace(self.walk(text, 0, None, len(text)), 0, len(text))), "<i4").tobytes()
             if len(text) <= CACHED_CHARS:
                 if len(self.known) >= CACHED_SEGMENTS:
                     self.known.clear()
                 self.known[text] = got
         return got
 
+    def unit(self, text: str) -> bytes:
+        """Ids (int32 bytes) of a piece of text that starts and ends at safe cuts."""
+        joints, known, segment = self.joints, self.known, self.segment
+        cuts = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joints], len(text)]
+        parts = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        return b"".join([known.get(p) or segment(p) for p in parts])
+
+    def word(self, text: str) -> bytes:
+        got = self.unit(SPACE + text)
+        if len(text) <= CACHED_CHARS:
+            if len(self.words) >= CACHED_WORDS:
+                self.words.clear()
+            self.words[text] = got
+        return got
+
     def encode(self, marked: str) -> bytes:
         """Ids (int32 bytes) of a text with its spaces marked."""
-        known, segment = self.known, self.segment
-        return b"".join([known[s] if s in known else segment(s) for s in self.segments(marked)])
+        if self.spaced and marked.startswith(SPACE) and not marked.endswith(SPACE) and SPACE + SPACE not in marked:
+            words, word = self.words, self.word
+            return b"".join([words.get(w) or word(w) for w in marked[1:].split(SPACE)])
+        return self.unit(marked) if marked else b""
 
     def decode(self, ids) -> str:
         raw = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
@@ -175,7 +199,7 @@ class Pieces:
 
     def is_cut(self, text: str, i: int) -> bool:
         """Whether i is a safe cut."""
-        return i == 0 or i == len(text) or text[i] == SPACE != text[i - 1] or len(self.segments(text[i - 1 : i + 1])) == 2
+        return i == 0 or i == len(text) or text[i - 1 : i + 1] not in self.joints
 
     def transfer(self, text: str, low: int, high: int):
         """(entry states, exit states, max-plus matrix) of the text's characters low..high."""
@@ -199,26 +223,22 @@ class Pieces:
         matrix[np.ix_(enters, leaves)] = 0.0
         return entries, exits, matrix
 
-    def between(self, text: str, low: int, high: int, entry: tuple[int, int], exit_: tuple[int, int]) -> list[str]:
-        """The pieces that start in low..high, given the states at both ends."""
-        start, out = entry[1], []
-        before = text[entry[0] : entry[1]] or None
-        at, cut = start, start
-        # Between safe cuts, segment by segment.
-        while at < exit_[1]:
-            cut = at + 1
-            while cut < exit_[1] and not self.is_cut(text, cut):
-                cut += 1
-            out += self.trace(self.walk(text, at, before, cut), at, cut)
-            at, before = cut, None
-        return out
-
-    def scan(self, text: str, chunk: int = 4096) -> list[str]:
-        """A long text or segment as one process does it: matrices, scan, traces."""
+    def between(self, text: str, low: int, high: int, entry: tuple[int, int], leave: tuple[int, int]) -> bytes:
+        """Ids (int32 bytes) of the pieces that start in low..high, given the states at both ends."""
+        start, end, before = entry[1], leave[1], text[entry[0] : entry[1]] or None
+        first = next((i for i in range(start + (before is not None), end) if self.is_cut(text, i)), None)
+        own = lambda a, b, p: np.array(self.ids(self.trace(self.walk(text, a, p, b), a, b)), "<i4").tobytes()
+        if first is None:
+            return own(start, end, before)
+        last = next(i for i in range(end - 1, first - 1, -1) if self.is_cut(text, i))
+        return (own(start, first, before) if first > start else b"") + self.encode(text[first:last]) + own(last, end, None)
+
+    def scan(self, text: str, chunk: int = 4096) -> bytes:
+        """Ids (int32 bytes) of a long text or segment as one process does it: matrices, scan, traces."""
         bounds = [*range(0, len(text), chunk), len(text)]
         parts = [self.transfer(text, a, b) for a, b in zip(bounds, bounds[1:])]
         at = resolve([p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts])
-        return [p for k, (a, b) in enumerate(zip(bounds, bounds[1:])) for p in self.between(text, a, b, at[k], at[k + 1])]
+        return b"".join(self.between(text, a, b, at[k], at[k + 1]) for k, (a, b) in enumerate(zip(bounds, bounds[1:])))
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -327,7 +347,7 @@ def _scanned(giants: DataFrame, model_path: str, id_type: str, chunk: int) -> Da
             out = []
             for r in pdf.itertuples():
                 entry, leave = [tuple(int(v) - r.off for v in s) for s in (r.entry, r.leave)]
-                out.append((r.id, r.key, r.copies, r.k, vocab.ids(vocab.between(r.part, r.low - r.off, r.high - r.off, entry, leave))))
+                out.append((r.id, r.key, r.copies, r.k, np.frombuffer(vocab.between(r.part, r.low - r.off, r.high - r.off, entry, leave), "<i4")))
             yield pd.DataFrame(out, columns=["id", "key", "copies", "k", "ids"])
 
     traced = known.mapInPandas(trace, f"id {id_type}, key long, copies long, k int, ids array<int>")

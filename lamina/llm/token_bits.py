@@ -159,8 +159,8 @@ class WordEncoder:
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
             new = {w for ws in words for w in ws}
-        # A word that ends in signs after a letter is the word without them, then the signs.
-        cut = {w: (c, w[len(c) :]) for w in new if len(c := w.rstrip(b".,;:!?")) < len(w) and c.decode()[-1:].isalpha()}
+        # A word that ends in signs after a letter (also in lower case) is the word without them, then the signs.
+        cut = {w: (c, w[len(c) :]) for w in new if len(c := w.rstrip(b".,;:!?")) < len(w) and c.decode()[-1:].lower()[-1:].isalpha()}
         order = list((new - cut.keys()).union(*cut.values()) - known.keys())
         found = self.tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False)
         known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(order, found))

@@ -13,7 +13,7 @@ Minima are aggregated before each shuffle and joined back to a written table,
 so a line or chunk of very many documents is split over tasks.
 
 Edge cases: null texts come back null, empty ones empty; lines without a word
-end no run but are no chunk of their own; rows equal in id and text are one
+end no run, count for nothing and stay at a chunk's edges; rows equal in id and text are one
 document and all keep the same lines; rows that share an id only are documents
 of their own; null ids sort first; other columns are kept as they are.
 """
@@ -57,8 +57,8 @@ def chunks(lines: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_l
     in_doc = Window.partitionBy("id", "text_key").orderBy("pos")
     rows = lines.dropDuplicates(["id", "text_key", "pos"])
     rows = rows.withColumn("gap", F.coalesce((F.col("pos") - F.lag("pos").over(in_doc) > 1), F.lit(False)))
-    # The rolling hash sees the lines of its own run only.
-    rows = rows.withColumn("run", F.sum(F.col("gap").cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    # The rolling hash sees the lines with a word of its own run only.
+    rows = rows.withColumn("run", F.sum(F.col("gap").cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0))).where("words > 0")
     in_run = Window.partitionBy("id", "text_key", "run").orderBy("pos")
     rolled = F.col("hash")
     for k in range(1, window):
@@ -67,7 +67,7 @@ def chunks(lines: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_l
     earlier = in_run.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("part", F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
     cut = rows.groupBy("id", "text_key", "run", "part").agg(
-        F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_if(F.col("words") > 0).alias("n"), F.sum("words").alias("words"),
+        F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"), F.sum("words").alias("words"),
         F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line_key"))), lambda x: x["line_key"])).alias("chunk_key"),
     )
     return cut.where((F.col("n") >= min_lines) & (F.col("words") >= min_words)).select("id", "text_key", "first", "last", "chunk_key")

@@ -183,12 +183,14 @@ WITH l AS (
   SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
 ), m AS (
   SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT % 2147483648 AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, count(*) OVER (PARTITION BY line) AS n FROM l
-), r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m WHERE words = 0 OR n > 1
+), b AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m WHERE words = 0 OR n > 1
+), r AS (SELECT * FROM b WHERE words > 0
 ), e AS (SELECT *, ((h * 31 + coalesce(lag(h) OVER (PARTITION BY doc_id, run ORDER BY pos), 0)) % 2147483648 % 8 = 0)::INT AS ends FROM r
 ), f AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id, run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e
+), s AS (
+  SELECT doc_id, min(pos) AS first, max(pos) AS last FROM f GROUP BY doc_id, run, part HAVING count(*) >= 2 AND sum(words) >= 10
 ), c AS (
-  SELECT doc_id, min(pos) AS first, max(pos) AS last, string_agg(line, chr(10) ORDER BY pos) AS body FROM f
-  GROUP BY doc_id, run, part HAVING count(*) FILTER (words > 0) >= 2 AND sum(words) >= 10
+  SELECT s.doc_id, s.first, s.last, string_agg(l.line, chr(10) ORDER BY l.pos) AS body FROM s JOIN l ON l.doc_id = s.doc_id AND l.pos BETWEEN s.first AND s.last GROUP BY ALL
 ), g AS (SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS k FROM c) WHERE k > 1
 ), gone AS (SELECT DISTINCT l.doc_id, l.pos FROM l JOIN g ON l.doc_id = g.doc_id AND l.pos BETWEEN g.first AND g.last
 ), t AS (

@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, usable, sample=SAMPLE,
             w = train(kept, bits)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], type=pa.binary())], names=["weights"])
 
-    return np.frombuffer(chosen.repartition(1).mapInArrow(run, "weights binary").first()[0], "<f8")
+    row = chosen.repartition(1).mapInArrow(run, "weights binary").first()
+    return np.zeros((1 << bits) + 1) if row is None else np.frombuffer(row["weights"], "<f8")
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:

@@ -33,7 +33,11 @@ BITS, DIM = 18, 10
 GRAMS = (3, 4, 5)
 SAMPLE = {0: 10000, 1: 2500}
 TRAIN_BYTES = 48 << 20
-EPOCHS, BATCH, RATE = 8, 32, 1.0
+#: Passes over the sample: so many that about STEPS_TEXTS texts are seen, within bounds.
+EPOCHS, STEPS_TEXTS = (8, 30), 100_000
+BATCH, RATE, START = 32, 1.0, 1e-4
+#: A subword is used if so many training texts hold it (fewer where there are few texts).
+MIN_TEXTS = 5
 #: Characters that are worked on at a time (about 100 bytes of arrays each).
 BLOCK_CHARS = 1 << 20
 
@@ -93,7 +97,9 @@ def subwords(texts: list[str], bits: int = BITS):
     starts = np.flatnonzero(edge)[:-1]
     place = np.arange(len(code)) - np.repeat(np.append(starts, len(code) - 1), np.diff(np.append(np.append(starts, len(code) - 1), len(code))))
     powers = np.cumprod(np.full(int(place.max()) + 1, _K))
-    whole = _mix(np.add.reduceat(_mix(code + np.uint64(7)) * powers[place], starts))
+    letters = _mix(code + np.uint64(7)) * powers[place]
+    letters[-1] = 0  # the edge after the last word begins no word
+    whole = _mix(np.add.reduceat(letters, starts))
     buckets.append(whole)
     words.append(np.arange(n_words))
     bucket = (np.concatenate(buckets) & np.uint64((1 << bits) - 1)).astype(np.int64)
@@ -141,7 +147,7 @@ def _parts(text: str):
         start = stop
 
 
-def train(samples: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def train(samples: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epochs: int | None = None) -> tuple[np.ndarray, float]:
     """(a number for each bucket, bias) of the log odds, from (text, label)."""
     rng = np.random.default_rng(7)
     data = []
@@ -150,10 +156,16 @@ def train(samples: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epoc
         kinds, inverse = np.unique(bucket, return_inverse=True)
         value = np.bincount(inverse, weight, len(kinds)) / max(1e-9, share.sum())
         data.append((kinds.astype(np.int32), value.astype(np.float32), label))
+    # What too few texts hold says more about those texts than about the classes.
+    held = np.zeros(1 << bits, np.int64)
+    for kinds, _, _ in data:
+        held[kinds] += 1
+    known = held >= min(MIN_TEXTS, len(data) // 50)
+    data = [(kinds[known[kinds]], value[known[kinds]], label) for kinds, value, label in data]
     vectors = rng.uniform(-1.0 / dim, 1.0 / dim, (1 << bits, dim)).astype(np.float32)
     classes, offsets = rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
-    seen, seen_classes, seen_offsets = np.full(1 << bits, 1e-4), np.full((dim, 2), 1e-8), np.full(2, 1e-8)
-    for _ in range(epochs):
+    seen, seen_classes, seen_offsets = np.full(1 << bits, START), np.full((dim, 2), 1e-8), np.full(2, 1e-8)
+    for _ in range(epochs or min(EPOCHS[1], max(EPOCHS[0], STEPS_TEXTS // len(data)))):
         order = rng.permutation(len(data))
         for start in range(0, len(order), BATCH):
             rows = [data[i] for i in order[start : start + BATCH]]
@@ -178,7 +190,7 @@ def train(samples: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epoc
             seen_offsets += g_offsets**2
             classes -= 0.1 * g_classes / np.sqrt(seen_classes)
             offsets -= 0.1 * g_offsets / np.sqrt(seen_offsets)
-    return vectors.astype(np.float64) @ (classes[:, 1] - classes[:, 0]), float(offsets[1] - offsets[0])
+    return np.where(known, vectors.astype(np.float64) @ (classes[:, 1] - classes[:, 0]), 0.0), float(offsets[1] - offsets[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str, usable, sample=SAMPLE, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
@@ -205,8 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, usable, sample=SAMPLE,
             bias += shift[1] - shift[0]  # the sample's class shares are not the table's
         yield pa.RecordBatch.from_arrays([pa.array([table.astype("<f4").tobytes()], type=pa.binary()), pa.array([bias])], names=["table", "bias"])
 
-    table, bias = chosen.repartition(1).mapInArrow(run, "table binary, bias double").first()
-    return np.frombuffer(table, "<f4"), bias
+    row = chosen.repartition(1).mapInArrow(run, "table binary, bias double").first()
+    return (np.zeros(1 << bits, "<f4"), 0.0) if row is None else (np.frombuffer(row["table"], "<f4"), row["bias"])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:

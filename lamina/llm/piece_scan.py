@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship
-from .common import materialize
+from .common import materialize, text_blocks
 
 CHUNK_CHARS = 32768
 SPACE = "▁"
-CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 700_000, 1_000_000, 40
-CACHED_PAIRS = 4_000_000
+CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 500_000, 600_000, 40
+CACHED_PAIRS = 700_000
 
 
 class Pieces:
@@ -294,16 +294,17 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def short(batches):
         vocab = pieces(model_path)
         for batch in batches:
-            ids = [np.frombuffer(vocab.encode(mark(t or "")), "<i4") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], names=["id", "ids"])
+            for block in text_blocks(batch):
+                ids = [vocab.encode(mark(t or "")) for t in block.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([block.column(0), _lists(ids)], names=["id", "ids"])
 
     alone = chosen.where(~longer).mapInArrow(short, f"id {id_type}, ids array<int>")
     return alone.unionByName(_scanned(chosen.where(longer), model_path, id_type, chunk_chars)).select(F.col("id").alias(id_col), "ids")
 
 
-def _lists(ids: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), type=pa.int32()))
+def _lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"), type=pa.int32()))
 
 
 def _scanned(giants: DataFrame, model_path: str, id_type: str, chunk: int) -> DataFrame:

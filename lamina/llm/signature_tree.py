@@ -2,8 +2,9 @@
 
 1. Every text becomes the set of its word shingles (64-bit hashes).  Equal sets
    are one class; from here on a class is one row, so exact copies cost nothing.
-2. Two sets that link must share a token of their prefixes (the first
-   ``n - ceil(t n) + 1`` in a global order), so a token's holders form a block.
+2. Two sets that link must share a token of their first ``n - ceil(t n) + 1``
+   in a global order, so a token's holders form a block; of prefixes a little
+   longer they share several, and a set that shares fewer with all others is out.
    The order puts tokens found often in a bounded sample last; any order is
    exact, this one keeps blocks small.
 3. First pass: blocks of the few least tokens by hash and of similar size, each
@@ -48,7 +49,9 @@ FIRST_TOKENS = 4
 TREE_TOKENS, LIKELIEST = 8, 3
 CHUNK = 1024
 LEAF = 16
-CACHED_WORDS = 1_000_000
+#: Percent of its size by which a prefix is longer than one common token would need.
+SPARE = 5
+CACHED_WORDS = 300_000
 #: Ids (8 bytes each) that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -124,7 +127,12 @@ def fold(packed: np.ndarray, words: int) -> np.ndarray:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """Tokens of a set's prefix: two sets that link share 1 + SPARE % of the smaller one's size of them at least.
+
+    Of the o common tokens, the k-th in order has o - k common ones after it, so
+    it is among the first n - o + k of a set, and o is at least percent of n.
+    """
+    return min(n, n - -(-percent * n // 100) + 1 + n * SPARE // 100)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -326,11 +334,21 @@ def block_pairs(reps: DataFrame, percent: int, of: str = "prefix", chunk: int =
 
     ``of``: the tokens that make blocks; over "prefix" no link is missed.
     """
-    rows = reps.select("id", "label", F.explode(of).alias("token"))
+    rows = reps.select("id", "label", F.posexplode(of).alias("place", "token"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held"))
     mixed = materialize(mixed.where(F.col("low") != F.col("high")).select("token", F.ceil(F.col("held") / chunk).alias("chunks")), "mixed")
-    members = rows.select("id", "token").join(mixed, "token")
-    members = members.join(reps.select("id", "label", "n", "bitmap"), "id").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("chunks")))
+    members = rows.select("id", "place", "token").join(mixed, "token")
+    sets = reps.select("id", "label", "n", "bitmap")
+    if of == "prefix":
+        # Sets that link share so many tokens of their prefixes that most of those with a common passage drop out.
+        members = materialize(members, "members")
+        most = F.ceil(F.col("n") * percent / 100)
+        shared = members.groupBy("id").agg(F.count("*").alias("shared"))
+        sets = sets.join(shared, "id").where(F.col("shared") >= 1 + F.floor(most * SPARE / 100))
+        members = members.join(sets, "id").where(F.col("place") < F.col("n") - most + 1)
+    else:
+        members = members.join(sets, "id")
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("chunks")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     members = members.select("token", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "label", "n", "bitmap", "chunk")
     dealt = members.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")

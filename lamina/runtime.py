@@ -10,15 +10,20 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch: Spark's setting, its default, and what is enough here (a batch is held several times over).
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Give this package to the Python workers, once for each application.
 
+    Arrow batches are made smaller unless the session sets their size.
     Spark's file server carries the archive, so executors share no folder with
     the driver.
     """
     context = spark.sparkContext
+    if spark.conf.get(ARROW_BYTES[0], None) == ARROW_BYTES[1]:
+        spark.conf.set(ARROW_BYTES[0], ARROW_BYTES[2])
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix="lamina-")) / "lamina.zip"

@@ -84,13 +84,12 @@ def judge(text: bytes, compressor, bands, chunk_bytes: int, max_bad_chunks: floa
         return None, 0.0, True
     inside = lambda part, ratio: (b := band(part, bands))[0] <= ratio <= b[1]
     ratio = len(compressor.compress(text)) / n
-    bad, chunks = 0, 0
-    if n > chunk_bytes:
-        for start in range(0, n, chunk_bytes):
-            part = text[start : start + chunk_bytes]
-            chunks += 1
+    bad, chunks = 0, n // chunk_bytes
+    if chunks > 1:
+        for k in range(chunks):  # the last one takes the remainder, which alone could be too short to compress
+            part = text[k * chunk_bytes : (k + 1) * chunk_bytes if k + 1 < chunks else n]
             bad += not inside(len(part), len(compressor.compress(part)) / len(part))
-    share = bad / chunks if chunks else 0.0
+    share = bad / chunks if chunks > 1 else 0.0
     return ratio, share, inside(n, ratio) and share <= max_bad_chunks
 
 

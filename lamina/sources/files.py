@@ -35,6 +35,15 @@ def file_type(path: Column) -> Column:
     return out.otherwise("unsupported")
 
 
+def encoding(content: Column) -> Column:
+    """A guess at the encoding of bytes: by a byte-order mark, else utf-8 if they are valid, else latin-1; a record, not used to read."""
+    head = F.hex(F.substring(content, 1, 3))
+    return (
+        F.when(head == "EFBBBF", "utf-8-sig").when(head.startswith("FFFE"), "utf-16-le").when(head.startswith("FEFF"), "utf-16-be")
+        .when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise("latin-1")
+    )
+
+
 def scan(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """(path, file_type, length, content) of the files below a folder, hidden names left out; contents are read only if used."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())

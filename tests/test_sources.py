@@ -3,7 +3,7 @@ import zipfile
 
 from lamina.operators import profile
 from lamina.sources import binary, csv, html, json, office, xml
-from lamina.sources.files import file_documents, file_elements, parse_path, scan
+from lamina.sources.files import encoding, file_documents, file_elements, parse_path, scan
 from lamina.sources.flatten import parse_one
 
 
@@ -105,6 +105,13 @@ def test_files(spark, tmp_path):
     assert missing.first().file_type == "unknown" and none.count() == 0
 
 
+def test_encodings(spark):
+    cases = {"a": b"\xef\xbb\xbfx", "b": b"\xff\xfex\x00", "c": b"\xfe\xff\x00x", "d": "é".encode(), "e": b"\xe9t", "f": b""}
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "k string, content binary")
+    got = {r.k: r.e for r in rows.select("k", encoding(rows.content).alias("e")).collect()}
+    assert got == {"a": "utf-8-sig", "b": "utf-16-le", "c": "utf-16-be", "d": "utf-8", "e": "latin-1", "f": "utf-8"}
+
+
 def test_csv_gaps(spark):
     docs = spark.createDataFrame([("d", "n,s\n1,\n2.5,x\n,yes\n")], "doc_id string, content string")
     cells = csv.csv_cells(docs, "doc_id", "content")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 
 #: Unicode white space and the four separators that Python adds to it.
 SPACE = r"\s\x1c-\x1f"
+#: The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TOKEN = rf"(?U)[^{SPACE}]+"
 TOKEN_OR_NEWLINE = rf"(?U)[^{SPACE}]+|\n"
 #: First characters of a number as str.isdigit sees them.
@@ -18,11 +20,11 @@ def newlines(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A[{SPACE}]+", "")
+    return F.ltrim(text, F.lit(SPACES))
 
 
 def tokens(text: Column, newline: bool = False) -> Column:

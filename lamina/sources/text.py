@@ -64,15 +64,17 @@ def structure_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Counts of line kinds, line lengths and the likely format; one row per document, no shuffle."""
     count = lambda f: F.size(F.filter("lines", f)).cast("long")
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    marks, rules = count(lambda x: fn.strip(x).startswith("#")), count(lambda x: x.contains("=") | x.contains("-"))
-    return docs.select(F.col(id_col).alias("doc_id"), _lines(F.col(text_col)).alias("lines")).select(
+    marks, rules = F.size(F.filter("stripped", lambda x: x.startswith("#"))), count(lambda x: x.contains("=") | x.contains("-"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _lines(F.col(text_col)).alias("lines"))
+    stripped = lambda f: F.size(F.filter("stripped", f)).cast("long")
+    return rows.withColumn("stripped", F.transform("lines", fn.strip)).select(
         "doc_id",
         F.size("lines").cast("long").alias("total_lines"),
-        count(lambda x: fn.strip(x) == "").alias("empty_lines"),
+        stripped(lambda x: x == "").alias("empty_lines"),
         count(lambda x: x.rlike(r"\A[ \t]")).alias("indented_lines"),
-        count(lambda x: fn.starts_with_bullet(fn.strip(x))).alias("bulleted_lines"),
-        count(lambda x: fn.starts_with_digit(fn.strip(x))).alias("numbered_lines"),
-        count(lambda x: fn.is_upper(fn.strip(x))).alias("all_caps_lines"),
+        stripped(fn.starts_with_bullet).alias("bulleted_lines"),
+        stripped(fn.starts_with_digit).alias("numbered_lines"),
+        stripped(fn.is_upper).alias("all_caps_lines"),
         F.array_max(F.transform("lines", F.length)).cast("long").alias("max_line_length"),
         (total / F.size("lines")).alias("avg_line_length"),
         F.when(marks > 0, "markdown").when(rules > 5, "restructuredtext").otherwise("plain_text").alias("likely_format"),
@@ -136,11 +138,11 @@ def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), _lines(F.col(text_col)).alias("lines"))
     paired = F.filter(
-        F.transform("lines", lambda x, i: F.struct(x.alias("line"), F.get("lines", i + 1).alias("following"), i.alias("line_no"))),
-        lambda x: fn.strip(x["line"]) != "",
+        F.transform("lines", lambda x, i: F.struct(x.alias("line"), fn.strip(x).alias("s"), F.get("lines", i + 1).alias("following"), i.alias("line_no"))),
+        lambda x: x["s"] != "",
     )
     rows = rows.select("doc_id", F.posexplode(paired).alias("pos", "x")).select("doc_id", "pos", "x.*")
-    s = fn.strip(F.col("line"))
+    s = F.col("s")
     text = lambda c: c.cast("string")
     facts = F.create_map(
         F.lit("line_number"), text(F.col("line_no") + 1), F.lit("indent_level"), text(F.length("line") - F.length(fn.lstrip(F.col("line")))),
@@ -148,7 +150,7 @@ def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.lit("starts_with_number"), text(fn.starts_with_digit(s)), F.lit("starts_with_bullet"), text(fn.starts_with_bullet(s)), F.lit("is_all_caps"), text(fn.is_upper(s)),
     )
     lines = rows.select(
-        "doc_id", F.col("pos").cast("int").alias("pos"), classify(F.col("line"), F.col("following")).alias("element_type"), F.col("line").alias("content"),
+        "doc_id", F.col("pos").cast("int").alias("pos"), classify(s, F.col("following")).alias("element_type"), F.col("line").alias("content"),
         F.lit(0.0).alias("x0"), (F.col("line_no") * LINE_HEIGHT).cast("double").alias("y0"), (F.length("line") * CHAR_WIDTH).cast("double").alias("x1"), ((F.col("line_no") + 1) * LINE_HEIGHT).cast("double").alias("y1"), facts.alias("metadata"),
     )
     if special:

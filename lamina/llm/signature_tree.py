@@ -420,3 +420,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Empty sets, and rows without an id, stay alone; a tied id may still have a component.
     alone = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return alone
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: that of the least id.
+
+    Rows without an id all stay; of rows that share the least id the one with
+    the least text (null first), then the least other columns.
+    """
+    linked = jaccard_components(docs, id_col, text_col, **options)
+    extra = materialize(linked.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("extra_id")).distinct(), "extra")
+    kept = docs.join(extra, docs[id_col] == extra.extra_id, "left_anti")
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again_id")).count().where("count > 1").select("again_id")
+    again = materialize(again, "again")
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, kept[id_col] == again.again_id, "left_anti")
+    order = [text_col, *[c for c in docs.columns if c not in (id_col, text_col)]]
+    several = kept.join(again, kept[id_col] == again.again_id, "left_semi").groupBy(id_col).agg(F.min(F.struct(*order)).alias("least"))
+    return single.unionByName(several.select(id_col, *[F.col("least").getField(c).alias(c) for c in order]))

@@ -49,6 +49,13 @@ def top_k_batch(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: s
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", id_col, "score")
 
 
+def create_store(spark: SparkSession, path: str, kind: str = "parquet", **config) -> VectorStore:
+    """A store by its kind's name."""
+    if kind != "parquet":
+        raise ValueError(f"unknown vector store: {kind}")
+    return VectorStore(spark, path, **config)
+
+
 class VectorStore:
     """A collection (chunk_id, embedding, text, metadata) in a folder that Spark reads."""
 

@@ -226,19 +226,24 @@ SECTIONED = HEADED + """, el AS (SELECT doc_id || '/' || top AS g, row_number()
   FROM h WHERE top IS NOT NULL WINDOW w AS (PARTITION BY doc_id, top ORDER BY pos))"""
 
 
-@query(_fold_sql(SECTIONED, 60, 2, False) + """, x AS (SELECT el.doc_id, el.top, p.part, string_agg(el.content, chr(10) ORDER BY el.i) AS body
+HIERARCHICAL = _fold_sql(SECTIONED, 60, 2, False) + """, x AS (SELECT el.doc_id, el.top, p.part, string_agg(el.content, chr(10) ORDER BY el.i) AS body
   FROM p JOIN el ON el.g = p.g AND el.i >= p.lo AND el.i < p.hi GROUP BY ALL)
 SELECT x.doc_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY x.doc_id ORDER BY x.top, part) - 1 AS chunk_no, e.content AS heading,
-  CASE WHEN part > 0 THEN e.content || ' (continued)' || chr(10) || body ELSE body END AS text FROM x JOIN e ON e.doc_id = x.doc_id AND e.pos = x.top""")
+  CASE WHEN part > 0 THEN e.content || ' (continued)' || chr(10) || body ELSE body END AS text FROM x JOIN e ON e.doc_id = x.doc_id AND e.pos = x.top"""
+FLAT = SEMANTIC.replace("'heading') WINDOW", "'heading') AND doc_id NOT IN (SELECT doc_id FROM e WHERE element_type = 'heading') WINDOW")
+
+
+@query(HIERARCHICAL)
 def chunk_hierarchical_sections(spark, sf_dir):
     rows = text.text_elements(table(spark, sf_dir, "documents"), special=False)
     return chunking.hierarchical_chunks(rows, 60, 2).where(F.col("heading").isNotNull()).select("doc_id", "chunk_no", "heading", "text")
 
 
-@query()
+@query(f"""SELECT * FROM ({HIERARCHICAL}) UNION ALL SELECT * FROM ({_fold_sql(FLAT, 60, 2, True)} SELECT p.g::VARCHAR AS doc_id, part AS chunk_no, NULL AS heading, string_agg(el.content, chr(10) ORDER BY el.i) AS text
+FROM p JOIN el ON el.g = p.g AND el.i >= p.lo AND el.i < p.hi GROUP BY p.g, part)""")
 def chunk_hierarchical(spark, sf_dir):
     rows = text.text_elements(table(spark, sf_dir, "documents"), special=False)
-    return chunking.hierarchical_chunks(rows, 100, 3)
+    return chunking.hierarchical_chunks(rows, 60, 2).select("doc_id", "chunk_no", "heading", "text")
 
 
 # ---- Boxes ----------------------------------------------------------------------------------

@@ -68,3 +68,51 @@ def test_stream(spark, tmp_path):
     docs = spark.readStream.schema("doc_id string, text string").parquet(src)
     stream_chunks(docs, f"file://{tmp_path}/out", f"file://{tmp_path}/ckpt", once=True).awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from lamina.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("# Rivers\nThe longest river runs north.")
+    folder = ["--folder", f"file://{tmp_path}/work"]
+    main(["process", *folder, "--input", f"file://{tmp_path}/in"])
+    main(["query", *folder, "--question", "longest river", "--top-k", "1"])
+    main(["stats", *folder])
+    out = capsys.readouterr().out
+    assert '"documents": 1' in out and "Rivers" in out and '"document_count": 1' in out
+    with pytest.raises(SystemExit):
+        main(["query", *folder])
+    assert json.dumps("x")
+
+
+def test_generator_protocols(monkeypatch):
+    import io
+    import json
+
+    sent = []
+
+    def answer(request, timeout=None):
+        sent.append((request.full_url, json.loads(request.data)))
+        body = {"content": " hi "} if request.full_url.endswith("/completion") else {"choices": [{"text": " yo "}]} if request.full_url.endswith("/completions") else {"data": [{"embedding": [float(i)]} for i in range(len(sent[-1][1]["input"]))]}
+        return io.BytesIO(json.dumps(body).encode())
+
+    monkeypatch.setattr("urllib.request.urlopen", answer)
+    assert generators.create_generator("llamacpp", url="http://h/").generate("p", stops=["s"]) == "hi"
+    assert generators.create_generator("openai", url="http://h", model="m", key="k").generate("p") == "yo"
+    made = embedding.create_embedder("openai", url="http://h", batch_size=2, dimension=1)
+    assert made.embed(["a", "b", "c"]) == [[0.0], [1.0], [0.0]]
+    assert [u for u, _ in sent] == ["http://h/completion", "http://h/completions", "http://h/embeddings", "http://h/embeddings"]
+
+
+def test_answers_are_trimmed(spark):
+    from pyspark.sql import functions as F
+
+    from lamina.operators import rag
+
+    rows = spark.createDataFrame([("PROMPT yes </s>", "PROMPT"), ("no", "PROMPT"), (" a\n", "")], "raw string, given string")
+    got = [r[0] for r in rows.select(rag.trimmed_answer(F.col("raw"), F.col("given"), ("</s>",))).collect()]
+    assert got == ["yes", "no", "a"]
+    assert store.create_store.__name__ and pytest.raises(ValueError, store.create_store, spark, "x", "other")

@@ -2,7 +2,7 @@
 
 A word is the mean of the vectors of its character 3- to 5-grams (with its
 edges) and of itself; a text is the mean of its words, repeats of a word damped
-(n times it weigh as the root of n); a linear softmax on the
+(n times it weigh as the root of n), and of ``NEUTRAL`` words without meaning; a linear softmax on the
 text's vector gives the classes.  Vectors and softmax are trained jointly in
 numpy with Adagrad, so an unseen misspelling takes most of its vector from
 n-grams it shares.
@@ -38,6 +38,8 @@ EPOCHS, STEPS_TEXTS = (8, 30), 100_000
 BATCH, RATE, START = 32, 1.0, 1e-4
 #: A subword is used if so many training texts hold it (fewer where there are few texts).
 MIN_TEXTS = 5
+#: Words without meaning that every text is taken to hold, so a few words make no certainty.
+NEUTRAL = 100.0
 #: Characters that are worked on at a time (about 100 bytes of arrays each).
 BLOCK_CHARS = 1 << 20
 
@@ -126,12 +128,12 @@ def log_odds(texts: list[str], table: np.ndarray, bias: float, bits: int = BITS)
             for part in _parts(texts[start]):
                 bucket, weight, _, _, share = subwords([part], bits)
                 total, n = total + float(table[bucket] @ weight), n + float(share.sum())
-            out[start] += total / n if n else 0.0
+            out[start] += total / (NEUTRAL + n)
         else:
             bucket, weight, word, doc, share = subwords(texts[start:stop], bits)
             n = np.bincount(doc, share, stop - start)
             sums = np.bincount(doc[word], table[bucket] * weight, stop - start)
-            out[start:stop] += np.divide(sums, n, out=np.zeros(stop - start), where=n > 0)
+            out[start:stop] += sums / (NEUTRAL + n)
         start = stop
     return out
 
@@ -154,7 +156,7 @@ def train(samples: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epoc
     for text, label in samples:
         bucket, weight, _, _, share = subwords([text], bits)
         kinds, inverse = np.unique(bucket, return_inverse=True)
-        value = np.bincount(inverse, weight, len(kinds)) / max(1e-9, share.sum())
+        value = np.bincount(inverse, weight, len(kinds)) / (NEUTRAL + share.sum())
         data.append((kinds.astype(np.int32), value.astype(np.float32), label))
     # What too few texts hold says more about those texts than about the classes.
     held = np.zeros(1 << bits, np.int64)

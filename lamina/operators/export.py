@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import layout
 
 STYLE = (
-    ".document { border: 1px solid #ccc; margin: 20px; padding: 20px; } .page { position: relative; border: 1px solid #ddd; margin: 10px 0; } "
-    ".element { position: absolute; border: 1px solid #666; background: rgba(0,0,0,0.1); } .heading { background: rgba(255,0,0,0.2); } "
-    ".text { background: rgba(0,255,0,0.2); } .table { background: rgba(0,0,255,0.2); } .image { background: rgba(255,255,0,0.2); }"
+    "body { font-family: sans-serif } .document { padding: 1em } .page { position: relative; outline: 1px solid silver } "
+    ".element { position: absolute; outline: 1px solid gray; background: #8882 } .heading { background: #c004 } .table { background: #00c4 } .image { background: #cc04 }"
 )
 
 

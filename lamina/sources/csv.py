@@ -132,6 +132,7 @@ def table_text(cells: DataFrame) -> DataFrame:
 
 def statistics_text(profile: DataFrame, sizes: DataFrame) -> DataFrame:
     """(doc_id, report): a summary of the column profile in words."""
+    # The wording of the report.
     part = F.concat_ws(
         "\n", F.concat(F.lit("Column: "), "column_name"), F.concat(F.lit("  Data types: "), F.array_join("data_types", ", ")), F.concat(F.lit("  Unique values: "), F.col("unique_values").cast("string")),
         F.concat(F.lit("  Null count: "), F.col("null_count").cast("string")), F.concat(F.lit("  Max length: "), F.col("max_length").cast("string")),

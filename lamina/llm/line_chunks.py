@@ -9,6 +9,14 @@
    are compared byte for byte, grouped on their text.  Of each, the first
    occurrence (least id, then position) stays; the lines of the others go.
 
+``make=passages`` compares all short passages of repeated lines in place of the
+chunks of step 2: the shortest from each line on, and back from each line, that
+hold ``min_lines`` lines and ``min_words`` words, or ``line_words`` words on one
+line.  Their edges depend on their own lines alone and they cover every longer
+passage, so each line of a repeated passage goes from all places but the first,
+whatever stands beside it; every distinct line stays somewhere.  The registered
+query keeps the chunks, which its SQL states.
+
 Minima are aggregated before each shuffle and joined back to a written table,
 so a line or chunk of very many documents is split over tasks.
 
@@ -27,6 +35,8 @@ from .common import WORD, materialize
 
 WINDOW, DIVISOR = 2, 8
 MIN_LINES, MIN_WORDS = 2, 10
+#: Words on one line that make it a passage of its own.
+LINE_WORDS = 50
 #: Line hashes: 31 bits of MD5, so SQL can follow them.
 MODULUS = 1 << 31
 FACTOR = 31
@@ -52,13 +62,18 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
     return keyed.where(F.col("words") > 0).join(common, "line_key", "left_semi").unionByName(blank)
 
 
-def chunks(lines: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, text_key, first, last, chunk_key): chunks of runs of repeated lines."""
+def runs(lines: DataFrame) -> DataFrame:
+    """The repeated lines with a word, each with the ``run`` of its document that it stands in."""
     in_doc = Window.partitionBy("id", "text_key").orderBy("pos")
     rows = lines.dropDuplicates(["id", "text_key", "pos"])
     rows = rows.withColumn("gap", F.coalesce((F.col("pos") - F.lag("pos").over(in_doc) > 1), F.lit(False)))
+    return rows.withColumn("run", F.sum(F.col("gap").cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0))).where("words > 0")
+
+
+def chunks(lines: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, text_key, first, last, chunk_key): chunks of runs of repeated lines."""
     # The rolling hash sees the lines with a word of its own run only.
-    rows = rows.withColumn("run", F.sum(F.col("gap").cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0))).where("words > 0")
+    rows = runs(lines)
     in_run = Window.partitionBy("id", "text_key", "run").orderBy("pos")
     rolled = F.col("hash")
     for k in range(1, window):
@@ -73,9 +88,35 @@ def chunks(lines: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_l
     return cut.where((F.col("n") >= min_lines) & (F.col("words") >= min_words)).select("id", "text_key", "first", "last", "chunk_key")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def passages(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """(id, text_key, first, last, chunk_key): the shortest passages from and back from each repeated line."""
+    in_run = Window.partitionBy("id", "text_key", "run").orderBy("pos")
+    rows = runs(lines).withColumn("upto", F.sum("words").over(in_run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("no", F.row_number().over(in_run))
+    # Every line has a word, so no shortest passage has more lines than this.
+    most = max(min_lines, min_words)
+    rows = rows.withColumn("next", F.collect_list(F.struct("pos", "no", "upto", "line_key")).over(in_run.rowsBetween(0, most - 1)))
+    words = lambda x: x["upto"] - F.col("upto") + F.col("words")
+    whole = lambda x: (words(x) >= line_words) | ((x["no"] - F.col("no") + 1 >= min_lines) & (words(x) >= min_words))
+    rows = rows.withColumn("end", F.get(F.filter("next", whole), F.lit(0))["no"])
+    # Back from a line the shortest passage begins at the last line whose own passage ends by then.
+    rows = rows.withColumn("later", F.lead("end").over(in_run)).where("end is not null")
+    ends = F.filter("next", lambda x: (x["no"] == F.col("end")) | ((x["no"] > F.col("end")) & (F.col("later").isNull() | (x["no"] < F.col("later")))))
+    found = rows.select("id", "text_key", F.col("pos").alias("first"), "no", "next", F.explode(ends).alias("x"))
+    keys = F.transform(F.slice("next", F.lit(1), F.col("x.no") - F.col("no") + 1), lambda x: x["line_key"])
+    return found.select("id", "text_key", "first", F.col("x.pos").alias("last"), F.xxhash64(keys).alias("chunk_key"))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """(id, text_key, first, last): line ranges that overlap or touch as one."""
+    in_doc = Window.partitionBy("id", "text_key").orderBy("first", "last")
+    rows = spans.withColumn("reach", F.max("last").over(in_doc.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("part", F.sum(F.coalesce((F.col("first") > F.col("reach") + 1).cast("int"), F.lit(0))).over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("id", "text_key", "part").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("part")
+
+
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", make=chunks, **options) -> DataFrame:
     """(id, text_key, first, last): the line ranges to remove, after byte comparison."""
-    found = materialize(chunks(repeated_lines(document_lines(docs, id_col, text_col)), **options), "chunks")
+    found = materialize(make(repeated_lines(document_lines(docs, id_col, text_col)), **options), "chunks")
     often = found.groupBy("chunk_key").agg(F.count("*").alias("n")).where("n > 1").select("chunk_key")
     again = found.join(materialize(often, "often"), "chunk_key", "left_semi")
     spans = again.groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "last", "chunk_key")).alias("spans"))
@@ -91,7 +132,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = body.groupBy("chunk_key", "body").agg(F.min(place).alias("keep"), F.max(place).alias("top"))
     kept = materialize(kept.where("keep <> top").select("chunk_key", "body", "keep"), "kept")
     hit = body.join(kept, ["chunk_key", "body"]).where(~F.struct("id", "text_key", "first").eqNullSafe(F.col("keep")))
-    return hit.select("id", "text_key", "first", "last")
+    hit = hit.select("id", "text_key", "first", "last")
+    return hit if make is chunks else merged(hit)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -1,6 +1,7 @@
 """Source mix, line chunks and temporal URL filter: SQL and brute force."""
 
 import datetime as dt
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import line_chunks, queries, source_mix, url_temporal
 from tests import oracle
-from tests.llm.helpers import clashing, corpus, empty, table
+from tests.llm.helpers import clashing, corpus, empty, table, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -142,3 +143,54 @@ def test_temporal_filter(spark):
         assert (r.blocked, r.n_entries, r.entry) == (bool(want), len(want), min(want, key=lambda k: (-len(k), k)) if want else None), r
     none = spark.createDataFrame([], "entry string, action string, effective_at timestamp")
     assert not any(r.blocked for r in url_temporal.temporal_filter(captures, none).collect())
+
+
+def brute_passages(rows, min_lines=2, min_words=10, line_words=50):
+    """(id, text): lines of any repeated passage go, except at its first place."""
+    place = lambda k: (rows[k][0] is not None, rows[k][0] or 0)
+    order = sorted((k for k in range(len(rows)) if rows[k][1] is not None), key=place)
+    seen, out = set(), {}
+    for k in order:
+        lines = rows[k][1].split("\n")
+        words = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                held = [n for n in words[a : b + 1] if n]
+                if not words[a] or not words[b] or not (sum(held) >= line_words or (len(held) >= min_lines and sum(held) >= min_words)):
+                    continue
+                body = tuple(lines[a : b + 1])
+                if body in seen:
+                    gone |= set(range(a, b + 1))
+                seen.add(body)
+        out[rows[k][0]] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    return out
+
+
+def test_passages_brute(spark):
+    rng = random.Random(5)
+    pool = [" ".join(words(rng, n)) for n in [1] * 6 + [2, 3, 4] * 2 + [6, 7, 9] * 2 + [12, 30, 49, 50, 60]] + ["", " \t"]
+    texts = []
+    for _ in range(70):
+        lines = [rng.choice(pool) if rng.random() < 0.75 else " ".join(words(rng, rng.randint(1, 12))) for _ in range(rng.randint(1, 14))]
+        texts.append("\n".join(lines))
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, texts[3], None, None, None), (900, None, None, None, None), (901, "", None, None, None)]
+    got = {r.doc_id: (r.text, r.n_lines_removed) for r in line_chunks.line_dedup(table(spark, rows), make=line_chunks.passages).collect()}
+    assert got == {**brute_passages(rows), 900: (None, 0)} and sum(n for _, n in got.values()) > 50
+
+
+def test_planted_passages_go(spark):
+    """Passages of one to five lines beside unique, frequent and other planted lines, as the pipeline removes them."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    own = lambda n: " ".join(words(rng, n))
+    frequent = [own(6) for _ in range(4)]
+    planted = [[own(60 // n + 1) for _ in range(n)] for n in (1, 2, 2, 2, 2, 2, 2, 2, 2, 3, 3, 3, 4, 4, 5, 5) for _ in range(3)]
+    rows = []
+    for k in range(4 * len(planted)):
+        beside = lambda: rng.choice([own(8), rng.choice(frequent), rng.choice(planted)[0]])  # noqa: B023, E731
+        rows.append((k, "\n".join([own(9), beside(), *planted[k % len(planted)], beside(), own(9)]), None, "s", None))
+    out = [r.text for r in corpus_pipeline.lines(spark, table(spark, rows), "").collect()]
+    for passage in planted:
+        assert sum("\n".join(passage) in t for t in out) == 1

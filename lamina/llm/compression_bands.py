@@ -22,8 +22,10 @@ from ..runtime import ship
 from .common import byte_texts, text_blocks
 
 #: (bytes from, lowest ratio kept, highest ratio kept); the frame header alone
-#: makes ratios above 1 normal for very short texts.
-BANDS = ((0, 0.0, 9.0), (128, 0.22, 1.25), (512, 0.25, 1.05), (1024, 0.25, 0.9), (4096, 0.22, 0.85), (16384, 0.20, 0.8))
+#: makes ratios above 1 normal for very short texts.  From 512 bytes on the upper
+#: limits lie just below what base64, random letters and digits, printable noise
+#: and random ideographs come to, which is above prose of all scripts.
+BANDS = ((0, 0.0, 9.0), (128, 0.22, 1.25), (512, 0.25, 0.79), (640, 0.25, 0.76), (1024, 0.25, 0.74), (2048, 0.25, 0.72), (4096, 0.22, 0.715), (16384, 0.20, 0.71))
 CHUNK_BYTES = 4096
 MAX_BAD_CHUNKS = 0.34
 LEVEL = 3

@@ -1,6 +1,9 @@
+import base64
 import re
+import string
 
 import numpy as np
+import pytest
 import zstandard
 from hypothesis import given, settings, strategies as st
 
@@ -60,6 +63,33 @@ def test_bands(spark):
     assert 0.2 <= ratio <= 0.8 and share == 1.0 and not verdict and len(noise)
 
 
+@pytest.mark.parametrize("size", (512, 600, 639, 640, 800, 1023, 1024, 1500, 2047, 2048, 4095, 4096, 6000, 8191, 16383, 16384, 30_000, 60_000))
+def test_incompressible_text_is_rejected(size):
+    rng, c = np.random.default_rng(size), zstandard.ZstdCompressor(level=3)
+    letters = np.frombuffer((string.ascii_letters + string.digits).encode(), dtype=np.uint8)
+    kept = lambda t: cb.judge(t, c, cb.BANDS, cb.CHUNK_BYTES, cb.MAX_BAD_CHUNKS)[2]
+    for _ in range(20):
+        assert not kept(base64.b64encode(rng.bytes(size))[:size])
+        assert not kept(base64.encodebytes(rng.bytes(size))[:size])
+        assert not kept(rng.choice(letters, size).tobytes())
+        assert not kept(rng.integers(32, 127, size, dtype=np.uint8).tobytes())
+        ideographs = "".join(map(chr, rng.integers(0x4E00, 0x9FA6, size // 3))).encode()
+        assert len(ideographs) < 512 or not kept(ideographs)
+    # A text of which most chunks are noise, while the whole ratio is ordinary.
+    assert size < 16384 or not kept(rng.integers(32, 127, size, dtype=np.uint8).tobytes() + b"the same words again " * (size // 42))
+
+
+@pytest.mark.parametrize("size", (512, 640, 1024, 2048, 4096, 16384))
+def test_prose_stays(size):
+    import random
+
+    from tests.llm.helpers import prose
+
+    c = zstandard.ZstdCompressor(level=3)
+    for seed in range(20):
+        assert cb.judge(prose(random.Random(seed), size // 2).encode()[:size], c, cb.BANDS, cb.CHUNK_BYTES, cb.MAX_BAD_CHUNKS)[2]
+
+
 def test_edges(spark):
     assert cb.compression_bands(empty(spark)).count() == 0 and cb.keep_documents(empty(spark)).count() == 0
     rows = {r.n_words: r for r in cb.compression_bands(table(spark)).collect() if r.n_bytes == 0}

@@ -17,6 +17,7 @@ usable labels, or with one class only, every score is the prior of label 1
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship
 from .common import byte_texts, text_blocks
-from .labelled import labelled_sample
+from .labelled import bounded, labelled_sample
 
 BITS = 18
 SAMPLE = {0: 4000, 1: 8000}
@@ -114,20 +115,16 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, usable, sample=SAMPLE,
     chosen = labelled_sample(docs, labels, target, usable, sample, id_col, text_col)
 
     def run(batches):
-        rows, size, seen = [], 0, {}
+        rows, priors = [], {}
         for batch in batches:
             for doc, text, label, prior in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                seen[label] = (seen.get(label, (0, 0))[0] + 1, prior)
+                priors[label] = prior
                 rows.append((xxhash.xxh3_64_intdigest(repr(doc).encode() + text), text, label))
         rows.sort()
-        total = sum(n for n, _ in seen.values())
-        weight = {c: prior * total / n for c, (n, prior) in seen.items()}
-        kept = []
-        for _, text, label in rows:
-            size += len(text)
-            if size > TRAIN_BYTES:
-                break
-            kept.append((text, label, weight[label]))
+        rows = bounded(rows, TRAIN_BYTES)
+        seen = Counter(label for _, _, label in rows)
+        weight = {c: priors[c] * len(rows) / n for c, n in seen.items()}
+        kept = [(text, label, weight[label]) for _, text, label in rows]
         if len({label for _, label, _ in kept}) < 2:  # one class or none: the prior alone
             w = np.zeros((1 << bits) + 1)
             w[-1] = 0.0 if not kept else (4.0 if kept[0][1] else -4.0)

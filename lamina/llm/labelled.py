@@ -26,3 +26,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, usable: Col
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # At most sum(per_class) rows of four small columns: a broadcast of a fixed bound.
     return texts.join(F.broadcast(chosen), "id").select("id", "text", "label", "prior")
+
+
+def bounded(rows: list[tuple], most: int) -> list[tuple]:
+    """The (order, text, label) of ``rows`` whose texts fit into ``most``; one that doesn't is passed over.
+
+    Each label has an equal share of ``most``, and what others leave of theirs.
+    """
+    sizes: dict = {}
+    for _, text, label in rows:
+        sizes[label] = sizes.get(label, 0) + len(text)
+    room, left = {}, most
+    for k, (size, label) in enumerate(sorted((n, c) for c, n in sizes.items())):
+        room[label] = min(size, left // (len(sizes) - k))
+        left -= room[label]
+    kept = []
+    for row in rows:
+        if len(row[1]) <= room[row[2]]:
+            room[row[2]] -= len(row[1])
+            kept.append(row)
+    return kept

@@ -19,6 +19,7 @@ does every text where a class has no usable labels.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship
 from .common import segment_sums
-from .labelled import labelled_sample
+from .labelled import bounded, labelled_sample
 
 BITS, DIM = 18, 10
 GRAMS = (3, 4, 5)
@@ -199,23 +200,18 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, usable, sample=SAMPLE,
     chosen = labelled_sample(docs, labels, target, usable, sample, id_col, text_col)
 
     def run(batches):
-        rows, size, seen = [], 0, {}
+        rows, priors = [], {}
         for batch in batches:
             for doc, text, label, prior in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                seen[label] = (seen.get(label, (0, 0))[0] + 1, prior)
+                priors[label] = prior
                 rows.append((xxhash.xxh3_64_intdigest(f"{doc} {text}".encode()), text, label))
         rows.sort()
-        kept = []
-        for _, text, label in rows:
-            size += len(text)
-            if size > TRAIN_BYTES:
-                break
-            kept.append((text, label))
+        kept = [(text, label) for _, text, label in bounded(rows, TRAIN_BYTES)]
         if len({label for _, label in kept}) < 2:
             table, bias = np.zeros(1 << bits), 0.0 if not kept else (4.0 if kept[0][1] else -4.0)
         else:
             table, bias = train(kept, bits)
-            shift = {c: np.log(max(prior, 1e-6) / n) for c, (n, prior) in seen.items()}
+            shift = {c: np.log(max(priors[c], 1e-6) / n) for c, n in Counter(label for _, label in kept).items()}
             bias += shift[1] - shift[0]  # the sample's class shares are not the table's
         yield pa.RecordBatch.from_arrays([pa.array([table.astype("<f4").tobytes()], type=pa.binary()), pa.array([bias])], names=["table", "bias"])
 

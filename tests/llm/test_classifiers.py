@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.llm import ftrl, queries, subword_softmax as sub
+from lamina.llm.labelled import bounded
 from tests.llm.helpers import clashing, empty, prose, table
 
 SF = "/root/testdata/sf0.1"
@@ -101,3 +102,24 @@ def test_ftrl_separates(spark):
     odds = [w[a] @ v + w[-1] for a, v in (features(t) for t, _, _ in good[60:] + bad[60:])]
     assert min(odds[:20]) > max(odds[20:])
     assert features(b"")[0].size == 0
+
+
+def test_bounded_passes_over():
+    rows = [(k, "x" * n, c) for k, (n, c) in enumerate([(50, 0), (3, 0), (4, 1), (5, 0), (30, 1), (2, 1)])]
+    assert bounded(rows, 94) == rows
+    assert [r[0] for r in bounded(rows, 20)] == [1, 2, 3, 5]
+    assert [r[0] for r in bounded(rows[:2] + rows[2:3], 50)] == [1, 2] and bounded([], 5) == []
+
+
+@pytest.mark.parametrize("module", (ftrl, sub))
+def test_long_labelled_texts_leave_the_others(spark, monkeypatch, module):
+    """Texts over the bound, four in five of each label, are passed over; the rest is trained on."""
+    monkeypatch.setattr(module, "TRAIN_BYTES", 24_000)
+    rng = random.Random(7)
+    text = lambda label, n: " ".join(w if label else w + "### worthless" for w in prose(rng, n).split())
+    rows = [(i, text(i % 2, 50 if i % 10 < 2 else 4000), None, None, None) for i in range(90)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    model = module.fit(table(spark, rows), labels, "quality", F.lit(True), {0: 50, 1: 50})
+    fresh = [(i, text(i % 2, 50), None, None, None) for i in range(20)]
+    scores = {r.doc_id: r.score for r in module.score(table(spark, fresh), model).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)

@@ -154,10 +154,11 @@ def keep_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFr
         compressor = zstandard.ZstdCompressor(level=level)
         for batch in batches:
             flags = []
-            for text in byte_texts(batch.column(at)):
-                words = text.split()
-                failed = len(words) < 10 or 100 * repeated_window_words(words) > 20 * len(words)
-                flags.append(not failed and judge(text, compressor, bands, chunk_bytes, limit)[2])
+            for block in text_blocks(batch, at):
+                for text in byte_texts(block.column(at)):
+                    words = text.split()
+                    failed = len(words) < 10 or 100 * repeated_window_words(words) > 20 * len(words)
+                    flags.append(not failed and judge(text, compressor, bands, chunk_bytes, limit)[2])
             yield batch.filter(pa.array(flags, type=pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

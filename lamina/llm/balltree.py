@@ -3,16 +3,22 @@
 Vectors are scaled to integers, so scores are exact.  Rows are dealt by a hash
 of their id to shards of a bounded number of rows; one ball tree is built per
 shard and stored as one row.  Queries are packed into blocks.  Every block
-meets every shard; in a tree, nodes are taken in the order of their upper bound
-``q.c + |q| r`` and the search ends when the best bound left is below the
-query's k-th score.  That score is shared: a first join of each block with one
-shard sets it, and a task keeps raising it over all the shards it meets.
+meets every shard: a task takes a shard once and streams blocks past it.  In a
+tree, nodes are taken in the order of their upper bound ``q.c + |q| r``, leaves
+are scored a few more at a time, and the search ends when the best bound left
+is below the query's k-th score.  That score is shared: a first meeting of each
+block with one shard sets it, and a task keeps raising it over all the shards
+it meets.
+
+Components that need more than 31 bits after scaling are "wide": such vectors
+have shards and blocks of their own and are scored with Python's integers.
 
 Edge cases: vectors that are null, or hold a null, NaN or infinite component,
-or one beyond +-2^28 after scaling, take no part, nor do null ids.  Vectors of
-different dimension are never compared.  Ties go to the smaller id.  Rows that
-share one id are candidates each, but not of a query with that id; the query of
-a repeated id is the least of its vectors (by dimension, then components).
+take no part, nor do null ids.  Vectors of different dimension are never
+compared.  Ties go to the smaller id.  Rows that share one id are candidates
+each, but not of a query with that id; the query of a repeated id is the least
+of its vectors (by dimension, then components).  A result whose score does not
+fit a long fails the job rather than wrapping round.
 """
 
 from __future__ import annotations
@@ -31,18 +37,25 @@ from .common import materialize
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 256
 LEAF = 64
-LIMIT = 1 << 28
-#: Blocks whose k-th scores a task remembers.
-REMEMBERED = 4096
+#: Components from here on are wide.
+WIDE = 1 << 31
+#: Blocks whose k-th scores a task remembers, and blocks that one copy of a shard serves.
+REMEMBERED, BLOCKS_A_SHARD = 4096, 32
 
 
 def quantize(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(id, v array<int>, dim) with ``floor(scale * x)`` of each component, valid vectors only."""
+    """(id, v array<int>, w array<double>, dim) with ``floor(scale * x)`` of each component, valid vectors only.
+
+    ``w`` holds the whole numbers of wide vectors, ``v`` those of the others.
+    """
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * scale < float(LIMIT)))
+    usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull())
     rows = rows.where(F.coalesce(usable, F.lit(False)))
-    return rows.select("id", F.transform("x", lambda c: F.floor(c * scale).cast("int")).alias("v"), F.size("x").alias("dim"))
+    wide = F.exists("x", lambda c: F.abs(c) * scale >= float(WIDE - 1))
+    whole = lambda c: c * scale - F.pmod(c * scale, F.lit(1.0))  # noqa: E731  floor, as a double
+    narrow = F.when(~wide, F.transform("x", lambda c: F.floor(c * scale).cast("int")))
+    return rows.select("id", narrow.alias("v"), F.when(wide, F.transform("x", whole)).alias("w"), F.size("x").alias("dim"))
 
 
 def grow_tree(points: np.ndarray, leaf: int = LEAF):
@@ -68,33 +81,47 @@ def grow_tree(points: np.ndarray, leaf: int = LEAF):
     return order, np.array(nodes, dtype=np.int32)
 
 
-def pack_shard(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict:
+def pack_vectors(vectors: np.ndarray, wide: bool) -> bytes:
+    return vectors.astype("<f8" if wide else "<i4").tobytes()
+
+
+def unpack_vectors(data: bytes, n: int, dim: int, wide: bool) -> np.ndarray:
+    """int32 rows, or rows of Python's integers where they are wide."""
+    found = np.frombuffer(data, "<f8" if wide else "<i4").reshape(n, dim)
+    return np.array([[int(x) for x in row] for row in found.tolist()], dtype=object).reshape(n, dim) if wide else found
+
+
+def pack_shard(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, wide: bool = False) -> dict:
     points = vectors.astype(np.float64)
     order, nodes = grow_tree(points, leaf)
     points, ids = points[order], ids[order]
     centres = np.array([points[a:b].mean(axis=0) for a, b in nodes[:, :2]])
     radii = np.array([math.sqrt(((points[a:b] - c) ** 2).sum(axis=1).max()) for (a, b), c in zip(nodes[:, :2], centres)])
-    return {"ids": ids.astype("<i8").tobytes(), "vectors": vectors[order].astype("<i4").tobytes(), "nodes": nodes.astype("<i4").tobytes(), "centres": centres.astype("<f8").tobytes(), "radii": radii.astype("<f8").tobytes()}
+    return {"ids": ids.astype("<i8").tobytes(), "vectors": pack_vectors(points, wide), "nodes": nodes.astype("<i4").tobytes(), "centres": centres.astype("<f8").tobytes(), "radii": radii.astype("<f8").tobytes()}
 
 
 class Tree:
     """A shard's tree, read from its packed row."""
 
     def __init__(self, row: dict, dim: int):
-        self.ids = np.frombuffer(row["ids"], "<i8")
-        self.vectors = np.frombuffer(row["vectors"], "<i4").reshape(len(self.ids), dim)
+        self.ids, self.wide = np.frombuffer(row["ids"], "<i8"), bool(row.get("wide"))
+        self.vectors = unpack_vectors(row["vectors"], len(self.ids), dim, self.wide)
         self.nodes = np.frombuffer(row["nodes"], "<i4").reshape(-1, 4)
         self.centres = np.frombuffer(row["centres"], "<f8").reshape(len(self.nodes), dim)
         self.radii = np.frombuffer(row["radii"], "<f8")
-        largest = float(np.abs(self.vectors).max(initial=0)) if dim else 0.0
-        self.exact = lambda q: largest * float(np.abs(q).max(initial=0)) * max(dim, 1) < 2.0**52
+        self.largest = float(np.abs(self.vectors).max(initial=0)) if dim else 0.0
         self.floats, self.links = self.vectors.astype(np.float64), self.nodes.tolist()
+        self.scored = 0
 
     def scores(self, a: int, b: int, q: np.ndarray) -> np.ndarray:
-        """Exact integer products; float arithmetic only where it is exact."""
-        if self.exact(q):
+        """Exact integer products of rows a..b: floats only where they are exact, Python's integers where longs may not do."""
+        self.scored += b - a
+        most = self.largest * float(np.abs(q).max(initial=0)) * max(len(q), 1)
+        if most < 2.0**52:
             return (self.floats[a:b] @ q.astype(np.float64)).astype(np.int64)
-        return self.vectors[a:b].astype(np.int64) @ q.astype(np.int64)
+        if most < 2.0**62:
+            return self.vectors[a:b].astype(np.int64) @ q.astype(np.int64)
+        return self.vectors[a:b].astype(object) @ q.astype(object)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Upper bounds of all nodes for all queries, above rounding errors."""
@@ -103,122 +130,158 @@ class Tree:
         return q @ self.centres.T + norms[:, None] * (self.radii + 1e-9 * reach)[None, :] + 1e-6
 
     def search(self, q: np.ndarray, own: int, bound: np.ndarray, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """Up to k (score, -id) of this shard that may belong to the best k; ``floor``: a k-th score known so far."""
+        """Up to k (score, -id) of this shard that may belong to the best k; ``floor``: a k-th score known so far.
+
+        Leaves come off the heap best bound first; each time twice as many are
+        scored together, neighbours in one product.
+        """
         best: list[tuple[int, int]] = []
         least = -math.inf if floor is None else floor
-        heap = [(-bound[0], 0)]
+        heap, at_once = [(-bound[0], 0)], 1
         while heap and -heap[0][0] >= least:
-            start, end, left, right = self.links[heapq.heappop(heap)[1]]
-            if left >= 0:
+            leaves: list[tuple[int, int]] = []
+            while heap and -heap[0][0] >= least and len(leaves) < at_once:
+                start, end, left, right = self.links[heapq.heappop(heap)[1]]
+                if left < 0:
+                    leaves.append((start, end))
+                    continue
                 for child in (left, right):
                     if bound[child] >= least:
                         heapq.heappush(heap, (-bound[child], child))
-                continue
-            score = self.scores(start, end, q)
-            hit = np.flatnonzero((score >= least) & (self.ids[start:end] != own))
-            if len(hit) > k:  # of equal scores, smaller ids first
-                hit = hit[np.lexsort((self.ids[start:end][hit], -score[hit]))[:k]]
-            for s, i in zip(score[hit].tolist(), self.ids[start:end][hit].tolist()):
-                if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
-            if len(best) == k:
-                least = max(least, best[0][0])
+            at_once *= 2
+            for start, end in _joined(sorted(leaves)):
+                score = self.scores(start, end, q)
+                hit = np.flatnonzero((score >= least) & (self.ids[start:end] != own))
+                if len(hit) > k:  # of equal scores, smaller ids first
+                    if score.dtype != object:  # the k-th highest score bounds what is sorted
+                        hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]]
+                    hit = np.array(sorted(hit.tolist(), key=lambda i: (-score[i], self.ids[start + i]))[:k])  # noqa: B023
+                for i in hit.tolist():
+                    found = int(score[i]), -int(self.ids[start + i])
+                    if len(best) < k:
+                        heapq.heappush(best, found)
+                    elif found > best[0]:
+                        heapq.heapreplace(best, found)
+                if len(best) == k:
+                    least = max(least, best[0][0])
         return best
 
 
-SHARD = "shard long, dim int, ids binary, vectors binary, nodes binary, centres binary, radii binary"
-BLOCK = "block long, dim int, query_ids binary, queries binary"
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and out[-1][1] == a:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+SHARD = "shard long, dim int, wide boolean, ids binary, vectors binary, nodes binary, centres binary, radii binary"
+BLOCK = "block long, dim int, wide boolean, query_ids binary, queries binary, floors array<decimal(38,0)>"
 HITS = "query_id long, vec_id long, score long"
 
 
+def _matrix(pdf: pd.DataFrame, wide: bool, dim: int) -> np.ndarray:
+    return np.array(pdf["w" if wide else "v"].tolist(), dtype=np.float64).reshape(len(pdf), dim)
+
+
 def build_shards(rows: DataFrame, n_shards: int, leaf: int = LEAF) -> DataFrame:
-    """One row per (shard, dimension) with its packed tree."""
+    """One row per (shard, dimension, wide) with its packed tree."""
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        vectors = np.array(pdf["v"].tolist(), dtype=np.int64).reshape(len(pdf), int(key[1]))
-        return pd.DataFrame([{"shard": key[0], "dim": key[1], **pack_shard(pdf["id"].to_numpy(), vectors, leaf)}])
+        pdf, wide = pdf.sort_values("id", kind="stable"), bool(key[2])
+        packed = pack_shard(pdf["id"].to_numpy(), _matrix(pdf, wide, int(key[1])), leaf, wide)
+        return pd.DataFrame([{"shard": key[0], "dim": key[1], "wide": wide, **packed}])
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(n_shards)))
-    return dealt.groupBy("shard", "dim").applyInPandas(build, SHARD)
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v", "w"), F.lit(n_shards))).withColumn("wide", F.col("w").isNotNull())
+    return dealt.groupBy("shard", "dim", "wide").applyInPandas(build, SHARD)
 
 
 def build_blocks(queries: DataFrame, n_blocks: int) -> DataFrame:
+    """One row per (block, dimension, wide) of queries (id, v, w, dim, floor): packed vectors and k-th scores known so far."""
+
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        packed = np.array(pdf["v"].tolist(), dtype="<i4").tobytes()
-        return pd.DataFrame([{"block": key[0], "dim": key[1], "query_ids": pdf["id"].to_numpy().astype("<i8").tobytes(), "queries": packed}])
+        pdf, wide = pdf.sort_values("id", kind="stable"), bool(key[2])
+        known = [None if x is None or x != x else x for x in pdf["floor"].tolist()]
+        return pd.DataFrame([{"block": key[0], "dim": key[1], "wide": wide, "query_ids": pdf["id"].to_numpy().astype("<i8").tobytes(), "queries": pack_vectors(_matrix(pdf, wide, int(key[1])), wide), "floors": known}])
+
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).withColumn("wide", F.col("w").isNotNull())
+    return dealt.groupBy("block", "dim", "wide").applyInPandas(build, BLOCK)
 
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-    return dealt.groupBy("block", "dim").applyInPandas(build, BLOCK)
 
+def search_pairs(pairs: DataFrame, shards: DataFrame, k: int, n_parts: int, scored=None) -> DataFrame:
+    """Hits of blocks (with the ``shard`` that each row shall meet) in the shards.
 
-def search_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """Hits of joined (block, shard) rows; k-th scores are kept from row to row of a task."""
+    A shard's row leads the blocks of its partition, so it is read once for
+    ``BLOCKS_A_SHARD`` of them; k-th scores are kept from row to row of a task.
+    ``scored``: an accumulator that counts the vectors scored.
+    """
+    pairs = pairs.withColumnRenamed("wide", "wide_queries").withColumn("part", F.expr(f"block div {BLOCKS_A_SHARD}"))
+    copies = pairs.select("shard", "dim", "part").distinct().join(shards, ["shard", "dim"])
+    rows = copies.withColumn("block", F.lit(-1).cast("long")).unionByName(pairs, allowMissingColumns=True)
+    dealt = rows.repartition(n_parts, "shard", "dim", "part").sortWithinPartitions("shard", "dim", "part", "block", "wide")
+    names = ["shard", "dim", "part", "block", "wide", "ids", "vectors", "nodes", "centres", "radii", "wide_queries", "query_ids", "queries", "floors"]
 
     def run(batches):
         known: OrderedDict = OrderedDict()
-        tree_of, tree = None, None
+        trees_of, trees = None, []
         for pdf in batches:
-            out = []
+            out, tried = [], 0
             for row in pdf.to_dict("records"):
-                dim = int(row["dim"])
-                if tree_of != (row["shard"], dim):
-                    tree_of, tree = (row["shard"], dim), Tree(row, dim)
+                dim, key = int(row["dim"]), (row["shard"], row["dim"], row["part"])
+                if trees_of != key:
+                    trees_of, trees = key, []
+                if row["block"] < 0:
+                    trees.append(Tree(row, dim))
+                    continue
                 ids = np.frombuffer(row["query_ids"], "<i8")
-                queries = np.frombuffer(row["queries"], "<i4").reshape(len(ids), dim)
-                floors = known.pop((row["block"], dim), None)
+                queries = unpack_vectors(row["queries"], len(ids), dim, bool(row["wide_queries"]))
+                block = (row["block"], dim, bool(row["wide_queries"]))
+                floors = known.pop(block, None)
                 if floors is None:
-                    floors = [None] * len(ids)
-                    if row["floors"] is not None:
-                        floors = [None if x is None or x != x else int(x) for x in row["floors"]]
-                bounds = tree.bounds(queries)
-                for i, own in enumerate(ids.tolist()):
-                    best = tree.search(queries[i], own, bounds[i], k, floors[i])
-                    if len(best) == k and (floors[i] is None or best[0][0] > floors[i]):
-                        floors[i] = best[0][0]
-                    out += [(own, -i2, s) for s, i2 in best]
-                known[(row["block"], dim)] = floors
+                    floors = [None] * len(ids) if row["floors"] is None else [None if x is None else int(x) for x in row["floors"]]
+                for tree in trees:
+                    bounds, before = tree.bounds(queries), tree.scored
+                    for i, own in enumerate(ids.tolist()):
+                        best = tree.search(queries[i], own, bounds[i], k, floors[i])
+                        if len(best) == k and (floors[i] is None or best[0][0] > floors[i]):
+                            floors[i] = best[0][0]
+                        out += [(own, -i2, s) for s, i2 in best]
+                    tried += tree.scored - before
+                known[block] = floors
                 if len(known) > REMEMBERED:
                     known.popitem(last=False)
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+            if scored is not None:
+                scored.add(tried)
+            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="object" if any(abs(s) >= 1 << 62 for *_, s in out) else "int64")
 
-    return pairs.mapInPandas(run, HITS)
+    return dealt.select(*names).mapInPandas(run, HITS)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, leaf: int = LEAF) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best rows for each row that ``is_query(id)`` selects."""
-    ship(vectors.sparkSession)
+def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, leaf: int = LEAF, scored=None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best rows for each row that ``is_query(id)`` selects.
+
+    ``scored``: an accumulator of the session for the number of (query, vector)
+    products, which shows how much the bounds prune.
+    """
+    spark = ship(vectors.sparkSession).sparkContext
     rows = quantize(vectors, id_col, vector_col, scale)
     total, asked = rows.agg(F.count("*"), F.count_if(is_query(F.col("id")))).first()
     n_shards, n_blocks = max(1, math.ceil(total / shard_rows)), max(1, math.ceil(asked / block_queries))
+    n_parts = min(n_shards * math.ceil(n_blocks / BLOCKS_A_SHARD), max(spark.defaultParallelism, 1 << 16))
     shards = materialize(build_shards(rows, n_shards, leaf), "shards")
-    queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("q")).select("id", "q.v", "q.dim")
-    blocks = build_blocks(queries, n_blocks)
+    queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min(F.struct("dim", F.coalesce(F.col("w"), F.transform("v", lambda c: c.cast("double"))).alias("x"), "v", "w")).alias("q")).select("id", "q.v", "q.w", "q.dim")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     # The first shard that each block meets gives every query a k-th score to start from.
-    none = F.lit(None).cast("array<long>")
-    first = blocks.withColumn("floors", none).withColumn("shard", F.pmod("block", F.lit(n_shards))).join(shards, ["shard", "dim"])
-    seeds = search_pairs(first, k).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k)
-    floors = seeds.select("query_id", F.col("score").alias("floor"))
-    blocks = materialize(_with_floors(queries, floors, n_blocks), "blocks")
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))).join(shards, ["shard", "dim"])
-    hits = search_pairs(pairs, k).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    blocks = build_blocks(queries.withColumn("floor", F.lit(None).cast("decimal(38,0)")), n_blocks)
+    first = search_pairs(blocks.withColumn("shard", F.pmod("block", F.lit(n_shards))), shards, k, n_parts, scored)
+    seeds = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k)
+    floors = seeds.select("query_id", F.col("score").cast("decimal(38,0)").alias("floor"))
+    known = queries.join(floors, F.col("id") == F.col("query_id"), "left").drop("query_id")
+    blocks = materialize(build_blocks(known, n_blocks), "blocks")
+    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
+    hits = search_pairs(pairs, shards, k, n_parts, scored).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _with_floors(queries: DataFrame, floors: DataFrame, n_blocks: int) -> DataFrame:
-    """Blocks again, each query with the k-th score known for it (NaN: none yet)."""
-    joined = queries.join(floors, F.col("id") == F.col("query_id"), "left")
-
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        packed = np.array(pdf["v"].tolist(), dtype="<i4").tobytes()
-        known = [None if x is None or x != x else int(x) for x in pdf["floor"].tolist()]
-        return pd.DataFrame([{"block": key[0], "dim": key[1], "query_ids": pdf["id"].to_numpy().astype("<i8").tobytes(), "queries": packed, "floors": known}])
-
-    dealt = joined.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-    return dealt.groupBy("block", "dim").applyInPandas(build, f"{BLOCK}, floors array<long>")

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from lamina.llm import balltree
 
@@ -37,6 +38,41 @@ def test_large_components_stay_exact(spark):
     assert got == brute(rows, 10, 3)
 
 
+def test_wide_components(spark):
+    """Components of 1e7 and beyond 2^31 after scaling, beside ordinary ones: nothing is left out."""
+    rows = [(0, [2.0e6, 0.0], 0), (1, [2.0e6, 0.0], 0), (10, [1.0e7, 0.0], 0), (11, [-1.0e7, 3.0], 0), (20, [3.0e38, 0.0], 0), (21, [0.0, 0.004], 0), (12, [1.0, 2.0], 0), (30, [0.0, 1.0e7], 0), (31, [0.5, 1.0e7 + 1], 0), (40, [0.0, 0.0], 0)]
+    narrow = [r for r in rows if r[0] != 20]
+    got = {tuple(r) for r in balltree.top_k(spark.createDataFrame(narrow, SCHEMA), lambda i: i % 10 == 0, 3, shard_rows=3, leaf=2).collect()}
+    assert got == brute(narrow, 10, 3) and {(0, 1, 10, 512_000_000 * 2_560_000_000), (0, 2, 1, 512_000_000**2)} <= got
+    # A score that fits no long fails the job; nothing wraps round.
+    with pytest.raises(Exception, match="(?i)overflow|int too|value|convert"):
+        balltree.top_k(spark.createDataFrame(rows, SCHEMA), lambda i: i == 0, 1).collect()
+
+
+def test_wide_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from lamina.llm.queries import OP2
+
+    rows = [(i, [float(i % 7) * 1.0e7 if i % 2 else 0.25 * i, 0.0 if i % 2 else 1.0e7 - i], i) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/e/*.parquet')")
+    got = {tuple(r) for r in balltree.top_k(df, lambda i: i % 50 == 0, 5, shard_rows=40).collect()}
+    assert got == set(con.execute(OP2.replace("list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT", "list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1]::HUGEINT * z[2]))::HUGEINT")).fetchall())
+
+
+def test_share_scored(spark):
+    """Groups of near vectors: few are scored; the count is what the search did."""
+    rng = np.random.default_rng(8)
+    centres = 4 * rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.05 * rng.normal(size=16)).astype(np.float32).tolist(), None) for i in range(4000)]
+    scored = spark.sparkContext.accumulator(0)
+    got = {tuple(r) for r in balltree.top_k(spark.createDataFrame(rows, SCHEMA), lambda i: i % 50 == 0, 5, scored=scored).collect()}
+    assert got == brute(rows, 50, 5) and 0 < scored.value < 0.5 * 2 * 80 * 4000
+
+
 def test_bounds_hold_and_prune():
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.normal(c, 1, (200, 16)) * 20 for c in (-9, 0, 9)]).astype(np.int64)
@@ -50,7 +86,7 @@ def test_bounds_hold_and_prune():
     seen = []
     tree.scores = lambda a, b, q, f=tree.scores: seen.append(b - a) or f(a, b, q)
     tree.search(queries[0], -1, bounds[0], 5, None)
-    assert sum(seen) < 400
+    assert sum(seen) < 400 and tree.scored > sum(seen)
 
 
 def test_empty(spark):

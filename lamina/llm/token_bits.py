@@ -22,25 +22,30 @@ first; rows with equal ids keep every copy, ordered by text (null first).
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import ship
-from .common import byte_texts, fresh_path, materialize, text_blocks
+from .common import fresh_path, materialize, text_blocks
 
 MAGIC = b"LAMIDS01"
 FOOTER = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 4096
 #: Bytes of text for each file.
 FILE_BYTES = 24 << 20
-#: Words whose ids a Python worker remembers, and the longest such word in bytes.
-CACHED_WORDS, CACHED_BYTES = 1_000_000, 48
+#: Words whose ids a Python worker remembers, the longest such word, and words that go to the tokenizer at once.
+CACHED_WORDS, CACHED_CHARS, RUN_WORDS = 1_000_000, 48, 512
+SIGNS = ".,;:!?"
+#: Files of a group in the running sum over the manifest.
+GROUP_FILES = 1024
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -68,11 +73,15 @@ class Packer:
         self.n_waiting = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.extend([doc_id], ids, np.array([len(ids)]))
+
+    def extend(self, doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Several documents: their ids in turn, and how many each has."""
         if len(ids) and int(ids.max()) >> self.bits:
             raise ValueError(f"an id needs more than {self.bits} bits")
-        self.docs.append(0 if doc_id is None else doc_id)
-        self.nulls.append(doc_id is None)
-        self.starts.append(self.starts[-1] + len(ids))
+        self.docs += [0 if i is None else i for i in doc_ids]
+        self.nulls += bytes(i is None for i in doc_ids)
+        self.starts += (self.starts[-1] + np.cumsum(sizes)).tolist()
         self.waiting.append(ids)
         self.n_waiting += len(ids)
         if self.n_waiting >= 64 * self.block_ids:
@@ -136,40 +145,115 @@ class IdFile:
             k = stop
 
 
+#: Pre-tokenizer patterns by which letters, digits and signs never share a token, nor a token with white space.
+SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+
+
+def allows_words(config: dict) -> bool:
+    """Whether a tokenizer's ids of a text are those of its lower-case words in turn.
+
+    So it is where every step is known to work word by word: no truncation or
+    padding, plain added tokens without white space, normalisers that look at no
+    neighbour, a split that drops white space and parts signs from letters, and a
+    BPE model without dropout that marks word ends.
+    """
+    steps = lambda part, many: [] if part is None else part[many] if part["type"] == "Sequence" else [part]
+    normal = [x["type"] for x in steps(config.get("normalizer"), "normalizers")]
+    replaced = [(x["pattern"], x["content"]) for x in steps(config.get("normalizer"), "normalizers") if x["type"] == "Replace"]
+    splits, model = steps(config.get("pre_tokenizer"), "pretokenizers"), config["model"]
+    added = config.get("added_tokens") or []
+    return (
+        config.get("truncation") is None and config.get("padding") is None and config.get("post_processor") is None
+        and all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) for t in added)
+        and set(normal) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in normal and all(x == ({"Regex": r"\s+"}, " ") for x in replaced)
+        and len(splits) == 2 and splits[0]["type"] == "Split" and splits[0]["pattern"].get("Regex") in SPLITS and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+        and splits[1]["type"] == "ByteLevel" and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+        and model["type"] == "BPE" and not model.get("dropout") and bool(model.get("end_of_word_suffix")) and not model.get("ignore_merges")
+    )
+
+
 class WordEncoder:
-    """Whole-text ids from a tokenizer that drops white space.
+    """Whole-text ids of a tokenizer file.
 
-    No token, added token or normalisation of such a vocabulary spans white
-    space, so a text's ids are those of its words in turn; the ids of short
-    words are remembered, up to a fixed number of words.
+    Where the tokenizer allows it (:func:`allows_words`), texts are split and
+    their words numbered by Arrow, so Python sees each distinct word of a block
+    once; the ids of short words are remembered, up to a fixed number of words.
+    Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.known: dict[bytes, bytes] = {}
+        config = json.loads(self.tokenizer.to_str())
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bits = max(1, max(vocab.values(), default=0).bit_length())
+        self.by_words, self.known = allows_words(config), {}
+        if self.by_words:
+            suffix = config["model"]["end_of_word_suffix"]
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        flat, sizes = self.encode_block(pa.array(texts, type=pa.binary()).cast(pa.string()))
+        return np.split(flat, np.cumsum(sizes)[:-1]) if texts else []
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, number of ids of each); null is empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            sizes = np.array([len(f) for f in found], dtype=np.int64)
+            return np.fromiter((i for f in found for i in f), dtype=np.uint32, count=int(sizes.sum())), sizes
         # ASCII case is dropped by the vocabulary; it shows only in added tokens, which begin with "<|".
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(lower)
+        words = split.flatten().dictionary_encode()
+        place = np.asarray(words.indices)
+        known = self.known
+        distinct = words.dictionary.to_pylist()
+        found = list(map(known.get, distinct))
+        if None in found:
+            new = [w for w, f in zip(distinct, found) if f is None]
+            if len(known) + len(new) > CACHED_WORDS:
+                known.clear()
+                new = distinct
+            self._learn(new)
+            found = list(map(known.get, distinct))
+            for w in new:
+                if len(w) > CACHED_CHARS:
+                    known.pop(w, None)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        table, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths
+        n = lengths[place]
+        upto = np.cumsum(n)
+        flat = table[np.repeat(starts[place] - upto + n, n) + np.arange(int(n.sum()))]
+        ends = np.append(0, upto)[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        return flat, np.diff(ends)
+
+    def _learn(self, new: list[str]) -> None:
         known = self.known
-        new = {w for ws in words for w in ws if w not in known}
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = {w for ws in words for w in ws}
         # A word that ends in signs after a letter (also in lower case) is the word without them, then the signs.
-        cut = {w: (c, w[len(c) :]) for w in new if len(c := w.rstrip(b".,;:!?")) < len(w) and c.decode()[-1:].lower()[-1:].isalpha()}
-        order = list((new - cut.keys()).union(*cut.values()) - known.keys())
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(order, found))
+        cut = {w: (c, w[len(c) :]) for w in new if w and w[-1] in SIGNS and len(c := w.rstrip(SIGNS)) and c[-1].lower()[-1].isalpha()}
+        order = [w for w in dict.fromkeys([w for w in new if w not in cut] + [p for c in cut.values() for p in c]) if w not in known]
+        # Words of letters alone go to the tokenizer in runs: each ends in one token that marks a word's end.
+        letters = [w for w in order if w.isalpha()]
+        rest = [w for w in order if not w.isalpha()]
+        for start in range(0, len(letters), RUN_WORDS):
+            run = letters[start : start + RUN_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(run):
+                data, at = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+                known.update((w, data[a:b]) for w, a, b in zip(run, at, at[1:]))
+            else:  # lower case or composition has parted one of them
+                rest += run
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, found))
         known.update((w, known[c] + known[t]) for w, (c, t) in cut.items())
-        out = [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in words]
-        for w in [*order, *cut]:
-            if len(w) > CACHED_BYTES:
-                del known[w]
-        return out
+        for p in {p for c in cut.values() for p in c if len(p) > CACHED_CHARS}.difference(new):
+            known.pop(p)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -199,17 +283,17 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc
         files, folder = pafs.FileSystem.from_uri(out)
         name = f"part-{part:06d}.ids"
         mine = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
-        tail = np.array([] if end_id is None else [end_id], np.uint32)
         for batch in batches:
             for block in text_blocks(batch):
                 if packer is None:
                     files.create_dir(folder, recursive=True)
                     sink = files.open_output_stream(mine)
                     packer = Packer(sink, enc.bits)
-                ids = block.column(0).to_pylist()
-                for doc_id, tokens in zip(ids, enc.encode(byte_texts(block.column(1)))):
-                    first = doc_id if not packer.docs else first
-                    packer.add(doc_id, np.concatenate([tokens, tail]))
+                    first = block.column(0)[0].as_py()
+                tokens, sizes = enc.encode_block(block.column(1))
+                if end_id is not None:
+                    tokens, sizes = np.insert(tokens, np.cumsum(sizes), end_id), sizes + 1
+                packer.extend(block.column(0).to_pylist(), tokens, sizes)
         if packer is not None:
             n_docs, n_ids = packer.close()
             sink.close()
@@ -226,11 +310,14 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc
 def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """Documents read back from the files: (doc_id, start, n_tokens, ids_crc32[, ids]).
 
-    ``start`` counts the ids of all documents before; the running sum over the
-    manifest has one row for each file.
+    ``start`` counts the ids of all documents before: a running sum inside groups
+    of files and one over the groups' totals, so no task takes all files.
     """
-    base = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    listed = manifest.withColumn("base", base).select("file", "base")
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = manifest.withColumn("set", F.expr(f"part div {GROUP_FILES}"))
+    sets = rows.groupBy("set").agg(F.sum("n_ids").alias("n_ids")).select("set", earlier(Window.orderBy("set")).alias("before"))
+    within = rows.withColumn("within", earlier(Window.partitionBy("set").orderBy("part")))
+    listed = within.join(sets, "set").select("file", (F.col("before") + F.col("within")).alias("base"))
     n_files = max(1, manifest.count())
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 

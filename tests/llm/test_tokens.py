@@ -74,6 +74,43 @@ def test_case_and_sign_shortcuts():
     assert [list(g) for g in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    """A cased vocabulary that keeps white space, and the word vocabulary with any step changed, take no short cut."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    cased = public.path("byte_bpe_50k.json")
+    assert token_bits.WordEncoder(WORDS).by_words and not token_bits.WordEncoder(cased).by_words
+    t, rows = Tokenizer.from_file(cased), corpus()
+    got = token_bits.id_files(table(spark, rows), cased, end_id=None, with_ids=True, file_bytes=4000).collect()
+    want = sorted((repr(r[0]), t.encode(r[1] or "", add_special_tokens=False).ids) for r in rows)
+    assert sorted((repr(r.doc_id), list(r.ids)) for r in got) == want
+    base = json.load(open(WORDS))
+    changes = [
+        lambda c: c["normalizer"]["normalizers"].pop(), lambda c: c["normalizer"]["normalizers"].append({"type": "NFKC"}), lambda c: c.update(pre_tokenizer=None),
+        lambda c: c["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"\\S+"), lambda c: c["model"].update(dropout=0.1), lambda c: c["added_tokens"][0].update(lstrip=True),
+        lambda c: c["added_tokens"][0].update(content="a b"), lambda c: c.update(truncation={"direction": "Right", "max_length": 4, "strategy": "LongestFirst", "stride": 0}),
+    ]
+    for change in changes:
+        config = json.loads(json.dumps(base))
+        change(config)
+        assert not token_bits.allows_words(config)
+
+
+def test_words_are_those_of_the_texts():
+    """Every white space character, long words, runs of letters whose lower case is longer, and repeats over blocks."""
+    from tokenizers import Tokenizer
+
+    rng, t, enc = random.Random(5), Tokenizer.from_file(WORDS), token_bits.WordEncoder(WORDS)
+    parts = ["a", "Bc", "the", "İ", "ǅ", "ᄒ", "ᅡ", "ᆫ", "e", "́", "’", "'", "s", "1", "漢字", ".", "x" * 60, "y" * 70 + "!", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\u2003", " ", " ", "\n"]
+    for _ in range(6):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(500)] + ["", " ", "\n\n"]
+        got = enc.encode([x.encode() for x in texts])
+        assert [list(g) for g in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert max(map(len, enc.known)) <= token_bits.CACHED_CHARS
+
+
 @pytest.fixture(scope="module")
 def library():
     import sentencepiece

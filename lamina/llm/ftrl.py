@@ -10,8 +10,10 @@ most, and ``TRAIN_BYTES`` of text) in one task; scoring is a narrow map with the
 weights broadcast (2^``BITS`` doubles, a fixed size).
 
 Edge cases: null and empty texts have the bias as their only feature; without
-usable labels, or with one class only, every score is the prior of label 1
-(0.5 without labels).
+usable labels every score is 0.5; with one class only every score is that of
+log odds of 4 for it (0.982 for label 1, 0.018 for label 0).  Labels of ids that
+no document has train nothing.  Only the id, the text and the labels' target are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,16 +35,17 @@ SAMPLE = {0: 4000, 1: 8000}
 TRAIN_BYTES = 128 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 0.05, 0.02, 0.5
-CACHED_WORDS = 500_000
+CACHED_WORDS, CACHED_BYTES = 500_000, 64
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _SHAPES = ((re.compile(r"[a-zà-öø-ÿœ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-ÞŒ]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1+"), r"\1+"))
 
 
 def shape(word: str) -> str:
+    """The word with runs of letters, digits and equal signs collapsed, whole."""
     for pattern, by in _SHAPES:
         word = pattern.sub(by, word)
-    return word[:16]
+    return word
 
 
 class Features:
@@ -59,10 +62,14 @@ class Features:
             if len(known) > CACHED_WORDS:
                 known.clear()
             digest = xxhash.xxh3_64_intdigest
-            for w in words:
-                if w not in known:
-                    known[w] = (digest(w.lower()), digest(shape(w.decode("utf-8", "replace")).encode(), 1))
-            return np.array([known[w] for w in words], dtype=np.uint64)
+            new = {w for w in words if w not in known}
+            for w in new:
+                known[w] = (digest(w.lower()), digest(shape(w.decode("utf-8", "replace")).encode(), 1))
+            out = np.array([known[w] for w in words], dtype=np.uint64)
+            for w in new:
+                if len(w) > CACHED_BYTES:
+                    del known[w]
+            return out
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(feature numbers, values), occurrences not merged."""
@@ -125,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, usable, sample=SAMPLE,
         seen = Counter(label for _, _, label in rows)
         weight = {c: priors[c] * len(rows) / n for c, n in seen.items()}
         kept = [(text, label, weight[label]) for _, text, label in rows]
-        if len({label for _, label, _ in kept}) < 2:  # one class or none: the prior alone
+        if len({label for _, label, _ in kept}) < 2:  # one class or none: a fixed score
             w = np.zeros((1 << bits) + 1)
             w[-1] = 0.0 if not kept else (4.0 if kept[0][1] else -4.0)
         else:

@@ -12,8 +12,14 @@ Training takes a bounded sample of labelled rows (``SAMPLE`` of each label, and
 vector times the difference of the class weights to the log odds, so scoring
 needs one number for each bucket: 2^``BITS`` floats are broadcast.
 
-Edge cases: null texts and texts without letters or digits get the prior; so
-does every text where a class has no usable labels.
+Texts of any length are scored alike: one above ``BLOCK_CHARS`` characters is
+read in pieces that end between words, its words are counted over all pieces,
+and only then damped; a word longer than a piece is hashed in overlapping slices.
+
+Edge cases: null texts and texts without letters or digits have the bias alone;
+without usable labels every score is 0.5, with one class only that of log odds
+of 4 for it (0.982 for label 1, 0.018 for label 0).  Only the id, the text and
+the labels' target are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -59,13 +65,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def subwords(texts: list[str], bits: int = BITS):
-    """(bucket, weight, word) of every subword, and (doc, share) of each word.
+def grams(lower: list[str], bits: int = BITS):
+    """(bucket, word) of every subword, and (doc, hash) of each word, of texts in lower case.
 
-    A word's weights sum to its share.  Words are runs of letters and digits,
-    lower case.
+    Words are runs of letters and digits.
     """
-    lower = [t.lower() for t in texts]
     joined = "\0" + "\0".join(lower) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.cumsum([len(t) + 1 for t in lower])
@@ -84,18 +88,16 @@ def subwords(texts: list[str], bits: int = BITS):
     word_of = np.cumsum(edge) - 1
     n_words = int(edge.sum()) - 1
     if n_words < 1:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     buckets, words = [], []
     for n in GRAMS:
         m = len(code) - n + 1
         if m < 1:
             continue
-        h, ok = code[:m] + np.uint64(n), np.ones(m, dtype=bool)
-        for j in range(1, n):
-            h = h * _K + code[j : m + j]
-            if j < n - 1:
-                ok &= ~edge[j : m + j]
-        buckets.append(_mix(h[ok]))
+        ok = np.ones(m, dtype=bool)
+        for j in range(1, n - 1):
+            ok &= ~edge[j : m + j]
+        buckets.append(_gram_hashes(code, n)[ok])
         words.append(word_of[:m][ok])
     starts = np.flatnonzero(edge)[:-1]
     place = np.arange(len(code)) - np.repeat(np.append(starts, len(code) - 1), np.diff(np.append(np.append(starts, len(code) - 1), len(code))))
@@ -105,15 +107,35 @@ def subwords(texts: list[str], bits: int = BITS):
     whole = _mix(np.add.reduceat(letters, starts))
     buckets.append(whole)
     words.append(np.arange(n_words))
-    bucket = (np.concatenate(buckets) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    word = np.concatenate(words)
     # A word begins after its edge; the edge may be the last text's separator.
-    doc = np.searchsorted(ends, at[starts + 1], side="right")
-    # n times the same word weigh as much as the root of n words.
+    return _bucket(np.concatenate(buckets), bits), np.concatenate(words), np.searchsorted(ends, at[starts + 1], side="right"), whole
+
+
+def _gram_hashes(code: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` codes."""
+    m = len(code) - n + 1
+    h = code[:m] + np.uint64(n)
+    for j in range(1, n):
+        h = h * _K + code[j : m + j]
+    return _mix(h)
+
+
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def subwords(texts: list[str], bits: int = BITS):
+    """(bucket, weight, word) of every subword, and (doc, share) of each word.
+
+    A word's weights sum to its share: n times the same word in a text weigh as
+    much as the root of n words.
+    """
+    bucket, word, doc, whole = grams([t.lower() for t in texts], bits)
+    if not len(whole):
+        return bucket, np.zeros(0), word, doc, np.zeros(0)
     _, same, times = np.unique(whole + doc.astype(np.uint64) * _K, return_inverse=True, return_counts=True)
     share = 1.0 / np.sqrt(times[same])
-    weight = share[word] / np.bincount(word, minlength=n_words)[word]
-    return bucket, weight, word, doc, share
+    return bucket, share[word] / np.bincount(word, minlength=len(whole))[word], word, doc, share
 
 
 def log_odds(texts: list[str], table: np.ndarray, bias: float, bits: int = BITS) -> np.ndarray:
@@ -124,12 +146,8 @@ def log_odds(texts: list[str], table: np.ndarray, bias: float, bits: int = BITS)
         while stop < len(texts) and (stop == start or size + len(texts[stop]) <= BLOCK_CHARS):
             size += len(texts[stop])
             stop += 1
-        if size > 4 * BLOCK_CHARS:  # one very long text, in parts cut between words
-            total, n = 0.0, 0.0
-            for part in _parts(texts[start]):
-                bucket, weight, _, _, share = subwords([part], bits)
-                total, n = total + float(table[bucket] @ weight), n + float(share.sum())
-            out[start] += total / (NEUTRAL + n)
+        if size > BLOCK_CHARS:  # one long text
+            out[start] += _long_odds(texts[start].lower(), table, bits)
         else:
             bucket, weight, word, doc, share = subwords(texts[start:stop], bits)
             n = np.bincount(doc, share, stop - start)
@@ -139,15 +157,61 @@ def log_odds(texts: list[str], table: np.ndarray, bias: float, bits: int = BITS)
     return out
 
 
-def _parts(text: str):
-    """Pieces of about BLOCK_CHARS characters that end between words (or, without any gap, anywhere)."""
+def _long_odds(lower: str, table: np.ndarray, bits: int) -> float:
+    """The same for one text of any length: every distinct word's number and score, then the damped mean."""
+    held: dict[int, list] = {}
+    for start, stop in _pieces(lower):
+        if stop - start > BLOCK_CHARS:
+            found = [(*_long_word(lower, start, stop, table, bits), 1)]
+        else:
+            bucket, word, _, whole = grams([lower[start:stop]], bits)
+            if not len(whole):
+                continue
+            mean = np.bincount(word, table[bucket], len(whole)) / np.bincount(word, minlength=len(whole))
+            kinds, first, times = np.unique(whole, return_index=True, return_counts=True)
+            found = list(zip(kinds.tolist(), mean[first].tolist(), times.tolist()))
+        for key, score, times in found:
+            held.setdefault(key, [score, 0])[1] += times
+    scores, times = np.array([v[0] for v in held.values()]), np.sqrt([v[1] for v in held.values()])
+    return float(scores @ times) / (NEUTRAL + float(times.sum())) if held else 0.0
+
+
+def _long_word(lower: str, start: int, stop: int, table: np.ndarray, bits: int) -> tuple[int, float]:
+    """(hash, mean of its subwords' numbers) of a word, in slices."""
+    total, count, whole, power = 0.0, 0, np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    most = max(GRAMS)
+    size = stop - start + 2  # with its edges
+    for low in range(0, size, BLOCK_CHARS):
+        high = min(size, low + BLOCK_CHARS + most - 1)
+        part = ("\0" * (low == 0)) + lower[start + max(0, low - 1) : start + min(stop - start, high - 1)] + ("\0" * (high == size))
+        code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        for n in GRAMS:
+            m = min(BLOCK_CHARS, len(code) - n + 1)  # runs that begin in this slice
+            if m > 0:
+                total += float(table[_bucket(_gram_hashes(code, n)[:m], bits)].sum())
+                count += m
+        own = code[: min(BLOCK_CHARS, size - 1 - low)]  # all but the last edge
+        if len(own):
+            powers = np.cumprod(np.append(power * _K, np.full(len(own) - 1, _K)))
+            whole, power = whole + (_mix(own + np.uint64(7)) * powers).sum(dtype=np.uint64), powers[-1:]
+    key = _mix(whole)
+    return int(key[0]), (total + float(table[_bucket(key, bits)[0]])) / (count + 1)
+
+
+def _pieces(text: str):
+    """(start, stop) of pieces that end between words: of ``BLOCK_CHARS`` characters at most, or one longer word."""
     start = 0
     while start < len(text):
         stop = min(len(text), start + BLOCK_CHARS)
-        while stop < len(text) and text[stop].isalnum():
-            stop += 1
-        yield text[start:stop]
-        start = stop
+        cut = stop
+        while start < cut < len(text) and text[cut].isalnum() and text[cut - 1].isalnum():
+            cut -= 1
+        if cut == start:  # the word goes on beyond the piece
+            cut = stop
+            while cut < len(text) and text[cut].isalnum():
+                cut += 1
+        yield start, cut
+        start = cut
 
 
 def train(samples: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epochs: int | None = None) -> tuple[np.ndarray, float]:

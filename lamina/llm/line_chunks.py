@@ -1,21 +1,23 @@
 """Line dedup by content-defined line chunks (native).
 
 1. Lines (``\\n``-split, whole) are hashed; those that stand in the corpus once
-   only can be in no repeated chunk, so chunks end there.
-2. In each run of repeated lines, a rolling hash over the last ``window`` line
-   hashes sets further ends (one line in ``divisor``), wherever the run begins
-   in its document: a shifted passage gets the same chunks.
-3. Chunks of at least ``min_lines`` lines with a word, and ``min_words`` words,
-   are compared byte for byte, grouped on their text.  Of each, the first
-   occurrence (least id, then position) stays; the lines of the others go.
+   only can be in no repeated chunk, so runs of repeated lines end there.
+2. A rolling hash runs over the hashes of every two neighbouring lines of a run.
+   A chunk ends between two lines whose pair stands in the corpus once; whose
+   pair is rarer than another pair that either line is in; or whose rolling hash
+   is divisible by ``divisor``.  All three depend on the two lines and the corpus
+   alone, never on what else surrounds them, so a passage has the same ends in
+   every document, shifted, quoted in part or beside other repeated lines.
+3. Chunks of at least ``min_lines`` lines with a word and ``min_words`` words, or
+   of ``line_words`` words, are compared byte for byte, grouped on their text; a
+   shorter one is compared joined to the chunk after it, and to that before it.
+   Of each, the first occurrence (least id, then position) stays; the lines of
+   the others go.
 
 ``make=passages`` compares all short passages of repeated lines in place of the
 chunks of step 2: the shortest from each line on, and back from each line, that
-hold ``min_lines`` lines and ``min_words`` words, or ``line_words`` words on one
-line.  Their edges depend on their own lines alone and they cover every longer
-passage, so each line of a repeated passage goes from all places but the first,
-whatever stands beside it; every distinct line stays somewhere.  The registered
-query keeps the chunks, which its SQL states.
+are long enough by step 3.  They cover every longer passage, so each line of a
+repeated passage goes from all places but the first.
 
 Minima are aggregated before each shuffle and joined back to a written table,
 so a line or chunk of very many documents is split over tasks.
@@ -23,7 +25,8 @@ so a line or chunk of very many documents is split over tasks.
 Edge cases: null texts come back null, empty ones empty; lines without a word
 end no run, count for nothing and stay at a chunk's edges; rows equal in id and text are one
 document and all keep the same lines; rows that share an id only are documents
-of their own; null ids sort first; other columns are kept as they are.
+of their own; null ids sort first; other columns are kept as they are, but one
+that has the name of the count (``count_col``) is replaced by it.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..runtime import ship
 from .common import WORD, materialize
 
-WINDOW, DIVISOR = 2, 8
+DIVISOR = 8
 MIN_LINES, MIN_WORDS = 2, 10
 #: Words on one line that make it a passage of its own.
 LINE_WORDS = 50
@@ -70,22 +73,41 @@ def runs(lines: DataFrame) -> DataFrame:
     return rows.withColumn("run", F.sum(F.col("gap").cast("int")).over(in_doc.rowsBetween(Window.unboundedPreceding, 0))).where("words > 0")
 
 
-def chunks(lines: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def pair_ends(rows: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """(pair, ends): the pairs of neighbouring lines that stand in the corpus twice, and whether a chunk ends between them."""
+    rolled = (F.col("hash") * FACTOR + F.col("before_hash")) % MODULUS % divisor == 0
+    pairs = rows.where("before is not null").groupBy("pair").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("line_key").alias("line_key"), F.first(rolled).alias("rolled"))
+    pairs = materialize(pairs.where("n > 1"), "pairs")
+    most = pairs.select(F.explode(F.array("before", "line_key")).alias("line"), "n").groupBy("line").agg(F.max("n").alias("most"))
+    side = lambda c: most.select(F.col("line").alias(c), F.col("most").alias(f"most_{c}"))
+    both = pairs.join(side("before"), "before").join(side("line_key"), "line_key")
+    return both.select("pair", (F.col("rolled") | (F.col("n") < F.greatest("most_before", "most_line_key"))).alias("ends"))
+
+
+def chunks(lines: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """(id, text_key, first, last, chunk_key): chunks of runs of repeated lines."""
-    # The rolling hash sees the lines with a word of its own run only.
-    rows = runs(lines)
     in_run = Window.partitionBy("id", "text_key", "run").orderBy("pos")
-    rolled = F.col("hash")
-    for k in range(1, window):
-        rolled = (rolled * FACTOR + F.coalesce(F.lag("hash", k).over(in_run), F.lit(0).cast("long"))) % MODULUS
-    rows = rows.withColumn("ends", (rolled % divisor == 0).cast("int"))
-    earlier = in_run.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("part", F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
-    cut = rows.groupBy("id", "text_key", "run", "part").agg(
+    rows = runs(lines).withColumns({"before": F.lag("line_key").over(in_run), "before_hash": F.lag("hash").over(in_run)})
+    # The first line of a run gets a key of its own, so such lines don't meet in one task.
+    rows = materialize(rows.withColumn("pair", F.coalesce(F.when(F.col("before").isNotNull(), F.xxhash64("before", "line_key")), F.xxhash64("id", "text_key", "pos", F.lit(2)))), "runs")
+    known = materialize(pair_ends(rows, divisor), "ends")
+    rows = rows.select("id", "text_key", "run", "pos", "words", "line_key", "pair").join(known, "pair", "left")
+    upto = in_run.rowsBetween(Window.unboundedPreceding, 0)
+    # A stretch ends where a pair stands once; only inside it are chunks joined.
+    rows = rows.withColumns({"stretch": F.sum(F.col("ends").isNull().cast("int")).over(upto), "part": F.sum(F.coalesce("ends", F.lit(True)).cast("int")).over(upto)})
+    parts = rows.groupBy("id", "text_key", "run", "stretch", "part").agg(
         F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"), F.sum("words").alias("words"),
-        F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line_key"))), lambda x: x["line_key"])).alias("chunk_key"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "line_key"))), lambda x: x["line_key"]).alias("keys"),
     )
-    return cut.where((F.col("n") >= min_lines) & (F.col("words") >= min_words)).select("id", "text_key", "first", "last", "chunk_key")
+    held = F.struct("first", "last", "n", "words", "keys")
+    in_stretch = Window.partitionBy("id", "text_key", "run", "stretch").orderBy("part")
+    parts = parts.select("id", "text_key", held.alias("own"), F.lag(held).over(in_stretch).alias("prior"), F.lead(held).over(in_stretch).alias("next"))
+    long_enough = lambda n, words: ((n >= min_lines) & (words >= min_words)) | (words >= line_words)
+    chunk = lambda a, b, keys: F.struct(a["first"].alias("first"), b["last"].alias("last"), F.xxhash64(keys).alias("chunk_key"))
+    both = lambda a, b: F.when(long_enough(a["n"] + b["n"], a["words"] + b["words"]), chunk(a, b, F.concat(a["keys"], b["keys"])))
+    own, prior, later = F.col("own"), F.col("prior"), F.col("next")
+    made = F.when(long_enough(own["n"], own["words"]), F.array(chunk(own, own, own["keys"]))).otherwise(F.array(both(own, later), both(prior, own)))
+    return parts.select("id", "text_key", F.explode(made).alias("c")).where("c is not null").select("id", "text_key", "c.*")
 
 
 def passages(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
@@ -132,12 +154,11 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = body.groupBy("chunk_key", "body").agg(F.min(place).alias("keep"), F.max(place).alias("top"))
     kept = materialize(kept.where("keep <> top").select("chunk_key", "body", "keep"), "kept")
     hit = body.join(kept, ["chunk_key", "body"]).where(~F.struct("id", "text_key", "first").eqNullSafe(F.col("keep")))
-    hit = hit.select("id", "text_key", "first", "last")
-    return hit if make is chunks else merged(hit)
+    return merged(hit.select("id", "text_key", "first", "last"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the repeated chunks' lines taken out of the text, and ``n_lines_removed`` (long)."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_lines_removed", **options) -> DataFrame:
+    """``docs`` with the repeated chunks' lines taken out of the text, and ``count_col`` (long), the lines taken out."""
     ship(docs.sparkSession)
     gone = repeated_chunks(docs, id_col, text_col, **options)
     flat = gone.distinct().groupBy(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_list(F.struct("first", "last")).alias("gone_spans"))
@@ -150,5 +171,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~inside(i)), "\n")
     removed = F.aggregate("gone_spans", F.lit(0).cast("long"), lambda n, s: n + (s["last"] - s["first"] + 1).cast("long"))
     none = F.col("gone_spans").isNull()
-    columns = [F.when(none, text).otherwise(left).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_lines_removed"]
-    return joined.select(*columns, F.when(none, F.lit(0).cast("long")).otherwise(removed).alias("n_lines_removed"))
+    columns = [F.when(none, text).otherwise(left).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != count_col]
+    return joined.select(*columns, F.when(none, F.lit(0).cast("long")).otherwise(removed).alias(count_col))

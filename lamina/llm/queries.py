@@ -184,13 +184,23 @@ WITH l AS (
 ), m AS (
   SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT % 2147483648 AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, count(*) OVER (PARTITION BY line) AS n FROM l
 ), b AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m WHERE words = 0 OR n > 1
-), r AS (SELECT * FROM b WHERE words > 0
-), e AS (SELECT *, ((h * 31 + coalesce(lag(h) OVER (PARTITION BY doc_id, run ORDER BY pos), 0)) % 2147483648 % 8 = 0)::INT AS ends FROM r
-), f AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id, run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e
+), r AS (SELECT *, lag(line) OVER w AS before, lag(h) OVER w AS before_h FROM b WHERE words > 0 WINDOW w AS (PARTITION BY doc_id, run ORDER BY pos)
+), p AS (SELECT before, line, count(*) AS n, (h * 31 + before_h) % 2147483648 % 8 = 0 AS rolled FROM r WHERE before IS NOT NULL GROUP BY ALL HAVING count(*) > 1
+), x AS (SELECT line, max(n) AS most FROM (SELECT before AS line, n FROM p UNION ALL SELECT line, n FROM p) GROUP BY line
+), q AS (SELECT p.before, p.line, rolled OR p.n < greatest(y.most, z.most) AS ends FROM p JOIN x y ON y.line = p.before JOIN x z ON z.line = p.line
+), e AS (
+  SELECT r.*, sum((ends IS NULL)::INT) OVER w AS stretch, sum(coalesce(ends, true)::INT) OVER w AS part
+  FROM r LEFT JOIN q USING (before, line) WINDOW w AS (PARTITION BY doc_id, run ORDER BY pos)
+), f AS (SELECT doc_id, run, stretch, part, min(pos) AS first, max(pos) AS last, count(*) AS n, sum(words) AS words FROM e GROUP BY ALL
+), k AS (
+  SELECT *, lag(first) OVER w AS first0, lag(n) OVER w AS n0, lag(words) OVER w AS words0, lead(last) OVER w AS last2, lead(n) OVER w AS n2, lead(words) OVER w AS words2,
+    (n >= 2 AND words >= 10) OR words >= 50 AS alone FROM f WINDOW w AS (PARTITION BY doc_id, run, stretch ORDER BY part)
 ), s AS (
-  SELECT doc_id, min(pos) AS first, max(pos) AS last FROM f GROUP BY doc_id, run, part HAVING count(*) >= 2 AND sum(words) >= 10
+  SELECT doc_id, first, last FROM k WHERE alone
+  UNION ALL SELECT doc_id, first, last2 FROM k WHERE NOT alone AND ((n + n2 >= 2 AND words + words2 >= 10) OR words + words2 >= 50)
+  UNION ALL SELECT doc_id, first0, last FROM k WHERE NOT alone AND ((n + n0 >= 2 AND words + words0 >= 10) OR words + words0 >= 50)
 ), c AS (
-  SELECT s.doc_id, s.first, s.last, string_agg(l.line, chr(10) ORDER BY l.pos) AS body FROM s JOIN l ON l.doc_id = s.doc_id AND l.pos BETWEEN s.first AND s.last GROUP BY ALL
+  SELECT s.doc_id, s.first, s.last, string_agg(l.line, chr(10) ORDER BY l.pos) AS body FROM (SELECT DISTINCT * FROM s) s JOIN l ON l.doc_id = s.doc_id AND l.pos BETWEEN s.first AND s.last GROUP BY ALL
 ), g AS (SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) AS k FROM c) WHERE k > 1
 ), gone AS (SELECT DISTINCT l.doc_id, l.pos FROM l JOIN g ON l.doc_id = g.doc_id AND l.pos BETWEEN g.first AND g.last
 ), t AS (

@@ -1,6 +1,7 @@
 """Source mix, line chunks and temporal URL filter: SQL and brute force."""
 
 import datetime as dt
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -103,6 +104,8 @@ def test_line_dedup_brute(spark):
 
 def test_line_dedup_edges(spark):
     df = clashing(table(spark))
+    with_count = line_chunks.line_dedup(df.withColumn("n_lines_removed", F.lit("own")))
+    assert with_count.columns == [*df.columns, "n_lines_removed"] and dict(with_count.dtypes)["n_lines_removed"] == "bigint"
     out = line_chunks.line_dedup(df)
     assert out.columns == [*df.columns, "n_lines_removed"] and out.count() == df.count()
     assert line_chunks.line_dedup(empty(spark)).count() == 0
@@ -167,6 +170,97 @@ def brute_passages(rows, min_lines=2, min_words=10, line_words=50):
     return out
 
 
+def word_count(line):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", line))
+
+
+def line_number(line):
+    return int(hashlib.md5(line.encode()).hexdigest()[:8], 16) % 2**31
+
+
+def brute_chunks(rows, divisor=line_chunks.DIVISOR):
+    """(id, (text, lines removed)): the chunks by loops, every end decided by its two lines and the corpus."""
+    place = lambda k: (rows[k][0] is not None, rows[k][0] or 0)
+    order = sorted((k for k in range(len(rows)) if rows[k][1] is not None), key=place)
+    texts = {k: rows[k][1].split("\n") for k in order}
+    often = Counter(x for lines in texts.values() for x in lines if word_count(x))
+    runs = []
+    for k, lines in texts.items():
+        run: list = []
+        for i, x in enumerate([*lines, None]):
+            if x is not None and not word_count(x):
+                continue
+            if x is None or often[x] < 2:
+                runs += [(k, run)] if run else []
+                run = []
+            else:
+                run.append(i)
+    held = Counter((texts[k][a], texts[k][b]) for k, run in runs for a, b in zip(run, run[1:]))
+    most: dict = {}
+    for (x, y), n in held.items():
+        if n > 1:
+            most[x], most[y] = max(most.get(x, 0), n), max(most.get(y, 0), n)
+    enough = lambda lines: (len(lines) > 1 and sum(map(word_count, lines)) >= 10) or sum(map(word_count, lines)) >= 50
+    found: dict = {}
+    for k, run in runs:
+        stretches, text = [[[run[0]]]], texts[k]
+        for a, b in zip(run, run[1:]):
+            x, y = text[a], text[b]
+            if held[x, y] < 2:
+                stretches.append([[b]])
+            elif held[x, y] < max(most[x], most[y]) or (line_number(y) * 31 + line_number(x)) % 2**31 % divisor == 0:
+                stretches[-1].append([b])
+            else:
+                stretches[-1][-1].append(b)
+        for parts in stretches:
+            for i, p in enumerate(parts):
+                joined = [p] if enough([text[j] for j in p]) else [q for q in (p + parts[i + 1] if i + 1 < len(parts) else [], parts[i - 1] + p if i else []) if enough([text[j] for j in q])]
+                for q in joined:
+                    found.setdefault(("\n".join(text[q[0] : q[-1] + 1]), tuple(text[j] for j in q)), set()).add((order.index(k), q[0], q[-1], k))
+    gone = {(k, i) for places in found.values() for _, a, b, k in sorted(places)[1:] for i in range(a, b + 1)}
+    return {rows[k][0]: ("\n".join(x for i, x in enumerate(texts[k]) if (k, i) not in gone), sum(g[0] == k for g in gone)) for k in order}
+
+
+def test_chunks_brute(spark):
+    """Random documents of unique, frequent, blank and long lines and shared passages, with the query's own ends."""
+    rng = random.Random(15)
+    pool = [" ".join(words(rng, n)) for n in [1] * 4 + [2, 3, 4] * 2 + [6, 7, 9] * 2 + [12, 30, 50, 60]] + ["", " \t"]
+    passages = [[" ".join(words(rng, rng.randint(2, 14))) for _ in range(rng.randint(2, 14))] for _ in range(8)]
+    texts = []
+    for _ in range(90):
+        lines = [rng.choice(pool) if rng.random() < 0.5 else " ".join(words(rng, rng.randint(1, 12))) for _ in range(rng.randint(1, 8))]
+        p, a = rng.choice(passages), rng.randint(0, 3)
+        at = rng.randint(0, len(lines))
+        texts.append("\n".join([*lines[:at], *p[a : rng.randint(a, len(p))], *lines[at:]]))
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, texts[3], None, None, None), (900, None, None, None, None), (901, "", None, None, None)]
+    got = {r.doc_id: (r.text, r.n_lines_removed) for r in line_chunks.line_dedup(table(spark, rows)).collect()}
+    assert got == {**brute_chunks(rows), 900: (None, 0)} and sum(n for _, n in got.values()) > 150
+    for divisor in (1, 3):
+        got = {r.doc_id: (r.text, r.n_lines_removed) for r in line_chunks.line_dedup(table(spark, rows), divisor=divisor).collect()}
+        assert got == {**brute_chunks(rows, divisor), 900: (None, 0)}
+
+
+def later_copies(rows):
+    """(id, line number) of the lines in all but the first copy of a repeated pair of neighbouring lines, ten words or more together."""
+    seen, out = set(), set()
+    for doc, text in sorted(rows):
+        lines = [(i, x) for i, x in enumerate(text.split("\n")) if word_count(x)]
+        for (i, x), (j, y) in zip(lines, lines[1:]):
+            if word_count(x) + word_count(y) >= 10:
+                out |= {(doc, i), (doc, j)} if (x, y) in seen else set()
+                seen.add((x, y))
+    return out
+
+
+def test_recall_of_repeated_pairs(spark):
+    """On the given table at least nine in ten of such lines go (README has the figure)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = later_copies(rows)
+    gone = {(r.id, i) for r in line_chunks.repeated_chunks(docs).collect() for i in range(r["first"], r["last"] + 1)}
+    assert len(want & gone) >= 0.9 * len(want) and len(want) > 700
+
+
 def test_passages_brute(spark):
     rng = random.Random(5)
     pool = [" ".join(words(rng, n)) for n in [1] * 6 + [2, 3, 4] * 2 + [6, 7, 9] * 2 + [12, 30, 49, 50, 60]] + ["", " \t"]

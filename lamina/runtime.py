@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
+_marked: set[str] = set()
 #: Bytes of an Arrow batch: Spark's setting, its default, and what is enough here (a batch is held several times over).
 ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")
 
@@ -17,8 +19,8 @@ ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")
 def ship(spark: SparkSession) -> SparkSession:
     """Give this package to the Python workers, once for each application.
 
-    Arrow batches are made smaller unless the session sets their size.
-    Spark's file server carries the archive, so executors share no folder with
+    Arrow batches are made smaller unless the session sets their size (that
+    setting is the one thing of the caller's session that is changed).  Spark's file server carries the archive, so executors share no folder with
     the driver.
     """
     context = spark.sparkContext
@@ -35,7 +37,42 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder shared by driver and executors that the session names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder of this machine,
+    once for each application (the session's settings stay as they are); on a
+    cluster that is an error, as every machine would have a folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lamina-")
+        base = _local[context.applicationId]
+    return base.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lamina-")
-    return f"{base.rstrip('/')}/lamina/{uuid.uuid4().hex}/{name}"
+    """A new path for a temporary table in the shared folder, qualified with its file system's scheme.
+
+    The application's temporary tables are deleted when the driver's JVM ends.
+    """
+    context = spark.sparkContext
+    jvm, root = context._jvm, f"{shared_dir(spark)}/lamina/{context.applicationId}"
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    if root not in _marked:
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        _marked.add(root)
+    return fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{root}/{uuid.uuid4().hex}/{name}")).toString()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

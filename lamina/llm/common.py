@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import threading
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import scratch
+
 #: A word is a run of anything but space and U+0009..U+000D (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Python works on at most so many bytes of text at a time.
 BLOCK_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors that the session names.
-
-    Only where ``spark.checkpoint.dir`` is unset (a local test session) a
-    temporary folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="lamina-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, qualified with its file system's scheme."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lamina/{uuid.uuid4().hex}/{name}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.makeQualified(path).toString()
+    """A new path in the shared folder, qualified with its file system's scheme; it goes when the driver's JVM ends."""
+    return scratch(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -42,9 +27,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    written().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables = threading.local()
+
+
+def written() -> list[str]:
+    """Paths of the temporary tables that this thread has written, oldest first."""
+    if not hasattr(_tables, "paths"):
+        _tables.paths = []
+    return _tables.paths
+
+
+def forget(spark: SparkSession, since: int) -> None:
+    """Delete the tables that followed the first ``since``, all but the newest.
+
+    For a step whose result has just been written: what led to it is not needed
+    any more, and at scale would fill the folder.
+    """
+    paths = written()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths[since:-1]:
+        folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+    del paths[since:-1]
+
+
 def text_blocks(batch: pa.RecordBatch, column: int = 1):
     """Slices of an Arrow batch with about ``BLOCK_BYTES`` of text each (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)

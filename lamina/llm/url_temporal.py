@@ -8,11 +8,15 @@ leading path), narrowed by the interval: as of the fetch, one at most per entry.
 
 Intervals are written first and captures exploded beside them, so both sides of
 the join are plain exchanges that AQE may split where one host has most rows.
+Names without a dot (top-level domains, which a third of all captures may share)
+are keys only where the list has them: they are collected up to ``TOP_NAMES``,
+beyond which every capture keeps its key.
 
 Edge cases: of several events at one moment an 'add' wins; unknown actions and
 events without entry or moment are ignored; an 'add' while active changes
 nothing; captures with a null URL or moment, or without a host, are kept and not
-blocked; equal captures are judged alike.  Hosts compare in lower case without a
+blocked; equal captures are judged alike; columns of the captures that are named
+as a result (blocked, n_entries, entry) are replaced by it, all others kept.  Hosts compare in lower case without a
 trailing dot, paths as they are, without query or fragment.
 """
 
@@ -24,6 +28,8 @@ from ..runtime import ship
 from .common import materialize
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+#: Names without a dot that are sent to the captures as a list.
+TOP_NAMES = 4096
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
@@ -60,7 +66,11 @@ def temporal_filter(captures: DataFrame, events: DataFrame, url_col: str = "url"
     ship(captures.sparkSession)
     intervals = materialize(validity(events), "intervals")
     asked = captures.select(F.col(url_col).alias("asked_url"), F.col(at_col).alias("asked_at")).where("asked_url is not null and asked_at is not null").distinct()
-    keyed = asked.select("asked_url", "asked_at", F.explode(match_keys(F.col("asked_url"))).alias("entry"))
+    tops = [r.entry for r in intervals.where(~F.col("entry").contains(".") & ~F.col("entry").contains("/")).select("entry").distinct().limit(TOP_NAMES + 1).collect()]
+    keys = match_keys(F.col("asked_url"))
+    if len(tops) <= TOP_NAMES:
+        keys = F.filter(keys, lambda k: k.contains(".") | k.contains("/") | k.isin(tops))
+    keyed = asked.select("asked_url", "asked_at", F.explode(keys).alias("entry"))
     active = keyed.join(intervals, "entry").where((F.col("asked_at") >= F.col("valid_from")) & (F.col("valid_until").isNull() | (F.col("asked_at") < F.col("valid_until"))))
     best = F.min(F.struct((-F.length("entry")).alias("shorter"), F.col("entry")))
     verdicts = active.groupBy("asked_url", "asked_at").agg(F.count("*").alias("n"), best.alias("best"))

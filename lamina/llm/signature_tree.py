@@ -5,8 +5,8 @@
 2. Two sets that link must share a token of their first ``n - ceil(t n) + 1``
    in a global order, so a token's holders form a block; of prefixes a little
    longer they share several, and a set that shares fewer with all others is out.
-   The order puts tokens found often in a bounded sample last; any order is
-   exact, this one keeps blocks small.
+   The order puts tokens found often in a sample last, which grows with the
+   corpus; any order is exact, this one keeps blocks small.
 3. First pass: blocks of the few least tokens by hash and of similar size, each
    member checked against the least one.  The links join most groups of copies
    at linear cost.
@@ -40,8 +40,8 @@ from ..runtime import ship
 from .common import byte_texts, materialize, text_blocks
 from .components import components
 
-#: Documents of the sample that finds frequent tokens, and the count that makes one frequent.
-SAMPLE_DOCS, SAMPLE_HITS = 8000, 4
+#: Documents of the sample that finds frequent tokens: so many, or one in SAMPLE_SHARE; and the count that makes one frequent.
+SAMPLE_DOCS, SAMPLE_SHARE, SAMPLE_HITS = 8000, 64, 4
 #: Most frequent tokens that are kept (8 bytes each).
 MOST_FREQUENT = 1_000_000
 FIRST_TOKENS = 4
@@ -250,9 +250,13 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray |
 
 
 def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
-    """Tokens that are frequent in a sample of about ``SAMPLE_DOCS`` documents: a bounded, sorted array."""
+    """Tokens that are frequent in the sample: a sorted array of ``MOST_FREQUENT`` at most.
+
+    With one document in 64, a token in a few hundred documents is known as
+    frequent at any size of the corpus, so blocks of rare ones stay small.
+    """
     total = docs.count()
-    step = max(1, total // SAMPLE_DOCS)
+    step = max(1, total // max(SAMPLE_DOCS, total // SAMPLE_SHARE))
 
     def run(batches):
         shing = shingler(width)

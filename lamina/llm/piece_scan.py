@@ -35,6 +35,57 @@ CHUNK_CHARS = 32768
 SPACE = "▁"
 CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 500_000, 600_000, 40
 CACHED_PAIRS = 700_000
+#: Characters on both sides of a chunk: two of the longest pieces fit.
+CONTEXT = 64
+
+
+def fields(data: bytes) -> dict[int, list]:
+    """The fields of a protocol buffer message: number -> values (whole numbers, or bytes)."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            value |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return value
+
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            value = number()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or number()
+            value, at = data[at : at + size], at + size
+        out.setdefault(tag >> 3, []).append(value)
+    return out
+
+
+def check_model(proto: bytes) -> None:
+    """Raise for a model whose encoding this lattice does not give.
+
+    It must be a BPE model with byte fallback, identity normalisation, white
+    space kept as it is, a leading space mark, and no user-defined pieces.
+    """
+    # Field numbers of the public model format.
+    model, trainer_no, normalizer_no = fields(proto), 2, 3
+    trainer, normalizer = fields(model.get(trainer_no, [b""])[0]), fields(model.get(normalizer_no, [b""])[0])
+    kinds = {fields(p).get(3, [1])[0] for p in model.get(1, [])}
+    wrong = [
+        why
+        for why, bad in (
+            ("its type is not BPE", trainer.get(3, [1])[0] != 2), ("it has no byte fallback", not trainer.get(35, [0])[0]), ("it normalises text", bool(normalizer.get(2, [b""])[0])),
+            ("it adds no space mark in front", not normalizer.get(3, [1])[0]), ("it drops white space", bool(normalizer.get(4, [1])[0])), ("it does not mark spaces", not normalizer.get(5, [1])[0]),
+            ("it puts space marks behind words", bool(trainer.get(24, [0])[0])), ("it has user-defined pieces", 4 in kinds),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError("this model cannot be encoded by a scan: " + ", ".join(wrong))
 
 
 class Pieces:
@@ -44,11 +95,14 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        check_model(model.serialized_model_proto())
         n = model.get_piece_size()
         normal = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.id_of = {model.id_to_piece(i): i for i in normal}
         self.score = {p: model.get_score(i) for p, i in self.id_of.items()}
         self.longest = max(map(len, self.id_of))
+        if 2 * self.longest > CONTEXT:
+            raise ValueError(f"pieces of {self.longest} characters need more than {CONTEXT} on both sides of a chunk")
         self.bytes_of = [b""] * n
         for p, i in self.id_of.items():
             self.bytes_of[i] = p.replace(SPACE, " ").encode()
@@ -309,7 +363,7 @@ def _lists(ids: list[bytes]) -> pa.Array:
 
 def _scanned(giants: DataFrame, model_path: str, id_type: str, chunk: int) -> DataFrame:
     """Chunk rows, their matrices, the states per document, and the traces."""
-    context = 64  # characters on both sides; a piece and its neighbours are shorter
+    context = CONTEXT
     rows = giants.groupBy("id", F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     rows = rows.withColumn("text", F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))).withColumn("n", F.length("text"))
     cut = rows.select("id", "key", "copies", "text", "n", F.posexplode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk))).alias("k", "low"))

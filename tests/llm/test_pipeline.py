@@ -50,3 +50,22 @@ def test_empty_and_run(spark):
         assert stage(spark, empty(spark), "").count() == 0
     out = cp.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "ids", "n_pieces"] and 0 < out.count() <= 600
+
+
+def test_temporary_tables_go(spark):
+    """A run leaves the table that its result reads, and what the last stage wrote; clashing names crash no stage."""
+    from lamina.llm.common import written
+
+    before = len(written())
+    out = cp.run(spark, "/root/testdata/sf0.001")
+    left = [p.rsplit("/", 1)[-1] for p in written()[before:]]
+    assert left == ["source_mix"] + [p for p in left if p == "chunks"] and out.count() > 0
+
+
+def test_stage_columns_may_clash(spark):
+    from pyspark.sql import functions as F
+
+    docs = table(spark, corpus(seed=8, n=40)).withColumns({"n_lines_removed": F.lit("own"), "n_lines_removed_": F.lit(1), "taken": F.lit(2), "component_id": F.lit(3)})
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.where("n_lines_removed = 'own'").count() == out.count() > 0

@@ -135,6 +135,27 @@ def test_scan_matches_library(library, chunk):
         assert np.frombuffer(vocab.scan(piece_scan.mark(x), chunk), "<i4").tolist() == library.encode(x)
 
 
+def test_other_models_are_refused(tmp_path, monkeypatch):
+    """Unigram models, normalisers and the like would get wrong ids, so they raise."""
+    import sentencepiece
+
+    proto = sentencepiece.SentencePieceProcessor(model_file=PIECES).serialized_model_proto()
+    piece_scan.check_model(proto)
+    part = lambda number, data: bytes([number << 3 | 2]) + bytes([len(data) & 127 | 128, len(data) >> 7]) + data
+    trainer, normalizer = (piece_scan.fields(proto)[k][0] for k in (2, 3))
+    # Of a field that comes twice the reader takes the first, so the change leads.
+    changed = {"type is not BPE": part(2, b"\x18\x01" + trainer) + part(3, normalizer), "byte fallback": part(2, b"\x98\x02\x00" + trainer) + part(3, normalizer)}
+    changed |= {"normalises": part(2, trainer) + part(3, b"\x12\x01x" + normalizer), "in front": part(2, trainer) + part(3, b"\x18\x00" + normalizer), "drops white": part(2, trainer) + part(3, b"\x20\x01" + normalizer)}
+    changed |= {"user-defined": part(1, b"\x0a\x01a\x18\x04") + part(2, trainer) + part(3, normalizer)}
+    piece_scan.check_model(part(2, trainer) + part(3, normalizer))
+    for why, data in changed.items():
+        with pytest.raises(ValueError, match=why):
+            piece_scan.check_model(data)
+    monkeypatch.setattr(piece_scan, "CONTEXT", 31)
+    with pytest.raises(ValueError, match="pieces of 16"):
+        piece_scan.Pieces(PIECES)
+
+
 def test_prefix_products_are_associative():
     rng = np.random.default_rng(0)
     ms = [np.where(rng.random((4, 4)) < 0.5, 0.0, -np.inf) for _ in range(7)]

@@ -40,6 +40,8 @@ DIVISOR = 8
 MIN_LINES, MIN_WORDS = 2, 10
 #: Words on one line that make it a passage of its own.
 LINE_WORDS = 50
+#: Tasks that share the pairs of one line.
+SALTS = 16
 #: Line hashes: 31 bits of MD5, so SQL can follow them.
 MODULUS = 1 << 31
 FACTOR = 31
@@ -79,8 +81,11 @@ def pair_ends(rows: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     pairs = rows.where("before is not null").groupBy("pair").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("line_key").alias("line_key"), F.first(rolled).alias("rolled"))
     pairs = materialize(pairs.where("n > 1"), "pairs")
     most = pairs.select(F.explode(F.array("before", "line_key")).alias("line"), "n").groupBy("line").agg(F.max("n").alias("most"))
-    side = lambda c: most.select(F.col("line").alias(c), F.col("most").alias(f"most_{c}"))
-    both = pairs.join(side("before"), "before").join(side("line_key"), "line_key")
+    # A common line is in very many pairs, so its maximum goes to SALTS tasks.
+    most = most.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    side = lambda c: most.select(F.col("line").alias(c), "salt", F.col("most").alias(f"most_{c}"))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("pair", F.lit(3)), F.lit(SALTS)).cast("int"))
+    both = salted.join(side("before"), ["before", "salt"]).join(side("line_key"), ["line_key", "salt"])
     return both.select("pair", (F.col("rolled") | (F.col("n") < F.greatest("most_before", "most_line_key"))).alias("ends"))
 
 

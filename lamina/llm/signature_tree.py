@@ -14,10 +14,12 @@
    the OR of its members' token bitmaps, their size range and the slack of the
    bitmaps; a dual traversal drops node pairs that cannot reach the overlap they
    would need, and those that are in one component already.  Larger blocks are
-   cut into chunks, and every pair of chunks is a task of its own, so no block is
-   capped.  A second pass, over ``TREE_TOKENS`` tokens by hash, verifies the
-   likeliest pairs of each document, which joins most that is left; a third, over
-   all prefix tokens, verifies every candidate whose components still differ.
+   cut into chunks.  A second pass, over ``TREE_TOKENS`` tokens by hash, meets
+   each chunk with itself and verifies the likeliest pairs of each document, which
+   joins most that is left; blocks of several chunks are dealt again, so their
+   chunks join too.  A third, over all prefix tokens, meets every pair of chunks in
+   a task of its own, so no block is capped, and verifies every candidate whose
+   components still differ.
 5. Candidates are verified on the exact sets of the whole texts.
 
 Edge cases: null and empty texts have an empty set and link with nothing;
@@ -29,7 +31,7 @@ node: what links to one of them links to all.
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ MOST_FREQUENT = 1_000_000
 FIRST_TOKENS = 4
 #: Tokens of the second pass, and the pairs of each document that it verifies.
 TREE_TOKENS, LIKELIEST = 8, 3
+#: Times that it deals blocks larger than a chunk to chunks.
+TURNS = 2
 CHUNK = 1024
 LEAF = 16
 #: Percent of its size by which a prefix is longer than one common token would need.
@@ -333,14 +337,22 @@ def first_pass(reps: DataFrame) -> DataFrame:
     return rows.join(least, ["token", "band"]).where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
 
 
-def block_pairs(reps: DataFrame, percent: int, of: str = "prefix", chunk: int = CHUNK) -> DataFrame:
+def mixed_blocks(reps: DataFrame, of: str, chunk: int = CHUNK) -> DataFrame:
+    """(token, chunks): the blocks that hold several components, and the chunks they are cut into."""
+    rows = reps.select("label", F.explode(of).alias("token"))
+    mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held"))
+    return materialize(mixed.where(F.col("low") != F.col("high")).select("token", F.ceil(F.col("held") / chunk).alias("chunks")), "mixed")
+
+
+def block_pairs(reps: DataFrame, percent: int, mixed: DataFrame, of: str = "prefix", turn: int = 0) -> DataFrame:
     """(a, b, estimate): candidates of the blocks that hold several components.
 
-    ``of``: the tokens that make blocks; over "prefix" no link is missed.
+    ``of``: the tokens that make blocks.  Over "prefix" every pair of a block's
+    chunks is traversed and no link is missed.  Over "heads" each chunk meets
+    itself alone, dealt anew each ``turn``, and of each member only the likeliest
+    pairs come out, so the cost is linear in the size of a group.
     """
     rows = reps.select("id", "label", F.posexplode(of).alias("place", "token"))
-    mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held"))
-    mixed = materialize(mixed.where(F.col("low") != F.col("high")).select("token", F.ceil(F.col("held") / chunk).alias("chunks")), "mixed")
     members = rows.select("id", "place", "token").join(mixed, "token")
     sets = reps.select("id", "label", "n", "bitmap")
     if of == "prefix":
@@ -352,8 +364,10 @@ def block_pairs(reps: DataFrame, percent: int, of: str = "prefix", chunk: int =
         members = members.join(sets, "id").where(F.col("place") < F.col("n") - most + 1)
     else:
         members = members.join(sets, "id")
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("chunks")))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5 + turn)), F.col("chunks")))
+    everyone = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    members = members.withColumn("other", F.explode(everyone) if of == "prefix" else F.col("chunk"))
+    best = None if of == "prefix" else LIKELIEST
     members = members.select("token", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "label", "n", "bitmap", "chunk")
     dealt = members.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
@@ -364,12 +378,12 @@ def block_pairs(reps: DataFrame, percent: int, of: str = "prefix", chunk: int =
             for row in zip(*[batch.column(k).to_pylist() for k in range(8)]):
                 if row[:3] != key:
                     if len(held) > 1:
-                        found += block_candidates(held, percent, key[1], key[2])
+                        found += most_likely(block_candidates(held, percent, key[1], key[2]), best)
                     key, held = row[:3], []
                 held.append(row[3:])
             yield _pairs(found)
         if len(held) > 1:
-            yield _pairs(block_candidates(held, percent, key[1], key[2]))
+            yield _pairs(most_likely(block_candidates(held, percent, key[1], key[2]), best))
 
     return dealt.mapInArrow(run, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
@@ -380,6 +394,20 @@ def _pairs(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(list(best.values()), type=pa.float64())], names=["a", "b", "estimate"])
 
 
+def most_likely(found: list[tuple[int, int, float]], best: int | None) -> list[tuple[int, int, float]]:
+    """Of each id its ``best`` pairs, in the order of :func:`likeliest`, to which the others of a block can't belong; None: all."""
+    if best is None:
+        return found
+    taken: Counter = Counter()
+    out = []
+    for a, b, estimate in sorted(((min(a, b), max(a, b), e) for a, b, e in found), key=lambda p: (-p[2], p[0], p[1])):
+        if taken[a] < best or taken[b] < best:
+            out.append((a, b, estimate))
+        taken[a] += 1
+        taken[b] += 1
+    return out
+
+
 def likeliest(pairs: DataFrame, most: int) -> DataFrame:
     """(a, b): for each document its pairs of the highest estimates; the rest waits for the pass over all."""
     both = pairs.select(F.col("a").alias("own"), "a", "b", "estimate").union(pairs.select(F.col("b").alias("own"), "a", "b", "estimate"))
@@ -411,11 +439,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = materialize(verify(materialize(plausible(first_pass(reps), reps, percent), "pairs"), keyed, width, percent).unionByName(ties), "links")
     labelled = relabel(reps, links)
-    near = likeliest(materialize(block_pairs(labelled, percent, "heads", chunk), "near"), LIKELIEST)
-    more = verify(materialize(near, "pairs"), keyed, width, percent)
-    links = materialize(links.union(more), "links")
-    labelled = relabel(reps, links)
-    rest = verify(materialize(block_pairs(labelled, percent, "prefix", chunk).select("a", "b"), "pairs"), keyed, width, percent)
+    for turn in range(TURNS):
+        mixed = mixed_blocks(labelled, "heads", chunk)
+        near = likeliest(materialize(block_pairs(labelled, percent, mixed, "heads", turn), "near"), LIKELIEST)
+        more = verify(materialize(near, "pairs"), keyed, width, percent)
+        links = materialize(links.union(more), "links")
+        labelled = relabel(reps, links)
+        if mixed.where("chunks > 1").isEmpty():  # every block was met whole
+            break
+    mixed = mixed_blocks(labelled, "prefix", chunk)
+    rest = verify(materialize(block_pairs(labelled, percent, mixed).select("a", "b"), "pairs"), keyed, width, percent)
     final = components(links.union(rest))
 
     ends = classes.join(final, classes.rep == final.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"))

@@ -66,6 +66,31 @@ def test_last_pass_alone_is_complete(spark, monkeypatch):
     assert result(st.jaccard_components(table(spark, rows), width=4, percent=85, chunk=16)) == brute(rows, 4, 85)
 
 
+def test_likeliest_pairs_come_out_of_blocks():
+    """What a block leaves out of the second pass is nobody's likeliest pair; what comes out is linear in its members."""
+    rng = random.Random(12)
+    found = [(a, b, round(rng.random(), 2)) for a in range(60) for b in range(a + 1, 60)]
+    got = st.most_likely([(b, a, e) if rng.random() < 0.5 else (a, b, e) for a, b, e in found], 3)
+    want = set()
+    for i in range(60):
+        want |= set(sorted((p for p in found if i in p[:2]), key=lambda p: (-p[2], p[0], p[1]))[:3])
+    assert set(got) == want and len(got) <= 180 and st.most_likely(found, None) == found
+
+
+def test_hub_is_no_near_copy_of_most(spark):
+    """Copies with one edit each, far enough apart not to link, around one text with a large id that links to all."""
+    rng = random.Random(13)
+    base = prose(rng, 90).replace("\n", " ").split(" ")
+    texts = []
+    for k in range(80):
+        own = list(base)
+        own[4 + k] = f"own{k}"
+        texts.append(" ".join(own))
+    rows = [(i, t, "en", "s", None) for i, t in enumerate([*texts, " ".join(base)])]
+    got = st.jaccard_components(table(spark, rows), chunk=16)
+    assert result(got) == brute(rows, 5, 80) and got.select("component_id").distinct().count() == 1
+
+
 def test_tree_prunes_no_link():
     rng = np.random.default_rng(1)
     sets = []

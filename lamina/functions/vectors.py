@@ -16,7 +16,8 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """v / |v|; a zero vector stays as it is."""
-    return F.transform(a, lambda x: F.when(norm(a) > 0, x / norm(a)).otherwise(x.cast("double")))
+    # The norm is a lambda's argument, so it is computed once for all components.
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,18 +1,21 @@
 """Chunking: fixed token windows, runs of whole elements, and sections under headings.
 
-A document's elements are folded in one array expression that carries a single
-integer (the first element of the open chunk) and emits index ranges only; the
-text is joined from the ranges afterwards.
+Fixed windows are array expressions.  Runs of elements depend on where the run
+before them ended, so sorted documents are folded one after the other in Arrow
+batches, a document's elements at a time.
 
 ``overlap`` counts tokens in fixed chunks and whole elements elsewhere.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as fn
+from ..runtime import ship
 from .elements import READ, reading_text
+from .ordered import sorted_documents, spans, whole_documents
 
 STRATEGIES = ("fixed", "semantic", "hierarchical")
 CHUNK_SIZE, OVERLAP = 500, 50
@@ -48,35 +51,55 @@ def chunk_id(number: Column) -> Column:
     return F.concat(F.col("doc_id"), F.lit("-chunk-"), number.cast("string"))
 
 
-def ranges(elements: Column, size: int, overlap: int, headings_reset: bool) -> Column:
-    """array<struct<lo,hi>> of an array of elements with fields t (tokens) and upto (their running sum before)."""
-    start = F.struct(F.lit(0).alias("lo"), F.array().cast("array<struct<lo:int,hi:int>>").alias("out"))
+def cuts(tokens: list[int], types: list[str], size: int, overlap: int, headings_reset: bool) -> list[tuple[int, int]]:
+    """(lo, hi) of the runs of whole elements: one closes before the element that would overflow it."""
+    out, lo, held = [], 0, 0
+    for i, n in enumerate(tokens):
+        if held + n > size and held > 0:
+            out.append((lo, i))
+            lo = i if headings_reset and types[i] == "heading" else max(lo, i - overlap)
+            held = sum(tokens[lo:i])
+        held += n
+    return [*out, (lo, len(tokens))] if tokens else out
 
-    def step(s, i):
-        e = F.get(elements, i)
-        current = e["upto"] - F.get(elements, s["lo"])["upto"]
-        over = (current + e["t"] > size) & (current > 0)
-        kept = F.greatest(s["lo"], i - overlap)
-        fresh = F.when(e["element_type"] == "heading", i).otherwise(kept) if headings_reset else kept
-        emitted = F.concat(s["out"], F.array(F.struct(s["lo"].alias("lo"), i.alias("hi"))))
-        return F.struct(F.when(over, fresh).otherwise(s["lo"]).alias("lo"), F.when(over, emitted).otherwise(s["out"]).alias("out"))
 
-    end = lambda s: F.concat(s["out"], F.array(F.struct(s["lo"].alias("lo"), F.size(elements).alias("hi"))))
-    return F.when(F.size(elements) > 0, F.aggregate(F.sequence(F.lit(0), F.size(elements) - 1), start, step, end)).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))
+def _folded(elements: DataFrame, pieces) -> DataFrame:
+    """Chunks of documents that are sorted within their partitions and folded as they pass: one shuffle, linear time.
 
-
-def _gathered(elements: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """(keys, e): each group's elements in order, with token counts and their running sum."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = elements.withColumn("t", fn.token_count(F.col("content")).cast("long"))
-    rows = rows.withColumns({"place": F.row_number().over(w), "upto": F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))})
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "t", "upto", "element_type", "content", "element_id", "page"))).alias("e"))
-
-
-def _chunk_columns(part: Column) -> list[Column]:
-    """Text, ids, types and page range of a slice of elements; pages are (0, 0) without elements."""
-    each = lambda name: F.transform(part, lambda x: x[name])
-    return [F.array_join(each("content"), "\n").alias("text"), each("element_id").alias("element_ids"), each("element_type").alias("element_types"), F.coalesce(F.array_min(each("page")), F.lit(0)).alias("page_start"), F.coalesce(F.array_max(each("page")), F.lit(0)).alias("page_end")]
+    ``pieces(types, tokens, places)`` gives a document's chunks, from its
+    elements in page order, as (elements, heading element or None, whether the
+    heading is repeated in front).
+    """
+    ship(elements.sparkSession)
+    rows = elements.select("doc_id", "page", "y0", "x0", "pos", "element_type", "element_id", "content", F.coalesce(fn.token_count(F.col("content")), F.lit(0)).cast("int").alias("t"))
+    rows = sorted_documents(rows, "page", "y0", "x0", "pos").select("doc_id", "page", "pos", "element_type", "element_id", "content", "t")
+    text = pa.list_(pa.string())
+
+    def run(batches):
+        for batch in whole_documents(batches, 0):
+            ids, pages, places, types, names, contents, tokens = [batch.column(k).to_pylist() for k in range(7)]
+            out = []
+            for a, b in spans(ids):
+                for number, (chosen, head, again) in enumerate(pieces(types[a:b], tokens[a:b], places[a:b])):
+                    held = [a + i for i in chosen]
+                    heading = None if head is None else contents[a + head]
+                    body = "\n".join([contents[i] for i in held if contents[i] is not None])
+                    known = [pages[i] for i in held if pages[i] is not None] or [0]
+                    out.append((a, number, f"{ids[a]}-chunk-{number}", heading, f"{heading or ''} (continued)\n{body}" if again else body, [names[i] for i in held], [types[i] for i in held], min(known), max(known)))
+            columns = list(zip(*out)) or [[] for _ in range(9)]
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), text, text, pa.int32(), pa.int32()]
+            arrays = [pa.array(c, type=k) for c, k in zip(columns[1:], kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], type=pa.int64())), *arrays], names=["doc_id", "chunk_no", "chunk_id", "heading", "text", "element_ids", "element_types", "page_start", "page_end"])
+
+    kind = elements.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, chunk_no int, chunk_id string, heading string, text string, element_ids array<string>, element_types array<string>, page_start int, page_end int")
+
+
+def _flat(types: list[str], tokens: list[int], places: list[int], size: int, overlap: int):
+    """A document's semantic chunks: its texts, paragraphs and headings in the order of ``pos``."""
+    read = sorted((i for i, t in enumerate(types) if t in READ), key=places.__getitem__)
+    for lo, hi in cuts([tokens[i] for i in read], [types[i] for i in read], size, overlap, True):
+        yield read[lo:hi], None, False
 
 
 def semantic_chunks(elements: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -87,10 +110,7 @@ def semantic_chunks(elements: DataFrame, size: int = CHUNK_SIZE, overlap: int =
     element above the size stays whole.
     """
     _check(size, overlap)
-    rows = _gathered(elements.where(F.col("element_type").isin(*READ)), ["doc_id"], ["pos"])
-    cut = rows.select("doc_id", "e", F.posexplode(ranges(F.col("e"), size, overlap, True)).alias("chunk_no", "r"))
-    part = F.slice("e", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo"))
-    return cut.select("doc_id", "chunk_no", chunk_id(F.col("chunk_no")).alias("chunk_id"), F.lit(None).cast("string").alias("heading"), *_chunk_columns(part))
+    return _folded(elements.where(F.col("element_type").isin(*READ)), lambda types, tokens, places: _flat(types, tokens, places, size, overlap))
 
 
 def hierarchical_chunks(elements: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -101,25 +121,18 @@ def hierarchical_chunks(elements: DataFrame, size: int = CHUNK_SIZE, overlap: in
     "(continued)".  Documents without a heading are chunked semantically.
     """
     _check(size, overlap)
-    heading = F.col("element_type") == "heading"
-    w = Window.partitionBy("doc_id").orderBy("page", "y0", "x0", "pos")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = elements.withColumn("place_in_doc", F.row_number().over(w)).withColumn("top", F.last(F.when(heading, F.struct("pos", "content")), ignorenulls=True).over(upto))
-    has_heading = elements.where(heading).select("doc_id").distinct()
-    rows = rows.where(F.col("top").isNotNull()).withColumns({"section": F.col("top.pos"), "title": F.col("top.content")})
-    grouped = _gathered(rows, ["doc_id", "section", "title"], ["place_in_doc"])
-    total = F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x["t"])
-    whole = F.array(F.struct(F.lit(0).alias("lo"), F.size("e").alias("hi")))
-    parts = F.when(total <= size, whole).otherwise(ranges(F.col("e"), size, overlap, False))
-    cut = grouped.select("doc_id", "section", "title", "e", F.posexplode(parts).alias("part", "r"))
-    piece = F.slice("e", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo"))
-    text, *rest = _chunk_columns(piece)
-    led = F.when(F.col("part") > 0, F.concat(F.col("title"), F.lit(" (continued)\n"), text)).otherwise(text).alias("text")
-    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "part")) - 1).cast("int")
-    out = cut.select("doc_id", number.alias("chunk_no"), F.col("title").alias("heading"), led, *rest)
-    out = out.select("doc_id", "chunk_no", chunk_id(F.col("chunk_no")).alias("chunk_id"), "heading", "text", "element_ids", "element_types", "page_start", "page_end")
-    flat = semantic_chunks(elements.join(has_heading, "doc_id", "left_anti"), size, overlap)
-    return out.unionByName(flat)
+
+    def pieces(types, tokens, places):
+        heads = [i for i, t in enumerate(types) if t == "heading"]
+        if not heads:
+            yield from _flat(types, tokens, places, size, overlap)
+        sections = zip(heads, [*heads[1:], len(types)])
+        for a, b in sorted(sections, key=lambda s: places[s[0]]):
+            parts = [(0, b - a)] if sum(tokens[a:b]) <= size else cuts(tokens[a:b], types[a:b], size, overlap, False)
+            for k, (lo, hi) in enumerate(parts):
+                yield list(range(a + lo, a + hi)), a, k > 0
+
+    return _folded(elements, pieces)
 
 
 class Chunker:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import boxes
+from ..runtime import ship
+from .ordered import sorted_documents, spans, whole_documents
 
 LINE_TOLERANCE, CLUSTER_GAP, BINS = 5.0, 50.0, 50
 
@@ -13,22 +17,31 @@ def reading_order(elements: DataFrame, tolerance: float = LINE_TOLERANCE) -> Dat
     """``elements`` with ro_pos: per page from top to bottom in lines, and along each line.
 
     A line takes boxes, by (y0, x0), whose centre is within the tolerance of the
-    centre of the line's first box, which a fold over the page's sorted boxes finds.
+    centre of the line's first box.  That needs the boxes one after the other, so
+    documents are sorted within their partitions and folded as they pass, in time
+    linear in their boxes.  Rows equal in place and ``pos`` are numbered each.
     """
-    kind = elements.schema["pos"].dataType.simpleString()
-    in_page = elements.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "pos", boxes.center_y().alias("cy")))).alias("boxes"))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).cast("double").alias("anchor"), F.array().cast(f"array<struct<line:int,x0:double,y0:double,pos:{kind}>>").alias("out"))
-
-    def step(s, b):
-        same = (s["line"] >= 0) & (F.abs(b["cy"] - s["anchor"]) <= tolerance)
-        line = F.when(same, s["line"]).otherwise(s["line"] + 1)
-        row = F.struct(line.alias("line"), b["x0"].alias("x0"), b["y0"].alias("y0"), b["pos"].alias("pos"))
-        return F.struct(line.alias("line"), F.when(same, s["anchor"]).otherwise(b["cy"]).alias("anchor"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    placed = in_page.select("doc_id", "page", F.explode(F.array_sort(F.aggregate("boxes", start, step, lambda s: s["out"]))).alias("b"))
-    w = Window.partitionBy("doc_id").orderBy("page", "b.line", "b.x0", "b.y0", "b.pos")
-    ranks = placed.select("doc_id", F.col("b.pos").alias("pos"), (F.row_number().over(w) - 1).cast("int").alias("ro_pos"))
-    return elements.join(ranks, ["doc_id", "pos"])
+    ship(elements.sparkSession)
+    names = [c for c in elements.columns if c != "ro_pos"]
+    row = F.struct(*names).alias("row")
+    keys = sorted_documents(elements.select(row, "doc_id", "page", "y0", "x0", "pos", boxes.center_y().alias("cy")), "page", "y0", "x0", "pos")
+
+    def run(batches):
+        for batch in whole_documents(batches, 1):
+            ids, pages, tops, lefts, places, centres = [batch.column(k).to_pylist() for k in range(1, 7)]
+            ranks = np.empty(len(ids), dtype=np.int32)
+            for a, b in spans(ids):
+                start = a
+                for k in range(a + 1, b + 1):
+                    if k < b and pages[k] == pages[start] and None not in (centres[k], centres[start]) and abs(centres[k] - centres[start]) <= tolerance:
+                        continue
+                    line = range(start, k) if k - start < 2 else sorted(range(start, k), key=lambda i: [(v is not None, v) for v in (lefts[i], tops[i], places[i])])  # noqa: B023
+                    ranks[line] = np.arange(start - a, k - a)
+                    start = k
+            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), pa.array(ranks)], names=[*names, "ro_pos"])
+
+    kinds = ", ".join(f"`{c}` {elements.schema[c].dataType.simpleString()}" for c in names)
+    return keys.mapInArrow(run, f"{kinds}, ro_pos int")
 
 
 def single_line_order(elements: DataFrame) -> DataFrame:

@@ -39,6 +39,7 @@ def parse_pdf(content: bytes, elements: list[dict], metadata: dict) -> None:
     doc = fitz.open(stream=content, filetype="pdf")
     info = doc.metadata or {}
     metadata.update({"pages": len(doc), "title": info.get("title", ""), "author": info.get("author", ""), "creator": info.get("creator", ""), "creation_date": info.get("creationDate", "")})
+    metadata["page_sizes"] = [[page.rect.width, page.rect.height] for page in doc]
     for n, page in enumerate(doc):
         for block in page.get_text("dict")["blocks"]:
             for line in block.get("lines", []):
@@ -64,6 +65,7 @@ def _parse_pdf_words(content: bytes, elements: list[dict], metadata: dict) -> No
     with pdfplumber.open(io.BytesIO(content)) as pdf:
         info = pdf.metadata or {}
         metadata.update({"pages": len(pdf.pages), "title": info.get("Title", ""), "author": info.get("Author", "")})
+        metadata["page_sizes"] = [[float(page.width), float(page.height)] for page in pdf.pages]
         for n, page in enumerate(pdf.pages):
             for w in group_chars(page.chars):
                 elements.append(element(span_type(w["size"], 0), w["text"], w["x0"], w["y0"], w["x1"], w["y1"], page=n, style={"font": w["font"], "size": w["size"]}))

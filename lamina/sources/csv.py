@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -31,6 +32,20 @@ def sniff(sample: str) -> dict:
     return found
 
 
+def csv_rows(content: str, delimiter: str):
+    """The rows of a text that are not empty; fields may have any length. Raises csv.Error where the rest cannot be read."""
+    csv.field_size_limit(2**31 - 1)
+    return (r for r in csv.reader(io.StringIO(content, newline=""), delimiter=delimiter) if r)
+
+
+def _readable(content: str, delimiter: str):
+    """The same up to the first row that cannot be read."""
+    try:
+        yield from csv_rows(content, delimiter)
+    except csv.Error:
+        return
+
+
 def csv_dialects(docs: DataFrame, id_col: str, csv_col: str) -> DataFrame:
     """(doc_id, delimiter, quotechar, has_header, line_count, max_columns) of each file."""
     ship(docs.sparkSession)
@@ -41,7 +56,7 @@ def csv_dialects(docs: DataFrame, id_col: str, csv_col: str) -> DataFrame:
             rows = []
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 facts = sniff(content)
-                widths = [len(r) for r in csv.reader(io.StringIO(content, newline=""), delimiter=facts["delimiter"])]
+                widths = [len(r) for r in _readable(content, facts["delimiter"])]
                 rows.append({"doc_id": doc, **facts, "line_count": len(widths), "max_columns": max(widths, default=0)})
             kind = [("doc_id", pa.string()), ("delimiter", pa.string()), ("quotechar", pa.string()), ("has_header", pa.bool_()), ("line_count", pa.int64()), ("max_columns", pa.int64())]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kind))
@@ -50,29 +65,42 @@ def csv_dialects(docs: DataFrame, id_col: str, csv_col: str) -> DataFrame:
 
 
 def csv_cells(docs: DataFrame, id_col: str, csv_col: str, delimiter: str = ",") -> DataFrame:
-    """The cells of each file; short rows are filled with empty cells, long ones cut at the header's width."""
+    """The cells of each file.
+
+    Short rows are filled with empty cells up to the header's width; cells beyond
+    it have the column name ``column_<number>``.  A file that cannot be read to
+    its end gives the rows before.
+    """
     ship(docs.sparkSession)
     chosen = docs.where(F.col(csv_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc_id"), F.col(csv_col).alias("content"))
-    kind = pa.schema([("doc_id", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("column_name", pa.string()), ("value", pa.string()), ("is_header", pa.bool_())])
 
     def run(batches):
         for batch in batches:
-            rows: list[dict] = []
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                names: list[str] = []
-                reader = (r for r in csv.reader(io.StringIO(content, newline=""), delimiter=delimiter) if r)
-                for n, values in enumerate(reader):
-                    names = names or values
-                    for c, name in enumerate(names):
-                        rows.append({"doc_id": doc, "row": n, "col": c, "column_name": name, "value": values[c] if c < len(values) else "", "is_header": n == 0})
-                    if len(rows) > 50_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=kind)
-                        rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                names: list[str] | None = None
+                widths, values, begun = [], [], 0
+                for row in _readable(content, delimiter):
+                    names = row if names is None else names
+                    values += row + [""] * (len(names) - len(row))
+                    widths.append(max(len(row), len(names)))
+                    if len(values) > 50_000:
+                        yield _cells(doc, names, begun, widths, values)
+                        begun, widths, values = begun + len(widths), [], []
+                if widths:
+                    yield _cells(doc, names, begun, widths, values)
 
     return chosen.mapInArrow(run, CELL)
 
 
+def _cells(doc: str, names: list[str], begun: int, widths: list[int], values: list[str]) -> pa.RecordBatch:
+    """Cells of consecutive rows, the first of which has the number ``begun``."""
+    n = np.array(widths)
+    row, col = np.repeat(np.arange(begun, begun + len(n)), n), np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+    every = names + [f"column_{c + 1}" for c in range(len(names), int(n.max()))]
+    columns = [pa.array([doc]).take(pa.array(np.zeros(len(values), np.int32))), pa.array(row, type=pa.int32()), pa.array(col, type=pa.int32()), pa.array(every, type=pa.string()).take(pa.array(col)), pa.array(values, type=pa.string()), pa.array(row == 0)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "col", "column_name", "value", "is_header"])
+
+
 def table_cells(rows: DataFrame, doc: Column, row: Column, columns: list[str]) -> DataFrame:
     """Cells of the columns of a DataFrame, as if it were a file: no Python, no shuffle; header cells are not made."""
     items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import codecs
 import mimetypes
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..schema import PARSED
+from ..runtime import materialize, ship
+from ..schema import ELEMENT, PARSED
 from . import binary, html, json, office, text, xml
-from .csv import csv_cells, csv_elements
-from .flatten import _PARSED, _map, parse_one, parsed_elements
+from .csv import csv_cells, csv_elements, csv_rows, sniff
+from .flatten import _ELEMENT, _PARSED, _map, parse_one
 
 # Suffixes of each type, in the order of dispatch.
 SUFFIXES = {
@@ -36,7 +38,7 @@ def file_type(path: Column) -> Column:
 
 
 def encoding(content: Column) -> Column:
-    """A guess at the encoding of bytes: by a byte-order mark, else utf-8 if they are valid, else latin-1; a record, not used to read."""
+    """A guess at the encoding of bytes: by a byte-order mark, else utf-8 if they are valid, else latin-1 (as :func:`decode` reads them)."""
     head = F.hex(F.substring(content, 1, 3))
     return (
         F.when(head == "EFBBBF", "utf-8-sig").when(head.startswith("FFFE"), "utf-16-le").when(head.startswith("FEFF"), "utf-16-be")
@@ -56,8 +58,20 @@ def scan_pdf(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, path).where(F.col("file_type") == "pdf")
 
 
-def _decoded(files: DataFrame, kind: str) -> DataFrame:
-    return files.where(F.col("file_type") == kind).select("path", F.decode("content", "utf-8").alias("text"))
+#: A file-name pattern of the supported types, in any case, so other files' contents are never read.
+SUPPORTED = "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for xs in SUFFIXES.values() for x in xs) + "}"
+
+
+def decode(content: bytes) -> tuple[str, str, str | None]:
+    """(text, encoding, error): by a byte-order mark, else UTF-8; what is neither is read as latin-1, with an error."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if content.startswith(mark):
+            text = content.decode(name, "replace")
+            return text, {codecs.BOM_UTF16_LE: "utf-16-le", codecs.BOM_UTF16_BE: "utf-16-be"}.get(mark, name), "broken characters were replaced" if "\ufffd" in text else None
+    try:
+        return content.decode("utf-8"), "utf-8", None
+    except UnicodeDecodeError as e:
+        return content.decode("latin-1"), "latin-1", f"not UTF-8 (byte {e.start}), read as latin-1"
 
 
 def _word(content: bytes, elements: list, metadata: dict) -> None:
@@ -68,62 +82,111 @@ def _excel(content: bytes, elements: list, metadata: dict) -> None:
     (office.parse_workbook if content[:2] == b"PK" else office.parse_legacy_workbook)(content, elements, metadata)
 
 
+def _image(content: bytes, elements: list, metadata: dict) -> None:
+    metadata["file_size"] = len(content)
+    binary.parse_image(content, elements, metadata)
+
+
 def _text_facts(content: str, elements: list, metadata: dict) -> None:
-    metadata.update({"total_characters": len(content), "encoding": "utf-8"})
+    metadata["total_characters"] = len(content)
 
 
 def _csv_facts(content: str, elements: list, metadata: dict) -> None:
-    from .csv import sniff
-
     metadata.update({**sniff(content), "file_size": len(content)})
+    metadata["line_count"] = sum(1 for _ in csv_rows(content, ","))  # raises where the file cannot be read to its end
+
+
+#: The parser of each type; those of _TEXTS take text, those of _LATER leave its elements to JVM expressions.
+PARSERS = {"pdf": binary.parse_pdf, "word": _word, "image": _image, "excel": _excel, "html": html.parse, "json": json.parse, "xml": xml.parse, "text": _text_facts, "csv": _csv_facts}
+_TEXTS, _LATER = ("text", "csv", "html", "json"), ("text", "csv")
+_ROW = "array<struct<pos:int,element_id:string,element_type:string,content:string,page:int,x0:double,y0:double,x1:double,y1:double,confidence:double,style:map<string,string>,metadata:map<string,string>>>"
+FILE = f"{PARSED}, text string, elements {_ROW}"
+_FILE = _PARSED.append(pa.field("text", pa.string())).append(pa.field("elements", pa.list_(pa.struct([_ELEMENT.field(n) for n in ("pos", "element_id", "element_type", "content", "page", "x0", "y0", "x1", "y1", "confidence", "style", "metadata")]))))
+#: Bytes of content that are parsed before rows leave.
+PARSED_BYTES = 4 << 20
+
+
+def parse_file(path: str, kind: str, content: bytes | None) -> dict:
+    """The row of one file: facts, errors, and its text (text, CSV) or elements (all others). Nothing raises."""
+    row = {"doc_id": path, "file_type": kind, "parser_used": kind, "text": None, "elements": []}
+    if kind not in PARSERS:
+        return row | {"parser_used": None, "metadata": _map({"mime_type": mimetypes.guess_type(path)[0]}), "errors": [f"no parser for {path}"]}
+    if content is None:
+        return row | {"metadata": [], "errors": ["no content"]}
+    given, facts, notes = content, {}, []
+    if kind in _TEXTS:
+        given, facts["encoding"], note = decode(content)
+        notes = [note] if note else []
+    elements, metadata, errors = parse_one(PARSERS[kind], given)
+    if kind == "xml" and errors and not elements:  # bytes of no known encoding, or a wrong declaration
+        text, facts["encoding"], note = decode(content)
+        again = parse_one(PARSERS[kind], text)
+        if not again[2]:
+            elements, metadata, errors = again[0], again[1], [note or f"read as {facts['encoding']}: {errors[0]}"]
+    rows = [{**e, "pos": n, "element_id": e["element_id"] or f"{e['element_type']}_{n}", "style": _map(e["style"]), "metadata": _map(e["metadata"])} for n, e in enumerate(elements)]
+    return row | {"metadata": _map({**metadata, **facts}), "errors": notes + errors or None, "text": given if kind in _LATER else None, "elements": rows}
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """(``FILE``) one row for each scanned file: every content is read and parsed once.
+
+    Write the result before using both its documents and its elements.
+    """
+    ship(files.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            rows, size = [], 0
+            for k in range(batch.num_rows):
+                content = batch.column(2)[k].as_py()
+                rows.append(parse_file(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), content))
+                size += len(content or b"")
+                if size > PARSED_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_FILE)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=_FILE)
 
+    return files.select("path", "file_type", "content").mapInArrow(run, FILE)
 
-PARSERS = {"pdf": binary.parse_pdf, "word": _word, "image": binary.parse_image, "excel": _excel, "html": html.parse, "json": json.parse, "xml": xml.parse}
-_FACTS = PARSERS | {"text": _text_facts, "csv": _csv_facts}
-_BYTES = ("pdf", "word", "image", "excel")
+
+def documents_of(parsed: DataFrame) -> DataFrame:
+    """(``PARSED``) of parsed files."""
+    return parsed.drop("text", "elements")
+
+
+def elements_of(parsed: DataFrame) -> DataFrame:
+    """The element rows of parsed files; a file without content or of no known type has none."""
+    texts = lambda kind: parsed.where((F.col("file_type") == kind) & F.col("text").isNotNull()).select("doc_id", "text")
+    trees = parsed.where(~F.col("file_type").isin(*_LATER)).select("doc_id", F.explode("elements").alias("e")).select("doc_id", "e.*")
+    return text.text_elements(texts("text")).unionByName(csv_elements(csv_cells(texts("csv"), "doc_id", "text"))).unionByName(text.finish(trees))
 
 
 def file_elements(files: DataFrame) -> DataFrame:
     """Elements of scanned files of every supported type; the path is the document."""
-    parts = [text.text_elements(_decoded(files, "text"), "path", "text"), csv_elements(csv_cells(_decoded(files, "csv"), "path", "text"))]
-    for kind, parser in PARSERS.items():
-        rows = files.where(F.col("file_type") == kind) if kind in _BYTES else _decoded(files, kind)
-        parts.append(parsed_elements(rows, parser, "path", "content" if kind in _BYTES else "text"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return elements_of(materialize(parse_files(files), "parsed"))
 
 
 def file_documents(files: DataFrame) -> DataFrame:
     """One row per scanned file: type, parser, metadata, errors."""
-    from ..runtime import ship
+    return documents_of(parse_files(files))
 
-    ship(files.sparkSession)
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for path, kind, content in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                if kind not in _FACTS:
-                    rows.append({"doc_id": path, "file_type": kind, "parser_used": None, "metadata": _map({"mime_type": mimetypes.guess_type(path)[0]}), "errors": [f"no parser for {path}"]})
-                    continue
-                given = content if kind in _BYTES else content.decode("utf-8", "replace")
-                _, metadata, errors = parse_one(_FACTS[kind], given)
-                rows.append({"doc_id": path, "file_type": kind, "parser_used": kind, "metadata": _map(metadata), "errors": errors or None})
-            yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
-
-    return files.select("path", "file_type", "content").mapInArrow(run, PARSED)
+def scan_all(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file_type, content) of all files: contents of supported types, null for others, which are only listed."""
+    known = scan(spark, path, SUPPORTED).select("path", "file_type", "content")
+    others = scan(spark, path).where(F.col("file_type") == "unsupported").select("path", "file_type", F.lit(None).cast("binary").alias("content"))
+    return known.unionByName(others)
 
 
 def parse_path(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, elements) of one file or folder; a path that does not exist is a document of type 'unknown' with an error."""
+    """(documents, elements) of one file or folder; a path that does not exist is a document of type 'unknown' with an error.
+
+    Contents are read once, into a temporary table of parsed files.
+    """
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         row = spark.createDataFrame([(path, "unknown", None, {}, [f"no such file: {path}"])], PARSED)
-        from ..schema import ELEMENT
-
         return row, spark.createDataFrame([], ELEMENT)
-    files = scan(spark, path)
-    return file_documents(files), file_elements(files)
+    parsed = materialize(parse_files(scan_all(spark, path)), "parsed")
+    return documents_of(parsed), elements_of(parsed)

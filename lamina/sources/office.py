@@ -66,6 +66,12 @@ def cell_value(cell, strings: list[str]):
     return int(number) if number.is_integer() and "." not in v.text and "e" not in v.text.lower() else number
 
 
+def merged_cells(tree) -> set[tuple[int, int]]:
+    """The first cells of merged ranges, which hold their values."""
+    found = [re.match(r"([A-Z]+)(\d+)", m.get("ref", "")) for m in tree.iter(f"{S}mergeCell")]
+    return {(int(m[2]), column_number(m[1])) for m in found if m}
+
+
 def _styles(z: zipfile.ZipFile) -> list[dict]:
     tree = _part(z, "xl/styles.xml")
     if tree is None:
@@ -91,6 +97,7 @@ def parse_workbook(content: bytes, elements: list[dict], metadata: dict) -> None
         looks = _styles(z)
         metadata.update({"sheets": len(found), "sheet_names": [n for n, _ in found], "active_sheet": active})
         for page, (name, tree) in enumerate(found):
+            merged = merged_cells(tree)
             cells = {}
             for c in tree.iter(f"{S}c"):
                 m = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r", ""))
@@ -101,6 +108,8 @@ def parse_workbook(content: bytes, elements: list[dict], metadata: dict) -> None
                 text = str(v)
                 kind = "heading" if row == 1 or (isinstance(v, str) and len(v) < 50 and v.isupper()) else "text"
                 facts = {"sheet": name, "row": row, "column": col, "address": f"{letters}{row}", "column_letter": letters, "data_type": type(v).__name__}
+                if (row, col) in merged:
+                    facts["is_merged"] = True
                 style = looks[int(c.get("s", 0))] if looks else {}
                 elements.append(element(kind, text, (col - 1) * WIDE, (row - 1) * HIGH, col * WIDE, row * HIGH, page=page, style=style, metadata=facts))
             if not cells:
@@ -143,7 +152,7 @@ def parse_document(content: bytes, elements: list[dict], metadata: dict) -> None
             rows = [["\n".join(_paragraph(p) for p in c.findall(f"{W}p")).strip() for c in r.findall(f"{W}tc")] for r in t.findall(f"{W}tr")]
             elements.append(element("table", "\n".join("\t".join(r) for r in rows), 0, y, 600, y + 20 * len(rows), metadata={"rows": len(rows), "columns": len(rows[0]) if rows else 0}))
             y += 25 * len(rows)
-        metadata["page_height"] = y
+        metadata.update({"page_width": 600, "page_height": y})
 
 
 def _paragraph(p) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as fn
 from ..runtime import ship
 
+# What a code block and a table of pipes are.
 CODE_BLOCK = re.compile(r"```(\w+)?\n(.*?)\n```", re.S)
 PIPE_TABLE = re.compile(r"\|.*\|(?:\n\|.*\|)*")
 LINE_HEIGHT, CHAR_WIDTH = 20, 8
@@ -115,19 +116,25 @@ def special_spans(text: str) -> list[dict]:
 
 def special_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, element_type, content, width, top, bottom, metadata) of code blocks and pipe tables."""
+    return _special(docs, id_col, text_col).drop("held")
+
+
+def _special(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same with ``held``, the number of the text's non-blank lines."""
     ship(docs.sparkSession)
-    chosen = docs.where(F.col(text_col).contains("```") | F.col(text_col).contains("|")).select(F.col(id_col).alias("doc_id"), fn.newlines(F.col(text_col)).alias("text"))
+    held = F.size(F.filter(_lines(F.col(text_col)), lambda x: fn.strip(x) != ""))
+    chosen = docs.where(F.col(text_col).contains("```") | F.col(text_col).contains("|")).select(F.col(id_col).alias("doc_id"), fn.newlines(F.col(text_col)).alias("text"), held.alias("held"))
     id_type = chosen.schema[0].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [{"doc_id": doc, "n": n, **x, "metadata": list(x["metadata"].items())} for n, x in enumerate(special_spans(text))]
-            kind = pa.schema([("doc_id", batch.schema.field(0).type), ("n", pa.int32()), ("element_type", pa.string()), ("content", pa.string()), ("width", pa.int32()), ("top", pa.int32()), ("bottom", pa.int32()), ("metadata", pa.map_(pa.string(), pa.string()))])
+            for doc, text, held in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                rows += [{"doc_id": doc, "n": n, **x, "metadata": list(x["metadata"].items()), "held": held} for n, x in enumerate(special_spans(text))]
+            kind = pa.schema([("doc_id", batch.schema.field(0).type), ("n", pa.int32()), ("element_type", pa.string()), ("content", pa.string()), ("width", pa.int32()), ("top", pa.int32()), ("bottom", pa.int32()), ("metadata", pa.map_(pa.string(), pa.string())), ("held", pa.int32())])
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return chosen.mapInArrow(run, f"doc_id {id_type}, n int, element_type string, content string, width int, top int, bottom int, metadata map<string,string>")
+    return chosen.mapInArrow(run, f"doc_id {id_type}, n int, element_type string, content string, width int, top int, bottom int, metadata map<string,string>, held int")
 
 
 def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:
@@ -154,8 +161,7 @@ def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.lit(0.0).alias("x0"), (F.col("line_no") * LINE_HEIGHT).cast("double").alias("y0"), (F.length("line") * CHAR_WIDTH).cast("double").alias("x1"), ((F.col("line_no") + 1) * LINE_HEIGHT).cast("double").alias("y1"), facts.alias("metadata"),
     )
     if special:
-        held = docs.where(F.col(text_col).contains("```") | F.col(text_col).contains("|")).select(F.col(id_col).alias("doc_id"), F.size(F.filter(_lines(F.col(text_col)), lambda x: fn.strip(x) != "")).alias("held"))
-        more = special_elements(docs, id_col, text_col).join(held, "doc_id").select(
+        more = _special(docs, id_col, text_col).select(
             "doc_id", (F.col("held") + F.col("n")).cast("int").alias("pos"), "element_type", "content", F.lit(0.0).alias("x0"), (F.col("top") * LINE_HEIGHT).cast("double").alias("y0"),
             (F.col("width") * CHAR_WIDTH).cast("double").alias("x1"), (F.col("bottom") * LINE_HEIGHT).cast("double").alias("y1"), "metadata",
         )

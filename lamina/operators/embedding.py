@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..runtime import ship
 
 
+#: Words that a hashing embedder remembers.
+CACHED_WORDS = 300_000
+
+
 class Embedder(Protocol):
     dimension: int
 
@@ -29,14 +33,22 @@ class HashingEmbedder:
     """Signed feature hashing of lower-case words, unit length; equal texts have equal vectors everywhere."""
 
     def __init__(self, dimension: int = 256):
-        self.dimension = dimension
+        self.dimension, self.known = dimension, {}
+
+    def _place(self, word: str) -> int:
+        """The word's dimension, plus the number of dimensions where its sign is minus; remembered."""
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        h = xxhash.xxh3_64_intdigest(word.encode())
+        self.known[word] = at = h % self.dimension + (0 if h >> 63 else self.dimension)
+        return at
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dimension))
+        out, known = np.zeros((len(texts), self.dimension)), self.known
         for row, text in zip(out, texts):
-            for word in text.lower().split():
-                h = xxhash.xxh3_64_intdigest(word.encode())
-                row[h % self.dimension] += 1.0 if h >> 63 else -1.0
+            places = [known[w] if w in known else self._place(w) for w in text.lower().split()]
+            counts = np.bincount(np.array(places, dtype=np.int64), minlength=2 * self.dimension)
+            row += counts[: self.dimension] - counts[self.dimension :]
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, size, out=out, where=size > 0).tolist()
 

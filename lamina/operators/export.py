@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import materialize, ship
 from . import layout
 
 STYLE = (
@@ -37,6 +41,38 @@ def json_column(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.to_json(F.struct(*rows.columns)).alias("json"))
 
 
+def write_files(rows: DataFrame, folder: str, ending: str) -> DataFrame:
+    """Write each (doc_id, json) to ``<folder>/<stem of the id><ending>``; returns the written (doc_id, file).
+
+    A stem that several ids share is followed by a hash of the id.  Files are
+    written under a name of the task's attempt and renamed, so none is partial.
+    """
+    spark = ship(rows.sparkSession)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace("doc_id", r"^.*/", ""), r"\.[^.]*$", ""), r"[^\p{L}\p{N}._ -]", "_")
+    named = rows.select("doc_id", "json", F.substring(stem, 1, 100).alias("stem"))
+    shared = named.groupBy("stem").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").select("stem", F.lit(True).alias("shared"))
+    named = named.join(shared, "stem", "left")
+    name = F.concat("stem", F.when(F.col("shared"), F.concat(F.lit("_"), F.substring(F.md5("doc_id"), 1, 12))).otherwise(F.lit("")), F.lit(ending))
+
+    def run(batches):
+        context = TaskContext.get()
+        for batch in batches:
+            out = []
+            for doc, text, file in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                files, path = pafs.FileSystem.from_uri(folder)
+                files.create_dir(path, recursive=True)
+                mine = f"{path}/.{file}.{context.taskAttemptId()}"
+                with files.open_output_stream(mine) as sink:
+                    sink.write(text.encode())
+                files.move(mine, f"{path}/{file}")
+                out.append({"doc_id": doc, "file": f"{folder}/{file}"})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.string()), ("file", pa.string())]))
+
+    return materialize(named.select(F.col("doc_id").cast("string"), "json", name.alias("name")).mapInArrow(run, "doc_id string, file string"), "files")
+
+
 def escaped(text):
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
@@ -32,15 +34,25 @@ class ExtractiveGenerator:
 class HttpGenerator:
     """A completion service: 'openai' (POST {url}/completions) or 'llamacpp' (POST {url}/completion)."""
 
-    def __init__(self, url: str, protocol: str = "openai", model: str | None = None, key: str | None = None, timeout: float = 120.0):
+    def __init__(self, url: str, protocol: str = "openai", model: str | None = None, key: str | None = None, timeout: float = 120.0, tries: int = 4, pause: float = 1.0, at_once: int = 8):
         if protocol not in ("openai", "llamacpp"):
             raise ValueError(f"unknown protocol: {protocol}")
         self.url, self.protocol, self.model, self.key, self.timeout = url.rstrip("/"), protocol, model, key, timeout
+        self.tries, self.pause, self.at_once = tries, pause, at_once
 
     def _post(self, path: str, body: dict) -> dict:
+        """The service's answer; what may pass (no connection, 429, 5xx) is tried again after a pause that doubles."""
         head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
-        with urllib.request.urlopen(urllib.request.Request(self.url + path, json.dumps(body).encode(), head), timeout=self.timeout) as answer:
-            return json.load(answer)
+        for n in range(self.tries):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(self.url + path, json.dumps(body).encode(), head), timeout=self.timeout) as answer:
+                    return json.load(answer)
+            except (urllib.error.URLError, TimeoutError) as e:
+                lasting = isinstance(e, urllib.error.HTTPError) and e.code != 429 and e.code < 500
+                if lasting or n + 1 == self.tries:
+                    raise
+                time.sleep(self.pause * 2**n)
+        raise ValueError("tries must be positive")
 
     def generate(self, prompt: str, max_tokens: int = 512, temperature: float = 0.7, stops: list[str] = ()) -> str:
         if self.protocol == "llamacpp":
@@ -93,7 +105,13 @@ def generate_column(rows: DataFrame, prompt_col: str = "prompt", kind: str = "ex
     def run(batches):
         model = create_generator(kind, **config)
         for b in batches:
-            answers = [None if p is None else model.generate(p, max_tokens, temperature, list(stops)) for p in b.column(at).to_pylist()]
+            one = lambda p: None if p is None else model.generate(p, max_tokens, temperature, list(stops))
+            given = b.column(at).to_pylist()
+            if getattr(model, "at_once", 1) > 1:  # a service takes several requests at a time
+                with ThreadPoolExecutor(model.at_once) as pool:
+                    answers = list(pool.map(one, given))
+            else:
+                answers = [one(p) for p in given]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, type=pa.string())], names=[*names, "answer"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

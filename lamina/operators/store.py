@@ -1,22 +1,31 @@
 """A vector store over Parquet: add, get, query, delete, count.
 
-Every write is a new generation of files; ``delete`` and ``clear`` write the
-rest beside the old generation and then move a small pointer table, so a reader
-never sees half a change.  Search is exact.
+A collection is a generation of files, to which every addition adds a folder;
+``delete`` and ``clear`` write the rest as a new generation and then move a small
+pointer table, so a reader never sees half a change.  Additions of several
+writers don't disturb each other; a deletion must be the only change at its
+time, as it would leave out what is added meanwhile.  Search is exact.
 """
 
 from __future__ import annotations
 
+import heapq
 import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import vectors as vec
+from ..runtime import ship
 from ..schema import VECTOR
 
 #: Ids or filters longer than this go through a join instead of an IN list.
 MANY = 1000
+#: Bytes of queries that are sent to the rows at a time, and the blocks that are multiplied.
+SLICE_BYTES, BLOCK_ROWS, BLOCK_QUERIES = 64 << 20, 4096, 1024
 
 
 def top_k(collection: DataFrame, query: list[float], k: int = 5, filters: dict | None = None, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
@@ -34,19 +43,77 @@ def matching(collection: DataFrame, filters: dict | None) -> DataFrame:
     return collection
 
 
-def top_k_batch(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_embedding", block_rows: int = 1_000_000) -> DataFrame:
+def top_k_batch(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_embedding", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(query_id, rank, id, score) for a stated set of queries against all rows, in blocks.
 
-    Queries and rows meet on block numbers: every row lies in one row block, and
-    each query goes to all of them, so the rows are shuffled once and the work
-    is spread however few the queries are.  Ranks are limited before they merge.
+    Queries are sent to the rows as matrices of ``slice_bytes`` at most, one scan
+    of the collection for each; a task multiplies its rows a block at a time,
+    keeps the best k of each query, and only those are shuffled.  Scores are
+    cosines to 12 decimals, so equal vectors score alike wherever they lie; ties
+    go to the lesser id.  Null and zero vectors score 0; those of another
+    dimension than a query are not compared with it.
     """
-    blocks = max(1, -(-collection.count() // block_rows)) * 8
-    rows = collection.select(F.col(id_col), F.col(vector_col).alias("row_vector"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
-    asked = queries.select(F.col(query_id), F.col(query_vector).alias("query_vector"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    scored = rows.join(asked, "block").select(query_id, id_col, vec.cosine(F.col("row_vector"), F.col("query_vector")).alias("score"))
+    spark = ship(collection.sparkSession)
+    chosen = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("q is not null and v is not null")
+    total, width = chosen.agg(F.count("*"), F.max(F.size("v"))).first()
+    slices = max(1, -(-total * 8 * max(width or 1, 1) // slice_bytes))
+    kind_q, kind_i = queries.schema[query_id].dataType.simpleString(), collection.schema[id_col].dataType.simpleString()
+    rows = collection.select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
+    schema = f"`{query_id}` {kind_q}, `{id_col}` {kind_i}, score double"
+    found = None
+    for n in range(slices):
+        part = chosen if slices == 1 else chosen.where(F.pmod(F.xxhash64("q"), F.lit(slices)) == n)
+        by_width: dict[int, tuple[list, list]] = {}
+        for r in part.toLocalIterator():
+            ids, vectors = by_width.setdefault(len(r.v), ([], []))
+            ids.append(r.q)
+            vectors.append(r.v)
+        packed = {w: (ids, _unit(np.array(vectors, dtype=np.float64).reshape(len(ids), w))) for w, (ids, vectors) in by_width.items()}
+        hits = rows.mapInArrow(_best(spark.sparkContext.broadcast(packed), k, query_id, id_col), schema)
+        found = hits if found is None else found.unionByName(hits)
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", id_col, "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", id_col, "score")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _best(shared, k: int, query_id: str, id_col: str):
+    """A map over (id, vector) batches to the best k rows of each query in a partition."""
+
+    def run(batches):
+        best: dict = {}  # (width, number of the query): sorted [(-score, id)]
+        floors = {width: np.full(len(ids), -np.inf) for width, (ids, _) in shared.value.items()}
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                block = batch.slice(start, BLOCK_ROWS)
+                vectors = block.column(1)
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(vectors), -1))
+                for width, (ids, matrix) in shared.value.items():
+                    own = np.flatnonzero((sizes == width) | (sizes < 0))
+                    if not len(own):
+                        continue
+                    mine = np.zeros((len(own), width))
+                    full = sizes[own] == width
+                    mine[full] = np.asarray(pc.fill_null(vectors.take(pa.array(own[full])).flatten(), 0.0)).reshape(-1, width)
+                    names = block.column(0).take(pa.array(own)).to_pylist()
+                    for low in range(0, len(ids), BLOCK_QUERIES):
+                        scores = np.round(matrix[low : low + BLOCK_QUERIES] @ _unit(mine).T, 12) + 0.0
+                        known = floors[width][low : low + BLOCK_QUERIES]
+                        for q in np.flatnonzero(scores.max(axis=1) >= known).tolist():
+                            own_floor = known[q] if len(own) <= k else max(known[q], np.partition(scores[q], len(own) - k)[len(own) - k])
+                            new = [(-float(scores[q, j]), names[j]) for j in np.flatnonzero(scores[q] >= own_floor) if names[j] is not None]
+                            held = best[width, low + q] = heapq.nsmallest(k, best.get((width, low + q), []) + new)
+                            if len(held) == k:
+                                known[q] = -held[-1][0]
+        for width, (ids, _) in shared.value.items():
+            rows = [(ids[q], name, -score + 0.0) for q in range(len(ids)) for score, name in best.get((width, q), ())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[query_id, id_col, "score"])
+
+    return run
 
 
 def create_store(spark: SparkSession, path: str, kind: str = "parquet", **config) -> VectorStore:
@@ -76,12 +143,15 @@ class VectorStore:
         self.spark.createDataFrame([(time.time(), generation)], "at double, generation string").coalesce(1).write.mode("append").json(f"{self.path}/current")
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(VECTOR).parquet(f"{self.path}/{self._generation()}")
+        return self._table(f"{self.path}/{self._generation()}")
+
+    def _table(self, path: str) -> DataFrame:
+        return self.spark.read.schema(VECTOR).option("recursiveFileLookup", "true").parquet(path)
 
     def clear(self) -> None:
         """An empty collection from here on."""
         generation = uuid.uuid4().hex
-        self.spark.createDataFrame([], VECTOR).write.parquet(f"{self.path}/{generation}")
+        self.spark.createDataFrame([], VECTOR).write.parquet(f"{self.path}/{generation}/empty")
         self._point(generation)
 
     def add(self, rows: DataFrame) -> DataFrame:
@@ -95,13 +165,10 @@ class VectorStore:
             from .embedding import checked
 
             new = checked(new, self.dimension)
-        if "chunk_id" not in rows.columns:
-            # The ids that are returned must be those that were written.
-            staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-            new.write.parquet(staged)
-            new = self.spark.read.schema(VECTOR).parquet(staged)
-        new.write.mode("append").parquet(f"{self.path}/{self._generation()}")
-        return new.select("chunk_id")
+        # Every addition has a folder of its own, from which the ids are read back: those returned are those written.
+        added = f"{self.path}/{self._generation()}/{uuid.uuid4().hex}"
+        new.write.parquet(added)
+        return self._table(added).select("chunk_id")
 
     def _wanted(self, ids: list[str] | DataFrame) -> tuple[Column | None, DataFrame | None]:
         if isinstance(ids, DataFrame):
@@ -126,7 +193,7 @@ class VectorStore:
         rows = self.read()
         rest = rows.where(~where | F.col("chunk_id").isNull()) if join is None else rows.join(join, "chunk_id", "left_anti").select(*rows.columns)
         generation = uuid.uuid4().hex
-        rest.write.parquet(f"{self.path}/{generation}")
+        rest.write.parquet(f"{self.path}/{generation}/rest")
         self._point(generation)
 
     def count(self) -> int:

@@ -30,11 +30,18 @@ class Engine:
         self.dimension = create_embedder(embedder, **self.embedder_config).dimension
         self.store = VectorStore(spark, f"{self.folder}/vectors", self.dimension)
 
-    def _stage(self, rows: DataFrame, name: str, stats: dict) -> DataFrame:
-        began, path = time.time(), f"{self.folder}/{name}"
-        rows.write.mode("overwrite").parquet(path)
+    def _stage(self, rows: DataFrame, name: str, stats: dict, batch: str) -> DataFrame:
+        """Write a stage's rows of this ingest beside those of earlier ones; returns the rows written."""
+        began, path = time.time(), f"{self.folder}/{name}/batch={batch}"
+        rows.write.parquet(path)
         stats[f"{name}_seconds"] = time.time() - began
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def stage(self, name: str) -> DataFrame:
+        """The rows of a stage ('documents', 'elements', 'chunks') from the last ingest of each document."""
+        rows = self.spark.read.parquet(f"{self.folder}/{name}").withColumn("batch", F.col("batch").cast("string"))
+        last = self.spark.read.parquet(f"{self.folder}/documents").groupBy("doc_id").agg(F.max(F.col("batch").cast("string")).alias("batch"))
+        return rows.join(last, ["doc_id", "batch"], "left_semi").drop("batch")
 
     def ingest(self, path: str) -> dict:
         """Parse, chunk, embed and store a file or every file of a folder; failed files are counted, not raised."""
@@ -48,9 +55,10 @@ class Engine:
 
     def _ingest(self, documents: DataFrame, elements: DataFrame) -> dict:
         stats: dict = {}
-        documents = self._stage(documents, "documents", stats)
-        elements = self._stage(layout.reading_order(elements), "elements", stats)
-        chunks = self._stage(self.chunker.chunks(elements), "chunks", stats)
+        batch = f"b{time.time_ns():020d}"  # later ingests sort behind earlier ones
+        documents = self._stage(documents, "documents", stats, batch)
+        elements = self._stage(layout.reading_order(elements), "elements", stats, batch)
+        chunks = self._stage(self.chunker.chunks(elements), "chunks", stats, batch)
         data = F.create_map(F.lit("source"), F.col("doc_id"), F.lit("page_range"), F.concat_ws("-", "page_start", "page_end"), F.lit("heading"), F.coalesce("heading", F.lit("")))
         rows = chunks.select("chunk_id", "text", data.alias("metadata"))
         began = time.time()
@@ -83,18 +91,32 @@ class Engine:
     def clear(self) -> None:
         self.store.clear()
 
+    def file_status(self) -> DataFrame:
+        """(doc_id, file_type, status, errors, n_elements, n_chunks): what became of each document, 'ok' or 'failed'."""
+        count = lambda name, to: self.stage(name).groupBy("doc_id").agg(F.count("*").alias(to))
+        rows = self.stage("documents").join(count("elements", "n_elements"), "doc_id", "left").join(count("chunks", "n_chunks"), "doc_id", "left")
+        failed = F.coalesce(F.size("errors") > 0, F.lit(False))
+        none = F.lit(0).cast("long")
+        return rows.select("doc_id", "file_type", F.when(failed, "failed").otherwise("ok").alias("status"), "errors", F.coalesce("n_elements", none).alias("n_elements"), F.coalesce("n_chunks", none).alias("n_chunks"))
+
+    def export_documents(self, folder: str) -> DataFrame:
+        """A JSON file for each ingested document and its chunks: ``parsed/<stem>.json`` and ``chunks/<stem>_chunks.json``; returns (doc_id, file)."""
+        parsed = export.json_column(export.positioned(self.stage("documents"), self.stage("elements").drop("ro_pos")))
+        parts = self.stage("chunks").groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk_id", "heading", "text", "page_start", "page_end")))).alias("json"))
+        return export.write_files(parsed, f"{folder}/parsed", ".json").unionByName(export.write_files(parts, f"{folder}/chunks", "_chunks.json"))
+
     def export_layout(self, path: str, form: str = "json") -> None:
         """The ingested documents' layout as JSON lines or HTML texts."""
-        elements = self.spark.read.parquet(f"{self.folder}/elements").drop("ro_pos")
+        elements = self.stage("elements").drop("ro_pos")
         if form == "json":
-            export.write_json(export.positioned(self.spark.read.parquet(f"{self.folder}/documents"), elements), path)
+            export.write_json(export.positioned(self.stage("documents"), elements), path)
         elif form == "html":
             export.html_pages(elements).select("html").write.mode("overwrite").text(path, lineSep="\n")
         else:
             raise ValueError(f"unknown export format: {form}")
 
     def stage_statistics(self) -> DataFrame:
-        """(doc_id, n_elements, n_chunks) of the last ingest."""
-        e = self.spark.read.parquet(f"{self.folder}/elements").groupBy("doc_id").agg(F.count("*").alias("n_elements"))
-        c = self.spark.read.parquet(f"{self.folder}/chunks").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+        """(doc_id, n_elements, n_chunks) of all ingested documents."""
+        e = self.stage("elements").groupBy("doc_id").agg(F.count("*").alias("n_elements"))
+        c = self.stage("chunks").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
         return e.join(c, "doc_id", "left").select("doc_id", "n_elements", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"))

@@ -87,7 +87,10 @@ def text_doc_metadata(spark, sf_dir):
     return text.document_metadata(table(spark, sf_dir, "documents")).drop("encoding", "line_endings")
 
 
-@query()
+@query(rf"""WITH {LINES}, t AS (SELECT doc_id, line_no, line, regexp_extract(line, '\|.*\|') AS s, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS above FROM l),
+r AS (SELECT *, CASE WHEN starts_with(line, '|') AND ends_with(above, '|') AND regexp_matches(above, '\|.*\|') THEN 0 ELSE 1 END AS opens FROM t WHERE s <> ''),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM r)
+SELECT doc_id, (k - 1)::INT AS n, 'table' AS element_type, string_agg(s, chr(10) ORDER BY line_no) AS content, max(length(s)) AS width, min(line_no) AS top, min(line_no) + count(*) AS bottom FROM g GROUP BY doc_id, k""")
 def text_special_elements(spark, sf_dir):
     return text.special_elements(table(spark, sf_dir, "documents")).drop("metadata")
 
@@ -138,6 +141,21 @@ def reading_order(spark, sf_dir):
     return layout.reading_order(rows).select("doc_id", "pos", "ro_pos")
 
 
+#: Lines of a page by a fold over its boxes, then numbers along the lines.
+ORDERED = """WITH RECURSIVE b AS (SELECT c_nationkey::VARCHAR AS doc_id, c_custkey % 3 AS page, c_custkey AS pos, (c_custkey * 37 % 600)::DOUBLE AS x0, (c_custkey * 53 % 800)::DOUBLE AS y0, (c_custkey * 53 % 800 + 6)::DOUBLE AS cy FROM customer),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, pos) AS i FROM b),
+f AS (SELECT doc_id, page, i, cy AS anchor, 0 AS line FROM s WHERE i = 1
+  UNION ALL SELECT s.doc_id, s.page, s.i, CASE WHEN abs(s.cy - f.anchor) <= 5 THEN f.anchor ELSE s.cy END, CASE WHEN abs(s.cy - f.anchor) <= 5 THEN f.line ELSE f.line + 1 END
+  FROM f JOIN s ON s.doc_id = f.doc_id AND s.page = f.page AND s.i = f.i + 1)
+SELECT s.doc_id, pos, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.page, line, x0, y0, pos) - 1 AS ro_pos FROM s JOIN f ON f.doc_id = s.doc_id AND f.page = s.page AND f.i = s.i"""
+
+
+@query(ORDERED)
+def reading_order_lines(spark, sf_dir):
+    rows = _boxes(spark, sf_dir).withColumn("page", F.col("pos") % 3)
+    return layout.reading_order(rows).select("doc_id", "pos", "ro_pos")
+
+
 @query(f"WITH {LINES} SELECT doc_id::VARCHAR AS doc_id, string_agg(content, chr(10) ORDER BY pos) AS content FROM e WHERE element_type IN ('text', 'paragraph', 'heading') GROUP BY ALL")
 def reading_order_text(spark, sf_dir):
     return el.reading_text(_lines_elements(spark, sf_dir))
@@ -269,9 +287,23 @@ def bbox_pairs_overlap(spark, sf_dir):
     return layout.overlapping(_boxes(spark, sf_dir))
 
 
-@query(f"WITH {BOXES} SELECT doc_id, page, element1 AS parent, element2 AS child FROM p WHERE nests")
+#: Boxes of many sizes, a grid of large ones first, so some hold others.
+NESTING = BOXES.replace("(c_custkey * 37 % 600 + 20 + c_nationkey)::DOUBLE AS x1, (c_custkey * 53 % 800 + 12)::DOUBLE AS y1", "(c_custkey * 37 % 600 + 900 / (1 + c_custkey % 40) + 2)::DOUBLE AS x1, (c_custkey * 53 % 800 + 900 / (1 + c_custkey % 40) + 2)::DOUBLE AS y1")
+
+
+def _nesting(spark, sf_dir):
+    wide = F.lit(900) / (1 + F.col("pos") % 40) + 2
+    return _boxes(spark, sf_dir).withColumns({"x1": F.col("x0") + wide, "y1": F.col("y0") + wide})
+
+
+@query(f"WITH {NESTING} SELECT doc_id, page, element1 AS parent, element2 AS child FROM p WHERE nests")
 def bbox_pairs_nested(spark, sf_dir):
-    return layout.nested(_boxes(spark, sf_dir))
+    return layout.nested(_nesting(spark, sf_dir))
+
+
+@query(f"WITH {NESTING} SELECT doc_id, page, element1, element2, CASE WHEN nests THEN 'contains' ELSE 'intersects' END AS overlap_type FROM p WHERE xo AND yo")
+def bbox_overlap_types(spark, sf_dir):
+    return layout.overlapping(_nesting(spark, sf_dir))
 
 
 @query(f"""WITH {BOXES} SELECT doc_id, page, element1, element2, CASE WHEN abs(ax1 - bx0) <= abs(ay1 - by0) THEN 'horizontal' ELSE 'vertical' END AS adjacency_type FROM p
@@ -340,9 +372,14 @@ def bbox_properties(spark, sf_dir):
     return _boxes(spark, sf_dir).select("pos", boxes.width().alias("width"), boxes.height().alias("height"), boxes.center_x().alias("center_x"), boxes.center_y().alias("center_y"))
 
 
-@query(f"""WITH {BOXES} SELECT doc_id, count(*) AS total_elements, count(DISTINCT page) AS pages FROM b GROUP BY doc_id""")
+@query(f"""WITH {BOXES}, g AS (SELECT doc_id, page, (x0 + x1) / 2 AS cx, pos FROM b), w AS (SELECT *, CASE WHEN cx - lag(cx) OVER (PARTITION BY doc_id, page ORDER BY cx, pos) > 50 THEN 1 ELSE 0 END AS new FROM g),
+k AS (SELECT doc_id, page, count(*) AS n, sum(new) + 1 AS k FROM w GROUP BY ALL)
+SELECT doc_id, sum(n)::BIGINT AS total_elements, count(*) AS pages, sum(n)::BIGINT AS texts, string_agg(CASE WHEN n < 3 THEN 'unknown' WHEN k = 1 THEN 'single_column' WHEN k = 2 THEN 'two_column' ELSE 'multi_column' END, ',' ORDER BY page) AS flow,
+sum(n)::BIGINT AS in_columns FROM k GROUP BY doc_id""")
 def layout_totals(spark, sf_dir):
-    return layout.layout_analysis(_boxes(spark, sf_dir)).select("doc_id", "total_elements", "pages")
+    rows = layout.layout_analysis(_boxes(spark, sf_dir))
+    held = F.aggregate(F.flatten(F.transform("columns", lambda c: c["elements_per_column"])), F.lit(0).cast("long"), lambda s, n: s + n)
+    return rows.select("doc_id", "total_elements", "pages", F.col("element_types")["text"].alias("texts"), F.array_join(F.transform("reading_flow", lambda x: x["flow_type"]), ",").alias("flow"), held.alias("in_columns"))
 
 
 # ---- Cells ----------------------------------------------------------------------------------
@@ -414,9 +451,9 @@ def row_data(spark, sf_dir):
     return profile.row_data(_cells(spark, sf_dir), 77)
 
 
-@query(f"WITH {CELLS} SELECT doc_id, row, col, value FROM cells WHERE contains(lower(value), 'customer#1')")
+@query(f"WITH {CELLS} SELECT doc_id, row, col, value FROM cells WHERE contains(lower(value), 'customer#00000000')")
 def find_cells(spark, sf_dir):
-    return profile.find_cells(_cells(spark, sf_dir), "Customer#1").select("doc_id", "row", "col", "value")
+    return profile.find_cells(_cells(spark, sf_dir), "Customer#00000000").select("doc_id", "row", "col", "value")
 
 
 @query(f"""WITH {CELLS}, d AS (SELECT DISTINCT doc_id FROM cells), g AS (SELECT doc_id, r.i AS row, c.i AS col FROM d, range(70, 81) r(i), range(1, 4) c(i))
@@ -445,13 +482,26 @@ def _nation_csv(spark, sf_dir):
     return rows.select("doc_id", F.concat(F.lit("n_nationkey,n_name\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("content"))
 
 
-@query()
+@query("""WITH f AS (SELECT n_regionkey::VARCHAR AS doc_id, n_nationkey::VARCHAR AS a, n_name AS b, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row FROM nation
+  UNION ALL SELECT DISTINCT n_regionkey::VARCHAR, 'n_nationkey', 'n_name', 0 FROM nation),
+e AS (SELECT doc_id, 3 * row AS pos, row, CASE WHEN row = 0 THEN 'heading' ELSE 'text' END AS element_type, a || chr(9) || b AS content, 0.0 AS x0, 200.0 AS x1, row * 20.0 AS y0, row * 20.0 + 20 AS y1 FROM f
+  UNION ALL SELECT doc_id, 3 * row + 1, row, CASE WHEN row = 0 THEN 'heading' ELSE 'text' END, a, 0, 100, row * 20, row * 20 + 20 FROM f
+  UNION ALL SELECT doc_id, 3 * row + 2, row, CASE WHEN row = 0 THEN 'heading' ELSE 'text' END, b, 100, 200, row * 20, row * 20 + 20 FROM f
+  UNION ALL SELECT doc_id, 3 * count(*), NULL, 'table', string_agg(a || chr(9) || b, chr(10) ORDER BY row), 0, 200, 0, count(*) * 20 FROM f GROUP BY doc_id)
+SELECT doc_id, pos::INT AS pos, element_type || '_' || pos AS element_id, element_type, content, 0 AS page, x0::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1, 1.0::DOUBLE AS confidence, NULL::VARCHAR AS parent_id,
+(row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, pos) - 1)::INT AS ro_pos FROM e""")
 def csv_elements(spark, sf_dir):
     cells = csv_source.csv_cells(_nation_csv(spark, sf_dir), "doc_id", "content")
-    return csv_source.csv_reading_order(csv_source.csv_elements(cells, profile.column_profile(cells))).drop("style", "metadata")
+    return csv_source.csv_reading_order(csv_source.csv_elements(cells)).drop("style", "metadata")
 
 
 @query()
+def csv_statistics(spark, sf_dir):
+    cells = csv_source.csv_cells(_nation_csv(spark, sf_dir), "doc_id", "content")
+    return csv_source.csv_elements(cells, profile.column_profile(cells)).where(F.col("element_type") == "annotation").select("doc_id", "pos", "content", "y0", "y1")
+
+
+@query("SELECT n_regionkey::VARCHAR AS doc_id, ',' AS delimiter, '\"' AS quotechar, true AS has_header, count(*) + 1 AS line_count, 2 AS max_columns FROM nation GROUP BY 1")
 def csv_dialects(spark, sf_dir):
     return csv_source.csv_dialects(_nation_csv(spark, sf_dir), "doc_id", "content")
 
@@ -476,6 +526,35 @@ def json_structure(spark, sf_dir):
     return rows.select("doc_id", "max_depth", "total_keys", "total_values", "file_size", F.col("data_types")["int"].alias("n_int"), "is_array", "is_object")
 
 
+def _html(spark, sf_dir):
+    """One well-formed page per region: a heading, a block with a paragraph, the nations as a list, an image."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    grouped = rows.groupBy(F.col("r_regionkey").cast("string").alias("doc_id"), "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
+    items = F.array_join(F.transform("x", lambda v: F.concat(F.lit("<li><a href='#'>"), v["n_name"], F.lit("</a></li>"))), "")
+    return grouped.select("doc_id", F.concat(F.lit("<html><head><title>"), "r_name", F.lit(" &amp; more</title><style>p {}</style></head><body><h1> "), "r_name", F.lit(" </h1><div class='a b' id='x'><p>of <b>"), F.size("x").cast("string"), F.lit("</b> <!-- no --> nations</p></div><ul>"), items, F.lit("</ul><p></p><img src='m.png'></body></html>")).alias("html"))
+
+
+HTML_ROWS = """r AS (SELECT r_regionkey::VARCHAR AS doc_id, r_name, count(*) AS n, string_agg(n_name, '' ORDER BY n_nationkey) AS names FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY ALL),
+e AS (SELECT doc_id, 0 AS pos, 'heading' AS element_type, r_name AS content, 'h1' AS tag FROM r UNION ALL SELECT doc_id, 1, 'text', 'of' || n || 'nations', 'div' FROM r UNION ALL SELECT doc_id, 2, 'paragraph', 'of' || n || 'nations', 'p' FROM r
+  UNION ALL SELECT doc_id, 3, 'list', names, 'ul' FROM r UNION ALL SELECT doc_id, 4, 'image', '[IMG]', 'img' FROM r)"""
+
+
+@query(f"""WITH {HTML_ROWS} SELECT doc_id, pos, element_type || '_' || pos AS element_id, element_type, content, 0.0::DOUBLE AS x0, (25 * pos)::DOUBLE AS y0, 800.0::DOUBLE AS x1, (25 * pos + 20)::DOUBLE AS y1, tag FROM e""")
+def html_flatten(spark, sf_dir):
+    return html.html_elements(_html(spark, sf_dir), "doc_id", "html").select("doc_id", "pos", "element_id", "element_type", "content", "x0", "y0", "x1", "y1", F.col("style")["tag"].alias("tag"))
+
+
+@query(f"WITH {HTML_ROWS} SELECT doc_id, element_type, count(*) AS n FROM e GROUP BY ALL")
+def html_flat_type_counts(spark, sf_dir):
+    return el.type_counts(html.html_elements(_html(spark, sf_dir), "doc_id", "html"))
+
+
+@query(f"WITH {HTML_ROWS} SELECT doc_id, r_name || ' & more' AS title, n AS links, 1 AS images, 0 AS tables FROM r")
+def html_flat_documents(spark, sf_dir):
+    facts = F.col("metadata")
+    return html.html_documents(_html(spark, sf_dir), "doc_id", "html").select("doc_id", facts["title"].alias("title"), *[facts[c].cast("long").alias(c) for c in ("links", "images", "tables")])
+
+
 @query()
 def html_elements(spark, sf_dir):
     return html.html_elements(table(spark, sf_dir, "pages")).drop("style", "metadata")
@@ -510,7 +589,16 @@ def _xml(spark, sf_dir):
     return grouped.select("doc_id", F.concat(F.lit('<?xml version="1.0"?><region name="'), "r_name", F.lit('">'), body, F.lit("</region>")).alias("xml"))
 
 
-@query()
+XML_ROWS = """n AS (SELECT n_regionkey::VARCHAR AS doc_id, n_nationkey AS k, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation),
+e AS (SELECT r_regionkey::VARCHAR AS doc_id, 0 AS pos, 'xml_element_1' AS element_id, 'text' AS element_type, 'region: ' || r_name AS content, 0 AS x0, 0 AS y0, 20 AS high, 0 AS depth, 'region' AS tag FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+  UNION ALL SELECT r_regionkey::VARCHAR, 1, 'xml_attr_2', 'annotation', '@name=' || r_name, 20, 25, 20, 1, NULL FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+  UNION ALL SELECT doc_id, 2 + 3 * i, 'xml_element_' || (3 + 3 * i), 'text', 'nation: ' || k, 30, 50 + 90 * i, 25, 1, 'nation' FROM n
+  UNION ALL SELECT doc_id, 3 + 3 * i, 'xml_attr_' || (4 + 3 * i), 'annotation', '@id=' || k, 50, 80 + 90 * i, 20, 2, NULL FROM n
+  UNION ALL SELECT doc_id, 4 + 3 * i, 'xml_element_' || (5 + 3 * i), 'heading', n_name, 60, 105 + 90 * i, 30, 2, 'title' FROM n)"""
+
+
+@query(f"""WITH {XML_ROWS} SELECT doc_id, pos::INT AS pos, element_id, element_type, content, 0 AS page, x0::DOUBLE AS x0, y0::DOUBLE AS y0, (x0 + greatest(200, 8 * length(CASE WHEN starts_with(content, '@') THEN content[2:] ELSE content END)))::DOUBLE AS x1, (y0 + high)::DOUBLE AS y1,
+1.0::DOUBLE AS confidence, NULL::VARCHAR AS parent_id, (row_number() OVER (PARTITION BY doc_id ORDER BY depth, y0, x0, pos) - 1)::INT AS ro_pos FROM e""")
 def xml_flatten(spark, sf_dir):
     rows = _xml(spark, sf_dir)
     return xml.xml_reading_order(xml.xml_elements(rows, "doc_id", "xml")).drop("style", "metadata")
@@ -538,7 +626,7 @@ def xml_attribute_counts(spark, sf_dir):
     return xml.attribute_counts(xml.xml_elements(_xml(spark, sf_dir), "doc_id", "xml"))
 
 
-@query()
+@query(f"""WITH {XML_ROWS} SELECT p.doc_id, p.element_id AS parent_id, c.element_id AS child_id FROM e p JOIN e c ON c.doc_id = p.doc_id AND c.depth = p.depth + 1 AND c.y0 > p.y0 AND c.x0 > p.x0 AND c.y0 < p.y0 + p.high + 200""")
 def xml_proximity(spark, sf_dir):
     return xml.proximity_children(xml.xml_elements(_xml(spark, sf_dir), "doc_id", "xml"))
 
@@ -581,11 +669,13 @@ def vec_topk_batch(spark, sf_dir):
     return store.top_k_batch(rows, asked, 5, "vec_id").withColumn("score", F.round("score", 6))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 6) AS square FROM embeddings")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3 + vec_id) AS v FROM embeddings),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM v)
+SELECT vec_id, generate_subscripts(v, 1) - 1 AS dim, round(unnest(v) / size, 6) AS x FROM n""")
 def l2_normalize(spark, sf_dir):
-    v = F.transform("embedding", lambda x: x.cast("double") * 3)
-    unit = vec.l2_normalize(v)
-    return table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("u")).select("vec_id", F.round(vec.dot(F.col("u"), F.col("u")), 6).alias("square"))
+    v = F.transform("embedding", lambda x: x.cast("double") * 3 + F.col("vec_id"))
+    units = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vec.l2_normalize(v)).alias("dim", "x"))
+    return units.withColumn("x", F.round("x", 6))
 
 
 def _tokens(spark, sf_dir):
@@ -657,14 +747,14 @@ def embed_documents_hash(spark, sf_dir):
 
 HITS = f"""h AS (SELECT query_id, rank, vec_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank
 FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 3)"""
-CONTEXTS = f"{HITS}, c AS (SELECT query_id, string_agg(left(d.text, 80), chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS retrieved_chunks FROM h JOIN documents d ON d.doc_id = h.vec_id GROUP BY query_id)"
+CONTEXTS = f"{HITS}, c AS (SELECT query_id, string_agg(d.text, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS retrieved_chunks FROM h JOIN documents d ON d.doc_id = h.vec_id GROUP BY query_id)"
 
 
 def _contexts(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     hits = store.top_k_batch(rows, asked, 3, "vec_id")
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.left("text", F.lit(80)).alias("text"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     return rag.contexts(hits, texts, "query_id", "vec_id")
 
 
@@ -674,13 +764,13 @@ def rag_context(spark, sf_dir):
 
 
 def _questions(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0)
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0)
     return rows.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("What is near "), "vec_id", F.lit("?")).alias("question"))
 
 
 def _prompt_sql(before: str, after: str) -> str:
     quoted = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    return f"""WITH {CONTEXTS}, q AS (SELECT vec_id AS query_id, 'What is near ' || vec_id || '?' AS question FROM embeddings WHERE vec_id % 50 = 0)
+    return f"""WITH {CONTEXTS}, q AS (SELECT vec_id AS query_id, 'What is near ' || vec_id || '?' AS question FROM embeddings WHERE vec_id % 100 = 0)
 SELECT q.query_id, {quoted(before)} || coalesce(context, '') || {quoted(chr(10) * 2 + 'Question: ')} || question || {quoted(after)} AS prompt FROM q LEFT JOIN c USING (query_id)"""
 
 
@@ -694,7 +784,7 @@ def rag_prompt_inst(spark, sf_dir):
     return rag.prompts(_questions(spark, sf_dir), _contexts(spark, sf_dir), "inst").select("query_id", "prompt")
 
 
-@query(f"""WITH {CONTEXTS}, q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, trim(split_part(coalesce(context, ''), chr(10), 1)) AS answer, coalesce(retrieved_chunks, 0) AS retrieved_chunks FROM q LEFT JOIN c USING (query_id)""")
+@query(f"""WITH {CONTEXTS}, q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, trim(split_part(coalesce(context, ''), chr(10), 1)) AS answer, coalesce(retrieved_chunks, 0) AS retrieved_chunks FROM q LEFT JOIN c USING (query_id)""")
 def rag_answer(spark, sf_dir):
     rows = generators.generate_column(rag.prompts(_questions(spark, sf_dir), _contexts(spark, sf_dir)))
     return rows.select("query_id", rag.trimmed_answer(F.col("answer"), None, ("</s>",)).alias("answer"), "retrieved_chunks")
@@ -738,3 +828,107 @@ def file_types(spark, sf_dir):
 
     paths = ["/a/b.PDF", "x.docx", "x.htm", "x.jpeg", "x.xlsm", "r.md", "x.json", "x.rss", "x.csv", "x.zip"]
     return spark.createDataFrame([(p,) for p in paths], "path string").select("path", file_type(F.col("path")).alias("file_type"))
+
+
+# ---- Files ----------------------------------------------------------------------------------
+
+
+def _files(spark, sf_dir):
+    """A folder of files made from the nations: (documents, elements) after one scan.
+
+    Texts in UTF-8, Latin-1 and UTF-16, a CSV with a very long field and rows
+    beyond its header, broken XML and JSON, XML with a declared encoding and
+    namespaces, a workbook, a Word text, and files that no parser takes.
+    """
+    from .runtime import scratch
+    from .sources import files
+
+    folder = scratch(spark, "files")
+    rows = table(spark, sf_dir, "nation").where("n_regionkey = 0").orderBy("n_nationkey").select("n_nationkey", "n_name").collect()
+    names = [r.n_name for r in rows]
+    made = {
+        "utf8.txt": "\n".join(f"{n} é" for n in names).encode(), "latin.txt": "\n".join(f"{n} é" for n in names).encode("latin-1"), "wide.txt": b"\xff\xfe" + "\n".join(names).encode("utf-16-le"),
+        "long.csv": ("key,name\n" + "".join(f"{r.n_nationkey},{r.n_name}\n" for r in rows) + "1," + "x" * 200_000 + ",more\n").encode(), "broken.xml": b"<a><b>", "broken.json": b"{", "good.json": b'{"k": 1}',
+        "space.xml": ("<?xml version='1.0' encoding='ISO-8859-1'?><r xmlns:p='urn:p'>" + "".join(f"<p:n>{n} é</p:n>" for n in names) + "</r>").encode("latin-1"), "page.html": b"<h1>T</h1>", "book.xlsx": _workbook(names), "text.docx": _word(names), "x.zip": b"PK", "old.doc": b"old",
+    }
+    _put(spark, folder, made)
+    return files.parse_path(spark, folder)
+
+
+def _put(spark, folder: str, made: dict[str, bytes]) -> None:
+    """Write small files through the file system of the folder's scheme."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, data in made.items():
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+        out.write(data)
+        out.close()
+
+
+def _zip(parts: dict[str, str]) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text_ in parts.items():
+            z.writestr(name, text_)
+    return out.getvalue()
+
+
+def _workbook(names: list[str]) -> bytes:
+    """A sheet with a header cell, a name a row in column A, its number in column B, and A1:B1 merged."""
+    main, office_ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+    body = "".join(f'<row r="{k + 2}">{cell(f"A{k + 2}", n)}<c r="B{k + 2}"><v>{k}</v></c></row>' for k, n in enumerate(names))
+    return _zip({
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office_ns}"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData><row r="1">{cell("A1", "name")}</row>{body}</sheetData><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>',
+    })
+
+
+def _word(names: list[str]) -> bytes:
+    """A paragraph for each name, then a table of one row with all of them."""
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+    return _zip({"word/document.xml": f"<w:document {ns}><w:body>{''.join(map(p, names))}<w:tbl><w:tr>{''.join(f'<w:tc>{p(n)}</w:tc>' for n in names)}</w:tr></w:tbl></w:body></w:document>"})
+
+
+def _stem(column: str = "doc_id"):
+    return F.regexp_replace(column, r"^.*/", "").alias("file")
+
+
+@query("""SELECT file, file_type, failed, encoding FROM (VALUES ('utf8.txt', 'text', false, 'utf-8'), ('latin.txt', 'text', true, 'latin-1'), ('wide.txt', 'text', false, 'utf-16-le'), ('long.csv', 'csv', false, 'utf-8'), ('broken.xml', 'xml', true, 'utf-8'),
+('broken.json', 'json', true, 'utf-8'), ('good.json', 'json', false, 'utf-8'), ('space.xml', 'xml', false, 'ISO-8859-1'), ('page.html', 'html', false, 'utf-8'), ('book.xlsx', 'excel', false, NULL), ('text.docx', 'word', false, NULL), ('x.zip', 'unsupported', true, NULL), ('old.doc', 'word', true, NULL)) t(file, file_type, failed, encoding)""")
+def files_documents(spark, sf_dir):
+    documents, _ = _files(spark, sf_dir)
+    return documents.select(_stem(), "file_type", F.coalesce(F.size("errors") > 0, F.lit(False)).alias("failed"), F.col("metadata")["encoding"].alias("encoding"))
+
+
+FILE_ROWS = """n AS (SELECT n_nationkey AS k, n_name AS s, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, count(*) OVER () AS c FROM nation WHERE n_regionkey = 0)"""
+
+
+@query(f"""WITH {FILE_ROWS} SELECT 'utf8.txt' AS file, 'paragraph' AS element_type, s || ' é' AS content, NULL AS merged FROM n UNION ALL SELECT 'latin.txt', 'paragraph', s || ' é', NULL FROM n UNION ALL SELECT 'wide.txt', 'heading', s, NULL FROM n
+UNION ALL SELECT 'good.json', 'text', 'k: 1', NULL UNION ALL SELECT 'page.html', 'heading', 'T', NULL UNION ALL SELECT 'space.xml', 'text', '<r> (' || max(c) || ' children)', NULL FROM n UNION ALL SELECT 'space.xml', 'text', s || ' é', NULL FROM n
+UNION ALL SELECT 'book.xlsx', 'heading', 'name', 'true' UNION ALL SELECT 'book.xlsx', 'heading', 'name', NULL UNION ALL SELECT 'book.xlsx', 'heading', s, NULL FROM n UNION ALL SELECT 'book.xlsx', 'text', i::VARCHAR, NULL FROM n
+UNION ALL SELECT 'book.xlsx', 'table', 'name' || chr(9) || chr(10) || string_agg(s || chr(9) || i, chr(10) ORDER BY i), NULL FROM n
+UNION ALL SELECT 'text.docx', 'paragraph', s, NULL FROM n UNION ALL SELECT 'text.docx', 'table', string_agg(s, chr(9) ORDER BY i), NULL FROM n
+UNION ALL SELECT 'long.csv', 'heading', unnest(['key' || chr(9) || 'name', 'key', 'name']), NULL UNION ALL SELECT 'long.csv', 'text', unnest([k || chr(9) || s, k::VARCHAR, s]), NULL FROM n
+UNION ALL SELECT 'long.csv', 'text', unnest(['1' || chr(9) || repeat('x', 200000) || chr(9) || 'more', '1', repeat('x', 200000), 'more']), NULL
+UNION ALL SELECT 'long.csv', 'table', 'key' || chr(9) || 'name' || chr(10) || string_agg(k || chr(9) || s, chr(10) ORDER BY i) || chr(10) || '1' || chr(9) || repeat('x', 200000) || chr(9) || 'more', NULL FROM n""")
+def files_elements(spark, sf_dir):
+    _, elements = _files(spark, sf_dir)
+    return elements.select(_stem(), "element_type", "content", F.when(F.col("metadata")["is_merged"] == "true", "true").alias("merged"))
+
+
+@query(f"""WITH {FILE_ROWS} SELECT s || ' é' AS content FROM n""")
+def files_xml_namespace(spark, sf_dir):
+    _, elements = _files(spark, sf_dir)
+    return xml.by_namespace(elements, "ns0").select("content")
+
+
+@query("SELECT c_custkey AS pos FROM customer WHERE c_custkey % 5 <> 0 AND 30 + c_custkey % 70 > 59.5")
+def ocr_confident(spark, sf_dir):
+    rows = _boxes(spark, sf_dir).withColumns({"content": F.when(F.col("pos") % 5 == 0, " ").otherwise("w"), "confidence": (30 + F.col("pos") % 70) / 100.0})
+    return el.confident(rows, 59.5).select("pos")

@@ -47,7 +47,10 @@ def encoding(content: Column) -> Column:
 
 
 def scan(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """(path, file_type, length, content) of the files below a folder, hidden names left out; contents are read only if used."""
+    """(path, file_type, length, content) of the files below a folder, hidden names left out; contents are read only if used.
+
+    Files of no bytes have no rows: Spark's file source passes over them.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     name = F.element_at(F.split("path", "/"), -1)

@@ -121,3 +121,44 @@ def test_chunker_settings():
     with pytest.raises(ValueError):
         chunking.Chunker("other")
     assert chunking.Chunker("fixed", 10, 2).chunk_overlap == 2
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    """Two documents of one id: as many elements and numbers as rows, none twice."""
+    from lamina.sources import text
+
+    docs = spark.createDataFrame([("d", "A\n|a|b|\n|c|d|"), ("d", "x\n|e|f|")], "doc_id string, text string")
+    elements = text.text_elements(docs)
+    assert sorted(r.content for r in elements.where("element_type = 'table'").collect()) == ["|a|b|\n|c|d|", "|e|f|"]
+    ordered = layout.reading_order(elements)
+    assert ordered.count() == elements.count() == 7 and [r.ro_pos for r in ordered.orderBy("ro_pos").collect()] == list(range(7))
+
+
+def test_batches_of_any_size(spark):
+    """Documents that span Arrow batches, and batches that span documents."""
+    rows = [(f"d{k % 7}", 0, k, f"e{k}", "heading" if k % 13 == 0 else "text", "w " * (k % 5), float(k % 3), 10.0 * (k // 21), 5.0, 10.0 * (k // 21) + 4) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id string, page int, pos int, element_id string, element_type string, content string, x0 double, y0 double, x1 double, y1 double")
+    out = []
+    for size in ("3", "50", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found = [layout.reading_order(frame).select("doc_id", "pos", "ro_pos"), chunking.hierarchical_chunks(frame, 6, 1), chunking.semantic_chunks(frame, 6, 1)]
+        out.append([sorted(map(repr, f.collect())) for f in found])
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out[0] == out[1] == out[2] and len(out[0][0]) == 400
+
+
+def test_long_pages_are_linear(spark):
+    """Four times the lines of one page may not take sixteen times as long."""
+    import time
+
+    def seconds(n):
+        page = spark.createDataFrame([("d", "\n".join(f"line {k}" for k in range(n)))], "doc_id string, text string")
+        from lamina.sources import text
+
+        began = time.time()
+        assert layout.reading_order(text.text_elements(page, special=False)).count() == n
+        return time.time() - began
+
+    seconds(100)
+    short = min(seconds(4000) for _ in range(2))
+    assert min(seconds(16000) for _ in range(2)) < 4 * short + 2

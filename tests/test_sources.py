@@ -123,3 +123,40 @@ def test_csv_gaps(spark):
     rows = csv.csv_elements(cells, profile.column_profile(cells)).orderBy("pos").collect()
     assert [r.pos for r in rows] == list(range(len(rows))) and rows[0].content == "n\ts" and rows[-2].element_type == "table" and rows[-1].content.startswith("CSV Statistics:\nDimensions: 3 rows × 2 columns")
     assert csv.sniff("a;b\n1;2\n3;4\n")["delimiter"] == ";"
+
+
+def test_no_file_fails_the_batch(spark, tmp_path):
+    """Latin-1, UTF-16, a field of 200,000 characters, an open quote, declared encodings, empty files, upper-case suffixes."""
+    files = {
+        "a.txt": b"Caf\xe9\nok", "b.txt": "\ufeffwide".encode("utf-16-le"), "c.csv": b"h,i\n" + b"x" * 200_000 + b",1\n", "d.csv": b'h,i\n"open,1\n2,3\n', "e.csv": b"a,b\n1,2,3\n4\n", "f.xml": b"<?xml version='1.0' encoding='latin-1'?><r>\xe9</r>",
+        "g.xml": b"<r>\xe9</r>", "h.json": b'{"k": "\xe9"}', "i.html": b"<p>\xe9</p>", "j.TXT": b"upper", "k.txt": b"", "l.csv": b"", "m.xml": b"", "n.xlsx": b"PK broken", "o.bin": b"?" * 10,
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    documents, elements = parse_path(spark, str(tmp_path))
+    facts = {r.doc_id.rsplit("/")[-1]: r for r in documents.collect()}
+    assert set(facts) == {name for name, data in files.items() if data}  # the file source passes over empty files
+    contents: dict = {}
+    for r in elements.collect():
+        contents.setdefault(r.doc_id.rsplit("/")[-1], []).append(r.content)
+    assert contents["a.txt"] == ["Café", "ok"] and "latin-1" in facts["a.txt"].errors[0] and facts["a.txt"].metadata["encoding"] == "latin-1"
+    assert contents["b.txt"] == ["wide"] and facts["b.txt"].metadata["encoding"] == "utf-16-le" and facts["b.txt"].errors is None
+    assert "x" * 200_000 in contents["c.csv"] and facts["c.csv"].errors is None
+    assert any("open,1" in c for c in contents["d.csv"])
+    assert contents["f.xml"] == ["é"] and contents["g.xml"] == ["é"] and facts["f.xml"].errors is None and facts["g.xml"].errors
+    assert contents["h.json"] == ['k: "\\u00e9"'] and contents["i.html"] == ["é"] and contents["j.TXT"] == ["upper"]
+    assert facts["n.xlsx"].errors and facts["o.bin"].file_type == "unsupported" and not {"k.txt", "l.csv", "m.xml"} & set(contents)
+    cells = csv.csv_cells(spark.createDataFrame([("e", "a,b\n1,2,3\n4\n")], "doc_id string, content string"), "doc_id", "content")
+    assert sorted((r.row, r.col, r.column_name, r.value) for r in cells.collect()) == [(0, 0, "a", "a"), (0, 1, "b", "b"), (1, 0, "a", "1"), (1, 1, "b", "2"), (1, 2, "column_3", "3"), (2, 0, "a", "4"), (2, 1, "b", "")]
+
+
+def test_one_content_scan(spark, tmp_path):
+    """The plan that parses a folder reads contents once; names of other files come from a listing."""
+    import re
+
+    from lamina.sources.files import parse_files, scan_all
+
+    (tmp_path / "a.txt").write_bytes(b"x")
+    plan = parse_files(scan_all(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert len(schemas) == 2 and sum("content" in x for x in schemas) == 1

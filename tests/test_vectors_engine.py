@@ -62,6 +62,79 @@ def test_engine(spark, tmp_path):
     assert engine.statistics().first().document_count == 0
 
 
+def test_ingests_add_up(spark, tmp_path):
+    """Stage tables, statuses and JSON files cover all ingests; a document that comes again replaces its rows."""
+    import json
+    import os
+
+    for name, data in {"in/a.txt": b"CATS\nCats sleep.", "in/latin.txt": b"Caf\xe9 au lait", "more/a.txt": b"DOGS\nDogs bark.\nLoudly."}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    engine = Engine(spark, f"file://{tmp_path}/work", Chunker("hierarchical", 50, 5))
+    engine.ingest(f"file://{tmp_path}/in")
+    engine.ingest(f"file://{tmp_path}/more")
+    status = {r.doc_id.split("/", 1)[1].rsplit("/", 2)[1:].__repr__(): (r.status, r.n_elements, r.n_chunks) for r in engine.file_status().collect()}
+    assert status == {"['in', 'a.txt']": ("ok", 2, 1), "['in', 'latin.txt']": ("failed", 1, 1), "['more', 'a.txt']": ("ok", 3, 1)}
+    (tmp_path / "in/a.txt").write_bytes(b"BIRDS\nBirds sing.\nEarly.\nOften.")
+    engine.ingest(f"file://{tmp_path}/in/a.txt")
+    assert {r.n_elements for r in engine.stage_statistics().collect() if "/in/a.txt" in r.doc_id} == {4}
+    written = engine.export_documents(f"file://{tmp_path}/out").collect()
+    assert len(written) == 6 and sorted(os.listdir(tmp_path / "out/parsed"))[-1] == "latin.json"
+    parsed = [json.loads((tmp_path / "out/parsed" / f).read_text()) for f in os.listdir(tmp_path / "out/parsed") if f.endswith(".json")]
+    assert sorted(p["title"] for p in parsed if "title" in p) == ["BIRDS", "DOGS"] and [p["elements"][0]["content"] for p in parsed if "latin" in p["doc_id"]] == ["Café au lait"]
+    chunks = json.loads((tmp_path / "out/chunks/latin_chunks.json").read_text())
+    assert chunks[0]["text"] == "Café au lait"
+
+
+def test_returned_ids_are_those_stored(spark, tmp_path):
+    made = store.VectorStore(spark, f"file://{tmp_path}/v", 1)
+    rows = spark.createDataFrame([(None if k % 2 else f"c{k}", [float(k)], str(k)) for k in range(40)], "chunk_id string, embedding array<double>, text string")
+    ids = made.add(rows.repartition(7))
+    assert sorted(r.chunk_id for r in ids.collect()) == sorted(r.chunk_id for r in made.read().collect()) and made.count() == 40
+
+
+@pytest.mark.parametrize("slice_bytes", (1 << 20, 100))
+def test_batch_search_brute(spark, monkeypatch, slice_bytes):
+    """Several slices of queries and blocks of rows, equal, zero and null vectors, other dimensions, null ids."""
+    monkeypatch.setattr(store, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i:03d}", rng.normal(size=4).tolist()) for i in range(90)] + [(f"s{i:03d}", [1.0, 2.0, 0.0, 0.0]) for i in range(30)] + [("z", [0.0] * 4), ("n", None), ("w", [1.0, 2.0]), (None, [1.0, 2.0, 0.0, 0.0])]
+    asked = [(i, rng.normal(size=4).tolist()) for i in range(20)] + [(100, [1.0, 2.0, 0.0, 0.0]), (101, [0.0] * 4), (102, [3.0, 1.0]), (103, None)]
+    got = store.top_k_batch(spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(5), spark.createDataFrame(asked, "query_id long, query_embedding array<double>"), 5, slice_bytes=slice_bytes).collect()
+    want = set()
+    for q, v in asked:
+        if v is None:
+            continue
+        scored = []
+        for i, w in rows:
+            if i is None or (w is not None and len(w) != len(v)):
+                continue
+            w = np.zeros(len(v)) if w is None else np.float32(w).astype(float)
+            size = np.linalg.norm(v) * np.linalg.norm(w)
+            scored.append((-round(float(np.dot(v, w) / size), 9) + 0.0 if size else 0.0, i))
+        want |= {(q, n + 1, i) for n, (s, i) in enumerate(sorted(scored)[:5])}
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in got} == want
+
+
+def test_service_is_asked_again(monkeypatch):
+    import io
+    import urllib.error
+
+    calls = []
+
+    def answer(request, timeout):
+        calls.append(request)
+        if len(calls) < 3:
+            raise urllib.error.HTTPError("u", 503, "busy", {}, None)
+        return io.BytesIO(b'{"choices": [{"text": " yes "}]}')
+
+    monkeypatch.setattr(generators.urllib.request, "urlopen", answer)
+    assert generators.HttpGenerator("http://x", pause=0.0).generate("p") == "yes" and len(calls) == 3
+    monkeypatch.setattr(generators.urllib.request, "urlopen", lambda r, timeout: (_ for _ in ()).throw(urllib.error.HTTPError("u", 400, "bad", {}, None)))
+    with pytest.raises(urllib.error.HTTPError):
+        generators.HttpGenerator("http://x", pause=0.0).generate("p")
+
+
 def test_stream(spark, tmp_path):
     src = f"file://{tmp_path}/src"
     spark.createDataFrame([("a", "one two\nthree"), ("b", "four")], "doc_id string, text string").write.parquet(src)

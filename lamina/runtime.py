@@ -13,7 +13,7 @@ _shipped: set[str] = set()
 _local: dict[str, str] = {}
 _marked: set[str] = set()
 #: Bytes of an Arrow batch: Spark's setting, its default, and what is enough here (a batch is held several times over).
-ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
 
 
 def ship(spark: SparkSession) -> SparkSession:

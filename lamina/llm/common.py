@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
 
 import numpy as np
@@ -64,6 +65,20 @@ def text_blocks(batch: pa.RecordBatch, column: int = 1):
         stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: an executor's workers share its memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

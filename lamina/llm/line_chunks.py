@@ -61,8 +61,10 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
     """(id, text_key, pos, words, hash, line_key): the lines that stand in the corpus at least twice."""
     words = F.regexp_count("line", F.lit(WORD))
     keyed = lines.select("id", "text_key", "pos", F.xxhash64("line", F.lit(1)).alias("line_key"), line_hash(F.col("line")).alias("hash"), words.alias("words"))
-    counts = keyed.groupBy("line_key").agg(F.count("*").alias("n"), F.max("words").alias("words"))
-    common = materialize(counts.where((F.col("n") > 1) & (F.col("words") > 0)).select("line_key"), "common")
+    # Written, as the texts would else be cut into lines twice.
+    keyed = materialize(keyed, "lines")
+    counts = keyed.where("words > 0").groupBy("line_key").agg(F.count("*").alias("n"))
+    common = materialize(counts.where("n > 1").select("line_key"), "common")
     blank = keyed.where(F.col("words") == 0)
     return keyed.where(F.col("words") > 0).join(common, "line_key", "left_semi").unionByName(blank)
 

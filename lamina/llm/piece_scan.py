@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship
-from .common import materialize, text_blocks
+from .common import materialize, release, text_blocks
 
 CHUNK_CHARS = 32768
 SPACE = "▁"
@@ -381,6 +381,7 @@ def _scanned(giants: DataFrame, model_path: str, id_type: str, chunk: int) -> Da
                 shift = lambda s: [v + int(r.off) for p in s for v in p]  # noqa: B023, E731
                 out.append((r.key, r.id, r.k, shift(entries), shift(exits), (matrix == 0).ravel().tolist()))
             yield pd.DataFrame(out, columns=["key", "id", "k", "entries", "exits", "open"])
+            release()
 
     matrices = cut.select("key", "id", "k", "low", "high", "off", "part").mapInPandas(measure, f"key long, id {id_type}, k int, entries array<int>, exits array<int>, open array<boolean>")
 
@@ -404,6 +405,7 @@ def _scanned(giants: DataFrame, model_path: str, id_type: str, chunk: int) -> Da
                 entry, leave = [tuple(int(v) - r.off for v in s) for s in (r.entry, r.leave)]
                 out.append((r.id, r.key, r.copies, r.k, np.frombuffer(vocab.between(r.part, r.low - r.off, r.high - r.off, entry, leave), "<i4")))
             yield pd.DataFrame(out, columns=["id", "key", "copies", "k", "ids"])
+            release()
 
     traced = known.mapInPandas(trace, f"id {id_type}, key long, copies long, k int, ids array<int>")
     whole = traced.groupBy("id", "key", "copies").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))

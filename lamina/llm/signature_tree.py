@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import ship
-from .common import byte_texts, materialize, text_blocks
+from .common import byte_texts, materialize, release, text_blocks
 from .components import components
 
 #: Documents of the sample that finds frequent tokens: so many, or one in SAMPLE_SHARE; and the count that makes one frequent.
@@ -249,6 +249,7 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray |
                     rows.append((n, xxhash.xxh3_128_digest(tokens.tobytes()), tokens[:TREE_TOKENS].view(np.int64), first, bitmap(tokens)))
                 kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([block.column(0), *[pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)]], names=["id", "n", "set_key", "heads", "prefix", "bitmap"])
+        shing.known.clear()
 
     return docs.mapInArrow(run, "id long, n long, set_key binary, heads array<long>, prefix array<long>, bitmap binary")
 
@@ -268,6 +269,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
             for block in text_blocks(batch):
                 sets = [shing.set(t) for t in byte_texts(block.column(1))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64), type=pa.int64())], names=["token"])
+        shing.known.clear()
 
     sample = docs.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(step)) == 0)
     counts = sample.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= SAMPLE_HITS)
@@ -300,6 +302,9 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             rows = zip(*[batch.column(k).to_pylist() for k in (0, 1)], byte_texts(batch.column(2)), byte_texts(batch.column(3)))
             good = [(a, b) for a, b, s, t in rows if linked(tokens(s), tokens(t), percent)]
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], type=pa.int64()) for k in (0, 1)], names=["u", "v"])
+            del rows
+            release()
+        shing.known.clear()
 
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long")
 
@@ -324,6 +329,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = [may_link(*row, percent) for row in zip(*[batch.column(k).to_pylist() for k in range(2, 6)])]
             yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+            release()
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -382,8 +388,11 @@ def block_pairs(reps: DataFrame, percent: int, mixed: DataFrame, of: str = "pref
                     key, held = row[:3], []
                 held.append(row[3:])
             yield _pairs(found)
+            release()
         if len(held) > 1:
             yield _pairs(most_likely(block_candidates(held, percent, key[1], key[2]), best))
+        held = []
+        release()
 
     return dealt.mapInArrow(run, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 

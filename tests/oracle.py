@@ -21,12 +21,13 @@ def connect(sf_dir: str):
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, (float, np.floating)) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and math.isnan(v)):
         return None
     if isinstance(v, (list, tuple, np.ndarray)):
         return tuple(plain(x) for x in v)
     if isinstance(v, (float, np.floating)):
-        return round(float(v), 6) + 0.0
+        short = round(float(v), 6) + 0.0
+        return int(short) if short.is_integer() else short  # pandas makes a column of whole numbers with nulls one of floats
     if isinstance(v, np.generic):
         return v.item()
     return v

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import balltree, compression_bands, ftrl, line_chunks, piece_scan, signature_tree, source_mix, subword_softmax, token_bits, url_temporal
+from . import balltree, compression_bands, ftrl, infill, line_chunks, minhash, piece_scan, signature_tree, source_mix, subword_softmax, token_bits, url_temporal
 from .common import WORD
 
 
@@ -87,6 +87,17 @@ def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_scan.encode(table(spark, sf_dir, "documents"), path).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
+def op11_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.edited_pairs(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.infill(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return rows.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,12 +105,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_compression_bands, op2_ball_tree_topk, op3_token_bits, op4_signature_tree_join, op5_source_mix, op6_line_chunks, op7_temporal_url_filter, op8_ftrl_quality, op9_subword_toxicity, op10_piece_scan, pipeline]
+    found = [op1_compression_bands, op2_ball_tree_topk, op3_token_bits, op4_signature_tree_join, op5_source_mix, op6_line_chunks, op7_temporal_url_filter, op8_ftrl_quality, op9_subword_toxicity, op10_piece_scan, op11_permutation_minhash, op12_infill, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ball_tree_topk": OP2, "op4_signature_tree_join": OP4, "op5_source_mix": OP5, "op6_line_chunks": OP6, "op7_temporal_url_filter": OP7}
+    return {"op2_ball_tree_topk": OP2, "op4_signature_tree_join": OP4, "op5_source_mix": OP5, "op6_line_chunks": OP6, "op7_temporal_url_filter": OP7, "op11_permutation_minhash": OP11, "op12_infill": OP12}
 
 
 OP2 = """
@@ -234,3 +245,55 @@ WITH p AS (
 SELECT page_id, c.url, c.fetched_at, hit.n IS NOT NULL AS blocked, coalesce(hit.n, 0) AS n_entries, hit.entry
 FROM c LEFT JOIN hit ON c.url = hit.url AND c.fetched_at = hit.fetched_at
 """
+
+OP11 = r"""
+WITH bins AS (
+  SELECT b, ('0x' || substr(m, 1, 8))::BIGINT % 256 AS start, ('0x' || substr(m, 9, 8))::BIGINT % 128 * 2 + 1 AS step,
+    ('0x' || substr(m, 17, 8))::BIGINT % 2147483646 + 1 AS factor, ('0x' || substr(m, 25, 8))::BIGINT % 2147483647 AS shift
+  FROM (SELECT i AS b, md5('bin:' || i) AS m FROM range(256) x(i))
+), probe AS (SELECT b, t, (start + t * step) % 256 AS other FROM bins, range(256) x(t)
+), d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents
+), e AS (
+  SELECT *, left(text, n_chars - n_chars // 3) || left(coalesce(lead(text) OVER w, first_value(text) OVER w), n_chars // 3) AS edited,
+    coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+  FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), t AS (SELECT doc_id, 0 AS kind, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e
+), w AS (SELECT doc_id, kind, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM t
+), h AS (
+  SELECT doc_id, kind, ('0x' || substr(md5(array_to_string(ws[i:i + 4], ' ')), 1, 15))::BIGINT AS h
+  FROM (SELECT doc_id, kind, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), m AS (SELECT doc_id, kind, h >> 52 AS b, min(h) AS h FROM h GROUP BY ALL
+), k AS (SELECT DISTINCT doc_id, kind FROM m
+), near AS (
+  SELECT doc_id, kind, b, arg_min(h, t) AS h FROM (
+    SELECT k.doc_id, k.kind, p.b, p.t, m.h FROM k JOIN probe p ON true JOIN m ON m.doc_id = k.doc_id AND m.kind = k.kind AND m.b = p.other
+  ) GROUP BY ALL
+), v AS (
+  SELECT n.doc_id, n.kind, n.b, ((coalesce(m.h, n.h) % 2147483647) * factor + shift) % 2147483647 % 256 AS low
+  FROM near n JOIN bins USING (b) LEFT JOIN m ON m.doc_id = n.doc_id AND m.kind = n.kind AND m.b = n.b
+), f AS (SELECT doc_id, kind, list(low ORDER BY b) AS lows, string_agg(format('{:02x}', low), '' ORDER BY b) AS print FROM v GROUP BY ALL
+), o AS (
+  SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, coalesce(a.print, '') AS a, coalesce(b.print, '') AS b, coalesce(c.print, '') AS c, a.lows AS al, b.lows AS bl, c.lows AS cl
+  FROM e LEFT JOIN f a ON a.doc_id = e.doc_id AND a.kind = 0 LEFT JOIN f b ON b.doc_id = e.doc_id AND b.kind = 1 LEFT JOIN f c ON c.doc_id = e.next_id AND c.kind = 0
+), g AS (
+  SELECT *, len(list_filter(range(1, 257), lambda i: al[i] = bl[i])) / 256.0::DOUBLE AS ab, len(list_filter(range(1, 257), lambda i: al[i] = cl[i])) / 256.0::DOUBLE AS ac FROM o
+)
+SELECT doc_id, n_chars, edited_sha256, a AS fingerprint, b AS edited_fingerprint,
+  CASE WHEN a = b THEN 1.0::DOUBLE WHEN a = '' OR b = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, (ab - 0.00390625::DOUBLE) / 0.99609375::DOUBLE) END AS near_edited,
+  CASE WHEN a = c THEN 1.0::DOUBLE WHEN a = '' OR c = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, (ac - 0.00390625::DOUBLE) / 0.99609375::DOUBLE) END AS near_next
+FROM g
+"""
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS s FROM documents
+), h AS (
+  SELECT *, ('0x' || substr(s, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(s, 9, 8))::BIGINT % (n + 1) AS y, ('0x' || substr(s, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(s, 25, 8))::BIGINT % 100 AS h4 FROM d
+), f AS (
+  SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    least(x, y) AS a, greatest(x, y) AS b FROM h
+), p AS (SELECT *, left(t, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""

@@ -50,8 +50,10 @@ def bin_numbers(bins: int) -> dict[str, list[int]]:
 def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
     """array<long>: the hashes of a text's word shingles, in their order."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    one = lambda w, i: F.conv(F.substring(F.md5(F.array_join(F.slice(w, i, width), " ")), 1, DIGITS), 16, 10).cast("long")
-    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1)))
+    # Past the end of a short text there is nothing, which concat_ws leaves out.
+    words = lambda w, i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(width)])
+    one = lambda w, i: F.conv(F.substring(F.md5(words(w, i)), 1, DIGITS), 16, 10).cast("long")
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0)))
     hashes = lambda w: F.when(F.size(w) > 0, F.transform(starts(w), lambda i: one(w, i))).otherwise(F.array().cast("array<bigint>"))
     return bound(F.regexp_extract_all(lower, F.lit(WORD), 0), hashes)
 
@@ -97,9 +99,9 @@ def packed(values: Column, bins: int, bits: int) -> Column:
     """The low bits of each bin's value under the bin's own hash, as hexadecimal digits."""
     numbers = bin_numbers(bins)
     factor, shift = (F.array(*[F.lit(x).cast("long") for x in numbers[k]]) for k in ("factor", "shift"))
-    low = lambda x, i: ((x % PRIME) * F.get(factor, i) + F.get(shift, i)) % PRIME % (1 << bits)
-    if bits % 4 == 0:
-        return F.array_join(F.transform(values, lambda x, i: F.lpad(F.lower(F.hex(low(x, i))), bits // 4, "0")), "")
+    low = lambda x, i: ((x % PRIME * F.get(factor, i) + F.get(shift, i)) % PRIME).bitwiseAND((1 << bits) - 1)
+    if bits % 4 == 0:  # a one in front keeps the zeros
+        return F.lower(F.array_join(F.transform(values, lambda x, i: F.substring(F.hex(low(x, i) + (1 << bits)), 2, bits // 4)), ""))
     together = 4 // bits
     digit = lambda k: sum((low(F.get(values, k * together + j), k * together + j) * (1 << (bits * j)) for j in range(together)), F.lit(0).cast("long"))
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bins // together - 1)), lambda k: F.lower(F.hex(digit(k)))), "")
@@ -116,9 +118,8 @@ def fingerprint(text: Column, width: int = WIDTH, bins: int = BINS, bits: int =
 def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column:
     """The estimated Jaccard similarity of two texts' shingle sets, from 0 to 1, the chance of equal low bits taken out."""
     if bits % 4 == 0:
-        digits = bits // 4
-        same = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.substring(a, i * digits + 1, F.lit(digits)) == F.substring(b, i * digits + 1, F.lit(digits)))
-        matches = F.size(same)
+        values = lambda x: F.regexp_extract_all(x, F.lit("." * (bits // 4)), 0)
+        matches = F.size(F.filter(F.zip_with(values(a), values(b), lambda x, y: x == y), lambda x: x))
     else:
         together = 4 // bits
         digit = lambda s, k: F.conv(F.substring(s, k + 1, F.lit(1)), 16, 10).cast("int")
@@ -137,6 +138,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text"))
 
 
+def _fewer(rows: DataFrame) -> DataFrame:
+    """Narrow rows in an eighth of the partitions, as they would make very small files."""
+    return rows.coalesce(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, n_chars, next_key): the document that follows each in descending order of id; the last is followed by the first.
 
@@ -147,7 +153,7 @@ def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = _keyed(docs, id_col, text_col).select("id", "key", F.length("text").cast("long").alias("n_chars")).dropDuplicates(["id", "key"])
     # Written, as a range partitioning that is computed again may cut elsewhere.
-    rows = materialize(rows.repartitionByRange("id", "key").withColumn("part", F.spark_partition_id()), "ranges")
+    rows = materialize(_fewer(rows.repartitionByRange("id", "key").withColumn("part", F.spark_partition_id())), "ranges")
     rows = rows.withColumn("next_key", F.lead("key").over(Window.partitionBy("part").orderBy(F.col("id").desc_nulls_last(), F.desc("key"))))
     tops = rows.groupBy("part").agg(F.max(F.struct("id", "key")).alias("top"))
     down = Window.orderBy(F.desc("part"))
@@ -164,11 +170,11 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key, and the heads that are taken from them once more.
     """
     ship(docs.sparkSession)
-    order = materialize(successors(docs, id_col, text_col), "successors")
+    order = materialize(_fewer(successors(docs, id_col, text_col)), "successors")
     rows = _keyed(docs, id_col, text_col).select("key", "text").withColumn("fingerprint", fingerprint(F.col("text"), **options))
     before = order.select(F.col("next_key").alias("key"), F.col("id").alias("to_id"), F.col("key").alias("to_key"), F.expr(f"int(n_chars div {share})").alias("wanted"))
-    heads = rows.join(before.hint("merge"), "key").groupBy("to_key").agg(F.first("to_id").alias("id"), F.first(F.expr("left(text, wanted)")).alias("head"), F.first("fingerprint").alias("next_fingerprint"))
-    own = rows.join(heads.hint("merge"), rows.key == heads.to_key)
+    heads = rows.join(before.hint("shuffle_hash"), "key").groupBy("to_key").agg(F.first("to_id").alias("id"), F.first(F.expr("left(text, wanted)")).alias("head"), F.first("fingerprint").alias("next_fingerprint"))
+    own = rows.join(heads.hint("shuffle_hash"), rows.key == heads.to_key)
     edited = F.concat(F.expr(f"left(text, int(length(text) - length(text) div {share}))"), F.col("head"))
     made = own.select("id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
     made = made.withColumn("edited_fingerprint", fingerprint(F.col("edited"), **options))

@@ -24,9 +24,14 @@ def prompt(question: Column, context: Column, style: str = "plain") -> Column:
 
 
 def contexts(hits: DataFrame, texts: DataFrame, query_id: str = "query_id", id_col: str = "chunk_id") -> DataFrame:
-    """(query_id, context, sources, retrieved_chunks) of ranked hits; texts(id, text[, metadata]) are joined on."""
-    rows = hits.join(texts, id_col)
+    """(query_id, context, sources, retrieved_chunks) of ranked hits; texts(id, text[, metadata]) are joined on.
+
+    Of texts that share an id the least one is taken, so a hit is never told twice.
+    """
     data = F.col("metadata") if "metadata" in texts.columns else F.create_map().cast("map<string,string>")
+    known = texts.join(hits.select(id_col).distinct(), id_col, "left_semi")
+    known = known.groupBy(id_col).agg(F.min("text").alias("text"), F.min_by(data, "text").alias("metadata"))
+    rows, data = hits.join(known, id_col), F.col("metadata")
     each = F.struct("rank", F.col("text"), F.col("score"), F.col(id_col).cast("string").alias("chunk_id"), data["source"].alias("source"), data["page_range"].alias("page_range"))
     grouped = rows.groupBy(query_id).agg(F.array_sort(F.collect_list(each)).alias("h"))
     return grouped.select(

@@ -1,31 +1,30 @@
-"""A vector store over Parquet: add, get, query, delete, count.
-
-A collection is a generation of files, to which every addition adds a folder;
-``delete`` and ``clear`` write the rest as a new generation and then move a small
-pointer table, so a reader never sees half a change.  Additions of several
-writers don't disturb each other; a deletion must be the only change at its
-time, as it would leave out what is added meanwhile.  Search is exact.
+"""A vector store over Parquet: add, get, query, delete, count, and an index for approximate search.
+
+A collection is a generation of files.  Every addition adds a folder of its own, by
+which its rows are told apart (``add``), and files them by their cell (``cell``,
+see :mod:`.index`).  Ids are keys: an addition that brings an id again replaces the
+earlier row, and ``delete`` removes one, by a small table of what is gone, (id,
+addition); rows are read without those.  ``compact``, ``build_index`` and ``clear``
+write a new generation and then move a small pointer table, so a reader never sees
+half a change; they must be the only change at their time.  Additions of several
+writers don't disturb each other: two that bring one id at the same time both keep
+it until the next that brings it.
 """
 
 from __future__ import annotations
 
-import heapq
-import time
 import uuid
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import vectors as vec
-from ..runtime import ship
 from ..schema import VECTOR
+from . import index
+from .search import top_k_batch
 
 #: Ids or filters longer than this go through a join instead of an IN list.
 MANY = 1000
-#: Bytes of queries that are sent to the rows at a time, and the blocks that are multiplied.
-SLICE_BYTES, BLOCK_ROWS, BLOCK_QUERIES = 64 << 20, 4096, 1024
+ROWS, GONE, CENTROIDS = f"{VECTOR}, add string, cell int", "chunk_id string, add string", "cell int, centroid array<double>"
 
 
 def top_k(collection: DataFrame, query: list[float], k: int = 5, filters: dict | None = None, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
@@ -43,79 +42,6 @@ def matching(collection: DataFrame, filters: dict | None) -> DataFrame:
     return collection
 
 
-def top_k_batch(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_embedding", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(query_id, rank, id, score) for a stated set of queries against all rows, in blocks.
-
-    Queries are sent to the rows as matrices of ``slice_bytes`` at most, one scan
-    of the collection for each; a task multiplies its rows a block at a time,
-    keeps the best k of each query, and only those are shuffled.  Scores are
-    cosines to 12 decimals, so equal vectors score alike wherever they lie; ties
-    go to the lesser id.  Null and zero vectors score 0; those of another
-    dimension than a query are not compared with it.
-    """
-    spark = ship(collection.sparkSession)
-    chosen = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("q is not null and v is not null")
-    total, width = chosen.agg(F.count("*"), F.max(F.size("v"))).first()
-    slices = max(1, -(-total * 8 * max(width or 1, 1) // slice_bytes))
-    kind_q, kind_i = queries.schema[query_id].dataType.simpleString(), collection.schema[id_col].dataType.simpleString()
-    rows = collection.select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
-    schema = f"`{query_id}` {kind_q}, `{id_col}` {kind_i}, score double"
-    found = None
-    for n in range(slices):
-        part = chosen if slices == 1 else chosen.where(F.pmod(F.xxhash64("q"), F.lit(slices)) == n)
-        by_width: dict[int, tuple[list, list]] = {}
-        for r in part.toLocalIterator():
-            ids, vectors = by_width.setdefault(len(r.v), ([], []))
-            ids.append(r.q)
-            vectors.append(r.v)
-        packed = {w: (ids, _unit(np.array(vectors, dtype=np.float64).reshape(len(ids), w))) for w, (ids, vectors) in by_width.items()}
-        hits = rows.mapInArrow(_best(spark.sparkContext.broadcast(packed), k, query_id, id_col), schema)
-        found = hits if found is None else found.unionByName(hits)
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", id_col, "score")
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-
-
-def _best(shared, k: int, query_id: str, id_col: str):
-    """A map over (id, vector) batches to the best k rows of each query in a partition."""
-
-    def run(batches):
-        best: dict = {}  # (width, number of the query): sorted [(-score, id)]
-        floors = {width: np.full(len(ids), -np.inf) for width, (ids, _) in shared.value.items()}
-        for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK_ROWS):
-                block = batch.slice(start, BLOCK_ROWS)
-                vectors = block.column(1)
-                sizes = np.asarray(pc.fill_null(pc.list_value_length(vectors), -1))
-                for width, (ids, matrix) in shared.value.items():
-                    own = np.flatnonzero((sizes == width) | (sizes < 0))
-                    if not len(own):
-                        continue
-                    mine = np.zeros((len(own), width))
-                    full = sizes[own] == width
-                    mine[full] = np.asarray(pc.fill_null(vectors.take(pa.array(own[full])).flatten(), 0.0)).reshape(-1, width)
-                    names = block.column(0).take(pa.array(own)).to_pylist()
-                    for low in range(0, len(ids), BLOCK_QUERIES):
-                        scores = np.round(matrix[low : low + BLOCK_QUERIES] @ _unit(mine).T, 12) + 0.0
-                        known = floors[width][low : low + BLOCK_QUERIES]
-                        for q in np.flatnonzero(scores.max(axis=1) >= known).tolist():
-                            own_floor = known[q] if len(own) <= k else max(known[q], np.partition(scores[q], len(own) - k)[len(own) - k])
-                            new = [(-float(scores[q, j]), names[j]) for j in np.flatnonzero(scores[q] >= own_floor) if names[j] is not None]
-                            held = best[width, low + q] = heapq.nsmallest(k, best.get((width, low + q), []) + new)
-                            if len(held) == k:
-                                known[q] = -held[-1][0]
-        for width, (ids, _) in shared.value.items():
-            rows = [(ids[q], name, -score + 0.0) for q in range(len(ids)) for score, name in best.get((width, q), ())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[query_id, id_col, "score"])
-
-    return run
-
-
 def create_store(spark: SparkSession, path: str, kind: str = "parquet", **config) -> VectorStore:
     """A store by its kind's name."""
     if kind != "parquet":
@@ -136,39 +62,107 @@ class VectorStore:
         path = jvm.org.apache.hadoop.fs.Path(at)
         if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             return None
-        last = self.spark.read.schema("at double, generation string").json(at).orderBy(F.desc("at")).first()
+        last = self._pointers().first()
         return last and last["generation"]
 
-    def _point(self, generation: str) -> None:
-        self.spark.createDataFrame([(time.time(), generation)], "at double, generation string").coalesce(1).write.mode("append").json(f"{self.path}/current")
+    def _pointers(self) -> DataFrame:
+        return self.spark.read.schema("number long, generation string").json(f"{self.path}/current").orderBy(F.desc("number"), "generation")
 
-    def read(self) -> DataFrame:
-        return self._table(f"{self.path}/{self._generation()}")
+    def _point(self, generation: str, first: bool) -> None:
+        last = None if first else self._pointers().first()
+        number = last["number"] + 1 if last else 0
+        self.spark.createDataFrame([(number, generation)], "number long, generation string").coalesce(1).write.mode("append").json(f"{self.path}/current")
 
-    def _table(self, path: str) -> DataFrame:
-        return self.spark.read.schema(VECTOR).option("recursiveFileLookup", "true").parquet(path)
+    def _table(self, name: str, schema: str, generation: str | None = None) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{generation or self._generation()}/{name}")
+
+    def _live(self) -> DataFrame:
+        """All rows with their addition and cell, without those that are gone."""
+        generation = self._generation()
+        return self._table("rows", ROWS, generation).join(self._table("gone", GONE, generation), ["chunk_id", "add"], "left_anti")
+
+    def read(self) -> DataFrame:
+        return self._live().select("chunk_id", "embedding", "text", "metadata")
+
+    def centroids(self) -> DataFrame:
+        return self._table("centroids", CENTROIDS)
+
+    def _start(self, rows: DataFrame | None = None, centroids: DataFrame | None = None) -> None:
+        """A new generation, of the given rows or empty, and the pointer to it."""
+        generation, first = uuid.uuid4().hex, self._generation() is None
+        made = f"{self.path}/{generation}"
+        empty = lambda schema: self.spark.createDataFrame([], schema)
+        (empty(CENTROIDS) if centroids is None else centroids.coalesce(1)).write.parquet(f"{made}/centroids")
+        empty(GONE).write.parquet(f"{made}/gone")
+        rows = empty(ROWS) if rows is None else rows.withColumn("add", F.lit(uuid.uuid4().hex)).select(*empty(ROWS).columns)
+        # A cell's rows go to as many files as they need, and each file holds one cell.
+        rows.hint("rebalance", "cell").write.partitionBy("add", "cell").parquet(f"{made}/rows")
+        self._point(generation, first)
 
     def clear(self) -> None:
         """An empty collection from here on."""
-        generation = uuid.uuid4().hex
-        self.spark.createDataFrame([], VECTOR).write.parquet(f"{self.path}/{generation}/empty")
-        self._point(generation)
+        self._start()
+
+    def compact(self) -> None:
+        """The same rows in new files, without what is gone."""
+        self._start(self._live(), self.centroids())
+
+    def build_index(self, cells: int | None = None, seed: int = 7) -> int:
+        """Train centroids and file every row by them; returns how many there are."""
+        rows = self.read()
+        known = index.train(rows, cells, seed=seed)
+        known = self.spark.createDataFrame(known.collect(), CENTROIDS)  # bounded; the model is not trained again
+        self._start(index.filed(rows, known), known)
+        return known.count()
+
+    def probes_for(self, recall: float = 0.95, k: int = 10, queries: int = 200) -> int:
+        """The cells to probe for this share of the exact answer, measured on about ``queries`` rows of the collection.
+
+        Probes are doubled up to all cells.  Vectors in groups need a few; vectors spread evenly need most.
+        """
+        rows, cells = self.read(), self.centroids().count()
+        step = max(1, rows.count() // queries)
+        asked = rows.where(F.pmod(F.xxhash64("chunk_id", F.lit(3)), F.lit(step)) == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+        exact = self.query_batch(asked, k).select("query_id", "chunk_id").persist()
+        try:
+            probes, wanted = 1, recall * exact.count()
+            while probes < cells and self.query_batch(asked, k, probes=probes).join(exact, ["query_id", "chunk_id"], "left_semi").count() < wanted:
+                probes *= 2
+        finally:
+            exact.unpersist()
+        return max(1, min(probes, cells))
 
     def add(self, rows: DataFrame) -> DataFrame:
-        """Append (chunk_id?, embedding, text, metadata); returns the ids. Missing ids get a UUID, present ones aren't replaced."""
+        """Add (chunk_id?, embedding, text, metadata); returns the ids.
+
+        Missing ids get a UUID.  Rows present with one of the ids are replaced; of
+        rows that share an id here, the one of the least text (then vector) stays.
+        """
         if "embedding" not in rows.columns or "text" not in rows.columns:
             raise ValueError("documents need a text and an embedding each")
-        own = F.col("chunk_id") if "chunk_id" in rows.columns else F.lit(None).cast("string")
+        named = "chunk_id" in rows.columns
+        own = F.col("chunk_id").cast("string") if named else F.lit(None).cast("string")
         data = F.col("metadata") if "metadata" in rows.columns else F.create_map().cast("map<string,string>")
         new = rows.select(F.coalesce(own, F.expr("uuid()")).alias("chunk_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("text"), data.cast("map<string,string>").alias("metadata"))
+        if named:
+            w = Window.partitionBy("chunk_id").orderBy("text", "embedding")
+            new = new.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
         if self.dimension is not None:
             from .embedding import checked
 
             new = checked(new, self.dimension)
-        # Every addition has a folder of its own, from which the ids are read back: those returned are those written.
-        added = f"{self.path}/{self._generation()}/{uuid.uuid4().hex}"
-        new.write.parquet(added)
-        return self._table(added).select("chunk_id")
+        generation, added = self._generation(), uuid.uuid4().hex
+        centroids = self._table("centroids", CENTROIDS, generation)
+        if centroids.isEmpty():
+            new = new.withColumn("cell", F.lit(index.ALWAYS))
+        else:
+            new = index.filed(new, centroids).hint("rebalance", "cell")
+        new.withColumn("add", F.lit(added)).select(*self._table("rows", ROWS, generation).columns).write.mode("append").partitionBy("add", "cell").parquet(f"{self.path}/{generation}/rows")
+        # The ids are read back: those returned are those written.
+        mine = self._table("rows", ROWS, generation).where(F.col("add") == added).select("chunk_id")
+        if named:
+            self._remove(mine, F.col("add") != added)
+        return mine
 
     def _wanted(self, ids: list[str] | DataFrame) -> tuple[Column | None, DataFrame | None]:
         if isinstance(ids, DataFrame):
@@ -177,6 +171,14 @@ class VectorStore:
             return None, self.spark.createDataFrame([(i,) for i in ids], "chunk_id string").distinct()
         return F.col("chunk_id").isin(*ids), None
 
+    def _remove(self, ids: list[str] | DataFrame, which: Column | None = None) -> None:
+        """Note the live rows of these ids as gone: only ids are read, and only theirs are written."""
+        where, join = self._wanted(ids)
+        rows = self._live().select("chunk_id", "add")
+        rows = rows if which is None else rows.where(which)
+        rows = rows.where(where) if join is None else rows.join(join, "chunk_id", "left_semi")
+        rows.write.mode("append").parquet(f"{self.path}/{self._generation()}/gone")
+
     def get(self, ids: list[str] | DataFrame) -> DataFrame:
         where, join = self._wanted(ids)
         rows = self.read().select("chunk_id", "text", "metadata")
@@ -185,16 +187,14 @@ class VectorStore:
     def query(self, embedding: list[float], k: int = 5, filters: dict | None = None) -> DataFrame:
         return top_k(self.read(), embedding, k, filters).select("chunk_id", "text", "metadata", "score")
 
-    def query_batch(self, queries: DataFrame, k: int = 5, filters: dict | None = None) -> DataFrame:
-        return top_k_batch(matching(self.read(), filters), queries, k)
+    def query_batch(self, queries: DataFrame, k: int = 5, filters: dict | None = None, probes: int | None = None) -> DataFrame:
+        """(query_id, rank, chunk_id, score): exact, or with ``probes`` among that many cells of the index for each query."""
+        if probes is None:
+            return top_k_batch(matching(self.read(), filters), queries, k)
+        return index.top_k_probed(matching(self._live(), filters), self.centroids(), queries, k, probes)
 
     def delete(self, ids: list[str] | DataFrame) -> None:
-        where, join = self._wanted(ids)
-        rows = self.read()
-        rest = rows.where(~where | F.col("chunk_id").isNull()) if join is None else rows.join(join, "chunk_id", "left_anti").select(*rows.columns)
-        generation = uuid.uuid4().hex
-        rest.write.parquet(f"{self.path}/{generation}/rest")
-        self._point(generation)
+        self._remove(ids)
 
     def count(self) -> int:
         return self.read().count()

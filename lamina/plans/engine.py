@@ -63,6 +63,9 @@ class Engine:
         rows = chunks.select("chunk_id", "text", data.alias("metadata"))
         began = time.time()
         self.store.add(embed_column(rows, "text", self.embedder, **self.embedder_config))
+        # Chunks that these documents had before and have no more.
+        earlier = self.spark.read.parquet(f"{self.folder}/chunks").where(F.col("batch").cast("string") != batch).join(documents.select("doc_id"), "doc_id", "left_semi")
+        self.store.delete(earlier.select("chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_anti"))
         stats["store_seconds"] = time.time() - began
         failed = F.coalesce(F.size("errors") > 0, F.lit(False))
         counts = documents.agg(F.count("*").alias("documents"), F.count_if(failed).alias("failed")).first()

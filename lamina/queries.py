@@ -669,6 +669,26 @@ def vec_topk_batch(spark, sf_dir):
     return store.top_k_batch(rows, asked, 5, "vec_id").withColumn("score", F.round("score", 6))
 
 
+def _asked(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0)
+    return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+@query(f"""SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank
+FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 5""")
+def vec_topk_batch_dealt(spark, sf_dir):
+    """The way of many queries: both sides are dealt to meeting places."""
+    return store.top_k_batch(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 5, "vec_id", slice_bytes=2048).withColumn("score", F.round("score", 6))
+
+
+@query(f"""SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank
+FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id % 3 > 0) WHERE rank <= 5""")
+def vec_topk_batch_nulls(spark, sf_dir):
+    """A third of the rows has no id; they take no place among the best."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("vec_id", F.when(F.col("vec_id") % 3 > 0, F.col("vec_id")))
+    return store.top_k_batch(rows, _asked(spark, sf_dir), 5, "vec_id").withColumn("score", F.round("score", 6))
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3 + vec_id) AS v FROM embeddings),
 n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM v)
 SELECT vec_id, generate_subscripts(v, 1) - 1 AS dim, round(unnest(v) / size, 6) AS x FROM n""")
@@ -716,6 +736,40 @@ def _store(spark, sf_dir):
     return made
 
 
+@query("""SELECT 'v' || vec_id AS chunk_id, CASE WHEN vec_id % 7 = 0 THEN 'again ' ELSE 'text ' END || vec_id AS text, CASE WHEN vec_id % 7 <> 0 THEN label::VARCHAR END AS label
+FROM embeddings WHERE vec_id % 11 > 0 OR vec_id % 77 = 0""")
+def vec_upsert(spark, sf_dir):
+    """Every eleventh row is deleted, then every seventh added again with another text; what was deleted comes back by that."""
+    made = _store(spark, sf_dir)
+    every = lambda n: table(spark, sf_dir, "embeddings").where(F.col("vec_id") % n == 0)
+    made.delete(every(11).select(F.concat(F.lit("v"), "vec_id")))
+    again = every(7).select(F.concat(F.lit("v"), "vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("again "), "vec_id").alias("text"))
+    made.add(again)
+    made.add(again)
+    made.compact()
+    return made.read().select("chunk_id", "text", F.col("metadata")["label"].alias("label"))
+
+
+def _indexed(spark, sf_dir, probes=None):
+    made = _store(spark, sf_dir)
+    made.build_index()
+    found = made.query_batch(_asked(spark, sf_dir), 5, probes=probes or made.probes_for(0.95, 5))
+    return found.select("query_id", "rank", F.substring("chunk_id", 2, 20).cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"""SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id, {COSINE} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, 'v' || b.vec_id) AS rank
+FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 5""")
+def vec_index_whole(spark, sf_dir):
+    """The index with all its cells probed: the exact answer by its way."""
+    return _indexed(spark, sf_dir, 1 << 20)
+
+
+@query()
+def vec_index(spark, sf_dir):
+    """The index with as many cells probed as a recall of 0.95 takes; recall is measured in the tests."""
+    return _indexed(spark, sf_dir)
+
+
 @query("SELECT 'v' || vec_id AS chunk_id, 'text ' || vec_id AS text, label::VARCHAR AS label FROM embeddings WHERE vec_id IN (3, 7, 400)")
 def vec_get(spark, sf_dir):
     return _store(spark, sf_dir).get(["v3", "v7", "v400", "v-1"]).select("chunk_id", "text", F.col("metadata")["label"].alias("label"))
@@ -763,6 +817,14 @@ def rag_context(spark, sf_dir):
     return _contexts(spark, sf_dir).select("query_id", "context", "retrieved_chunks")
 
 
+@query(f"WITH {CONTEXTS} SELECT query_id, context, retrieved_chunks FROM c")
+def rag_context_repeated(spark, sf_dir):
+    """Texts whose ids come twice: each hit is told once."""
+    hits = store.top_k_batch(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 3, "vec_id")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return rag.contexts(hits, texts.unionByName(texts), "query_id", "vec_id").select("query_id", "context", "retrieved_chunks")
+
+
 def _questions(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0)
     return rows.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("What is near "), "vec_id", F.lit("?")).alias("question"))

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lamina.operators import embedding, generators, store
+from lamina.operators import embedding, generators, index, rag, search, store
 from lamina.operators.chunking import Chunker
 from lamina.plans.engine import Engine
 from lamina.streaming.ingest import stream_chunks
@@ -96,7 +97,7 @@ def test_returned_ids_are_those_stored(spark, tmp_path):
 @pytest.mark.parametrize("slice_bytes", (1 << 20, 100))
 def test_batch_search_brute(spark, monkeypatch, slice_bytes):
     """Several slices of queries and blocks of rows, equal, zero and null vectors, other dimensions, null ids."""
-    monkeypatch.setattr(store, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(3)
     rows = [(f"r{i:03d}", rng.normal(size=4).tolist()) for i in range(90)] + [(f"s{i:03d}", [1.0, 2.0, 0.0, 0.0]) for i in range(30)] + [("z", [0.0] * 4), ("n", None), ("w", [1.0, 2.0]), (None, [1.0, 2.0, 0.0, 0.0])]
     asked = [(i, rng.normal(size=4).tolist()) for i in range(20)] + [(100, [1.0, 2.0, 0.0, 0.0]), (101, [0.0] * 4), (102, [3.0, 1.0]), (103, None)]
@@ -189,3 +190,106 @@ def test_answers_are_trimmed(spark):
     got = [r[0] for r in rows.select(rag.trimmed_answer(F.col("raw"), F.col("given"), ("</s>",))).collect()]
     assert got == ["yes", "no", "a"]
     assert store.create_store.__name__ and pytest.raises(ValueError, store.create_store, spark, "x", "other")
+
+
+def test_batch_search_passes_no_query_through_the_driver(spark):
+    """200,000 queries, dealt to meeting places; the driver sees their number alone."""
+    import inspect
+
+    assert not any(f".{name}(" in inspect.getsource(search) for name in ("collect", "toLocalIterator", "toPandas"))
+    rows = spark.range(40).select(F.concat(F.lit("r"), "id").alias("chunk_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    asked = spark.range(200_000).select(F.col("id").alias("query_id"), F.array(F.sin(F.col("id") % 40), F.cos(F.col("id") % 40)).alias("query_embedding"))
+    got = store.top_k_batch(rows, asked, 1, slice_bytes=1 << 20)
+    assert got.agg(F.count("*"), F.count_if(F.col("chunk_id") == F.concat(F.lit("r"), F.col("query_id") % 40)), F.min("score")).first()[:] == (200_000, 200_000, 1.0)
+
+
+def test_ids_are_keys(spark, tmp_path):
+    made = store.VectorStore(spark, f"file://{tmp_path}/v", 2)
+    kind = "chunk_id string, embedding array<double>, text string"
+    texts = lambda: sorted((r.chunk_id, r.text) for r in made.read().collect())
+    made.add(spark.createDataFrame([("a", [1.0, 0.0], "A"), ("b", [0.0, 1.0], "B"), ("b", [0.0, 1.0], "B again"), ("c", [0.0, 0.0], "C")], kind))
+    assert texts() == [("a", "A"), ("b", "B"), ("c", "C")]
+    made.add(spark.createDataFrame([("b", [1.0, 1.0], "second"), ("d", [-1.0, 1.0], "D")], kind))
+    made.delete(["a", "zz"])
+    assert texts() == [("b", "second"), ("c", "C"), ("d", "D")]
+    before = sum(1 for p in tmp_path.rglob("*.parquet"))
+    made.delete(["a"])
+    assert made.count() == 3 and sum(p.stat().st_size for p in tmp_path.rglob("gone/*.parquet")) < 10_000 and sum(1 for p in tmp_path.rglob("*.parquet")) <= before + 4
+    # Another handle sees the same; a compaction and an index change nothing.
+    made.compact()
+    assert made.build_index(2) == 2
+    made.add(spark.createDataFrame([("d", [1.0, -1.0], "filed"), ("e", None, "no vector")], kind))
+    made = store.VectorStore(spark, f"file://{tmp_path}/v", 2)
+    assert texts() == [("b", "second"), ("c", "C"), ("d", "filed"), ("e", "no vector")]
+    asked = spark.createDataFrame([(1, [1.0, -1.0]), (2, None)], "query_id int, query_embedding array<double>")
+    assert [(r.chunk_id, r["rank"]) for r in made.query_batch(asked, 1, probes=1).collect()] == [("d", 1)]
+    made.clear()
+    assert made.count() == 0 and made.build_index() == 0 and made.query_batch(asked, 1, probes=1).count() == 0
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    made = [store.VectorStore(spark, f"file://{tmp_path}/v", 1) for _ in range(2)]
+    rows = [spark.range(50).select(F.concat(F.lit(name), "id").alias("chunk_id"), F.array(F.lit(1.0)).alias("embedding"), F.lit(name).alias("text")) for name in "xy"]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda s, r: s.add(r), made, rows))
+    assert made[0].count() == 100
+
+
+def recall(made, asked, k, probes):
+    pairs = lambda rows: {(r.query_id, r.chunk_id) for r in rows.collect()}
+    exact, found = pairs(made.query_batch(asked, k)), pairs(made.query_batch(asked, k, probes=probes))
+    assert len(exact) == len(found) == k * asked.count()
+    return len(exact & found) / len(exact)
+
+
+def test_index_recall(spark, tmp_path, monkeypatch):
+    """Recall at 10 of the ids divisible by 100 against all rows of vectors that are spread evenly."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit("").alias("text"))
+    made = store.VectorStore(spark, f"file://{tmp_path}/v", 64)
+    made.add(docs)
+    assert 40 <= made.build_index() <= 45
+    asked = made.read().where(F.col("chunk_id").cast("long") % 100 == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    probes = made.probes_for(0.95)
+    assert recall(made, asked, 10, probes) >= 0.9 and recall(made, asked, 10, 1000) == 1.0
+    # A cell of many rows has several places.
+    monkeypatch.setattr(index, "PLACE_ROWS", 16)
+    assert recall(made, asked, 10, 1000) == 1.0
+    assert made.query_batch(asked, 10, {"k": "none"}, probes=4).count() == 0
+
+
+def test_index_prunes(spark, tmp_path):
+    """Vectors in groups: one or two cells of thirty are read."""
+    rng = np.random.default_rng(1)
+    middle = rng.normal(size=(30, 16))
+    rows = [(f"r{i}", (middle[i % 30] + 0.05 * rng.normal(size=16)).tolist(), "") for i in range(900)]
+    made = store.VectorStore(spark, f"file://{tmp_path}/v", 16)
+    made.add(spark.createDataFrame(rows, "chunk_id string, embedding array<double>, text string"))
+    made.build_index(30)
+    probes = made.probes_for(0.95)
+    asked = made.read().where(F.col("chunk_id").rlike("0$")).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    assert probes <= 2 and recall(made, asked, 10, probes) >= 0.9
+    one = made._live().where(F.col("cell").isin(0, 1))
+    assert "PartitionFilters: [cell" in one._jdf.queryExecution().executedPlan().toString() and 0 < len(one.inputFiles()) <= 2 * len(made._live().inputFiles()) and one.count() < 200
+
+
+def test_contexts_of_repeated_texts(spark):
+    hits = spark.createDataFrame([("q", 1, "a", 0.5), ("q", 2, "b", 0.4)], "query_id string, rank int, chunk_id string, score double")
+    texts = spark.createDataFrame([("a", "A", {"source": "s"}), ("a", "A", {"source": "s"}), ("b", "B2", None), ("b", "B1", None)], "chunk_id string, text string, metadata map<string,string>")
+    r = rag.contexts(hits, texts).first()
+    assert (r.context, r.retrieved_chunks, r.sources[0].source) == ("A\n\nB1", 2, "s")
+
+
+def test_second_ingest_changes_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("CATS\nCats sleep all day.\nDOGS\nDogs bark at night.")
+    engine = Engine(spark, f"file://{tmp_path}/work", Chunker("hierarchical", 50, 5))
+    for _ in range(2):
+        engine.ingest(f"file://{tmp_path}/in")
+    assert engine.statistics().first().document_count == 2
+    assert engine.ask_one("dogs bark", top_k=3)["retrieved_chunks"] == 2
+    # A shorter text leaves no chunk of the longer one behind.
+    (tmp_path / "in/a.txt").write_text("BIRDS\nBirds sing.")
+    engine.ingest(f"file://{tmp_path}/in/a.txt")
+    assert engine.statistics().first().document_count == 1 and "BIRDS" in engine.ask_one("dogs bark", top_k=3)["answer"]

@@ -33,8 +33,9 @@ from .common import materialize, release, text_blocks
 
 CHUNK_CHARS = 32768
 SPACE = "▁"
-CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 500_000, 600_000, 40
-CACHED_PAIRS = 700_000
+#: What a worker remembers: some 200 bytes each.
+CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 120_000, 200_000, 40
+CACHED_PAIRS = 200_000
 #: Characters on both sides of a chunk: two of the longest pieces fit.
 CONTEXT = 64
 

@@ -55,9 +55,11 @@ CHUNK = 1024
 LEAF = 16
 #: Percent of its size by which a prefix is longer than one common token would need.
 SPARE = 5
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 #: Ids (8 bytes each) that may be broadcast.
 BROADCAST_IDS = 1_000_000
+#: Nodes from here on stand for rows whose id they share or lack.
+SHARED = 1 << 62
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -471,17 +473,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component: that of the least id.
 
-    Rows without an id all stay; of rows that share the least id the one with
-    the least text (null first), then the least other columns.
+    What is linked are distinct (id, text): rows that share an id but no link all
+    stay, and rows without an id are compared like any others (they stay where no
+    row with an id is linked; the one of the least hash, of several).  Of rows equal
+    in id and text the one with the least other columns stays.
     """
-    linked = jaccard_components(docs, id_col, text_col, **options)
-    extra = materialize(linked.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("extra_id")).distinct(), "extra")
-    kept = docs.join(extra, docs[id_col] == extra.extra_id, "left_anti")
-    again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again_id")).count().where("count > 1").select("again_id")
+    again = docs.groupBy(F.col(id_col).alias("again_id")).count().where("count > 1 or again_id is null").select("again_id")
     again = materialize(again, "again")
     if again.isEmpty():
-        return kept
-    single = kept.join(again, kept[id_col] == again.again_id, "left_anti")
+        linked = jaccard_components(docs, id_col, text_col, **options)
+        extra = materialize(linked.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("extra_id")), "extra")
+        return docs.join(extra, docs[id_col] == extra.extra_id, "left_anti")
+    # A row whose id does not name it alone is a node of its own: a hash of id and text, above all ids.
+    key = F.lit(SHARED) + F.pmod(F.xxhash64(F.col("row").getField(id_col), F.col("row").getField(text_col)), F.lit(SHARED))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own"))
+    rows = rows.join(again, rows.own.eqNullSafe(again.again_id), "left_semi").withColumn("node", key).unionByName(rows.join(again, rows.own.eqNullSafe(again.again_id), "left_anti").withColumn("node", F.col("own")))
+    linked = jaccard_components(rows.select("node", F.col("row").getField(text_col).alias("text")), "node", "text", **options)
+    linked = materialize(linked.select("node", F.col("component_id").alias("component")).distinct(), "linked")
+    shared = materialize(rows.where(F.col("node") >= SHARED).select("node", "own").distinct(), "shared")
+    # A component's number is its least id that names one row; a shared id may be less.
+    best = linked.join(shared, "node").groupBy("component").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "node")).alias("b"))
+    takes = (F.col("b.own") < F.col("component")) | (F.col("component") >= SHARED)
+    stays = linked.join(best, "component", "left").select("node", F.when(takes, F.col("b.node")).otherwise(F.col("component")).alias("stays"))
+    extra = materialize(stays.where("node <> stays").select(F.col("node").alias("extra")), "extra")
+    kept = rows.join(extra, rows.node == extra.extra, "left_anti")
     order = [text_col, *[c for c in docs.columns if c not in (id_col, text_col)]]
-    several = kept.join(again, kept[id_col] == again.again_id, "left_semi").groupBy(id_col).agg(F.min(F.struct(*order)).alias("least"))
-    return single.unionByName(several.select(id_col, *[F.col("least").getField(c).alias(c) for c in order]))
+    once = kept.where(F.col("node") >= SHARED).groupBy("node").agg(F.min(F.struct(F.col("own"), *[F.col("row").getField(c).alias(f"c{n}") for n, c in enumerate(order)])).alias("r"))
+    once = once.select(F.col("r.own").cast(docs.schema[id_col].dataType).alias(id_col), *[F.col("r").getField(f"c{n}").alias(c) for n, c in enumerate(order)])
+    return kept.where(F.col("node") < SHARED).select("row.*").unionByName(once)

@@ -17,14 +17,33 @@ def reading_order(elements: DataFrame, tolerance: float = LINE_TOLERANCE) -> Dat
     """``elements`` with ro_pos: per page from top to bottom in lines, and along each line.
 
     A line takes boxes, by (y0, x0), whose centre is within the tolerance of the
-    centre of the line's first box.  That needs the boxes one after the other, so
-    documents are sorted within their partitions and folded as they pass, in time
-    linear in their boxes.  Rows equal in place and ``pos`` are numbered each.
+    centre of the line's first box.  A box whose centre lies more than that below
+    all centres before it on its page starts a line for certain; where all boxes
+    up to the next such start are near it, they are its line, and windows number
+    the document.  Only documents that hold other boxes are folded, one box after
+    the other.  Rows equal in place and ``pos`` are numbered each.
     """
-    ship(elements.sparkSession)
     names = [c for c in elements.columns if c != "ro_pos"]
-    row = F.struct(*names).alias("row")
-    keys = sorted_documents(elements.select(row, "doc_id", "page", "y0", "x0", "pos", boxes.center_y().alias("cy")), "page", "y0", "x0", "pos")
+    # One exchange serves both ways; the columns travel in a struct, so none of their names can clash.
+    rows = elements.select(F.struct(*names).alias("row"), "doc_id", "page", "y0", "x0", "pos", boxes.center_y().alias("cy")).repartition("doc_id")
+    on_page = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "pos")
+    before = on_page.rowsBetween(Window.unboundedPreceding, -1)
+    upto = on_page.rowsBetween(Window.unboundedPreceding, 0)
+    apart = F.col("cy").isNull() | F.lag("cy").over(on_page).isNull() | (F.col("cy") > F.max("cy").over(before) + tolerance)
+    rows = rows.withColumn("apart", apart)
+    start = F.last(F.when(F.col("apart"), F.struct("cy")), ignorenulls=True).over(upto)
+    rows = rows.withColumns({"line": F.sum(F.col("apart").cast("int")).over(upto), "start": start})
+    loose = F.coalesce(F.abs(F.col("cy") - F.col("start.cy")) > tolerance, F.lit(False))
+    rows = rows.withColumn("loose", F.max(loose).over(Window.partitionBy("doc_id")))
+    along = Window.partitionBy("doc_id").orderBy("page", "line", "x0", "y0", "pos")
+    plain = rows.where(~F.col("loose")).select("row.*", (F.row_number().over(along) - 1).cast("int").alias("ro_pos"))
+    return plain.unionByName(_folded_order(rows.where("loose"), names, elements, tolerance))
+
+
+def _folded_order(rows: DataFrame, names: list[str], elements: DataFrame, tolerance: float) -> DataFrame:
+    """The same by a fold over whole documents in Arrow batches, in time linear in their boxes."""
+    ship(elements.sparkSession)
+    keys = sorted_documents(rows.select("row", "doc_id", "page", "y0", "x0", "pos", "cy"), "page", "y0", "x0", "pos", dealt=True)
 
     def run(batches):
         for batch in whole_documents(batches, 1):
@@ -84,20 +103,38 @@ def titles(elements: DataFrame) -> DataFrame:
 def pairs(elements: DataFrame) -> DataFrame:
     """Pairs of a page's boxes (a before b in document order): overlap, nesting and adjacency, each where it holds.
 
-    A box can relate only to boxes near it, so both sides are cut into grid
-    cells of the page and meet by an equi-join on (doc_id, page, cell).
+    A box can relate only to boxes near it.  It has a level, the power of two above
+    its longer side, and on the grid of its level it lies in four cells at most.
+    Boxes meet level by level, by an equi-join on (doc_id, page, level, cell): the
+    larger one holds its own cells, the smaller one looks up those it lies in on
+    each coarser grid that its page has.  So a table as wide as a sheet costs four
+    cells, whatever stands inside it.  Boxes without a place take no part.
     """
-    reach, cell = 10.0, 200.0
-    keep = elements.select("doc_id", "pos", "element_id", "page", "x0", "y0", "x1", "y1")
-    side = lambda p: keep.select("doc_id", "page", *[F.col(c).alias(f"{p}{c}") for c in ("pos", "element_id", "x0", "y0", "x1", "y1")])
-    span = lambda lo, hi, pad: F.sequence(F.floor((F.col(lo) - pad) / cell), F.floor((F.greatest(F.col(lo), F.col(hi)) + pad) / cell))
-    a = side("a_").withColumn("cx", F.explode(span("a_x0", "a_x1", reach))).withColumn("cy", F.explode(span("a_y0", "a_y1", reach)))
-    b = side("b_").withColumn("cx", F.explode(span("b_x0", "b_x1", 0.0))).withColumn("cy", F.explode(span("b_y0", "b_y1", 0.0)))
-    met = a.join(b, ["doc_id", "page", "cx", "cy"]).where("a_pos < b_pos")
-    # A pair is taken in the first cell that both boxes lie in.
-    first = lambda lo, c: F.floor(F.greatest(F.col(f"a_{lo}") - reach, F.col(f"b_{lo}")) / cell) == F.col(c)
-    met = met.where(first("x0", "cx") & first("y0", "cy"))
-    rows = met.select("doc_id", "page", F.col("a_element_id").alias("element1"), F.col("b_element_id").alias("element2"), F.col("a_pos").alias("pos1"), F.col("b_pos").alias("pos2"), boxes.overlaps("a_", "b_").alias("overlapping"), boxes.contains("a_", "b_").alias("nested"), boxes.adjacent("a_", "b_", reach).alias("adjacent"), boxes.adjacency_type("a_", "b_").alias("adjacency_type"))
+    reach, least = 10.0, 6  # cells of 64 units at least
+    sides = ("x0", "y0", "x1", "y1")
+    rows = elements.select("doc_id", "pos", "element_id", "page", *sides).where(" and ".join(f"{c} is not null" for c in sides))
+    longest = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * reach
+    level = F.greatest(F.lit(least), F.ceil(F.log2(F.greatest(longest, F.lit(1.0))))).cast("int")
+    rows = rows.withColumn("level", level)
+    present = rows.groupBy("doc_id", "page").agg(F.collect_set("level").alias("levels"))
+    cells = lambda lo, hi, pad, at: F.sequence(F.floor((F.col(lo) - pad) / at), F.floor((F.greatest(F.col(lo), F.col(hi)) + pad) / at))
+
+    def side(prefix: str, df: DataFrame, pad: float) -> DataFrame:
+        size = F.pow(F.lit(2.0), F.col("on"))
+        df = df.withColumn("cx", F.explode(cells("x0", "x1", pad, size))).withColumn("cy", F.explode(cells("y0", "y1", pad, size)))
+        return df.select("doc_id", F.col("page").alias("of_page"), "on", "cx", "cy", *[F.col(c).alias(prefix + c) for c in ("pos", "element_id", "level", *sides)])
+
+    large = side("l_", rows.withColumn("on", F.col("level")), reach)
+    known = rows.join(present, rows.doc_id.eqNullSafe(present.doc_id) & rows.page.eqNullSafe(present.page)).select(rows["*"], "levels")
+    small = side("s_", known.withColumn("on", F.explode(F.filter("levels", lambda x: x >= F.col("level")))), 0.0)
+    # Of boxes of one level the one that comes first holds; a pair is taken in the first cell that both lie in.
+    order = (F.col("s_level") < F.col("l_level")) | (F.col("l_pos") < F.col("s_pos"))
+    first = lambda lo, c: F.floor(F.greatest(F.col(f"l_{lo}") - reach, F.col(f"s_{lo}")) / F.pow(F.lit(2.0), F.col("on"))) == F.col(c)
+    met = large.join(small, ["doc_id", "of_page", "on", "cx", "cy"]).where(order & (F.col("l_pos") != F.col("s_pos")) & first("x0", "cx") & first("y0", "cy"))
+    ahead = F.col("l_pos") < F.col("s_pos")
+    pick = lambda c, of: F.when(ahead if of == "a" else ~ahead, F.col(f"l_{c}")).otherwise(F.col(f"s_{c}")).alias(f"{of}_{c}")
+    rows = met.select("doc_id", F.col("of_page").alias("page"), *[pick(c, of) for of in "ab" for c in ("pos", "element_id", *sides)])
+    rows = rows.select("doc_id", "page", F.col("a_element_id").alias("element1"), F.col("b_element_id").alias("element2"), F.col("a_pos").alias("pos1"), F.col("b_pos").alias("pos2"), boxes.overlaps("a_", "b_").alias("overlapping"), boxes.contains("a_", "b_").alias("nested"), boxes.adjacent("a_", "b_", reach).alias("adjacent"), boxes.adjacency_type("a_", "b_").alias("adjacency_type"))
     return rows.where("overlapping or nested or adjacent")
 
 

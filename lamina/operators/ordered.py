@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def sorted_documents(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` dealt by doc_id, each partition sorted by it and ``order``: one shuffle."""
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", *order)
+def sorted_documents(rows: DataFrame, *order: str, dealt: bool = False) -> DataFrame:
+    """``rows`` dealt by doc_id (unless they are), each partition sorted by it and ``order``: one shuffle."""
+    return (rows if dealt else rows.repartition("doc_id")).sortWithinPartitions("doc_id", *order)
 
 
 def whole_documents(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:

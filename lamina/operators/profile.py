@@ -91,3 +91,59 @@ def data_range(cells: DataFrame, row_from: int, row_to: int, col_from: int, col_
     held = inside.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("held"))
     values = F.transform(F.sequence(F.lit(col_from), F.lit(col_to)), lambda c: F.coalesce(F.try_element_at("held", c), F.lit("")))
     return grid.join(held, ["doc_id", "row"], "left").select("doc_id", "row", values.alias("values"))
+
+
+def column_sketch(cells: DataFrame, precision: int = 14) -> DataFrame:
+    """A profile of columns that adds up: (doc_id, col, column_name, types, cells, empties, longest, numbers, mean, spread, low, high, values_sketch).
+
+    ``spread`` is the sum of squared differences from the mean.  The sketch is
+    HyperLogLog of ``precision`` bits: a standard error of 1.04 / sqrt(2^precision).
+    Write it for each batch; :func:`merged_sketches` makes one of several.
+    """
+    rows = typed(cells.where(~F.col("is_header")))
+    rows = rows.withColumn("number", F.when(F.col("is_numeric"), fn.as_number(F.col("value"))))
+    return rows.groupBy("doc_id", "col", "column_name").agg(
+        F.array_sort(F.collect_set("data_type")).alias("types"),
+        F.count("*").alias("cells"),
+        F.count_if("is_empty").alias("empties"),
+        F.max(F.length("value")).cast("long").alias("longest"),
+        F.count("number").alias("numbers"),
+        F.avg("number").alias("mean"),
+        (F.var_pop("number") * F.count("number")).alias("spread"),
+        F.min("number").alias("low"),
+        F.max("number").alias("high"),
+        F.hll_sketch_agg("value", precision).alias("values_sketch"),
+    )
+
+
+def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """The sketches of several batches as one for each of ``keys`` (by default doc_id, col, column_name), in the same columns.
+
+    Means and spreads are combined from those of the batches, so no cell is read again.
+    """
+    keys = keys or ("doc_id", "col", "column_name")
+    share = F.coalesce(F.col("mean"), F.lit(0.0)) * F.col("numbers")
+    square = F.coalesce(F.col("mean"), F.lit(0.0)) * share
+    rows = sketches.withColumns({"share": share, "square": square})
+    mean = F.when(F.sum("numbers") > 0, F.sum("share") / F.sum("numbers"))
+    return rows.groupBy(*keys).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"),
+        F.sum("cells").alias("cells"),
+        F.sum("empties").alias("empties"),
+        F.max("longest").alias("longest"),
+        F.sum("numbers").alias("numbers"),
+        mean.alias("mean"),
+        F.when(F.sum("numbers") > 0, F.sum("spread") + F.greatest(F.lit(0.0), F.sum("square") - F.sum("share") * mean)).alias("spread"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.hll_union_agg("values_sketch", True).alias("values_sketch"),
+    )
+
+
+def profile_of_sketches(sketches: DataFrame) -> DataFrame:
+    """The columns of :func:`column_profile` from sketches; ``unique_values`` is an estimate."""
+    std = F.when(F.col("numbers") == 1, F.lit(float("nan"))).when(F.col("numbers") > 1, F.sqrt(F.col("spread") / (F.col("numbers") - 1)))
+    return sketches.select(
+        *[c for c in sketches.columns if c in ("doc_id", "col", "column_name")], F.col("types").alias("data_types"), F.hll_sketch_estimate("values_sketch").alias("unique_values"), F.col("empties").alias("null_count"),
+        F.col("longest").alias("max_length"), F.col("numbers").alias("numeric_count"), "mean", F.col("low").alias("min"), F.col("high").alias("max"), std.alias("std"),
+    )

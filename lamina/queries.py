@@ -892,6 +892,67 @@ def file_types(spark, sf_dir):
     return spark.createDataFrame([(p,) for p in paths], "path string").select("path", file_type(F.col("path")).alias("file_type"))
 
 
+def _engine(spark, sf_dir, times: int = 1):
+    """An engine that has ingested all documents, in fixed chunks."""
+    from .plans.engine import Engine
+    from .runtime import scratch
+
+    made = Engine(spark, scratch(spark, "engine"), chunking.Chunker("fixed", 500, 50), embedder_config={"dimension": 64})
+    for _ in range(times):
+        made.ingest_texts(table(spark, sf_dir, "documents"))
+    return made
+
+
+N_CHUNKS = "CASE WHEN t = 0 THEN 0 ELSE 1 + greatest(ceil((t - 500) / 450.0), 0) END::BIGINT"
+READ_TEXTS = f"""{LINES}, r AS (SELECT doc_id, string_agg(content, chr(10) ORDER BY pos) AS content FROM e WHERE element_type IN ('text', 'paragraph', 'heading') GROUP BY doc_id),
+t AS (SELECT doc_id, len(regexp_extract_all(content, '\\S+|\\n')) AS t FROM r), n AS (SELECT doc_id, count(*) AS n_lines FROM e GROUP BY doc_id)"""
+
+
+@query(f"""WITH {READ_TEXTS} SELECT d.doc_id::VARCHAR AS doc_id, 'text' AS file_type, 'ok' AS status, coalesce(n_lines, 0) AS n_lines, coalesce({N_CHUNKS}, 0) AS n_chunks FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def engine_file_status(spark, sf_dir):
+    """What became of each document; special blocks are left out of the elements, as SQL counts lines."""
+    made = _engine(spark, sf_dir)
+    lines = made.stage("elements").where(~F.col("element_type").isin("table", "annotation")).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    rows = made.file_status().join(lines, "doc_id", "left")
+    return rows.select("doc_id", "file_type", "status", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), "n_chunks")
+
+
+@query(f"""WITH {READ_TEXTS} SELECT sum({N_CHUNKS})::BIGINT AS document_count, 'hashing' AS embedder, 64 AS dimension, 'parquet' AS vector_store, 'extractive' AS generator, 'fixed' AS strategy, 500 AS chunk_size, 50 AS chunk_overlap FROM t""")
+def engine_statistics(spark, sf_dir):
+    """Statistics of an engine into which everything was ingested twice: chunks count once."""
+    return _engine(spark, sf_dir, 2).statistics()
+
+
+@query(f"""WITH {LINES} SELECT doc_id::VARCHAR || '.txt' AS file, 'text' AS file_type, false AS failed, coalesce(n, 0) AS n_lines FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id) USING (doc_id)""")
+def files_of_documents(spark, sf_dir):
+    """Every document written as a file of its own; then all are scanned, parsed and counted."""
+    from .runtime import scratch
+    from .sources import files
+
+    folder = scratch(spark, "texts")
+    export.write_files(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("json")), folder, ".txt").count()
+    documents, elements = files.parse_path(spark, folder)
+    lines = elements.where(~F.col("element_type").isin("table", "annotation")).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    rows = documents.join(lines, "doc_id", "left")
+    return rows.select(_stem(), "file_type", F.coalesce(F.size("errors") > 0, F.lit(False)).alias("failed"), F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"))
+
+
+@query(f"SELECT doc_id, col, column_name, null_count, max_length, numeric_count, round(mean, 6) AS mean, min, max FROM ({SQL['column_profile']})")
+def column_profile_merged(spark, sf_dir):
+    """Profiles of two halves of the rows, merged; distinct values are an estimate and left out."""
+    cells = _cells(spark, sf_dir)
+    halves = [profile.column_sketch(cells.where((F.col("row") % 2 == k) | F.col("is_header"))) for k in range(2)]
+    rows = profile.profile_of_sketches(profile.merged_sketches(halves[0].unionByName(halves[1])))
+    return rows.select("doc_id", "col", "column_name", "null_count", "max_length", "numeric_count", F.round("mean", 6).alias("mean"), "min", "max")
+
+
+@query(f"SELECT regexp_replace(doc_id, '-chunk-.*', '') AS doc_id, chunk_no, 0 AS page_start, 0 AS page_end, text FROM (SELECT * FROM ({_fold_sql(SEMANTIC, 80, 1, True)} SELECT p.g::VARCHAR AS doc_id, part AS chunk_no, string_agg(el.content, chr(10) ORDER BY el.i) AS text FROM p JOIN el ON el.g = p.g AND el.i >= p.lo AND el.i < p.hi GROUP BY p.g, part))")
+def chunk_pages(spark, sf_dir):
+    """The pages that chunks span; texts have one."""
+    rows = text.text_elements(table(spark, sf_dir, "documents"), special=False)
+    return chunking.semantic_chunks(rows, 80, 1).select("doc_id", "chunk_no", "page_start", "page_end", "text")
+
+
 # ---- Files ----------------------------------------------------------------------------------
 
 

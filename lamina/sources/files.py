@@ -46,15 +46,35 @@ def encoding(content: Column) -> Column:
     )
 
 
-def scan(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """(path, file_type, length, content) of the files below a folder, hidden names left out; contents are read only if used.
-
-    Files of no bytes have no rows: Spark's file source passes over them.
-    """
+def _found(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
+    """(path, file_type, length, content) of files that hold anything, hidden names left out: Spark's file source passes over empty ones."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return rows.where(~name.startswith(".")).select("path", file_type(F.col("path")).alias("file_type"), "length", "content")
+    return rows.where(~_name().startswith(".")).select("path", file_type(F.col("path")).alias("file_type"), "length", "content")
+
+
+def _name() -> Column:
+    return F.element_at(F.split("path", "/"), -1)
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    """(path, file_type) of all files of a scan, empty ones too, from the listing that Spark made for it."""
+    names = [(name,) for name in found.inputFiles()]
+    path = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    rows = found.sparkSession.createDataFrame(names, "path string").select(_same(path).alias("path")).where(~_name().startswith("."))
+    return rows.select("path", file_type(F.col("path")).alias("file_type"))
+
+
+def _same(path: Column) -> Column:
+    """Local paths are written with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def scan(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
+    """(path, file_type, length, content) of the files below a folder, hidden names left out; contents are read only if used."""
+    found = _found(spark, path, glob, recursive)
+    empty = _listed(found).join(found.select(_same(F.col("path")).alias("path")), "path", "left_anti")
+    return found.unionByName(empty.select("path", "file_type", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
 
 
 def scan_pdf(spark: SparkSession, path: str) -> DataFrame:
@@ -175,10 +195,10 @@ def file_documents(files: DataFrame) -> DataFrame:
 
 
 def scan_all(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_type, content) of all files: contents of supported types, null for others, which are only listed."""
-    known = scan(spark, path, SUPPORTED).select("path", "file_type", "content")
-    others = scan(spark, path).where(F.col("file_type") == "unsupported").select("path", "file_type", F.lit(None).cast("binary").alias("content"))
-    return known.unionByName(others)
+    """(path, file_type, content) of all files: contents of supported types (empty ones too), null for others, which are only listed."""
+    known = _found(spark, path, SUPPORTED)
+    rest = _listed(_found(spark, path)).join(known.select(_same(F.col("path")).alias("path")), "path", "left_anti")
+    return known.select("path", "file_type", "content").unionByName(rest.select("path", "file_type", F.when(F.col("file_type") != "unsupported", F.lit(b"")).alias("content")))
 
 
 def parse_path(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -162,3 +162,74 @@ def test_long_pages_are_linear(spark):
     seconds(100)
     short = min(seconds(4000) for _ in range(2))
     assert min(seconds(16000) for _ in range(2)) < 4 * short + 2
+
+
+def brute_places(rows):
+    """Reading order by a loop: rows (doc, page, pos, x0, y0, x1, y1)."""
+    out = {}
+    none = lambda v: (v is not None, v)
+    for doc in {r[0] for r in rows}:
+        own, line, lines = sorted((r for r in rows if r[0] == doc), key=lambda r: (none(r[1]), none(r[4]), none(r[3]), r[2])), [], []
+        centre = lambda r: None if None in (r[4], r[6]) else (r[4] + r[6]) / 2
+        for r in own:
+            if line and line[0][1] == r[1] and None not in (centre(r), centre(line[0])) and abs(centre(r) - centre(line[0])) <= 5:
+                line.append(r)
+            else:
+                line = [r]
+                lines.append(line)
+        flat = [r for x in lines for r in sorted(x, key=lambda r: (none(r[3]), none(r[4]), r[2]))]
+        out |= {(doc, r[2]): n for n, r in enumerate(flat)}
+    return out
+
+
+PLACED = "doc_id string, page int, pos int, x0 double, y0 double, x1 double, y1 double, element_id string"
+
+
+def placed(spark, rows):
+    return spark.createDataFrame([(*r, f"e{r[2]}") for r in rows], PLACED)
+
+
+def test_reading_order_of_every_kind_of_page(spark):
+    """Pages of single lines, lines of several boxes, tall boxes, boxes that creep downward, boxes without a place."""
+    rng = random.Random(5)
+    rows = []
+    for d in range(12):
+        for pos in range(60):
+            y = {0: 20.0 * pos, 1: 20.0 * (pos // 3), 2: rng.randrange(300) * 1.0, 3: 3.0 * pos}[d % 4]
+            high = 200.0 if d in (4, 6) and pos % 9 == 0 else 10.0
+            box = (rng.randrange(5) * 50.0, y, 400.0, y + high)
+            if d == 8 and pos % 7 == 0:
+                box = (None, None, None, None)
+            rows.append((f"d{d}", None if d == 9 else pos % (d % 3 + 1), pos, *box))
+    rng.shuffle(rows)
+    got = {(r.doc_id, r.pos): r.ro_pos for r in layout.reading_order(placed(spark, rows).repartition(5)).collect()}
+    assert got == brute_places(rows)
+
+
+def test_pairs_of_boxes_of_any_size(spark):
+    rng = random.Random(6)
+    rows = [("a", rng.randrange(2), p, x := rng.uniform(-500, 500), y := rng.uniform(-500, 500), x + 10 ** rng.uniform(-1, 3), y + 10 ** rng.uniform(-1, 3)) for p in range(150)]
+    rows += [("a", 0, 150, None, 0.0, 1.0, 1.0), ("a", 0, 151, 10.0, 10.0, 5.0, 5.0)]
+    touch = lambda a, b: a[3] <= b[5] and b[3] <= a[5] and a[4] <= b[6] and b[4] <= a[6]
+    holds = lambda a, b: a[3] <= b[3] and a[4] <= b[4] and a[5] >= b[5] and a[6] >= b[6]
+
+    def near(a, b):
+        gap = lambda p, q: abs(a[q] - b[p]) <= 10 or abs(b[q] - a[p]) <= 10
+        common = lambda p, q: a[q] >= b[p] and b[q] >= a[p]
+        return (gap(3, 5) and common(4, 6)) or (gap(4, 6) and common(3, 5))
+
+    want = set()
+    for a in rows[:-2]:
+        for b in rows[:-2]:
+            if a[1] == b[1] and a[2] < b[2] and (touch(a, b) or holds(a, b) or near(a, b)):
+                want.add((a[2], b[2], touch(a, b), holds(a, b), near(a, b)))
+    got = {(r.pos1, r.pos2, r.overlapping, r.nested, r.adjacent) for r in layout.pairs(placed(spark, rows)).collect() if r.pos2 < 150}
+    assert got == want and len(want) > 100
+
+
+def test_a_box_as_wide_as_a_sheet(spark):
+    """One box of 1.6 million x 20 million units with 10,000 small ones in it."""
+    small = [("a", 0, p, x := p % 100 * 16_000.0, y := p // 100 * 200_000.0, x + 50, y + 20) for p in range(1, 10_001)]
+    rows = [("a", 0, 0, 0.0, 0.0, 1.6e6, 2e7), *small]
+    got = layout.pairs(placed(spark, rows))
+    assert got.where("pos1 = 0 and nested").count() == 10_000 == got.count()

@@ -1,6 +1,8 @@
 import io
 import zipfile
 
+from pyspark.sql import functions as F
+
 from lamina.operators import profile
 from lamina.sources import binary, csv, html, json, office, xml
 from lamina.sources.files import encoding, file_documents, file_elements, parse_path, scan
@@ -135,7 +137,8 @@ def test_no_file_fails_the_batch(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     documents, elements = parse_path(spark, str(tmp_path))
     facts = {r.doc_id.rsplit("/")[-1]: r for r in documents.collect()}
-    assert set(facts) == {name for name, data in files.items() if data}  # the file source passes over empty files
+    assert set(facts) == set(files) and len(facts) == documents.count()
+    assert facts["k.txt"].errors is None and facts["l.csv"].errors is None and facts["m.xml"].errors and facts["k.txt"].metadata["total_characters"] == "0"
     contents: dict = {}
     for r in elements.collect():
         contents.setdefault(r.doc_id.rsplit("/")[-1], []).append(r.content)
@@ -160,3 +163,42 @@ def test_one_content_scan(spark, tmp_path):
     plan = parse_files(scan_all(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert len(schemas) == 2 and sum("content" in x for x in schemas) == 1
+
+
+def test_empty_files_have_rows(spark, tmp_path):
+    (tmp_path / "sub dir+%20").mkdir()
+    for name, data in {"a.txt": b"text", "empty.txt": b"", "sub dir+%20/é empty.md": b"", "sub dir+%20/full.md": b"# T", ".hidden": b"", "other.bin": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    short = lambda p: p.split(str(tmp_path) + "/")[1]
+    rows = scan(spark, str(tmp_path)).collect()
+    assert sorted((short(r.path), r.length, len(r.content)) for r in rows) == [("a.txt", 4, 4), ("empty.txt", 0, 0), ("other.bin", 0, 0), ("sub dir+%20/full.md", 3, 3), ("sub dir+%20/é empty.md", 0, 0)]
+    documents, elements = parse_path(spark, str(tmp_path))
+    got = sorted((short(r.doc_id), r.file_type, r.errors is None) for r in documents.collect())
+    assert got == [("a.txt", "text", True), ("empty.txt", "text", True), ("other.bin", "unsupported", False), ("sub dir+%20/full.md", "text", True), ("sub dir+%20/é empty.md", "text", True)]
+    assert elements.count() == 2
+    documents, elements = parse_path(spark, str(tmp_path / "empty.txt"))
+    assert documents.count() == 1 and elements.count() == 0
+
+
+def test_sketches_add_up(spark):
+    """Two batches merged equal one over both: exactly but for distinct values, those within the stated error."""
+    import math
+    import random
+
+    from lamina.operators import profile
+
+    rng = random.Random(2)
+    rows = [("d", r, c, f"c{c}", "" if rng.random() < 0.1 else str(rng.randrange(20_000) if c else 1e9 + rng.random()) if c < 2 else rng.choice(["x", "7", "yes"]), False) for r in range(3000) for c in range(3)] + [("one", 0, 0, "c0", "5", False), ("none", 0, 0, "c0", "", False)]
+    cells = spark.createDataFrame(rows, "doc_id string, row int, col int, column_name string, value string, is_header boolean")
+    halves = [profile.column_sketch(cells.where(F.col("row") % 3 == k)) for k in range(3)]
+    got = {(r.doc_id, r.col): r for r in profile.profile_of_sketches(profile.merged_sketches(halves[0].unionByName(halves[1]).unionByName(halves[2]))).collect()}
+    want = {(r.doc_id, r.col): r for r in profile.column_profile(cells).collect()}
+    assert set(got) == set(want)
+    for key, a in got.items():
+        b = want[key]
+        assert (a.data_types, a.null_count, a.max_length, a.numeric_count, a.min, a.max) == (b.data_types, b.null_count, b.max_length, b.numeric_count, b.min, b.max)
+        assert abs(a.unique_values - b.unique_values) <= 4 * 1.04 / math.sqrt(2**14) * b.unique_values + 1
+        for x, y in ((a.mean, b.mean), (a.std, b.std)):
+            assert x == y or (math.isnan(x) and math.isnan(y)) or abs(x - y) <= 1e-6 * abs(y) + 1e-9
+    whole = profile.merged_sketches(profile.column_sketch(cells), "col")
+    assert {r.col: r.cells for r in whole.collect()} == {0: 3002, 1: 3000, 2: 3000}

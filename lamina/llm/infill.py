@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import bound
+
 MARKS = {"prefix": "<P>", "suffix": "<S>", "middle": "<M>"}
 #: The order of the parts in each form.
 FORMS = {"psm": ("prefix", "suffix", "middle"), "spm": ("suffix", "prefix", "middle")}
@@ -63,11 +65,6 @@ def numbers(id_col: Column, seed: int = 1) -> Column:
     return F.array(*[F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)])
 
 
-def bound(value: Column, result) -> Column:
-    """``result(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), result), 0)
-
-
 def has_mark(text: Column) -> Column:
     return F.contains(text, F.lit(MARKS["prefix"])) | F.contains(text, F.lit(MARKS["suffix"])) | F.contains(text, F.lit(MARKS["middle"]))
 

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import ship
-from .common import WORD, materialize
+from .common import WORD, bound, materialize
 
 DIVISOR = 8
 MIN_LINES, MIN_WORDS = 2, 10
@@ -168,14 +168,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the repeated chunks' lines taken out of the text, and ``count_col`` (long), the lines taken out."""
     ship(docs.sparkSession)
     gone = repeated_chunks(docs, id_col, text_col, **options)
-    flat = gone.distinct().groupBy(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_list(F.struct("first", "last")).alias("gone_spans"))
+    flat = gone.distinct().groupBy(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("gone_spans"))
     flat = materialize(flat, "gone")
     # The input's columns travel in one struct, so none of their names can clash.
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"))
     joined = keyed.join(flat.hint("merge"), keyed.id.eqNullSafe(flat.gone_id) & (keyed.text_key == flat.gone_key), "left").select("row", "gone_spans")
     text = F.col("row").getField(text_col)
-    inside = lambda i: F.exists("gone_spans", lambda s: (i >= s["first"]) & (i <= s["last"]))
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~inside(i)), "\n")
+    # The ranges are apart and in order, so what stays are the slices between them.
+    starts = F.concat(F.array(F.lit(0)), F.transform("gone_spans", lambda s: s["last"] + 1))
+    stops = lambda lines: F.concat(F.transform("gone_spans", lambda s: s["first"]), F.array(F.size(lines)))
+    between = lambda lines: F.flatten(F.zip_with(starts, stops(lines), lambda a, b: F.slice(lines, a + 1, b - a)))
+    left = F.array_join(bound(F.split(text, "\n", -1), between), "\n")
     removed = F.aggregate("gone_spans", F.lit(0).cast("long"), lambda n, s: n + (s["last"] - s["first"] + 1).cast("long"))
     none = F.col("gone_spans").isNull()
     columns = [F.when(none, text).otherwise(left).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != count_col]

@@ -27,8 +27,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import ship
-from .common import WORD, materialize
-from .infill import bound
+from .common import WORD, bound, materialize
 
 WIDTH, BINS, BITS = 5, 256, 8
 #: Hexadecimal digits of a shingle's MD5 that are its hash.

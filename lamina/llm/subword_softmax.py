@@ -162,7 +162,9 @@ def _long_odds(lower: str, table: np.ndarray, bits: int) -> float:
     held: dict[int, list] = {}
     for start, stop in _pieces(lower):
         if stop - start > BLOCK_CHARS:
-            found = [(*_long_word(lower, start, stop, table, bits), 1)]
+            sums: list[float] = []
+            key, count = _long_word(lower, start, stop, bits, lambda b: sums.append(float(table[b].sum())))  # noqa: B023
+            found = [(key, sum(sums) / count, 1)]
         else:
             bucket, word, _, whole = grams([lower[start:stop]], bits)
             if not len(whole):
@@ -176,9 +178,46 @@ def _long_odds(lower: str, table: np.ndarray, bits: int) -> float:
     return float(scores @ times) / (NEUTRAL + float(times.sum())) if held else 0.0
 
 
-def _long_word(lower: str, start: int, stop: int, table: np.ndarray, bits: int) -> tuple[int, float]:
-    """(hash, mean of its subwords' numbers) of a word, in slices."""
-    total, count, whole, power = 0.0, 0, np.zeros(1, np.uint64), np.ones(1, np.uint64)
+def features(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values) of a text for training; a long one is taken in pieces, as it is scored."""
+    if len(text) <= BLOCK_CHARS:
+        bucket, weight, _, _, share = subwords([text], bits)
+        total = share.sum()
+    else:
+        bucket, weight, total = _long_features(text.lower(), bits)
+    kinds, inverse = np.unique(bucket, return_inverse=True)
+    return kinds.astype(np.int32), (np.bincount(inverse, weight, len(kinds)) / (NEUTRAL + total)).astype(np.float32)
+
+
+def _long_features(lower: str, bits: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(bucket, weight, sum of all shares): of each distinct word its buckets once, weighed by the root of its number."""
+    held: dict[int, list] = {}
+    for start, stop in _pieces(lower):
+        if stop - start > BLOCK_CHARS:
+            table = np.zeros(1 << bits)
+            key, count = _long_word(lower, start, stop, bits, lambda b: np.add.at(table, b, 1.0))  # noqa: B023
+            kinds = np.flatnonzero(table)
+            held.setdefault(key, [kinds.astype(np.int32), table[kinds] / count, 0])[2] += 1
+            continue
+        bucket, word, _, whole = grams([lower[start:stop]], bits)
+        if not len(whole):
+            continue
+        order = np.argsort(word, kind="stable")
+        ends = np.searchsorted(word[order], np.arange(len(whole) + 1))
+        kinds, first, times = np.unique(whole, return_index=True, return_counts=True)
+        for key, k, n in zip(kinds.tolist(), first.tolist(), times.tolist()):
+            if key not in held:
+                own = bucket[order[ends[k] : ends[k + 1]]].astype(np.int32)
+                held[key] = [own, np.full(len(own), 1.0 / len(own)), 0]
+            held[key][2] += n
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0), 0.0
+    return np.concatenate([b for b, _, _ in held.values()]), np.concatenate([w * np.sqrt(n) for _, w, n in held.values()]), float(sum(np.sqrt(n) for _, _, n in held.values()))
+
+
+def _long_word(lower: str, start: int, stop: int, bits: int, take) -> tuple[int, int]:
+    """(hash, number of subwords) of a word, in slices, each slice's buckets being given to ``take``."""
+    count, whole, power = 0, np.zeros(1, np.uint64), np.ones(1, np.uint64)
     most = max(GRAMS)
     size = stop - start + 2  # with its edges
     for low in range(0, size, BLOCK_CHARS):
@@ -188,14 +227,15 @@ def _long_word(lower: str, start: int, stop: int, table: np.ndarray, bits: int)
         for n in GRAMS:
             m = min(BLOCK_CHARS, len(code) - n + 1)  # runs that begin in this slice
             if m > 0:
-                total += float(table[_bucket(_gram_hashes(code, n)[:m], bits)].sum())
+                take(_bucket(_gram_hashes(code, n)[:m], bits))
                 count += m
         own = code[: min(BLOCK_CHARS, size - 1 - low)]  # all but the last edge
         if len(own):
             powers = np.cumprod(np.append(power * _K, np.full(len(own) - 1, _K)))
             whole, power = whole + (_mix(own + np.uint64(7)) * powers).sum(dtype=np.uint64), powers[-1:]
     key = _mix(whole)
-    return int(key[0]), (total + float(table[_bucket(key, bits)[0]])) / (count + 1)
+    take(_bucket(key, bits))
+    return int(key[0]), count + 1
 
 
 def _pieces(text: str):
@@ -219,10 +259,7 @@ def train(samples: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epoc
     rng = np.random.default_rng(7)
     data = []
     for text, label in samples:
-        bucket, weight, _, _, share = subwords([text], bits)
-        kinds, inverse = np.unique(bucket, return_inverse=True)
-        value = np.bincount(inverse, weight, len(kinds)) / (NEUTRAL + share.sum())
-        data.append((kinds.astype(np.int32), value.astype(np.float32), label))
+        data.append((*features(text, bits), label))
     # What too few texts hold says more about those texts than about the classes.
     held = np.zeros(1 << bits, np.int64)
     for kinds, _, _ in data:

@@ -17,7 +17,7 @@ writes under a name of its attempt and renames when complete, so a lost
 executor leaves no partial file under a final name.
 
 Edge cases: a null or empty text holds the end id only; null document ids come
-first; rows with equal ids keep every copy, ordered by text (null first).
+first; rows with equal ids keep every copy, ordered by a hash of the text.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ from .common import fresh_path, materialize, text_blocks
 MAGIC = b"LAMIDS01"
 FOOTER = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 4096
-#: Bytes of text for each file.
-FILE_BYTES = 24 << 20
+#: Bytes of text for each file; beyond so many files they grow, up to the bytes of the largest.
+FILE_BYTES, MANY_FILES, LARGEST_FILE = 24 << 20, 4096, 1 << 30
 #: Words whose ids a Python worker remembers, the longest such word, and words that go to the tokenizer at once.
 CACHED_WORDS, CACHED_CHARS, RUN_WORDS = 1_000_000, 48, 512
 SIGNS = ".,;:!?"
@@ -303,7 +303,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc
 
     ship(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = chosen.repartitionByRange(n_files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # Rows that share an id, or have none, are told apart by a hash, so they fill several files where they are many.
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = chosen.repartitionByRange(n_files, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     return materialize(ordered.mapInArrow(write, "part int, file string, n_docs long, n_ids long, first_id long"), "manifest")
 
 
@@ -350,5 +352,6 @@ def id_files(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     """Write the documents' ids to the shared folder and return them as read back."""
     volume = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     out = fresh_path(docs.sparkSession, "ids")
-    manifest = write_ids(docs, tokenizer_path, out, id_col, text_col, end_id, max(1, -(-volume // file_bytes)))
+    n_files = max(1, -(-volume // LARGEST_FILE), min(-(-volume // file_bytes), MANY_FILES))
+    manifest = write_ids(docs, tokenizer_path, out, id_col, text_col, end_id, n_files)
     return read_ids(manifest, with_ids)

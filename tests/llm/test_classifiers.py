@@ -279,3 +279,21 @@ def test_long_labelled_texts_leave_the_others(spark, monkeypatch, module):
     fresh = [(i, text(i % 2, 50), None, None, None) for i in range(20)]
     scores = {r.doc_id: r.score for r in module.score(table(spark, fresh), model).collect()}
     assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
+
+
+def test_training_takes_long_texts_in_pieces(monkeypatch):
+    """The features of a text don't depend on the pieces it is taken in, whatever its words' lengths."""
+    import random
+
+    import numpy as np
+
+    from lamina.llm import subword_softmax as ss
+    from tests.llm.helpers import words
+
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, 400)), "x" * 700 + " y " + "x" * 700, "...", "ab" * 300, "É ﬁ " * 90, " , ".join(rng.choices(["one", "two", "three"], k=300))]
+    whole = [ss.features(t) for t in texts]
+    for size in (40, 128, 611):
+        monkeypatch.setattr(ss, "BLOCK_CHARS", size)
+        for (a, x), (b, y) in zip(whole, [ss.features(t) for t in texts]):
+            assert a.tolist() == b.tolist() and np.allclose(x, y, rtol=1e-5)

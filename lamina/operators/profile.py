@@ -122,22 +122,26 @@ def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
     Means and spreads are combined from those of the batches, so no cell is read again.
     """
     keys = keys or ("doc_id", "col", "column_name")
-    share = F.coalesce(F.col("mean"), F.lit(0.0)) * F.col("numbers")
-    square = F.coalesce(F.col("mean"), F.lit(0.0)) * share
-    rows = sketches.withColumns({"share": share, "square": square})
-    mean = F.when(F.sum("numbers") > 0, F.sum("share") / F.sum("numbers"))
-    return rows.groupBy(*keys).agg(
+    merged = sketches.groupBy(*keys).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"),
         F.sum("cells").alias("cells"),
         F.sum("empties").alias("empties"),
         F.max("longest").alias("longest"),
         F.sum("numbers").alias("numbers"),
-        mean.alias("mean"),
-        F.when(F.sum("numbers") > 0, F.sum("spread") + F.greatest(F.lit(0.0), F.sum("square") - F.sum("share") * mean)).alias("spread"),
+        # One pair for each batch.
+        F.collect_list(F.when(F.col("numbers") > 0, F.struct(F.col("numbers").alias("n"), "mean"))).alias("parts"),
+        F.sum("spread").alias("spread"),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
         F.hll_union_agg("values_sketch", True).alias("values_sketch"),
     )
+    # Means are taken from the first one, so large numbers lose no digits.
+    first = F.get("parts", F.lit(0))["mean"]
+    off = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["n"] * (x["mean"] - first)) / F.col("numbers")
+    mean = F.when(F.col("numbers") > 0, first + off)
+    merged = merged.withColumn("mean", mean)
+    apart = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["n"] * (x["mean"] - F.col("mean")) * (x["mean"] - F.col("mean")))
+    return merged.withColumn("spread", F.col("spread") + apart).select(*keys, *[c for c in sketches.columns if c not in ("doc_id", "col", "column_name")])
 
 
 def profile_of_sketches(sketches: DataFrame) -> DataFrame:

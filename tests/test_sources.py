@@ -188,7 +188,7 @@ def test_sketches_add_up(spark):
     from lamina.operators import profile
 
     rng = random.Random(2)
-    rows = [("d", r, c, f"c{c}", "" if rng.random() < 0.1 else str(rng.randrange(20_000) if c else 1e9 + rng.random()) if c < 2 else rng.choice(["x", "7", "yes"]), False) for r in range(3000) for c in range(3)] + [("one", 0, 0, "c0", "5", False), ("none", 0, 0, "c0", "", False)]
+    rows = [("d", r, c, f"c{c}", "" if rng.random() < 0.1 else str(rng.randrange(20_000) if c else 1e6 + rng.random()) if c < 2 else rng.choice(["x", "7", "yes"]), False) for r in range(3000) for c in range(3)] + [("one", 0, 0, "c0", "5", False), ("none", 0, 0, "c0", "", False)]
     cells = spark.createDataFrame(rows, "doc_id string, row int, col int, column_name string, value string, is_header boolean")
     halves = [profile.column_sketch(cells.where(F.col("row") % 3 == k)) for k in range(3)]
     got = {(r.doc_id, r.col): r for r in profile.profile_of_sketches(profile.merged_sketches(halves[0].unionByName(halves[1]).unionByName(halves[2]))).collect()}

@@ -937,6 +937,20 @@ def files_of_documents(spark, sf_dir):
     return rows.select(_stem(), "file_type", F.coalesce(F.size("errors") > 0, F.lit(False)).alias("failed"), F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"))
 
 
+@query("SELECT doc_id, lang, text FROM documents")
+def csv_ranges(spark, sf_dir):
+    """All documents written as CSV, texts with their line feeds and quotes, and read back by ranges of the files."""
+    from .runtime import scratch
+    from .sources.ranges import csv_cells_ranged
+
+    folder = scratch(spark, "csv")
+    table(spark, sf_dir, "documents").select("doc_id", "lang", "text").coalesce(2).write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(folder)
+    cells = csv_cells_ranged(spark, folder).where(~F.col("is_header"))
+    value = lambda c: F.max(F.when(F.col("column_name") == c, F.col("value")))
+    rows = cells.groupBy(F.col("doc_id").alias("file"), "row").agg(value("doc_id").cast("long").alias("doc_id"), value("lang").alias("lang"), value("text").alias("text"))
+    return rows.select("doc_id", "lang", "text")
+
+
 @query(f"SELECT doc_id, col, column_name, null_count, max_length, numeric_count, round(mean, 6) AS mean, min, max FROM ({SQL['column_profile']})")
 def column_profile_merged(spark, sf_dir):
     """Profiles of two halves of the rows, merged; distinct values are an estimate and left out."""

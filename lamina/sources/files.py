@@ -13,6 +13,7 @@ from ..schema import ELEMENT, PARSED
 from . import binary, html, json, office, text, xml
 from .csv import csv_cells, csv_elements, csv_rows, sniff
 from .flatten import _ELEMENT, _PARSED, _map, parse_one
+from .ranges import csv_cells_ranged
 
 # Suffixes of each type, in the order of dispatch.
 SUFFIXES = {
@@ -201,15 +202,50 @@ def scan_all(spark: SparkSession, path: str) -> DataFrame:
     return known.select("path", "file_type", "content").unionByName(rest.select("path", "file_type", F.when(F.col("file_type") != "unsupported", F.lit(b"")).alias("content")))
 
 
-def parse_path(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+#: CSV files of more bytes than this are read by ranges.
+LARGE_CSV = 64 << 20
+
+
+def parse_path(spark: SparkSession, path: str, large_csv: int = LARGE_CSV) -> tuple[DataFrame, DataFrame]:
     """(documents, elements) of one file or folder; a path that does not exist is a document of type 'unknown' with an error.
 
-    Contents are read once, into a temporary table of parsed files.
+    Contents are read once, into a temporary table of parsed files.  CSV files of
+    more than ``large_csv`` bytes are read by ranges, if they are UTF-8 throughout.
     """
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         row = spark.createDataFrame([(path, "unknown", None, {}, [f"no such file: {path}"])], PARSED)
         return row, spark.createDataFrame([], ELEMENT)
-    parsed = materialize(parse_files(scan_all(spark, path)), "parsed")
-    return documents_of(parsed), elements_of(parsed)
+    big = _found(spark, path, "*.[cC][sS][vV]").where((F.col("length") > large_csv) & (F.col("file_type") == "csv")).select("path", "length")
+    ranged = _ranged(spark, big)
+    rest = scan_all(spark, path)
+    if ranged is None:
+        parsed = materialize(parse_files(rest), "parsed")
+        return documents_of(parsed), elements_of(parsed)
+    documents, elements, taken = ranged
+    parsed = materialize(parse_files(rest.where(~F.col("path").isin(taken))), "parsed")
+    return documents_of(parsed).unionByName(documents), elements_of(parsed).unionByName(elements)
+
+
+def _ranged(spark: SparkSession, big: DataFrame) -> tuple[DataFrame, DataFrame, list[str]] | None:
+    """(documents, elements, paths) of the large CSV files that are UTF-8; None without any."""
+    found = {r["path"]: r["length"] for r in big.collect()}  # the names of large files alone
+    for name in list(found):
+        lines = spark.read.option("lineSep", "\n").text(name)
+        if not lines.where(~F.is_valid_utf8("value")).isEmpty():
+            del found[name]
+    if not found:
+        return None
+    cells = [materialize(csv_cells_ranged(spark, name), "cells").withColumn("doc_id", F.lit(name)) for name in found]
+    every = cells[0]
+    for more in cells[1:]:
+        every = every.unionByName(more)
+    facts = []
+    for (name, length), own in zip(found.items(), cells):
+        lines = spark.read.option("lineSep", "\n").text(name).select(F.substring("value", 1, 1024)).head(1024)
+        sample = "\n".join(r[0] for r in lines).removeprefix("\ufeff")
+        mark = "utf-8-sig" if lines and lines[0][0].startswith("\ufeff") else "utf-8"
+        rows = own.agg(F.max("row")).first()[0]
+        facts.append((name, "csv", "csv", {k: str(v) for k, v in {**sniff(sample), "file_size": length, "line_count": 0 if rows is None else rows + 1, "encoding": mark}.items()}, None))
+    return spark.createDataFrame(facts, PARSED), csv_elements(every), list(found)

@@ -1,13 +1,14 @@
 """Exact top-k inner-product search: a ball tree per shard, branch and bound.
 
-Vectors are scaled to integers, so scores are exact.  Rows are dealt by a hash
-of their id to shards of a bounded number of rows; one ball tree is built per
-shard and stored as one row.  Queries are packed into blocks.  Every block
-meets every shard: a task takes a shard once and streams blocks past it.  In a
-tree, nodes are taken in the order of their upper bound ``q.c + |q| r``, leaves
+Vectors are scaled to integers, so scores are exact.  Rows are dealt to the cell of
+the nearest of a bounded number of pivots, and there by a hash of their id to
+shards of a bounded number of rows; one ball tree is built per shard and stored
+as one row.  Queries are packed into blocks by their cells.  A block meets the
+shards of every cell whose ball may hold a row above some query's k-th score: a
+task takes a shard once and streams blocks past it.  In a tree, nodes are taken in the order of their upper bound ``q.c + |q| r``, leaves
 are scored a few more at a time, and the search ends when the best bound left
 is below the query's k-th score.  That score is shared: a first meeting of each
-block with one shard sets it, and a task keeps raising it over all the shards
+block with a shard of its own cell sets it, and a task keeps raising it over all the shards
 it meets.
 
 Components that need more than 31 bits after scaling are "wide": such vectors
@@ -36,6 +37,10 @@ from .common import materialize
 
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 256
+#: Pivots at most, and their bytes (all tasks get them).
+CELLS, PIVOT_BYTES = 1024, 4 << 20
+#: Rows that pivots are chosen from, for each pivot.
+PIVOT_SAMPLE = 8
 LEAF = 64
 #: Components from here on are wide.
 WIDE = 1 << 31
@@ -187,30 +192,90 @@ def _matrix(pdf: pd.DataFrame, wide: bool, dim: int) -> np.ndarray:
     return np.array(pdf["w" if wide else "v"].tolist(), dtype=np.float64).reshape(len(pdf), dim)
 
 
-def build_shards(rows: DataFrame, n_shards: int, leaf: int = LEAF) -> DataFrame:
-    """One row per (shard, dimension, wide) with its packed tree."""
+def _values(pdf: pd.DataFrame, dim: int) -> np.ndarray:
+    return np.array([v if w is None else w for v, w in zip(pdf["v"].tolist(), pdf["w"].tolist())], dtype=np.float64).reshape(len(pdf), dim)
+
+
+def choose_pivots(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """Of each dimension ``n`` pivots at most, of ``PIVOT_SAMPLE`` times as many rows (those of the least hashes): each the farthest from those before it."""
+    sample = rows.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(n * PIVOT_SAMPLE).toPandas()
+    out = {}
+    for dim, pdf in sample.groupby("dim"):
+        x = np.unique(_values(pdf, int(dim)), axis=0)
+        chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+        while len(chosen) < min(n, len(x)):
+            chosen.append(int(np.argmax(far)))
+            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        out[int(dim)] = x[chosen]
+    return out
+
+
+def dealt_to_cells(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``rows`` with cell, the number of the nearest pivot (0 where a dimension has none), and its distance."""
+
+    def run(batches):
+        for pdf in batches:
+            cell, far = np.zeros(len(pdf), np.int64), np.full(len(pdf), np.inf)
+            for dim, own in pdf.groupby("dim").indices.items():
+                middle = pivots.get(int(dim))
+                if middle is not None:
+                    x = _values(pdf.iloc[own], int(dim))
+                    near = np.argmin((middle * middle).sum(axis=1)[None, :] - 2 * (x @ middle.T), axis=1)
+                    cell[own], far[own] = near, np.sqrt(((x - middle[near]) ** 2).sum(axis=1))
+            yield pdf.assign(cell=cell, far=far)
+
+    return rows.mapInPandas(run, "id long, v array<int>, w array<double>, dim int, cell long, far double")
+
+
+def build_shards(rows: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """One row per (shard, dimension, wide) with its packed tree; rows have their shard."""
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, wide = pdf.sort_values("id", kind="stable"), bool(key[2])
         packed = pack_shard(pdf["id"].to_numpy(), _matrix(pdf, wide, int(key[1])), leaf, wide)
         return pd.DataFrame([{"shard": key[0], "dim": key[1], "wide": wide, **packed}])
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v", "w"), F.lit(n_shards))).withColumn("wide", F.col("w").isNotNull())
+    dealt = rows.withColumn("wide", F.col("w").isNotNull()).select("shard", "dim", "wide", "id", "v", "w")
     return dealt.groupBy("shard", "dim", "wide").applyInPandas(build, SHARD)
 
 
-def build_blocks(queries: DataFrame, n_blocks: int) -> DataFrame:
-    """One row per (block, dimension, wide) of queries (id, v, w, dim, floor): packed vectors and k-th scores known so far."""
+def build_blocks(queries: DataFrame) -> DataFrame:
+    """One row per (block, dimension, wide) of queries (id, v, w, dim, block, floor): packed vectors and k-th scores known so far."""
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, wide = pdf.sort_values("id", kind="stable"), bool(key[2])
         known = [None if x is None or x != x else x for x in pdf["floor"].tolist()]
         return pd.DataFrame([{"block": key[0], "dim": key[1], "wide": wide, "query_ids": pdf["id"].to_numpy().astype("<i8").tobytes(), "queries": pack_vectors(_matrix(pdf, wide, int(key[1])), wide), "floors": known}])
 
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).withColumn("wide", F.col("w").isNotNull())
+    dealt = queries.withColumn("wide", F.col("w").isNotNull())
     return dealt.groupBy("block", "dim", "wide").applyInPandas(build, BLOCK)
 
 
+def reachable(blocks: DataFrame, pivots: dict[int, np.ndarray], radii: dict[tuple[int, int], float]) -> DataFrame:
+    """(block, dim, wide, cell): the cells whose ball may hold a row above some query's k-th score."""
+    cells = {dim: (np.array([c for d, c in sorted(radii) if d == dim]), np.array([radii[k] for k in sorted(radii) if k[0] == dim])) for dim in {d for d, _ in radii}}
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                dim = int(row["dim"])
+                own, radius = cells.get(dim, (np.zeros(0, np.int64), np.zeros(0)))
+                keep = np.ones(len(own), dtype=bool)
+                if dim in pivots and len(own):
+                    n = len(row["query_ids"]) // 8
+                    q = np.asarray(unpack_vectors(row["queries"], n, dim, bool(row["wide"])), dtype=np.float64)
+                    bound = q @ pivots[dim][own].T + np.sqrt((q * q).sum(axis=1))[:, None] * radius[None, :]
+                    floors = np.array([-np.inf if x is None else float(x) for x in row["floors"]])
+                    # Rounding is far below a billionth of the products' sizes; what is no number is kept.
+                    slack = 1.0 + 1e-9 * np.sqrt((q * q).sum(axis=1))[:, None] * (np.sqrt((pivots[dim][own] ** 2).sum(axis=1)) + radius)[None, :]
+                    keep = (~(bound + slack < floors[:, None])).any(axis=0)
+                out += [(row["block"], dim, bool(row["wide"]), int(c)) for c in own[keep]]
+            yield pd.DataFrame(out, columns=["block", "dim", "wide", "cell"])
+
+    return blocks.select("block", "dim", "wide", "query_ids", "queries", "floors").mapInPandas(run, "block long, dim int, wide boolean, cell long")
+
+
 def search_pairs(pairs: DataFrame, shards: DataFrame, k: int, n_parts: int, scored=None) -> DataFrame:
     """Hits of blocks (with the ``shard`` that each row shall meet) in the shards.
 
@@ -260,28 +325,47 @@ def search_pairs(pairs: DataFrame, shards: DataFrame, k: int, n_parts: int, scor
     return dealt.select(*names).mapInPandas(run, HITS)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, leaf: int = LEAF, scored=None) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, leaf: int = LEAF, scored=None, met=None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for each row that ``is_query(id)`` selects.
 
-    ``scored``: an accumulator of the session for the number of (query, vector)
-    products, which shows how much the bounds prune.
+    ``scored``, ``met``: accumulators of the session for the number of (query, vector)
+    products and of (block, shard) meetings, which show how much the bounds prune.
     """
     spark = ship(vectors.sparkSession).sparkContext
     rows = quantize(vectors, id_col, vector_col, scale)
-    total, asked = rows.agg(F.count("*"), F.count_if(is_query(F.col("id")))).first()
-    n_shards, n_blocks = max(1, math.ceil(total / shard_rows)), max(1, math.ceil(asked / block_queries))
-    n_parts = min(n_shards * math.ceil(n_blocks / BLOCKS_A_SHARD), max(spark.defaultParallelism, 1 << 16))
-    shards = materialize(build_shards(rows, n_shards, leaf), "shards")
-    queries = rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min(F.struct("dim", F.coalesce(F.col("w"), F.transform("v", lambda c: c.cast("double"))).alias("x"), "v", "w")).alias("q")).select("id", "q.v", "q.w", "q.dim")
+    total, width = rows.agg(F.count("*"), F.max("dim")).first()
+    n_pivots = max(1, min(CELLS, PIVOT_BYTES // (8 * max(1, width or 1)), math.ceil(total / shard_rows)))
+    pivots = choose_pivots(rows, n_pivots)
+    rows = materialize(dealt_to_cells(rows, pivots), "cells")
+    # A row for each cell of each dimension: its ball, and the shards and blocks that it is cut into.
+    of = rows.groupBy("dim", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"), F.count_if(is_query(F.col("id"))).alias("asked")).orderBy("dim", "cell").collect()
+    plan, n_shards, n_blocks = [], 0, 0
+    for r in of:
+        shards, asking = -(-r["n"] // shard_rows), max(1, -(-r["asked"] // block_queries))
+        plan.append((r["dim"], r["cell"], n_shards, shards, n_blocks, asking))
+        n_shards, n_blocks = n_shards + shards, n_blocks + asking
+    plan = vectors.sparkSession.createDataFrame(plan, "dim int, cell long, first_shard long, shards long, first_block long, blocks long")
+    radii = {(r["dim"], r["cell"]): r["radius"] for r in of}
+    n_parts = max(1, min(n_shards * math.ceil(n_blocks / BLOCKS_A_SHARD), max(spark.defaultParallelism, 1 << 16)))
+    placed = rows.join(F.broadcast(plan), ["dim", "cell"])
+    shards = materialize(build_shards(placed.withColumn("shard", F.col("first_shard") + F.pmod(F.xxhash64("id", "v", "w"), F.col("shards"))), leaf), "shards")
+    queries = placed.where(is_query(F.col("id"))).groupBy("id").agg(F.min(F.struct("dim", F.coalesce(F.col("w"), F.transform("v", lambda c: c.cast("double"))).alias("x"), "v", "w", "first_shard", "first_block", "blocks")).alias("q"))
+    queries = queries.select("id", "q.v", "q.w", "q.dim", "q.first_shard", (F.col("q.first_block") + F.pmod(F.xxhash64("id"), F.col("q.blocks"))).alias("block"))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    # The first shard that each block meets gives every query a k-th score to start from.
-    blocks = build_blocks(queries.withColumn("floor", F.lit(None).cast("decimal(38,0)")), n_blocks)
-    first = search_pairs(blocks.withColumn("shard", F.pmod("block", F.lit(n_shards))), shards, k, n_parts, scored)
+    # The shard of its own cell that each block meets first gives every query a k-th score to start from.
+    blocks = build_blocks(queries.withColumn("floor", F.lit(None).cast("decimal(38,0)")))
+    own = plan.select(F.explode(F.sequence("first_block", F.col("first_block") + F.col("blocks") - 1)).alias("block"), F.col("first_shard").alias("shard"))
+    first = materialize(search_pairs(blocks.join(F.broadcast(own), "block"), shards, k, n_parts, scored), "first")
     seeds = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k)
     floors = seeds.select("query_id", F.col("score").cast("decimal(38,0)").alias("floor"))
     known = queries.join(floors, F.col("id") == F.col("query_id"), "left").drop("query_id")
-    blocks = materialize(build_blocks(known, n_blocks), "blocks")
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
-    hits = search_pairs(pairs, shards, k, n_parts, scored).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    blocks = materialize(build_blocks(known), "blocks")
+    of_cells = plan.select("dim", "cell", F.explode(F.sequence("first_shard", F.col("first_shard") + F.col("shards") - 1)).alias("shard"))
+    near = reachable(blocks, pivots, radii).join(of_cells, ["dim", "cell"]).join(F.broadcast(own), ["block", "shard"], "left_anti")
+    near = materialize(near.select("block", "dim", "wide", "shard"), "near")
+    if met is not None:
+        met.add(near.count())
+    rest = search_pairs(blocks.join(near, ["block", "dim", "wide"]), shards, k, n_parts, scored)
+    hits = first.unionByName(rest).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

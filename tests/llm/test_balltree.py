@@ -73,6 +73,19 @@ def test_share_scored(spark):
     assert got == brute(rows, 50, 5) and 0 < scored.value < 0.5 * 2 * 80 * 4000
 
 
+def test_blocks_pass_over_far_cells(spark):
+    """Groups of near vectors: few of all pairs of block and shard meet, with the same results; a cell of very many rows has several shards."""
+    rng = np.random.default_rng(9)
+    centres = 4 * rng.normal(size=(30, 16))
+    rows = [(i, (centres[i % 30 if i % 3 else 0] + 0.05 * rng.normal(size=16)).astype(np.float32).tolist(), None) for i in range(3000)]
+    rows += [(5000 + i, [1.0, 2.0], None) for i in range(40)]
+    met = spark.sparkContext.accumulator(0)
+    got = {tuple(r) for r in balltree.top_k(spark.createDataFrame(rows, SCHEMA), lambda i: i % 20 == 0, 5, shard_rows=100, block_queries=8, met=met).collect()}
+    assert got == brute(rows, 20, 5)
+    shards, blocks = 3040 // 100, 152 // 8
+    assert 0 < met.value < 0.4 * shards * blocks
+
+
 def test_bounds_hold_and_prune():
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.normal(c, 1, (200, 16)) * 20 for c in (-9, 0, 9)]).astype(np.int64)

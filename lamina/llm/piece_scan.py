@@ -33,9 +33,9 @@ from .common import materialize, release, text_blocks
 
 CHUNK_CHARS = 32768
 SPACE = "▁"
-#: What a worker remembers: some 200 bytes each.
-CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 120_000, 200_000, 40
-CACHED_PAIRS = 200_000
+#: What a worker remembers, in two generations of half as many: some 200 bytes each.
+CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 300_000, 440_000, 40
+CACHED_PAIRS = 400_000
 #: Characters on both sides of a chunk: two of the longest pieces fit.
 CONTEXT = 64
 
@@ -119,6 +119,7 @@ class Pieces:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_pairs, self.older_known, self.older_words = {}, {}, {}  # the generation before
         self.whole = {p for p in self.id_of if len(p) == 1 or self.merge(p) == [p]}
         for p in self.whole:
             node = self.tail
@@ -145,9 +146,12 @@ class Pieces:
         key = (left, right)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > CACHED_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merge(left + right) == [left, right]
+            if len(self.pairs) >= CACHED_PAIRS // 2:
+                self.older_pairs, self.pairs = self.pairs, {}
+            found = self.older_pairs.get(key)
+            if found is None:
+                found = self.merge(left + right) == [left, right]
+            self.pairs[key] = found
         return found
 
     def ending(self, text: str, j: int, least: int = 0) -> list[str]:
@@ -203,16 +207,16 @@ class Pieces:
 
     def segment(self, text: str) -> bytes:
         """Ids (int32 bytes) of a segment between safe cuts."""
-        got = self.known.get(text)
+        got = self.known.get(text) or self.older_known.get(text)
         if got is None:
             if len(text) > CHUNK_CHARS:
                 got = self.scan(text)
             else:
                 got = np.array(self.ids(self.trace(self.walk(text, 0, None, len(text)), 0, len(text))), "<i4").tobytes()
-            if len(text) <= CACHED_CHARS:
-                if len(self.known) >= CACHED_SEGMENTS:
-                    self.known.clear()
-                self.known[text] = got
+        if len(text) <= CACHED_CHARS:
+            if len(self.known) >= CACHED_SEGMENTS // 2:
+                self.older_known, self.known = self.known, {}
+            self.known[text] = got
         return got
 
     def unit(self, text: str) -> bytes:
@@ -223,10 +227,10 @@ class Pieces:
         return b"".join([known.get(p) or segment(p) for p in parts])
 
     def word(self, text: str) -> bytes:
-        got = self.unit(SPACE + text)
+        got = self.words.get(text) or self.older_words.get(text) or self.unit(SPACE + text)
         if len(text) <= CACHED_CHARS:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
+            if len(self.words) >= CACHED_WORDS // 2:  # words in use move on to the new generation
+                self.older_words, self.words = self.words, {}
             self.words[text] = got
         return got
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import ship
-from .common import byte_texts, materialize, release, text_blocks
+from .common import byte_texts, forget, materialize, release, text_blocks, written
 from .components import components
 
 #: Documents of the sample that finds frequent tokens: so many, or one in SAMPLE_SHARE; and the count that makes one frequent.
@@ -448,15 +448,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = usable.groupBy("id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select("id")
     ties = usable.join(shared, "id", "left_semi").join(classes, "set_key").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
+    # What led to the links, the texts of their pairs above all, is deleted once they are written.
+    since = len(written())
     links = materialize(verify(materialize(plausible(first_pass(reps), reps, percent), "pairs"), keyed, width, percent).unionByName(ties), "links")
+    forget(docs.sparkSession, since)
     labelled = relabel(reps, links)
     for turn in range(TURNS):
+        since = len(written())
         mixed = mixed_blocks(labelled, "heads", chunk)
+        whole = mixed.where("chunks > 1").isEmpty()
         near = likeliest(materialize(block_pairs(labelled, percent, mixed, "heads", turn), "near"), LIKELIEST)
         more = verify(materialize(near, "pairs"), keyed, width, percent)
         links = materialize(links.union(more), "links")
+        forget(docs.sparkSession, since)
         labelled = relabel(reps, links)
-        if mixed.where("chunks > 1").isEmpty():  # every block was met whole
+        if whole:  # every block was met whole
             break
     mixed = mixed_blocks(labelled, "prefix", chunk)
     rest = verify(materialize(block_pairs(labelled, percent, mixed).select("a", "b"), "pairs"), keyed, width, percent)

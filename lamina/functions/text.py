@@ -56,6 +56,7 @@ def infer_type(value: Column) -> Column:
     integer = v.rlike(rf"\A[+-]?{digits}\z")
     mantissa = rf"({digits}\.?({digits})?|\.{digits})"
     real = v.rlike(rf"(?i)\A[+-]?({mantissa}(e[+-]?{digits})?|inf(inity)?|nan)\z")
+    # The forms of dates and the words of booleans.
     date = v.rlike(r"\A(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})")
     boolean = F.lower(v).isin("true", "false", "yes", "no")
     return F.when(F.coalesce(v, F.lit("")) == "", "empty").when(integer, "integer").when(real, "float").when(date, "date").when(boolean, "boolean").otherwise("string")

@@ -6,8 +6,6 @@ The hashing embedder needs no model; the others import theirs when used.
 
 from __future__ import annotations
 
-import json
-import urllib.request
 from collections.abc import Callable
 from typing import Protocol
 
@@ -17,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship
+from .service import post
 
 
 #: Words that a hashing embedder remembers.
@@ -88,18 +87,20 @@ class TransformersEmbedder:
 
 
 class HttpEmbedder:
-    """A service with the public embeddings protocol: POST {url}/embeddings, results in the order sent."""
+    """A service with the public embeddings protocol: POST {url}/embeddings, results in the order of their numbers."""
 
-    def __init__(self, url: str, model: str = "text-embedding-ada-002", key: str | None = None, dimension: int = 1536, batch_size: int = 32, timeout: float = 60.0):
+    def __init__(self, url: str, model: str = "text-embedding-ada-002", key: str | None = None, dimension: int = 1536, batch_size: int = 32, timeout: float = 60.0, tries: int = 4, pause: float = 1.0):
         self.url, self.model, self.key, self.dimension, self.batch_size, self.timeout = url.rstrip("/"), model, key, dimension, batch_size, timeout
+        self.tries, self.pause = tries, pause
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for i in range(0, len(texts), self.batch_size):
-            head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
-            body = json.dumps({"model": self.model, "input": texts[i : i + self.batch_size]}).encode()
-            with urllib.request.urlopen(urllib.request.Request(f"{self.url}/embeddings", body, head), timeout=self.timeout) as answer:
-                out += [x["embedding"] for x in json.load(answer)["data"]]
+            part = texts[i : i + self.batch_size]
+            found = post(f"{self.url}/embeddings", {"model": self.model, "input": part}, self.key, self.timeout, self.tries, self.pause)["data"]
+            if len(found) != len(part):
+                raise ValueError(f"{len(found)} vectors for {len(part)} texts")
+            out += [x["embedding"] for x in sorted(found, key=lambda x: x.get("index", 0))]
         return out
 
 

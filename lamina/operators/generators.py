@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable
@@ -14,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..runtime import ship
+from .service import post
 
 
 class Generator(Protocol):
@@ -41,18 +40,7 @@ class HttpGenerator:
         self.tries, self.pause, self.at_once = tries, pause, at_once
 
     def _post(self, path: str, body: dict) -> dict:
-        """The service's answer; what may pass (no connection, 429, 5xx) is tried again after a pause that doubles."""
-        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
-        for n in range(self.tries):
-            try:
-                with urllib.request.urlopen(urllib.request.Request(self.url + path, json.dumps(body).encode(), head), timeout=self.timeout) as answer:
-                    return json.load(answer)
-            except (urllib.error.URLError, TimeoutError) as e:
-                lasting = isinstance(e, urllib.error.HTTPError) and e.code != 429 and e.code < 500
-                if lasting or n + 1 == self.tries:
-                    raise
-                time.sleep(self.pause * 2**n)
-        raise ValueError("tries must be positive")
+        return post(self.url + path, body, self.key, self.timeout, self.tries, self.pause)
 
     def generate(self, prompt: str, max_tokens: int = 512, temperature: float = 0.7, stops: list[str] = ()) -> str:
         if self.protocol == "llamacpp":

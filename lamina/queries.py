@@ -102,6 +102,15 @@ def text_pipe_tables(spark, sf_dir):
     return found.select("doc_id", "content", F.col("metadata")["rows"].cast("long").alias("n_rows"), F.col("metadata")["columns"].cast("long").alias("n_columns"))
 
 
+@query("""SELECT doc_id, 'annotation' AS element_type, split_part(text, chr(10), 1) || chr(10) || 'x = 1' AS content, 'py' AS language, (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE * 20 AS top FROM documents""")
+def text_code_blocks(spark, sf_dir):
+    """Every text with a fenced block behind it: its first line and one more, marked as Python."""
+    docs = table(spark, sf_dir, "documents")
+    fenced = F.concat("text", F.lit("\n```py\n"), F.substring_index("text", "\n", 1), F.lit("\nx = 1\n```\nend"))
+    rows = text.special_elements(docs.select("doc_id", fenced.alias("text"))).where("element_type = 'annotation'")
+    return rows.select("doc_id", "element_type", "content", F.col("metadata")["language"].alias("language"), (F.col("top") * 20).cast("double").alias("top"))
+
+
 @query(rf"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_tokens FROM documents")
 def token_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fn.token_count(F.col("text")).cast("long").alias("n_tokens"))

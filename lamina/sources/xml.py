@@ -11,18 +11,18 @@ from .flatten import element, parsed_documents, parsed_elements
 
 # Local tag -> element type.
 TAG_TYPES = {
-    "heading": "title header h1 h2 h3 h4 h5 h6 heading",
-    "paragraph": "p paragraph text description summary",
-    "table": "table grid matrix",
-    "image": "img image picture graphic",
-    "list": "list ul ol items",
-    "annotation": "annotation comment note",
-    "footer": "footer bottom",
-    "sidebar": "sidebar aside",
-    "caption": "caption label",
-    "formula": "formula equation math",
+    "heading": ("title", "header", "h1", "h2", "h3", "h4", "h5", "h6", "heading"),
+    "paragraph": ("p", "paragraph", "text", "description", "summary"),
+    "table": ("table", "grid", "matrix"),
+    "image": ("img", "image", "picture", "graphic"),
+    "list": ("list", "ul", "ol", "items"),
+    "annotation": ("annotation", "comment", "note"),
+    "footer": ("footer", "bottom"),
+    "sidebar": ("sidebar", "aside"),
+    "caption": ("caption", "label"),
+    "formula": ("formula", "equation", "math"),
 }
-TYPE_OF = {tag: kind for kind, tags in TAG_TYPES.items() for tag in tags.split()}
+TYPE_OF = {tag: kind for kind, tags in TAG_TYPES.items() for tag in tags}
 # Root tag -> document type.
 ROOT_TYPES = {"svg": "svg", "rss": "rss", "feed": "atom", "schema": "xsd", "xsd": "xsd", "stylesheet": "xslt", "transform": "xslt", "html": "xhtml", "xhtml": "xhtml", "configuration": "config", "config": "config", "pom": "maven", "project": "maven", "beans": "spring"}
 # Attributes that stand for a missing text, in order.

@@ -136,6 +136,52 @@ def test_service_is_asked_again(monkeypatch):
         generators.HttpGenerator("http://x", pause=0.0).generate("p")
 
 
+@pytest.fixture()
+def service():
+    """A local service of embeddings and completions that is busy at every third call."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    calls = []
+
+    class Answers(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            calls.append((self.path, body, self.headers.get("Authorization")))
+            if len(calls) % 3 == 1:
+                self.send_error(503)
+                return
+            if self.path == "/embeddings":
+                given = {"data": [{"index": n, "embedding": [float(len(t)), 1.0]} for n, t in enumerate(body["input"])][::-1]}
+            else:
+                given = {"choices": [{"text": " " + body["prompt"].upper()}]}
+            data = json.dumps(given).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = type("Server", (ThreadingHTTPServer,), {"request_queue_size": 64})(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", calls
+    server.shutdown()
+
+
+def test_services_over_a_table(spark, service):
+    """Vectors and answers from a service that is busy now and then, in small batches, from several tasks."""
+    url, calls = service
+    rows = spark.createDataFrame([(i, "x" * (i % 7)) if i else (0, None) for i in range(40)], "id long, text string").repartition(3)
+    got = embedding.embed_column(rows, "text", "openai", url=url, key="k", dimension=2, batch_size=4, pause=0.01, tries=9).collect()
+    assert {r.id: r.embedding for r in got} == {i: [float(i % 7), 1.0] if i else None for i in range(40)}
+    assert max(len(b["input"]) for _, b, _ in calls) == 4 and {a for *_, a in calls} == {"Bearer k"}
+    got = generators.generate_column(rows.withColumnRenamed("text", "prompt"), "prompt", "openai", url=url, pause=0.01, tries=9).collect()
+    assert {r.id: r.answer for r in got} == {i: "X" * (i % 7) if i else None for i in range(40)}
+
+
 def test_stream(spark, tmp_path):
     src = f"file://{tmp_path}/src"
     spark.createDataFrame([("a", "one two\nthree"), ("b", "four")], "doc_id string, text string").write.parquet(src)

@@ -42,6 +42,13 @@ def page_dimensions(elements: DataFrame) -> DataFrame:
     return elements.groupBy("doc_id", "page").agg(F.max("x1").alias("width"), F.max("y1").alias("height"))
 
 
+def sheet_dimensions(documents: DataFrame) -> DataFrame:
+    """(doc_id, page, width, height) of workbooks' sheets, as they were stored when parsed: sheets without elements too."""
+    sizes = F.from_json(F.col("metadata")["sheet_sizes"], "array<array<double>>")
+    rows = documents.where(F.col("metadata")["sheet_sizes"].isNotNull()).select("doc_id", F.posexplode(sizes).alias("page", "s"))
+    return rows.select("doc_id", "page", F.col("s")[0].alias("width"), F.col("s")[1].alias("height"))
+
+
 def confident(elements: DataFrame, least: float = 30.0) -> DataFrame:
     """Recognised words that are not blank and whose confidence (0 to 100) is above ``least``."""
     from ..functions.text import strip

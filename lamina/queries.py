@@ -1034,6 +1034,44 @@ def _workbook(names: list[str]) -> bytes:
     })
 
 
+def _workbooks(spark, sf_dir):
+    """Parsed workbooks, made in a map, of all customers: fifty names in each."""
+    import pyarrow as pa
+
+    from .runtime import ship
+    from .sources import files
+
+    ship(spark)
+    rows = table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("book"), F.expr("c_custkey div 50")).alias("path"))
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("x")).select("path", F.transform("x", lambda x: x["c_name"]).alias("names"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["excel"] * b.num_rows), pa.array([_workbook(n) for n in b.column(1).to_pylist()], type=pa.binary())], names=["path", "file_type", "content"])
+
+    return files.parse_files(rows.mapInArrow(run, "path string, file_type string, content binary"))
+
+
+BOOKS = "k AS (SELECT 'book' || (c_custkey // 50) AS doc_id, c_name, row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) - 1 AS i FROM customer)"
+
+
+@query(f"WITH {BOOKS} SELECT doc_id, 0 AS page, 200.0::DOUBLE AS width, (count(*) * 20 + 20)::DOUBLE AS height FROM k GROUP BY doc_id")
+def excel_dimensions(spark, sf_dir):
+    from .sources import files
+
+    return el.sheet_dimensions(files.documents_of(_workbooks(spark, sf_dir)))
+
+
+@query(f"""WITH {BOOKS} SELECT doc_id, 'A' || (i + 2) AS address, c_name AS content, 'text' AS element_type, 'str' AS data_type, false AS is_merged FROM k
+UNION ALL SELECT doc_id, 'B' || (i + 2), i::VARCHAR, 'text', 'int', false FROM k UNION ALL SELECT DISTINCT doc_id, 'A1', 'name', 'heading', 'str', true FROM k""")
+def excel_cells(spark, sf_dir):
+    from .sources import files
+
+    facts = F.col("metadata")
+    rows = files.elements_of(_workbooks(spark, sf_dir)).where(facts["address"].isNotNull())
+    return rows.select("doc_id", facts["address"].alias("address"), "content", "element_type", facts["data_type"].alias("data_type"), F.coalesce(F.lower(facts["is_merged"]) == "true", F.lit(False)).alias("is_merged"))
+
+
 def _word(names: list[str]) -> bytes:
     """A paragraph for each name, then a table of one row with all of them."""
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'

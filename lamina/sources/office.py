@@ -7,6 +7,7 @@ an error row, .xls only where its optional reader is missing.
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 import xml.etree.ElementTree as ET
@@ -89,13 +90,19 @@ def _styles(z: zipfile.ZipFile) -> list[dict]:
     return out
 
 
+def _size(tree) -> list[int]:
+    """[width, height] of a sheet: up to its last column and row that has a cell, empty ones too; a sheet without cells is one cell."""
+    places = [m for c in tree.iter(f"{S}c") if (m := re.fullmatch(r"([A-Z]+)(\d+)", c.get("r", "")))]
+    return [max((column_number(m[1]) for m in places), default=1) * WIDE, max((int(m[2]) for m in places), default=1) * HIGH]
+
+
 def parse_workbook(content: bytes, elements: list[dict], metadata: dict) -> None:
     """Cells by row, then each sheet's table region and its first row as headings; a sheet is a page."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         strings = [_joined(si, f"{S}t") for si in shared.iter(f"{S}si")] if (shared := _part(z, "xl/sharedStrings.xml")) is not None else []
         found, active = sheets(z)
         looks = _styles(z)
-        metadata.update({"sheets": len(found), "sheet_names": [n for n, _ in found], "active_sheet": active})
+        metadata.update({"sheets": len(found), "sheet_names": [n for n, _ in found], "active_sheet": active, "sheet_sizes": json.dumps([_size(tree) for _, tree in found])})
         for page, (name, tree) in enumerate(found):
             merged = merged_cells(tree)
             cells = {}

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import fewer, materialize
 
 MAX_ROUNDS = 60
 
@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    least = materialize(fewer(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))), "least")
     linked = both.join(least, "u")
     if large:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -40,12 +40,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self edges and nulls are ignored; an empty table gives an empty table.
     """
-    now = materialize(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = materialize(fewer(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), "edges")
     state = _state(now)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        now = materialize(_star(materialize(_star(now, True), "large"), False), "small")
+        now = materialize(fewer(_star(materialize(fewer(_star(now, True)), "large"), False)), "small")
         before, state = state, _state(now)
         if before == state:
             break

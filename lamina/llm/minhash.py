@@ -27,7 +27,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import ship
-from .common import WORD, bound, materialize
+from .common import WORD, bound, fewer, materialize
 
 WIDTH, BINS, BITS = 5, 256, 8
 #: Hexadecimal digits of a shingle's MD5 that are its hash.
@@ -137,11 +137,6 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text"))
 
 
-def _fewer(rows: DataFrame) -> DataFrame:
-    """Narrow rows in an eighth of the partitions, as they would make very small files."""
-    return rows.coalesce(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
-
-
 def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, n_chars, next_key): the document that follows each in descending order of id; the last is followed by the first.
 
@@ -152,7 +147,7 @@ def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = _keyed(docs, id_col, text_col).select("id", "key", F.length("text").cast("long").alias("n_chars")).dropDuplicates(["id", "key"])
     # Written, as a range partitioning that is computed again may cut elsewhere.
-    rows = materialize(_fewer(rows.repartitionByRange("id", "key").withColumn("part", F.spark_partition_id())), "ranges")
+    rows = materialize(fewer(rows.repartitionByRange("id", "key").withColumn("part", F.spark_partition_id())), "ranges")
     rows = rows.withColumn("next_key", F.lead("key").over(Window.partitionBy("part").orderBy(F.col("id").desc_nulls_last(), F.desc("key"))))
     tops = rows.groupBy("part").agg(F.max(F.struct("id", "key")).alias("top"))
     down = Window.orderBy(F.desc("part"))
@@ -169,7 +164,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key, and the heads that are taken from them once more.
     """
     ship(docs.sparkSession)
-    order = materialize(_fewer(successors(docs, id_col, text_col)), "successors")
+    order = materialize(fewer(successors(docs, id_col, text_col)), "successors")
     rows = _keyed(docs, id_col, text_col).select("key", "text").withColumn("fingerprint", fingerprint(F.col("text"), **options))
     before = order.select(F.col("next_key").alias("key"), F.col("id").alias("to_id"), F.col("key").alias("to_key"), F.expr(f"int(n_chars div {share})").alias("wanted"))
     heads = rows.join(before.hint("shuffle_hash"), "key").groupBy("to_key").agg(F.first("to_id").alias("id"), F.first(F.expr("left(text, wanted)")).alias("head"), F.first("fingerprint").alias("next_fingerprint"))

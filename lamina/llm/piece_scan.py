@@ -34,8 +34,8 @@ from .common import materialize, release, text_blocks
 CHUNK_CHARS = 32768
 SPACE = "▁"
 #: What a worker remembers, in two generations of half as many: some 200 bytes each.
-CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 300_000, 440_000, 40
-CACHED_PAIRS = 400_000
+CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 500_000, 700_000, 40
+CACHED_PAIRS = 600_000
 #: Characters on both sides of a chunk: two of the longest pieces fit.
 CONTEXT = 64
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import ship
-from .common import byte_texts, forget, materialize, release, text_blocks, written
+from .common import byte_texts, fewer, forget, materialize, release, text_blocks, written
 from .components import components
 
 #: Documents of the sample that finds frequent tokens: so many, or one in SAMPLE_SHARE; and the count that makes one frequent.
@@ -281,7 +281,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose exact sets link; texts are joined on, a block at a time."""
-    needed = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
+    needed = materialize(fewer(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()), "needed")
     # Few ids are sent to the texts; beyond the bound, texts and ids are shuffled.
     wanted = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     texts = materialize(docs.join(wanted, "id", "left_semi"), "texts")
@@ -341,7 +341,7 @@ def first_pass(reps: DataFrame) -> DataFrame:
     band = F.floor(F.log("n") / F.log(F.lit(1.3))).alias("band")
     rows = reps.select("id", band, F.explode(F.slice("heads", 1, FIRST_TOKENS)).alias("token"))
     least = rows.groupBy("token", "band").agg(F.min("id").alias("a"), F.max("id").alias("most"))
-    least = materialize(least.where(F.col("a") != F.col("most")).select("token", "band", "a"), "least")
+    least = materialize(fewer(least.where(F.col("a") != F.col("most")).select("token", "band", "a")), "least")
     return rows.join(least, ["token", "band"]).where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
 
 
@@ -349,7 +349,7 @@ def mixed_blocks(reps: DataFrame, of: str, chunk: int = CHUNK) -> DataFrame:
     """(token, chunks): the blocks that hold several components, and the chunks they are cut into."""
     rows = reps.select("label", F.explode(of).alias("token"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held"))
-    return materialize(mixed.where(F.col("low") != F.col("high")).select("token", F.ceil(F.col("held") / chunk).alias("chunks")), "mixed")
+    return materialize(fewer(mixed.where(F.col("low") != F.col("high")).select("token", F.ceil(F.col("held") / chunk).alias("chunks"))), "mixed")
 
 
 def block_pairs(reps: DataFrame, percent: int, mixed: DataFrame, of: str = "prefix", turn: int = 0) -> DataFrame:
@@ -458,7 +458,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         mixed = mixed_blocks(labelled, "heads", chunk)
         whole = mixed.where("chunks > 1").isEmpty()
         near = likeliest(materialize(block_pairs(labelled, percent, mixed, "heads", turn), "near"), LIKELIEST)
-        more = verify(materialize(near, "pairs"), keyed, width, percent)
+        more = verify(materialize(fewer(near), "pairs"), keyed, width, percent)
         links = materialize(links.union(more), "links")
         forget(docs.sparkSession, since)
         labelled = relabel(reps, links)
@@ -469,7 +469,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     final = components(links.union(rest))
 
     ends = classes.join(final, classes.rep == final.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    ends = materialize(ends, "ends")
+    ends = materialize(fewer(ends), "ends")
     out = sigs.select("id", "n", "set_key").join(ends, "set_key", "left")
     # Empty sets, and rows without an id, stay alone; a tied id may still have a component.
     alone = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

@@ -33,8 +33,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def fewer(rows: DataFrame) -> DataFrame:
-    """Narrow rows of a light plan in an eighth of the shuffle's partitions (eight at least), as they would make very many small files."""
-    return rows.coalesce(max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+    """Narrow rows of a light plan, in an eighth of the shuffle's partitions where Spark doesn't join small ones by their size itself: they would make very many small files."""
+    conf = rows.sparkSession.conf
+    if all(conf.get(f"spark.sql.adaptive.{name}", "true") == "true" for name in ("enabled", "coalescePartitions.enabled")):
+        return rows
+    return rows.coalesce(max(8, int(conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 _tables = threading.local()

@@ -228,8 +228,8 @@ def test_pairs_of_boxes_of_any_size(spark):
 
 
 def test_a_box_as_wide_as_a_sheet(spark):
-    """One box of 1.6 million x 20 million units with 10,000 small ones in it."""
+    """One box of 1.6 million x 21 million units with 10,000 small ones in it."""
     small = [("a", 0, p, x := p % 100 * 16_000.0, y := p // 100 * 200_000.0, x + 50, y + 20) for p in range(1, 10_001)]
-    rows = [("a", 0, 0, 0.0, 0.0, 1.6e6, 2e7), *small]
+    rows = [("a", 0, 0, 0.0, 0.0, 1.6e6, 2.1e7), *small]
     got = layout.pairs(placed(spark, rows))
     assert got.where("pos1 = 0 and nested").count() == 10_000 == got.count()

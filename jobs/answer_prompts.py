@@ -7,8 +7,8 @@ else is said about its first line.  Its vector is searched against all others, t
 ``top_k`` nearest documents other than itself become the context, whole, and the
 prompt is written with its sources, partitioned by the asking document's language.  A run replaces the
 partitions that it writes (dynamic partition overwrite), so running again gives
-the same table; a language without questions keeps none of an earlier run's rows
-if ``OUT`` is a new folder.
+the same table; a language that has no questions any more keeps what an earlier
+run left.
 
 Defined cases: documents or vectors without an id take no part; a null text asks
 with an empty line and gives an empty passage; a hit without a document gives no

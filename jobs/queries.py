@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,17 +19,34 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/jobs/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def same_settings(spark: SparkSession):
+    """The session's settings are afterwards what they were."""
+    before = dict(spark.conf.getAll)
+    try:
+        yield
+    finally:
+        now = dict(spark.conf.getAll)
+        for name in now.keys() | before.keys():
+            if name not in before:
+                spark.conf.unset(name)
+            elif now.get(name) != before[name]:
+                spark.conf.set(name, before[name])
+
+
 def job1_chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folder(spark, "chunk_documents")
-    for _ in range(2):
-        chunk_documents.run(spark, f"{sf_dir}/documents.parquet", f"{out}/table", f"{out}/checkpoint")
+    with same_settings(spark):
+        for _ in range(2):
+            chunk_documents.run(spark, f"{sf_dir}/documents.parquet", f"{out}/table", f"{out}/checkpoint")
     return chunk_documents.current(spark, f"{out}/table").select("doc_id", "lang", "chunk_no", "chunk_id", "text", "n_tokens", F.size("embedding").cast("long").alias("dimension"))
 
 
 def job2_answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folder(spark, "answer_prompts")
-    for _ in range(2):
-        answer_prompts.run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet", out)
+    with same_settings(spark):
+        for _ in range(2):
+            answer_prompts.run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet", out)
     rows = answer_prompts.read(spark, out, answer_prompts.PROMPTS)
     return rows.select("query_id", "lang", "question", "prompt", "source_ids", F.transform("scores", lambda s: F.round(s, 6)).alias("scores"), "retrieved_chunks")
 

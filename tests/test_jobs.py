@@ -18,10 +18,9 @@ DOCS = "doc_id long, text string, lang string, extra int"
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_equals_sql(spark, name):
-    before = spark.conf.getAll
+    before = dict(spark.conf.getAll)
     oracle.same(queries.QUERIES[name](spark, SF), oracle.connect(SF), queries.SQL[name])
-    changed = {k for k in before if spark.conf.getAll.get(k) != before[k]} - {"spark.sql.execution.arrow.maxBytesPerBatch"}
-    assert not changed
+    assert dict(spark.conf.getAll) == before
 
 
 @pytest.fixture()

@@ -24,7 +24,7 @@ from .search import top_k_batch
 
 #: Ids or filters longer than this go through a join instead of an IN list.
 MANY = 1000
-ROWS, GONE, CENTROIDS = f"{VECTOR}, add string, cell int", "chunk_id string, add string", "cell int, centroid array<double>"
+ROWS, GONE, CENTROIDS = f"{VECTOR}, add string, cell int", "chunk_id string, add string, by string", "cell int, centroid array<double>"
 
 
 def top_k(collection: DataFrame, query: list[float], k: int = 5, filters: dict | None = None, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
@@ -79,7 +79,7 @@ class VectorStore:
     def _live(self) -> DataFrame:
         """All rows with their addition and cell, without those that are gone."""
         generation = self._generation()
-        return self._table("rows", ROWS, generation).join(self._table("gone", GONE, generation), ["chunk_id", "add"], "left_anti")
+        return self._table("rows", ROWS, generation).join(self._table("gone", GONE, generation).drop("by"), ["chunk_id", "add"], "left_anti")
 
     def read(self) -> DataFrame:
         return self._live().select("chunk_id", "embedding", "text", "metadata")
@@ -93,12 +93,18 @@ class VectorStore:
         made = f"{self.path}/{generation}"
         empty = lambda schema: self.spark.createDataFrame([], schema)
         (empty(CENTROIDS) if centroids is None else centroids.coalesce(1)).write.parquet(f"{made}/centroids")
-        empty(GONE).write.parquet(f"{made}/gone")
-        rows = empty(ROWS) if rows is None else rows.withColumn("add", F.lit(uuid.uuid4().hex)).select(*empty(ROWS).columns)
-        # A cell's rows go to as many files as they need, and each file holds one cell.
-        rows.hint("rebalance", "cell").write.partitionBy("add", "cell").parquet(f"{made}/rows")
+        empty(GONE).drop("by").write.parquet(f"{made}/gone/by=start")
+        self._put(empty(ROWS) if rows is None else rows, made, uuid.uuid4().hex)
         self._point(generation, first)
 
+    @staticmethod
+    def _put(rows: DataFrame, generation: str, added: str) -> None:
+        """Write an addition's rows below a folder of its own: writers of one folder would disturb each other.
+
+        A cell's rows go to as many files as they need, and each file holds one cell.
+        """
+        rows.select("chunk_id", "embedding", "text", "metadata", "cell").hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{generation}/rows/add={added}")
+
     def clear(self) -> None:
         """An empty collection from here on."""
         self._start()
@@ -153,11 +159,8 @@ class VectorStore:
             new = checked(new, self.dimension)
         generation, added = self._generation(), uuid.uuid4().hex
         centroids = self._table("centroids", CENTROIDS, generation)
-        if centroids.isEmpty():
-            new = new.withColumn("cell", F.lit(index.ALWAYS))
-        else:
-            new = index.filed(new, centroids).hint("rebalance", "cell")
-        new.withColumn("add", F.lit(added)).select(*self._table("rows", ROWS, generation).columns).write.mode("append").partitionBy("add", "cell").parquet(f"{self.path}/{generation}/rows")
+        new = new.withColumn("cell", F.lit(index.ALWAYS)) if centroids.isEmpty() else index.filed(new, centroids)
+        self._put(new, f"{self.path}/{generation}", added)
         # The ids are read back: those returned are those written.
         mine = self._table("rows", ROWS, generation).where(F.col("add") == added).select("chunk_id")
         if named:
@@ -177,7 +180,7 @@ class VectorStore:
         rows = self._live().select("chunk_id", "add")
         rows = rows if which is None else rows.where(which)
         rows = rows.where(where) if join is None else rows.join(join, "chunk_id", "left_semi")
-        rows.write.mode("append").parquet(f"{self.path}/{self._generation()}/gone")
+        rows.write.parquet(f"{self.path}/{self._generation()}/gone/by={uuid.uuid4().hex}")
 
     def get(self, ids: list[str] | DataFrame) -> DataFrame:
         where, join = self._wanted(ids)

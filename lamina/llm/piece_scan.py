@@ -33,9 +33,9 @@ from .common import materialize, release, text_blocks
 
 CHUNK_CHARS = 32768
 SPACE = "▁"
-#: What a worker remembers, in two generations of half as many: some 200 bytes each.
-CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 500_000, 700_000, 40
-CACHED_PAIRS = 600_000
+#: What a task remembers, in two generations of half as many: some 200 bytes each.
+CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 300_000, 440_000, 40
+CACHED_PAIRS = 400_000
 #: Characters on both sides of a chunk: two of the longest pieces fit.
 CONTEXT = 64
 
@@ -127,6 +127,12 @@ class Pieces:
                 node = node.setdefault(c, {})
             node[""] = p
 
+    def forget(self) -> None:
+        """Nothing is remembered from one task to the next: idle workers share the executor's memory with what follows."""
+        for held in (self.pairs, self.known, self.words, self.older_pairs, self.older_known, self.older_words):
+            held.clear()
+        release()
+
     def merge(self, text: str) -> list[str]:
         """Neighbours merged by the best score, leftmost first: the model's definition, for short strings."""
         parts, score = list(text), self.score
@@ -356,6 +362,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             for block in text_blocks(batch):
                 ids = [vocab.encode(mark(t or "")) for t in block.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([block.column(0), _lists(ids)], names=["id", "ids"])
+                del ids
+        vocab.forget()
 
     alone = chosen.where(~longer).mapInArrow(short, f"id {id_type}, ids array<int>")
     return alone.unionByName(_scanned(chosen.where(longer), model_path, id_type, chunk_chars)).select(F.col("id").alias(id_col), "ids")
@@ -387,6 +395,7 @@ def _scanned(giants: DataFrame, model_path: str, id_type: str, chunk: int) -> Da
                 out.append((r.key, r.id, r.k, shift(entries), shift(exits), (matrix == 0).ravel().tolist()))
             yield pd.DataFrame(out, columns=["key", "id", "k", "entries", "exits", "open"])
             release()
+        vocab.forget()
 
     matrices = cut.select("key", "id", "k", "low", "high", "off", "part").mapInPandas(measure, f"key long, id {id_type}, k int, entries array<int>, exits array<int>, open array<boolean>")
 
@@ -411,6 +420,7 @@ def _scanned(giants: DataFrame, model_path: str, id_type: str, chunk: int) -> Da
                 out.append((r.id, r.key, r.copies, r.k, np.frombuffer(vocab.between(r.part, r.low - r.off, r.high - r.off, entry, leave), "<i4")))
             yield pd.DataFrame(out, columns=["id", "key", "copies", "k", "ids"])
             release()
+        vocab.forget()
 
     traced = known.mapInPandas(trace, f"id {id_type}, key long, copies long, k int, ids array<int>")
     whole = traced.groupBy("id", "key", "copies").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))

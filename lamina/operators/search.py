@@ -2,9 +2,10 @@
 
 Vectors travel as packed matrices.  A few queries are broadcast (behind a check of
 their size) and rows stay where they are; more of them are dealt, with the rows,
-to numbered meeting places, where a place's queries come first and its rows stream
-past them.  Either way the collection is scanned once, nothing passes the driver,
-and a task holds one slice of the queries and one block of rows.
+to numbered meeting places, of whose two sides one is held and the other streams
+past it.  Over a whole collection the rows are held, so each of them is shuffled once
+and the queries alone are copied.  Either way nothing passes the driver, and a task
+holds one place's rows and one slice of the queries.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from ..runtime import ship
 
 #: Rows and queries that are multiplied at a time.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
-#: Bytes of queries that one meeting place holds, and those that may be broadcast.
-SLICE_BYTES, BROADCAST_BYTES = 64 << 20, 8 << 20
+#: Bytes of queries that a task holds at a time, those that may be broadcast, and those of rows that one meeting place holds.
+SLICE_BYTES, BROADCAST_BYTES, HELD_BYTES = 64 << 20, 8 << 20, 32 << 20
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -161,6 +162,35 @@ def meet_dealt(queries: DataFrame, rows: DataFrame, k: int, query_id: str, id_co
     return dealt.mapInArrow(run, f"`{query_id}` {q_kind}, `{id_col}` {i_kind}, score double")
 
 
+def meet_held(queries: DataFrame, rows: DataFrame, k: int, query_id: str, id_col: str, partitions: int) -> DataFrame:
+    """Blocks of queries and rows of one place meet in one task: its rows are held, its queries pass."""
+    names = (query_id, id_col)
+    q_kind, i_kind = (x.schema["ids"].dataType.elementType.simpleString() for x in (queries, rows))
+    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
+    left = queries.select("at", F.lit(1).alias("kind"), "width", F.col("ids").alias("q"), none(i_kind).alias("i"), "data", "exact")
+    right = rows.select("at", F.lit(0).alias("kind"), "width", none(q_kind).alias("q"), F.col("ids").alias("i"), "data", "exact")
+    dealt = left.unionByName(right).repartitionById(partitions, F.pmod("at", F.lit(partitions)).cast("int")).sortWithinPartitions("at", "kind")
+
+    def run(batches):
+        place, held = None, []
+        for b in batches:
+            kinds = [b.column(c).type.value_type for c in (3, 4)]
+            for at, kind, width, q, i, data, exact in zip(*[c.to_pylist() for c in b.columns]):
+                if at != place:
+                    place, held = at, []
+                vectors = _vectors(width, data, exact)
+                if kind == 0:
+                    held.append((width, i, None if vectors is None else unit(vectors)))
+                    continue
+                best = Best(q, vectors, k)
+                for own, i, vectors in held:
+                    if own < 0 or own == width:
+                        best.meet(i, vectors)
+                yield from _found([best], names, kinds)
+
+    return dealt.mapInArrow(run, f"`{query_id}` {q_kind}, `{id_col}` {i_kind}, score double")
+
+
 def top_k_batch(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_embedding", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(query_id, rank, id, score) for a stated set of queries against all rows, in blocks.
 
@@ -168,22 +198,22 @@ def top_k_batch(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: s
     lie; ties go to the lesser id.  Rows and queries without an id take no part,
     nor do queries without a vector (or of no components); null and zero rows score
     0; rows of another dimension than a query are not compared with it.  Only the
-    number of queries and their width come to the driver.
+    numbers of queries and rows and their widths come to the driver.
     """
     spark = ship(collection.sparkSession)
     asked = queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v")).where("id is not null and size(v) > 0")
     rows = collection.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null")
     total, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     size = total * 8 * (width or 1)
-    slices = max(1, -(-size // slice_bytes))
-    if slices == 1 and size <= BROADCAST_BYTES:
+    if size <= min(slice_bytes, BROADCAST_BYTES):
         here = F.lit(0).cast("long").alias("at")
         found = meet_broadcast(packed(asked.select(here, "id", "v"), BLOCK_QUERIES), packed(rows.select(here, "id", "v"), BLOCK_ROWS), k, query_id, id_col)
         return _best_of(found, k, query_id, id_col)
-    # Place (slice, part): a slice's queries go to all parts, a part's rows to all slices.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).alias("at")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = packed(asked.select(number(slices), "id", "v"), BLOCK_QUERIES).withColumn("part", every(parts)).withColumn("at", F.col("at") * parts + F.col("part"))
-    right = packed(rows.select(number(parts), "id", "v"), BLOCK_ROWS).withColumn("slice", every(slices)).withColumn("at", F.col("slice") * parts + F.col("at"))
-    return _best_of(meet_dealt(left, right, k, query_id, id_col, parts), k, query_id, id_col)
+    # A row goes to one place; the queries go to all of them, a slice at a time.
+    held, wide = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held * 8 * max(wide or 1, 1) // HELD_BYTES))
+    block = max(1, min(BLOCK_QUERIES, slice_bytes // (8 * (width or 1))))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("at")
+    left = packed(asked.select(F.lit(0).alias("at"), "id", "v"), block).drop("at").select(every, "width", "ids", "data", "exact")
+    right = packed(rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("at"), "id", "v"), BLOCK_ROWS)
+    return _best_of(meet_held(left, right, k, query_id, id_col, parts), k, query_id, id_col)

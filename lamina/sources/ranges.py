@@ -115,7 +115,7 @@ def csv_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFra
     """
     lines = materialize(ranged_lines(spark, path, delimiter), "lines")
     known = materialize(settled(lines.where("last").drop("last", "line", "seq")), "ranges")
-    rows = lines.join(known, ["path", "block"])
+    rows = lines.join(F.broadcast(known), ["path", "block"])  # a row for each range
     pick = lambda a, b: F.when(F.col("entry") == 0, F.col(a)).otherwise(F.col(b))
     rows = rows.select("path", "block", "seq", "line", "last", "follows", pick("s0", "s1").alias("inside"), (F.col("base") + pick("n0", "n1")).alias("begun"))
     # The last row of a range stands for the first line of the next one.
@@ -134,7 +134,7 @@ def csv_cells_ranged(spark: SparkSession, path: str, delimiter: str = ",") -> Da
 
     records = csv_records(spark, path, delimiter)
     header = records.where("row = 0").select("doc_id", F.col("record").alias("header"))
-    rows = records.join(header, "doc_id").select("doc_id", "row", "record", "header")
+    rows = records.join(F.broadcast(header), "doc_id").select("doc_id", "row", "record", "header")
 
     def run(batches):
         csv.field_size_limit(2**31 - 1)

@@ -41,11 +41,12 @@ def json_column(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.to_json(F.struct(*rows.columns)).alias("json"))
 
 
-def write_files(rows: DataFrame, folder: str, ending: str) -> DataFrame:
+def write_files(rows: DataFrame, folder: str, ending: str, folders: int = 1) -> DataFrame:
     """Write each (doc_id, json) to ``<folder>/<stem of the id><ending>``; returns the written (doc_id, file).
 
     A stem that several ids share is followed by a hash of the id.  Files are
     written under a name of the task's attempt and renamed, so none is partial.
+    With several ``folders`` they are spread over as many, numbered below the given one.
     """
     spark = ship(rows.sparkSession)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -55,22 +56,23 @@ def write_files(rows: DataFrame, folder: str, ending: str) -> DataFrame:
     shared = named.groupBy("stem").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").select("stem", F.lit(True).alias("shared"))
     named = named.join(shared, "stem", "left")
     name = F.concat("stem", F.when(F.col("shared"), F.concat(F.lit("_"), F.substring(F.md5("doc_id"), 1, 12))).otherwise(F.lit("")), F.lit(ending))
+    below = F.lit("") if folders < 2 else F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(folders)).cast("string"), F.lit("/"))
 
     def run(batches):
         context = TaskContext.get()
         for batch in batches:
             out = []
-            for doc, text, file in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                files, path = pafs.FileSystem.from_uri(folder)
+            for doc, text, file, sub in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+                files, path = pafs.FileSystem.from_uri(f"{folder}/{sub}".rstrip("/"))
                 files.create_dir(path, recursive=True)
                 mine = f"{path}/.{file}.{context.taskAttemptId()}"
                 with files.open_output_stream(mine) as sink:
                     sink.write(text.encode())
                 files.move(mine, f"{path}/{file}")
-                out.append({"doc_id": doc, "file": f"{folder}/{file}"})
+                out.append({"doc_id": doc, "file": f"{folder}/{sub}{file}"})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.string()), ("file", pa.string())]))
 
-    return materialize(named.select(F.col("doc_id").cast("string"), "json", name.alias("name")).mapInArrow(run, "doc_id string, file string"), "files")
+    return materialize(named.select(F.col("doc_id").cast("string"), "json", name.alias("name"), below.alias("below")).mapInArrow(run, "doc_id string, file string"), "files")
 
 
 def escaped(text):

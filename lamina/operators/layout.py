@@ -11,6 +11,8 @@ from ..runtime import ship
 from .ordered import sorted_documents, spans, whole_documents
 
 LINE_TOLERANCE, CLUSTER_GAP, BINS = 5.0, 50.0, 50
+#: Boxes of one place that travel as one row.
+GATHERED = 256
 
 
 def reading_order(elements: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
@@ -100,19 +102,32 @@ def titles(elements: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("h.content").alias("title"))
 
 
-def pairs(elements: DataFrame) -> DataFrame:
+def _gathered(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """(keys, block, members): ``member`` of rows equal in ``keys``, about ``GATHERED`` in an array; more of them have several blocks."""
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / GATHERED).alias("parts"))
+    dealt = rows.join(parts, keys).withColumn("block", F.pmod(F.xxhash64(member), F.col("parts")))
+    return dealt.groupBy(*keys, "block").agg(F.collect_list(member).alias("members"))
+
+
+def pairs(elements: DataFrame, kind: str | None = None) -> DataFrame:
     """Pairs of a page's boxes (a before b in document order): overlap, nesting and adjacency, each where it holds.
 
-    A box can relate only to boxes near it.  It has a level, the power of two above
-    its longer side, and on the grid of its level it lies in four cells at most.
-    Boxes meet level by level, by an equi-join on (doc_id, page, level, cell): the
-    larger one holds its own cells, the smaller one looks up those it lies in on
-    each coarser grid that its page has.  So a table as wide as a sheet costs four
-    cells, whatever stands inside it.  Boxes without a place take no part.
+    ``kind`` (overlapping, nested or adjacent): pairs of that kind alone.
+
+    Boxes of one place are compared once: they travel as blocks of a bounded number
+    of boxes, and a pair of blocks becomes pairs of boxes where it is given out, so
+    copies cost the rows that they give and no more.  A box can relate only to boxes near it.
+    It has a level, the power of two above its longer side, and on the grid of its
+    level it lies in four cells at most.  Blocks meet level by level, by an equi-join
+    on (doc_id, page, level, cell): the larger one holds its own cells, the smaller
+    one looks up those it lies in on each coarser grid that its page has.  So a table
+    as wide as a sheet costs four cells, whatever stands inside it.  Boxes without a
+    place take no part.
     """
     reach, least = 10.0, 6  # cells of 64 units at least
     sides = ("x0", "y0", "x1", "y1")
-    rows = elements.select("doc_id", "pos", "element_id", "page", *sides).where(" and ".join(f"{c} is not null" for c in sides))
+    rows = elements.select("doc_id", "page", *sides, F.struct("pos", "element_id").alias("member")).where(" and ".join(f"{c} is not null" for c in (*sides, "pos")))
+    rows = _gathered(rows, ["doc_id", "page", *sides], "member")
     longest = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * reach
     level = F.greatest(F.lit(least), F.ceil(F.log2(F.greatest(longest, F.lit(1.0))))).cast("int")
     rows = rows.withColumn("level", level)
@@ -122,33 +137,40 @@ def pairs(elements: DataFrame) -> DataFrame:
     def side(prefix: str, df: DataFrame, pad: float) -> DataFrame:
         size = F.pow(F.lit(2.0), F.col("on"))
         df = df.withColumn("cx", F.explode(cells("x0", "x1", pad, size))).withColumn("cy", F.explode(cells("y0", "y1", pad, size)))
-        return df.select("doc_id", F.col("page").alias("of_page"), "on", "cx", "cy", *[F.col(c).alias(prefix + c) for c in ("pos", "element_id", "level", *sides)])
+        return df.select("doc_id", "page", "on", "cx", "cy", *[F.col(c).alias(prefix + c) for c in ("members", "block", "level", *sides)])
 
     large = side("l_", rows.withColumn("on", F.col("level")), reach)
-    known = rows.join(present, rows.doc_id.eqNullSafe(present.doc_id) & rows.page.eqNullSafe(present.page)).select(rows["*"], "levels")
-    small = side("s_", known.withColumn("on", F.explode(F.filter("levels", lambda x: x >= F.col("level")))), 0.0)
-    # Of boxes of one level the one that comes first holds; a pair is taken in the first cell that both lie in.
-    order = (F.col("s_level") < F.col("l_level")) | (F.col("l_pos") < F.col("s_pos"))
+    small = side("s_", rows.join(present, ["doc_id", "page"]).withColumn("on", F.explode(F.filter("levels", lambda x: x >= F.col("level")))), 0.0)
+    # Of blocks of one level the lesser one holds, each its own; a pair is taken in the first cell that both lie in.
+    place = lambda p: F.struct(*[F.col(p + c) for c in (*sides, "block")])
+    order = (F.col("s_level") < F.col("l_level")) | (place("l_") <= place("s_"))
     first = lambda lo, c: F.floor(F.greatest(F.col(f"l_{lo}") - reach, F.col(f"s_{lo}")) / F.pow(F.lit(2.0), F.col("on"))) == F.col(c)
-    met = large.join(small, ["doc_id", "of_page", "on", "cx", "cy"]).where(order & (F.col("l_pos") != F.col("s_pos")) & first("x0", "cx") & first("y0", "cy"))
-    ahead = F.col("l_pos") < F.col("s_pos")
-    pick = lambda c, of: F.when(ahead if of == "a" else ~ahead, F.col(f"l_{c}")).otherwise(F.col(f"s_{c}")).alias(f"{of}_{c}")
-    rows = met.select("doc_id", F.col("of_page").alias("page"), *[pick(c, of) for of in "ab" for c in ("pos", "element_id", *sides)])
-    rows = rows.select("doc_id", "page", F.col("a_element_id").alias("element1"), F.col("b_element_id").alias("element2"), F.col("a_pos").alias("pos1"), F.col("b_pos").alias("pos2"), boxes.overlaps("a_", "b_").alias("overlapping"), boxes.contains("a_", "b_").alias("nested"), boxes.adjacent("a_", "b_", reach).alias("adjacent"), boxes.adjacency_type("a_", "b_").alias("adjacency_type"))
-    return rows.where("overlapping or nested or adjacent")
+    met = large.join(small, ["doc_id", "page", "on", "cx", "cy"]).where(order & first("x0", "cx") & first("y0", "cy"))
+    met = met.select(
+        "doc_id", "page", "l_members", "s_members", (place("l_") == place("s_")).alias("own"), boxes.overlaps("l_", "s_").alias("overlapping"), boxes.adjacent("l_", "s_", reach).alias("adjacent"),
+        boxes.contains("l_", "s_").alias("l_nested"), boxes.contains("s_", "l_").alias("s_nested"), boxes.adjacency_type("l_", "s_").alias("l_type"), boxes.adjacency_type("s_", "l_").alias("s_type"),
+    )
+    wanted = {"overlapping": "overlapping", "nested": "l_nested or s_nested", "adjacent": "adjacent"}
+    met = met.where(wanted[kind] if kind else " or ".join(wanted.values()))
+    each = met.withColumn("l", F.explode("l_members")).drop("l_members").withColumn("s", F.explode("s_members")).drop("s_members")
+    ahead = F.col("l.pos") < F.col("s.pos")
+    each = each.where(ahead | ((F.col("l.pos") > F.col("s.pos")) & ~F.col("own")))
+    pick = lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
+    out = each.select("doc_id", "page", pick("l.element_id", "s.element_id").alias("element1"), pick("s.element_id", "l.element_id").alias("element2"), pick("l.pos", "s.pos").alias("pos1"), pick("s.pos", "l.pos").alias("pos2"), "overlapping", pick("l_nested", "s_nested").alias("nested"), "adjacent", pick("l_type", "s_type").alias("adjacency_type"))
+    return out.where(kind or "overlapping or nested or adjacent")
 
 
 def overlapping(elements: DataFrame) -> DataFrame:
     kind = F.when(F.col("nested"), "contains").otherwise("intersects")
-    return pairs(elements).where("overlapping").select("doc_id", "page", "element1", "element2", kind.alias("overlap_type"))
+    return pairs(elements, "overlapping").select("doc_id", "page", "element1", "element2", kind.alias("overlap_type"))
 
 
 def nested(elements: DataFrame) -> DataFrame:
-    return pairs(elements).where("nested").select("doc_id", "page", F.col("element1").alias("parent"), F.col("element2").alias("child"))
+    return pairs(elements, "nested").select("doc_id", "page", F.col("element1").alias("parent"), F.col("element2").alias("child"))
 
 
 def adjacent(elements: DataFrame) -> DataFrame:
-    return pairs(elements).where("adjacent").select("doc_id", "page", "element1", "element2", "adjacency_type")
+    return pairs(elements, "adjacent").select("doc_id", "page", "element1", "element2", "adjacency_type")
 
 
 def alignment_groups(elements: DataFrame) -> DataFrame:

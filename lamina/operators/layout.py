@@ -11,7 +11,7 @@ from ..runtime import ship
 from .ordered import sorted_documents, spans, whole_documents
 
 LINE_TOLERANCE, CLUSTER_GAP, BINS = 5.0, 50.0, 50
-#: Boxes of one place that travel as one row.
+#: Boxes or questions of one place that travel as one row.
 GATHERED = 256
 
 
@@ -234,16 +234,22 @@ def spatial_context(elements: DataFrame, regions: DataFrame, radius: float = 100
     """(query_id, doc_id, element_id, pos, distance, rank) of elements whose centres lie within ``radius`` of a region's.
 
     regions(query_id, doc_id, page, x0, y0, x1, y1); centres meet by an
-    equi-join on grid cells of the radius.
+    equi-join on grid cells of the radius.  Queries whose centres are the same are
+    asked and ranked once for a bounded number of them, and given out last.
     """
     e = elements.select("doc_id", "page", "element_id", "pos", *[F.col(c).alias(f"e_{c}") for c in ("x0", "y0", "x1", "y1")])
     e = e.withColumn("gx", F.floor(boxes.center_x("e_") / radius)).withColumn("gy", F.floor(boxes.center_y("e_") / radius))
-    q = regions.select("query_id", "doc_id", "page", *[F.col(c).alias(f"q_{c}") for c in ("x0", "y0", "x1", "y1")])
+    at = F.struct("doc_id", "page", *[F.col(c).alias(f"q_{c}") for c in ("x0", "y0", "x1", "y1")])
+    asked = regions.groupBy("query_id").agg(F.array_sort(F.collect_list(at)).alias("places"))
+    # Ids may be null, so they are wrapped; a block is known by its least one.
+    asked = _gathered(asked.withColumn("asker", F.struct("query_id")), ["places"], "asker").withColumn("first", F.array_min("members"))
+    q = asked.select("first", F.explode("places").alias("at")).select("first", "at.*")
     near = lambda c: F.sequence(F.floor(c / radius) - 1, F.floor(c / radius) + 1)
     q = q.withColumn("gx", F.explode(near(boxes.center_x("q_")))).withColumn("gy", F.explode(near(boxes.center_y("q_"))))
     hit = q.join(e, ["doc_id", "page", "gx", "gy"]).withColumn("distance", boxes.distance("e_", "q_")).where(F.col("distance") <= radius)
-    w = Window.partitionBy("query_id").orderBy("distance", "pos")
-    return hit.select("query_id", "doc_id", "element_id", "pos", "distance", F.row_number().over(w).alias("rank"))
+    w = Window.partitionBy("first").orderBy("distance", "pos")
+    ranked = hit.select("first", "doc_id", "element_id", "pos", "distance", F.row_number().over(w).alias("rank"))
+    return ranked.join(asked.select("first", "members"), "first").withColumn("asker", F.explode("members")).select("asker.query_id", "doc_id", "element_id", "pos", "distance", "rank")
 
 
 def layout_analysis(elements: DataFrame) -> DataFrame:

@@ -98,12 +98,15 @@ class VectorStore:
         self._point(generation, first)
 
     @staticmethod
-    def _put(rows: DataFrame, generation: str, added: str) -> None:
+    def _put(rows: DataFrame, generation: str, added: str, filed: bool = True) -> None:
         """Write an addition's rows below a folder of its own: writers of one folder would disturb each other.
 
-        A cell's rows go to as many files as they need, and each file holds one cell.
+        A cell's rows go to as many files as they need, and each file holds one cell;
+        ``filed``: they are of several cells, so they are brought together.
         """
-        rows.select("chunk_id", "embedding", "text", "metadata", "cell").hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{generation}/rows/add={added}")
+        rows = rows.select("chunk_id", "embedding", "text", "metadata", "cell")
+        rows = rows.hint("rebalance", "cell") if filed else rows
+        rows.write.option("compression", "zstd").partitionBy("cell").parquet(f"{generation}/rows/add={added}")
 
     def clear(self) -> None:
         """An empty collection from here on."""
@@ -138,11 +141,12 @@ class VectorStore:
             exact.unpersist()
         return max(1, min(probes, cells))
 
-    def add(self, rows: DataFrame) -> DataFrame:
+    def add(self, rows: DataFrame, distinct: bool = False) -> DataFrame:
         """Add (chunk_id?, embedding, text, metadata); returns the ids.
 
         Missing ids get a UUID.  Rows present with one of the ids are replaced; of
         rows that share an id here, the one of the least text (then vector) stays.
+        ``distinct``: the caller knows that no two do, so texts and vectors are not shuffled.
         """
         if "embedding" not in rows.columns or "text" not in rows.columns:
             raise ValueError("documents need a text and an embedding each")
@@ -150,7 +154,7 @@ class VectorStore:
         own = F.col("chunk_id").cast("string") if named else F.lit(None).cast("string")
         data = F.col("metadata") if "metadata" in rows.columns else F.create_map().cast("map<string,string>")
         new = rows.select(F.coalesce(own, F.expr("uuid()")).alias("chunk_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("text"), data.cast("map<string,string>").alias("metadata"))
-        if named:
+        if named and not distinct:
             w = Window.partitionBy("chunk_id").orderBy("text", "embedding")
             new = new.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
         if self.dimension is not None:
@@ -159,8 +163,9 @@ class VectorStore:
             new = checked(new, self.dimension)
         generation, added = self._generation(), uuid.uuid4().hex
         centroids = self._table("centroids", CENTROIDS, generation)
-        new = new.withColumn("cell", F.lit(index.ALWAYS)) if centroids.isEmpty() else index.filed(new, centroids)
-        self._put(new, f"{self.path}/{generation}", added)
+        filed = not centroids.isEmpty()
+        new = index.filed(new, centroids) if filed else new.withColumn("cell", F.lit(index.ALWAYS))
+        self._put(new, f"{self.path}/{generation}", added, filed)
         # The ids are read back: those returned are those written.
         mine = self._table("rows", ROWS, generation).where(F.col("add") == added).select("chunk_id")
         if named:

@@ -12,7 +12,7 @@ from ..operators.embedding import create_embedder, embed_column
 from ..operators.generators import generate_column
 from ..operators.store import VectorStore
 from ..sources import files as file_source
-from ..sources.text import text_elements
+from ..sources.text import ordered_text_elements
 
 
 class Engine:
@@ -33,7 +33,7 @@ class Engine:
     def _stage(self, rows: DataFrame, name: str, stats: dict, batch: str) -> DataFrame:
         """Write a stage's rows of this ingest beside those of earlier ones; returns the rows written."""
         began, path = time.time(), f"{self.folder}/{name}/batch={batch}"
-        rows.write.parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
         stats[f"{name}_seconds"] = time.time() - began
         return self.spark.read.schema(rows.schema).parquet(path)
 
@@ -46,23 +46,24 @@ class Engine:
     def ingest(self, path: str) -> dict:
         """Parse, chunk, embed and store a file or every file of a folder; failed files are counted, not raised."""
         documents, elements = file_source.parse_path(self.spark, path)
-        return self._ingest(documents, elements)
+        return self._ingest(documents, layout.reading_order(elements))
 
     def ingest_texts(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
         """The same for a table of texts."""
         documents = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.lit("text").alias("file_type"), F.lit("text").alias("parser_used"), F.create_map().cast("map<string,string>").alias("metadata"), F.lit(None).cast("array<string>").alias("errors"))
-        return self._ingest(documents, text_elements(docs, id_col, text_col))
+        return self._ingest(documents, ordered_text_elements(docs, id_col, text_col))
 
-    def _ingest(self, documents: DataFrame, elements: DataFrame) -> dict:
+    def _ingest(self, documents: DataFrame, ordered: DataFrame) -> dict:
         stats: dict = {}
         batch = f"b{time.time_ns():020d}"  # later ingests sort behind earlier ones
         documents = self._stage(documents, "documents", stats, batch)
-        elements = self._stage(layout.reading_order(elements), "elements", stats, batch)
+        elements = self._stage(ordered, "elements", stats, batch)
         chunks = self._stage(self.chunker.chunks(elements), "chunks", stats, batch)
         data = F.create_map(F.lit("source"), F.col("doc_id"), F.lit("page_range"), F.concat_ws("-", "page_start", "page_end"), F.lit("heading"), F.coalesce("heading", F.lit("")))
         rows = chunks.select("chunk_id", "text", data.alias("metadata"))
         began = time.time()
-        self.store.add(embed_column(rows, "text", self.embedder, **self.embedder_config))
+        # A chunk's id holds its document's and its number there, so no two are alike.
+        self.store.add(embed_column(rows, "text", self.embedder, **self.embedder_config), distinct=True)
         # Chunks that these documents had before and have no more.
         earlier = self.spark.read.parquet(f"{self.folder}/chunks").where(F.col("batch").cast("string") != batch).join(documents.select("doc_id"), "doc_id", "left_semi")
         self.store.delete(earlier.select("chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_anti"))

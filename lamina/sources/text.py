@@ -119,11 +119,16 @@ def special_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _special(docs, id_col, text_col).drop("held")
 
 
+def may_be_special(text: Column) -> Column:
+    """Whether a text can hold a code block or a table; false for null."""
+    return F.coalesce(text.contains("```") | text.contains("|"), F.lit(False))
+
+
 def _special(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The same with ``held``, the number of the text's non-blank lines."""
     ship(docs.sparkSession)
     held = F.size(F.filter(_lines(F.col(text_col)), lambda x: fn.strip(x) != ""))
-    chosen = docs.where(F.col(text_col).contains("```") | F.col(text_col).contains("|")).select(F.col(id_col).alias("doc_id"), fn.newlines(F.col(text_col)).alias("text"), held.alias("held"))
+    chosen = docs.where(may_be_special(F.col(text_col))).select(F.col(id_col).alias("doc_id"), fn.newlines(F.col(text_col)).alias("text"), held.alias("held"))
     id_type = chosen.schema[0].dataType.simpleString()
 
     def run(batches):
@@ -169,6 +174,25 @@ def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return finish(lines)
 
 
+def ordered_text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``text_elements`` with their reading order, ro_pos.
+
+    Lines stand one below the other, so where a document is one row without blocks
+    and tables, its order is that of its lines and nothing is shuffled.  Rows that
+    share an id (or have none) are one document; those are put in order by place.
+    """
+    from ..operators.layout import reading_order
+
+    own = F.col(id_col)
+    shared = docs.groupBy(own).agg(F.count("*").alias("n")).where((F.col("n") > 1) & own.isNotNull()).select(own)
+    placed = may_be_special(F.col(text_col)) | own.isNull()
+    alone, others = docs.where(~placed), docs.where(placed)
+    if not shared.isEmpty():
+        alone, others = alone.join(shared, id_col, "left_anti"), others.unionByName(alone.join(shared, id_col, "left_semi"))
+    lines = text_elements(alone, id_col, text_col, special=False).withColumn("ro_pos", F.col("pos"))
+    return lines.unionByName(reading_order(text_elements(others, id_col, text_col)))
+
+
 def finish(elements: DataFrame) -> DataFrame:
     """Fill what a source leaves out, in the order of the element table."""
     empty = F.create_map().cast("map<string,string>")

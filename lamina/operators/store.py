@@ -128,17 +128,19 @@ class VectorStore:
         """The cells to probe for this share of the exact answer, measured on about ``queries`` rows of the collection.
 
         Probes are doubled up to all cells.  Vectors in groups need a few; vectors spread evenly need most.
+        A neighbour is found by as many probes as its cell's place in the query's order of cells,
+        so one exact search tells the recall of every number of them.
         """
         rows, cells = self.read(), self.centroids().count()
         step = max(1, rows.count() // queries)
         asked = rows.where(F.pmod(F.xxhash64("chunk_id", F.lit(3)), F.lit(step)) == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-        exact = self.query_batch(asked, k).select("query_id", "chunk_id").persist()
-        try:
-            probes, wanted = 1, recall * exact.count()
-            while probes < cells and self.query_batch(asked, k, probes=probes).join(exact, ["query_id", "chunk_id"], "left_semi").count() < wanted:
-                probes *= 2
-        finally:
-            exact.unpersist()
+        exact = self.query_batch(asked, k).select("query_id", "chunk_id")
+        order = index.nearest(asked, self.centroids(), cells, "query_embedding", "cells").select("query_id", "cells")
+        found = self._live().select("chunk_id", "cell").join(exact, "chunk_id").join(order, "query_id")
+        place = F.when(F.col("cell") == index.ALWAYS, 0).otherwise(F.nullif(F.array_position("cells", F.col("cell")), F.lit(0)))
+        tried = [1 << n for n in range(max(1, cells).bit_length())]
+        total, *counts = found.select(place.alias("place")).agg(F.count("*"), *[F.count_if(F.col("place") <= n) for n in tried]).first()
+        probes = next((n for n, held in zip(tried, counts) if held >= recall * total), cells)
         return max(1, min(probes, cells))
 
     def add(self, rows: DataFrame, distinct: bool = False) -> DataFrame:

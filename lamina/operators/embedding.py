@@ -14,12 +14,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import ship
+from ..runtime import release, ship
 from .service import post
 
 
-#: Words that a hashing embedder remembers.
-CACHED_WORDS = 300_000
+#: Words that a hashing embedder remembers, within a task.
+CACHED_WORDS = 100_000
 
 
 class Embedder(Protocol):
@@ -34,6 +34,9 @@ class HashingEmbedder:
     def __init__(self, dimension: int = 256):
         self.dimension, self.known = dimension, {}
 
+    def forget(self) -> None:
+        self.known.clear()
+
     def _place(self, word: str) -> int:
         """The word's dimension, plus the number of dimensions where its sign is minus; remembered."""
         if len(self.known) > CACHED_WORDS:
@@ -145,6 +148,10 @@ def embed_column(rows: DataFrame, text_col: str = "text", kind: str = "hashing",
                 vectors = iter(model.embed([t for t in texts if t is not None]))
                 column = pa.array([None if t is None else next(vectors) for t in texts], type=pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*names, "embedding"])
+        # Idle workers share the executor's memory with what follows.
+        if hasattr(model, "forget"):
+            model.forget()
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{schema}, embedding array<float>")

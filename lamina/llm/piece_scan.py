@@ -14,8 +14,8 @@ associatively, forward from its start and backward from its end, which leaves
 one state at each boundary; then each chunk is traced back on its own.
 
 No piece spans a safe cut, between two characters that no piece holds side by
-side, so there a matrix has one row; segments between safe cuts are solved by
-the same lattice and remembered.
+side, so there a matrix has one row; words and segments between safe cuts are
+solved by the same lattice, those of a block together (``solve``), and remembered.
 
 Edge cases: null and empty texts have no pieces; rows with null or equal ids are
 encoded each; U+2581 in a text is the space mark, so it decodes to a space.
@@ -23,19 +23,27 @@ encoded each; U+2581 in a text is the space mark, so it decodes to a space.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship
-from .common import materialize, release, text_blocks
+from .common import BLOCK_BYTES, materialize, release, text_blocks
 
 CHUNK_CHARS = 32768
 SPACE = "▁"
+#: A word with all spaces before it, or the spaces at the end.
+RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: What a task remembers, in two generations of half as many: some 200 bytes each.
-CACHED_SEGMENTS, CACHED_WORDS, CACHED_CHARS = 300_000, 440_000, 40
-CACHED_PAIRS = 400_000
+CACHED_WORDS, CACHED_CHARS = 440_000, 40
+CACHED_PAIRS = 100_000
+#: Segments solved together, and how many are worth it.
+SOLVED_UNITS, SOLVED_LEAST = 32_768, 64
+#: Slots of a worker's table of edges (8 bytes each), at most half of them in use.
+EDGE_SLOTS = 1 << 20
 #: Characters on both sides of a chunk: two of the longest pieces fit.
 CONTEXT = 64
 
@@ -89,6 +97,103 @@ def check_model(proto: bytes) -> None:
         raise ValueError("this model cannot be encoded by a scan: " + ", ".join(wrong))
 
 
+class Trie:
+    """Pieces by their first characters as arrays: from node v, character class c leads to base[v] + c if check says v there."""
+
+    def __init__(self, pieces: list[str]):
+        self.classes = np.zeros(0x110000, np.uint16)  # 0: in no piece
+        chars = sorted({c for p in pieces for c in p})
+        self.classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        number = {c: k for k, c in enumerate(chars, 1)}
+        tree: dict = {}
+        for k, p in enumerate(pieces):
+            node = tree
+            for c in p:
+                node = node.setdefault(number[c], {})
+            node[0] = k
+        room = len(chars) + 2
+        taken, top, free, wide, level = bytearray(4 * room), 0, 1, 1, [(0, tree)]
+        taken[0] = 1
+        found: list[tuple] = []  # node, base, piece, node above
+        above = {0: -1}
+        while level:
+            below = []
+            for at, node in sorted(level, key=lambda x: -len(x[1])):
+                k = node.pop(0, -1)
+                if not node:
+                    found.append((at, 0, k, above[at]))
+                    continue
+                if len(taken) < top + 3 * room:
+                    taken.extend(bytes(len(taken)))
+                least, tries = min(node), 0
+                if len(node) == 1:  # any free slot will do
+                    free = taken.find(0, free)
+                    first = taken.find(0, max(free, least))
+                else:
+                    first = taken.find(0, max(wide, least))
+                    while any([taken[first - least + c] for c in node]):
+                        first, tries = taken.find(0, first + 1), tries + 1
+                    wide = first if tries > 4 else wide
+                found.append((at, first - least, k, above[at]))
+                for c, child in node.items():
+                    slot = first - least + c
+                    taken[slot], above[slot], top = 1, at, max(top, slot)
+                    below.append((slot, child))
+            level = below
+        rows = np.array(found, np.int32)
+        self.base, self.check, self.piece = np.zeros(top + room, np.int32), np.full(top + room, -1, np.int32), np.full(top + room, -1, np.int32)
+        self.base[rows[:, 0]], self.piece[rows[:, 0]], self.check[rows[:, 0]] = rows[:, 1], rows[:, 2], rows[:, 3]
+
+
+class Edges:
+    """Which pairs of pieces (numbers) the lattice joins: a table by hash, the same size for any text."""
+
+    def __init__(self, holds):
+        self.holds, self.slots = holds, np.full(EDGE_SLOTS, -1, np.int64)  # twice the key, and whether it is an edge
+        self.used, self.shift = 0, np.uint64(64 - (EDGE_SLOTS.bit_length() - 1))
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """1, 0, or -1 where a pair is not known."""
+        at = self.slot(keys)
+        found = self.slots[at]
+        out = np.where(found < 0, np.int64(-1), found & 1)
+        other = np.flatnonzero((found >= 0) & (found >> 1 != keys))
+        at = at[other]
+        while len(other):
+            at = (at + 1) & (EDGE_SLOTS - 1)
+            found = self.slots[at]
+            out[other] = np.where(found < 0, -1, found & 1)
+            on = np.flatnonzero((found >= 0) & (found >> 1 != keys[other]))
+            other, at = other[on], at[on]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        if self.used + len(keys) > EDGE_SLOTS // 2:
+            self.slots[:], self.used = -1, 0
+            keys, values = keys[: EDGE_SLOTS // 2], values[: EDGE_SLOTS // 2]
+        self.used += len(keys)
+        entries, at = keys * 2 + values, self.slot(keys)
+        while len(entries):
+            empty = np.flatnonzero(self.slots[at] < 0)
+            self.slots[at[empty]] = entries[empty]
+            on = np.flatnonzero(self.slots[at] != entries)  # of several for one slot, one is in
+            entries, at = entries[on], (at[on] + 1) & (EDGE_SLOTS - 1)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        got = self.look(keys)
+        unknown = np.flatnonzero(got < 0)
+        if len(unknown):
+            new, where = np.unique(keys[unknown], return_inverse=True)
+            values = np.array([self.holds(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], np.int64)
+            got[unknown] = values[where]
+            self.add(new, values)
+        return got == 1
+
+
 class Pieces:
     """A BPE piece vocabulary and its lattice."""
 
@@ -117,34 +222,39 @@ class Pieces:
         self.spaced = not any(j[1] == SPACE != j[0] for j in self.joints)  # a space after a word is a safe cut
         self.tail: dict = {}  # pieces by their last characters, from the end
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.older_pairs, self.older_known, self.older_words = {}, {}, {}  # the generation before
+        self.words: dict[str, bytes] = {}  # by what follows their first space mark
+        self.older_pairs, self.older_words = {}, {}  # the generation before
         self.whole = {p for p in self.id_of if len(p) == 1 or self.merge(p) == [p]}
         for p in self.whole:
             node = self.tail
             for c in reversed(p):
                 node = node.setdefault(c, {})
             node[""] = p
+        # Numbered for ``solve``: whole pieces, characters that pieces hold but that are none, and last any other character.
+        self.named = [*sorted(self.whole), *sorted({c for p in self.whole for c in p} - self.whole)]
+        self.trie, named = Trie(self.named), self.named
+        self.edges = Edges(lambda a, b: self.merge(named[a] + named[b]) == [named[a], named[b]])
+        self.lengths = np.array([*map(len, named), 1], np.int32)
+        self.numbers = np.array([self.id_of.get(p, -1) for p in [*named, ""]], np.int32)
 
     def forget(self) -> None:
-        """Nothing is remembered from one task to the next: idle workers share the executor's memory with what follows."""
-        for held in (self.pairs, self.known, self.words, self.older_pairs, self.older_known, self.older_words):
+        """No text is remembered from one task to the next (edges are, in a small table): idle workers share the executor's memory with what follows."""
+        for held in (self.pairs, self.words, self.older_pairs, self.older_words):
             held.clear()
         release()
 
     def merge(self, text: str) -> list[str]:
         """Neighbours merged by the best score, leftmost first: the model's definition, for short strings."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
+        parts, score, none = list(text), self.score.get, -np.inf
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], none)
         return parts
 
     def edge(self, left: str, right: str) -> bool:
@@ -211,41 +321,122 @@ class Pieces:
             out += [i] if i is not None else [self.byte_id[b] for b in p.encode()]
         return out
 
-    def segment(self, text: str) -> bytes:
-        """Ids (int32 bytes) of a segment between safe cuts."""
-        got = self.known.get(text) or self.older_known.get(text)
-        if got is None:
-            if len(text) > CHUNK_CHARS:
-                got = self.scan(text)
-            else:
-                got = np.array(self.ids(self.trace(self.walk(text, 0, None, len(text)), 0, len(text))), "<i4").tobytes()
-        if len(text) <= CACHED_CHARS:
-            if len(self.known) >= CACHED_SEGMENTS // 2:
-                self.older_known, self.known = self.known, {}
-            self.known[text] = got
-        return got
-
-    def unit(self, text: str) -> bytes:
-        """Ids (int32 bytes) of a piece of text that starts and ends at safe cuts."""
-        joints, known, segment = self.joints, self.known, self.segment
+    def path(self, text: str, start: int, end: int, first: str | None) -> bytes:
+        return np.array(self.ids(self.trace(self.walk(text, start, first, end), start, end)), "<i4").tobytes()
+
+    def solve(self, units: list[str]) -> list[bytes]:
+        """Ids (int32 bytes) of segments (not empty) between safe cuts, by one walk over the lattices of all.
+
+        Row j of ``last`` holds the last piece of each segment's one path to its place j.
+        """
+        if len(units) < SOLVED_LEAST:
+            return [self.path(u, 0, len(u), None) for u in units]
+        sizes = np.array([len(u) for u in units])
+        order = np.argsort(-sizes, kind="stable")
+        sizes, high, many = sizes[order], int(sizes.max()), len(units)
+        points = np.frombuffer("".join([units[i] for i in order.tolist()]).encode("utf-32-le"), "<u4")
+        of = np.repeat(np.arange(many), sizes)
+        place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        chars = np.zeros((high + 1, many), np.uint16)
+        chars[place, of] = self.trie.classes[points]
+        longer = np.searchsorted(-sizes, -np.arange(high), side="left").tolist()  # how many have a character at j
+        base, check, piece, other = self.trie.base, self.trie.check, self.trie.piece, len(self.named)
+        last = np.full((high + 1, many), -1, np.int32)
+        for j in range(high):
+            at = np.arange(many) if j == 0 else np.flatnonzero(last[j, : longer[j]] >= 0)
+            before, node = last[j, at], np.zeros(len(at), np.int32)
+            last[j + 1, at[chars[j, at] == 0]] = other  # an unknown character stands alone
+            for k in range(j, min(high, j + self.longest)):
+                to = base[node] + chars[k, at]
+                on = np.flatnonzero(check[to] == node)
+                at, node, before = at[on], to[on], before[on]
+                if not len(at):
+                    break
+                # At most one piece that ends here continues a path, so the first found will do.
+                found = np.flatnonzero((piece[node] >= 0) & (last[k + 1, at] < 0))
+                left, right, ends = before[found], piece[node[found]], at[found]
+                good = (left < 0) | (left == other)
+                ask = np.flatnonzero(~good)
+                good[ask] = self.edges(left[ask], right[ask])
+                last[k + 1, ends[good]] = right[good]
+        taken = np.full((many, high), -1, np.int32)
+        at, end = np.arange(many), sizes.copy()
+        while len(at):
+            p = last[end, at]
+            end = end - self.lengths[p]
+            taken[at, end] = p
+            on = np.flatnonzero(end > 0)
+            at, end = at[on], end[on]
+        used = taken >= 0
+        pieces, of, place = taken[used], *np.nonzero(used)
+        ids, counts = self.numbers[pieces], np.ones(len(pieces), np.int64)
+        spelled = np.flatnonzero(ids < 0)  # characters given by their bytes
+        if len(spelled):
+            codes, which = np.unique(points[(np.cumsum(sizes) - sizes)[of[spelled]] + place[spelled]], return_inverse=True)
+            spellings = [self.ids([chr(c)]) for c in codes.tolist()]
+            counts[spelled] = np.array([len(x) for x in spellings])[which]
+            starts = (np.cumsum(counts) - counts)[spelled]
+            ids = np.repeat(ids, counts)
+            for k, x in enumerate(spellings):
+                mine = starts[which == k]
+                for t, i in enumerate(x):
+                    ids[mine + t] = i
+        ends = 4 * np.cumsum(np.bincount(of, counts, many)).astype(np.int64)
+        data, out, low = ids.astype("<i4").tobytes(), [b""] * many, 0
+        for i, stop in zip(order.tolist(), ends.tolist()):
+            out[i], low = data[low:stop], stop
+        return out
+
+    def segments(self, text: str) -> list[str]:
+        """A text cut at its safe cuts."""
+        joints = self.joints
         cuts = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joints], len(text)]
-        parts = [text[a:b] for a, b in zip(cuts, cuts[1:])]
-        return b"".join([known.get(p) or segment(p) for p in parts])
+        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def units(self, texts) -> dict[str, bytes]:
+        """Ids (int32 bytes) of each text, which starts and ends at safe cuts; long ones are cut further."""
+        cut = {t: self.segments(t) for t in texts if len(t) > CACHED_CHARS + 1}
+        short = list({t for t in texts if t not in cut} | {p for parts in cut.values() for p in parts if len(p) <= CACHED_CHARS + 1})
+        out = {}
+        for k in range(0, len(short), SOLVED_UNITS):
+            part = short[k : k + SOLVED_UNITS]
+            out.update(zip(part, self.solve(part)))
+        for t, parts in cut.items():
+            out[t] = b"".join([out.get(p) or self.long(p) for p in parts])
+        return out
 
-    def word(self, text: str) -> bytes:
-        got = self.words.get(text) or self.older_words.get(text) or self.unit(SPACE + text)
-        if len(text) <= CACHED_CHARS:
-            if len(self.words) >= CACHED_WORDS // 2:  # words in use move on to the new generation
-                self.older_words, self.words = self.words, {}
-            self.words[text] = got
-        return got
+    def long(self, text: str) -> bytes:
+        """Ids (int32 bytes) of a long segment without a safe cut."""
+        return self.scan(text) if len(text) > CHUNK_CHARS else self.path(text, 0, len(text), None)
+
+    def encode_all(self, marked: list[str]) -> list[bytes]:
+        """Ids (int32 bytes) of texts with their spaces marked; the new words of all are solved together."""
+        if not self.spaced:
+            got = self.units({t for t in marked if t})
+            return [got[t] if t else b"" for t in marked]
+        if len(self.words) >= CACHED_WORDS // 2:  # words in use move on to the new generation
+            self.older_words, self.words = self.words, {}
+        words, older, rows, heads, new = self.words, self.older_words, [], [], set()
+        for t in marked:
+            if t.startswith(SPACE) and not t.endswith(SPACE) and SPACE + SPACE not in t:
+                heads.append("")
+                rows.append(t[1:].split(SPACE))
+            else:  # a space after a word is a safe cut
+                runs = RUNS.findall(t)
+                heads.append(runs.pop(0) if runs and runs[0][0] != SPACE else "")
+                rows.append([r[1:] for r in runs])
+            new.update(rows[-1])
+        new.difference_update(words)
+        for w in [w for w in new if w in older]:
+            words[w] = older[w]
+            new.discard(w)
+        got = self.units([*[SPACE + w for w in new], *{h for h in heads if h}])
+        words.update({w: got.pop(SPACE + w) for w in new if len(w) <= CACHED_CHARS})
+        return [got.get(h, b"") + b"".join([words.get(w) or got[SPACE + w] for w in row]) for h, row in zip(heads, rows)]
 
     def encode(self, marked: str) -> bytes:
         """Ids (int32 bytes) of a text with its spaces marked."""
-        if self.spaced and marked.startswith(SPACE) and not marked.endswith(SPACE) and SPACE + SPACE not in marked:
-            words, word = self.words, self.word
-            return b"".join([words.get(w) or word(w) for w in marked[1:].split(SPACE)])
-        return self.unit(marked) if marked else b""
+        return self.encode_all([marked])[0]
 
     def decode(self, ids) -> str:
         raw = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
@@ -288,22 +479,26 @@ class Pieces:
         matrix[np.ix_(enters, leaves)] = 0.0
         return entries, exits, matrix
 
-    def between(self, text: str, low: int, high: int, entry: tuple[int, int], leave: tuple[int, int]) -> bytes:
-        """Ids (int32 bytes) of the pieces that start in low..high, given the states at both ends."""
+    def parts(self, text: str, entry: tuple[int, int], leave: tuple[int, int]) -> tuple[bytes, str, bytes]:
+        """What lies between two states: ids (int32 bytes) up to the first safe cut, the text to the last one, ids from there."""
         start, end, before = entry[1], leave[1], text[entry[0] : entry[1]] or None
         first = next((i for i in range(start + (before is not None), end) if self.is_cut(text, i)), None)
-        own = lambda a, b, p: np.array(self.ids(self.trace(self.walk(text, a, p, b), a, b)), "<i4").tobytes()
         if first is None:
-            return own(start, end, before)
+            return self.path(text, start, end, before), "", b""
         last = next(i for i in range(end - 1, first - 1, -1) if self.is_cut(text, i))
-        return (own(start, first, before) if first > start else b"") + self.encode(text[first:last]) + own(last, end, None)
+        return self.path(text, start, first, before) if first > start else b"", text[first:last], self.path(text, last, end, None)
+
+    def between(self, chunks: list[tuple]) -> list[bytes]:
+        """Ids (int32 bytes) of the pieces of each chunk: (text, entry state, leave state)."""
+        parts = [self.parts(*c) for c in chunks]
+        return [a + ids + b for (a, _, b), ids in zip(parts, self.encode_all([p[1] for p in parts]))]
 
     def scan(self, text: str, chunk: int = 4096) -> bytes:
         """Ids (int32 bytes) of a long text or segment as one process does it: matrices, scan, traces."""
         bounds = [*range(0, len(text), chunk), len(text)]
         parts = [self.transfer(text, a, b) for a, b in zip(bounds, bounds[1:])]
         at = resolve([p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts])
-        return b"".join(self.between(text, a, b, at[k], at[k + 1]) for k, (a, b) in enumerate(zip(bounds, bounds[1:])))
+        return b"".join(self.between([(text, a, b) for a, b in zip(at, at[1:])]))
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -360,7 +555,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         vocab = pieces(model_path)
         for batch in batches:
             for block in text_blocks(batch):
-                ids = [vocab.encode(mark(t or "")) for t in block.column(1).to_pylist()]
+                ids = vocab.encode_all([mark(t or "") for t in block.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([block.column(0), _lists(ids)], names=["id", "ids"])
                 del ids
         vocab.forget()
@@ -411,15 +606,17 @@ def _scanned(giants: DataFrame, model_path: str, id_type: str, chunk: int) -> Da
     at = at.withColumnRenamed("key", "key2").withColumnRenamed("id", "id2").withColumnRenamed("k", "k2")
     known = cut.join(at, (cut.key == at.key2) & cut.id.eqNullSafe(at.id2) & (cut.k == at.k2)).select("id", "key", "copies", "k", "low", "high", "off", "part", "entry", "leave")
 
+    step = max(1, BLOCK_BYTES // chunk)
+
     def trace(batches):
         vocab = pieces(model_path)
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                entry, leave = [tuple(int(v) - r.off for v in s) for s in (r.entry, r.leave)]
-                out.append((r.id, r.key, r.copies, r.k, np.frombuffer(vocab.between(r.part, r.low - r.off, r.high - r.off, entry, leave), "<i4")))
-            yield pd.DataFrame(out, columns=["id", "key", "copies", "k", "ids"])
-            release()
+            for at in range(0, max(1, len(pdf)), step):
+                some = pdf.iloc[at : at + step]
+                state = lambda s, off: tuple(int(v) - off for v in s)
+                ids = vocab.between([(r.part, state(r.entry, r.off), state(r.leave, r.off)) for r in some.itertuples()])
+                yield some[["id", "key", "copies", "k"]].assign(ids=[np.frombuffer(x, "<i4") for x in ids])
+                release()
         vocab.forget()
 
     traced = known.mapInPandas(trace, f"id {id_type}, key long, copies long, k int, ids array<int>")

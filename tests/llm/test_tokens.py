@@ -127,6 +127,33 @@ def test_pieces_match_library(library):
         assert ids == library.encode(x) and vocab.decode(ids) == x == library.decode(ids)
 
 
+def test_new_words_are_solved_together(library, monkeypatch):
+    """No walk for each new word, no edge found twice (not even in the next task), and the library's ids all the same."""
+    rng, vocab = random.Random(8), piece_scan.Pieces(PIECES)
+    parts = ["a", "the", "ing", "tion", "é", "漢", "😀", "\n", "\x00", "{", "s.", "###", "Zw", "ou"]
+    words = list({"".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(4000)} - {""})
+    texts = [" ".join(words[:2000]), " ".join(words[2000:]) + " ", "  ".join(words[::7]), "", " ", "   ", "x" * 90 + " " + "thing{" * 30, "é" * 50 + "\n" * 50]
+    walks, merges, walk, merge = [], [], piece_scan.Pieces.walk, piece_scan.Pieces.merge
+    monkeypatch.setattr(piece_scan.Pieces, "walk", lambda self, *a: walks.append(a) or walk(self, *a))
+    monkeypatch.setattr(piece_scan.Pieces, "merge", lambda self, text: merges.append(text) or merge(self, text))
+    for _ in range(2):
+        got = [np.frombuffer(vocab.encode(piece_scan.mark(x)), "<i4").tolist() for x in texts]
+        assert got == [library.encode(x) for x in texts] and len(walks) < len(words) / 10
+        tried, merges[:] = len(merges), []
+        vocab.forget()
+    assert tried < 200  # the second time
+    got = vocab.encode_all([piece_scan.mark(x) for x in texts])
+    assert [np.frombuffer(x, "<i4").tolist() for x in got] == [library.encode(x) for x in texts]
+
+
+def test_edges_stay_right_when_their_table_is_full(monkeypatch):
+    monkeypatch.setattr(piece_scan, "EDGE_SLOTS", 64)
+    edges, rng = piece_scan.Edges(lambda a, b: (a * b) % 3 == 1), np.random.default_rng(2)
+    for size in (1, 20, 300, 5, 40):
+        left, right = rng.integers(0, 40, size).astype(np.int32), rng.integers(0, 40, size).astype(np.int32)
+        assert (edges(left, right) == ((left * right) % 3 == 1)).all() and edges.used <= 32
+
+
 @pytest.mark.parametrize("chunk", (40, 64, 257))
 def test_scan_matches_library(library, chunk):
     rng, vocab = random.Random(chunk), piece_scan.pieces(PIECES)

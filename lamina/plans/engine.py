@@ -55,10 +55,11 @@ class Engine:
 
     def _ingest(self, documents: DataFrame, ordered: DataFrame) -> dict:
         stats: dict = {}
+        failed = F.coalesce(F.size("errors") > 0, F.lit(False))
         batch = f"b{time.time_ns():020d}"  # later ingests sort behind earlier ones
         documents = self._stage(documents, "documents", stats, batch)
         elements = self._stage(ordered, "elements", stats, batch)
-        chunks = self._stage(self.chunker.chunks(elements), "chunks", stats, batch)
+        chunks = self._stage(self.chunker.chunks(elements, documents.where(~failed)), "chunks", stats, batch)
         data = F.create_map(F.lit("source"), F.col("doc_id"), F.lit("page_range"), F.concat_ws("-", "page_start", "page_end"), F.lit("heading"), F.coalesce("heading", F.lit("")))
         rows = chunks.select("chunk_id", "text", data.alias("metadata"))
         began = time.time()
@@ -68,7 +69,6 @@ class Engine:
         earlier = self.spark.read.parquet(f"{self.folder}/chunks").where(F.col("batch").cast("string") != batch).join(documents.select("doc_id"), "doc_id", "left_semi")
         self.store.delete(earlier.select("chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_anti"))
         stats["store_seconds"] = time.time() - began
-        failed = F.coalesce(F.size("errors") > 0, F.lit(False))
         counts = documents.agg(F.count("*").alias("documents"), F.count_if(failed).alias("failed")).first()
         return stats | {"documents": counts["documents"], "failed": counts["failed"], "elements": elements.count(), "chunks": chunks.count()}
 

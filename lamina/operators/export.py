@@ -59,12 +59,14 @@ def write_files(rows: DataFrame, folder: str, ending: str, folders: int = 1) ->
     below = F.lit("") if folders < 2 else F.concat(F.pmod(F.xxhash64("doc_id"), F.lit(folders)).cast("string"), F.lit("/"))
 
     def run(batches):
-        context = TaskContext.get()
+        context, places = TaskContext.get(), {}
         for batch in batches:
             out = []
             for doc, text, file, sub in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                files, path = pafs.FileSystem.from_uri(f"{folder}/{sub}".rstrip("/"))
-                files.create_dir(path, recursive=True)
+                if sub not in places:
+                    places[sub] = pafs.FileSystem.from_uri(f"{folder}/{sub}".rstrip("/"))
+                    places[sub][0].create_dir(places[sub][1], recursive=True)
+                files, path = places[sub]
                 mine = f"{path}/.{file}.{context.taskAttemptId()}"
                 with files.open_output_stream(mine) as sink:
                     sink.write(text.encode())
